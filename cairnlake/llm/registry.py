@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnlake.llm import split_queries
+from cairnlake.llm import generated_queries, split_queries
 
-MODULES = (split_queries,)
+MODULES = (generated_queries, split_queries)
 
 
 def queries() -> dict:
