@@ -43,7 +43,21 @@ NOTICES = {
     "machine-generated": "generated",
     "this file is generated": "generated",
     "this file was generated": "generated",
+    "automatisch erzeugt": "generated",
+    "automatisch generiert": "generated",
+    "generado automáticamente": "generated",
+    "généré automatiquement": "generated",
     "do not edit": "generated",
+    "do not hand-edit": "generated",
+    "do not hand edit": "generated",
+    "do not alter": "generated",
+    "do not touch": "generated",
+    "don't edit": "generated",
+    "nicht von hand": "generated",
+    "nicht bearbeiten": "generated",
+    "no editar": "generated",
+    "no modificar": "generated",
+    "ne pas modifier": "generated",
     "do not modify": "generated",
     "do not change this file": "generated",
     "changes will be lost": "generated",
@@ -72,6 +86,8 @@ NOTICES = {
 #: Words that may stand before a notice within its comment.
 LEAD = re.compile(r"(?:[\W_]*(?:this|the|file|code|source|module|is|was|has|been|are|warning|note|notice|caution|important|please|"
                   r"copyright|\(c\)|v?\d+(?:\.\d+)*|\d{4}|by|all|content|contents|manual|any|your|in|here|and|will|be)\b)*[\W_]*\Z")
+#: Orders such as "do not edit" may also follow a clause.
+CLAUSE = re.compile(r"[.,;:!-]\s+\Z")
 COMMENT = re.compile(r"\s*(?://+!?|#+!?|/\*+!?|\*+/?|--+|;+|<!--|%+|\"\"\"|'''|rem\b)\s*(.*)", re.I | re.S)
 HEADER_LINES = 25
 
@@ -121,7 +137,7 @@ def notice(comment: str) -> str | None:
     low = comment.lower()
     for end, (text, kind) in automaton().iter(low):
         before = low[:end + 1 - len(text)]
-        if LEAD.match(before) or (kind == "vendored" and text.startswith(("authors |", "project contributors"))):
+        if LEAD.match(before) or CLAUSE.search(before) and text.startswith(("do not", "don't", "nicht", "no ", "ne pas")) or (kind == "vendored" and text.startswith(("authors |", "project contributors"))):
             return kind
     return None
 
