@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnlake.llm import generated_queries, split_queries
+from cairnlake.llm import credential_queries, generated_queries, split_queries
 
-MODULES = (generated_queries, split_queries)
+MODULES = (credential_queries, generated_queries, split_queries)
 
 
 def queries() -> dict:
