@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnlake.llm import credential_queries, generated_queries, leakage_queries, packing_queries, quality_queries, similar_queries, split_queries
+from cairnlake.llm import credential_queries, generated_queries, leakage_queries, packing_queries, quality_queries, similar_queries, split_queries, syntax_queries
 
-MODULES = (credential_queries, generated_queries, leakage_queries, packing_queries, quality_queries, similar_queries, split_queries)
+MODULES = (credential_queries, generated_queries, leakage_queries, packing_queries, quality_queries, similar_queries, split_queries, syntax_queries)
 
 
 def queries() -> dict:
