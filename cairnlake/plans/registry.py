@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnlake.plans import problem_queries
+from cairnlake.plans import index_queries, problem_queries, text_queries
 
-MODULES = (problem_queries,)
+MODULES = (problem_queries, text_queries, index_queries)
 FLAGSHIP = problem_queries.p1_counts
 
 
