@@ -60,5 +60,6 @@ TIER_SHARES = {1: 0.25, 2: 0.20, 3: 0.10, 4: 0.15, 5: 0.20, 6: 0.05}
 SEVERITY_RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 ADJACENT_LINES, SIMILARITY, LINE_TOLERANCE = 3, 0.6, 3
 MAX_CHUNK_TOKENS, MODULE_HEADER_LINES, PYTHON_WINDOW, SECTION_WINDOW = 800, 120, 60, 80
+GUIDE_PATHS = ["readme%", "contributing%", "docs/%", "%architecture%", "%style%", "%conventions%"]
 SOURCE_ROOTS = ["", "src/", "lib/"]
 EMBEDDING_DIM = 1024

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cairnlake.plans import index_queries, problem_queries, text_queries
+from cairnlake.plans import index_queries, problem_queries, search_queries, text_queries
 
-MODULES = (problem_queries, text_queries, index_queries)
-FLAGSHIP = problem_queries.p1_counts
+MODULES = (problem_queries, text_queries, index_queries, search_queries)
+FLAGSHIP = search_queries.f3_hybrid_rrf
 
 
 def queries() -> dict:
