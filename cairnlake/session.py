@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,5 +49,18 @@ def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cpu_count() -> int:
-    return os.cpu_count() or 1
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python finds it wherever it was started."""
+    context = spark.sparkContext
+    if getattr(context, "_cairnlake", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="cairnlake-"), "cairnlake_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(target)
+    context._cairnlake = True
