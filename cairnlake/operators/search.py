@@ -64,11 +64,19 @@ def similar_names(queries: DataFrame, names: DataFrame, least: float) -> DataFra
     return s.filter(F.col("similarity") >= least)
 
 
+#: Queries per block, and how many queries may be broadcast.
+QUERY_BLOCK, QUERY_BROADCAST = 2_000, 10_000
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, cosine, rank): exact nearest vectors to a stated query set, every row being compared with every query.
-    The queries are the broadcast side; their number is the caller's."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qv"))
-    pairs = rows.join(F.broadcast(q), F.col("id") != F.col("query_id")).select("query_id", "id", T.cosine(F.col("vec"), F.col("qv")).alias("cosine"))
+    """(query_id, id, cosine, rank): exact nearest vectors to a stated query set (id, vec), in blocks: every row is sent to every
+    block of queries and is compared with those there. The queries are counted; only up to QUERY_BROADCAST of them are broadcast."""
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    q = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    r = rows.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    met = r.join(F.broadcast(q) if n <= QUERY_BROADCAST else q, "block").filter(F.col("id") != F.col("query_id"))
+    pairs = met.select("query_id", "id", T.cosine(F.col("vec"), F.col("qv")).alias("cosine"))
     return top(pairs.filter("cosine is not null"), ["query_id"], [F.desc(F.round("cosine", 9)), F.col("id")], k)
 
 
