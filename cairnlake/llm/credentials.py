@@ -261,7 +261,10 @@ def find(text: str, is_patch: bool, vocabulary: str = VOCABULARY, code: bool = T
         if m and not SECRET_NAME.search(m[1]) and not _comma(m):
             out.extend(_judge(text, m[1], False, _literal_at(text, m.end(), m[2]), vocabulary))
     for m in BARE.finditer(text) if hinted else ():
-        if SECRET_NAME.search(m[1]) and not (code and m[0][len(m[1])] == "=" and re.fullmatch(r"[A-Za-z_][\w.]*", m[2])) and looks_secret(m[1], m[2].rstrip("\\."), vocabulary):
+        if code and m[0][len(m[1])] == "=" and re.fullmatch(r"[A-Za-z_][\w.]*", m[2]) and not (
+                len(m[2]) >= 16 and classes(m[2].replace("_", "").replace(".", "")) == 3 and len(re.findall("[0-9]", m[2])) >= 2):
+            continue  # a keyword argument is given a name, not a literal
+        if SECRET_NAME.search(m[1]) and looks_secret(m[1], m[2].rstrip("\\."), vocabulary):
             out.append((m.start(2), m.start(2) + len(m[2].rstrip("\\.")), "password" if PASSWORD_NAME.search(m[1]) else "key"))
     for m in PROSE.finditer(text) if hinted and ("`" in text or "|" in text) else ():
         if SECRET_NAME.search(m[1]) and looks_secret(m[1], m[2], vocabulary):

@@ -66,6 +66,10 @@ SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n+")
 SPAN = re.compile(r"`[^`\n]*`")
 #: Signs of text decoded with the wrong character set, and runs no language has.
 ODD = re.compile(r"[¢¤§¬Ãâ™‚ƒ\ufffdÂ€œž]{2}|[a-z][ÃÂ¬¢¤§ƒ‚™\ufffd]|[ÃÂ¬¢¤§ƒ‚™\ufffd][a-z]")
+#: Letters and digits run together, as in encoded data.
+DENSE = re.compile(r"[A-Za-z]\d+[A-Za-z].*[a-z][A-Z].*\d")
+#: What entries of a change log have and sentences do not.
+ENTRY = re.compile(r"\(#?\d+\)|^[*+-]\s*\w+(?:\([\w-]+\))?!?:|\b[0-9a-f]{7,}\b|[#/_=]")
 CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}")
 KINDS = ("list", "table", "log", "pair", "code", "nav", "random", "repeat")
 STATS = ("log_words", "word_length", "words_per_line", "symbol_ratio", "digit_ratio", "upper_ratio", "common_share", "end_share", "distinct_share", "compression",
@@ -98,6 +102,8 @@ def line_kind(s: str, common: int, words: list[str], doc_share: float) -> str:
         return "repeat" if RULE.fullmatch(s) and len(set(s)) <= 3 else "pair"
     if s.startswith("#") and len(words) <= 12:
         return "heading"
+    if len(s) >= 30 and " " not in s and DENSE.search(s):
+        return "random"
     bare = SPAN.sub("x", s)
     n = len(words)
     share = common / n
@@ -161,7 +167,7 @@ def statistics(text: str) -> tuple[str, int, list[float]]:
             body = [x[1:].strip() for x in lines[i:j]]
             runs_on = sum(not SENTENCE_END.search(a) and b[:1].islower() for a, b in zip(body, body[1:]))
             w = WORD.findall(" ".join(body))
-            if runs_on >= 0.4 * (j - i - 1) and sum(x.lower() in known for x in w) >= 0.2 * len(w) and len(w) >= 4 * (j - i):
+            if runs_on >= 0.4 * (j - i - 1) and not any(ENTRY.search(x) for x in lines[i:j]) and sum(x.lower() in known for x in w) >= 0.2 * len(w) and len(w) >= 4 * (j - i):
                 kinds[i:j] = ["prose"] * (j - i)
         i = max(j, i + 1)
     # a short line after a line of prose ends it, one before prose opens it; alone it is navigation
