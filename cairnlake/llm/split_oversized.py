@@ -34,7 +34,7 @@ SCHEMA = ("item_id string, piece_no int, n_pieces int, start_char bigint, end_ch
 
 def estimated_tokens(text: Column) -> Column:
     n = F.length(text)
-    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / CHARS_PER_TOKEN).cast("int")))
+    return F.when(text.isNull() | (n == 0), 0).otherwise(F.greatest(F.lit(1), F.floor(n / CHARS_PER_TOKEN).cast("int")))
 
 
 def strengths(text: str) -> np.ndarray:
