@@ -18,9 +18,9 @@ NAMED_SECRET = r"""(?i)([A-Za-z0-9_]*(?:passw(?:or)?d|secret|token|api_?key)[A-Z
 
 
 def estimate_tokens(s: Column) -> Column:
-    """0 for an empty text, else a quarter of its characters, at least 1."""
+    """0 for a null or empty text, else a quarter of its characters, at least 1."""
     n = F.length(s)
-    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4).cast("int")))
+    return F.when(s.isNull() | (n == 0), 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4).cast("int")))
 
 
 def git_blob_sha(s: Column) -> Column:
