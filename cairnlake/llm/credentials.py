@@ -68,20 +68,21 @@ HEADER = re.compile(r"\b(Basic|Bearer|Token|ApiKey|Digest)[ \t]+([A-Za-z0-9+/=._
 _BETWEEN = (r"(?:[\"'`]?\]?[ \t]*(?:(?::[ \t]*[A-Za-z_][\w\[\], |]*?)?[ \t]*(?::=|=>|(?<![=!<>])=(?!=)|:)|(?<=[\w$.-])[\"'`][ \t]*,)\s*)"
             r"(?:(?:[A-Za-z_][\w.\[\]]*)?\(\s*)?[rbufRBUF]{0,2}(\"\"\"|\'\'\'|[\"'`])")
 #: A name that speaks of a secret, what stands between it and its literal, the literal's quote. The name's front part is read backwards.
-ASSIGNED = re.compile(r"((?i:passw|passphrase|passcode|pwd|secret|token|key|credential|creds|bearer|auth|jwt|session|cookie)[\w$.-]*|(?i:pass|pw)(?:[0-9a-f]{3})?(?![\w$.-]))" + _BETWEEN)
+ASSIGNED = re.compile(r"((?i:kennwort|passwort|losung|contrase|clave|senha|mot_?de_?passe|wachtwoord|haslo|geheim|passw|passphrase|passcode|pwd|secret|token|key|credential|creds|bearer|auth|jwt|session|cookie)[\w$.-]*|(?i:pass|pw)(?:[0-9a-f]{3})?(?![\w$.-]))" + _BETWEEN)
 #: Any name, used only on lines whose literal goes on over the next line.
 NAMED = re.compile(r"([A-Za-z_$][\w$.-]*)" + _BETWEEN)
 GOES_ON = re.compile(r"[\"'`][ \t]*(?:\\|\+|\.\.)?[ \t]*\r?\n[ +-]?[ \t]*(?:\+|\.\.)?[ \t]*[rbufRBUF]{0,2}[\"'`]")
 #: The same without quotes, as in YAML, shell, ini and prose.
 BARE = re.compile(r"(?<![\w$])([A-Za-z_][\w.-]*)(?:=|:[ \t]+)([^\s\"'`,;(){}\[\]<>$]{6,})(?=[\s,;\"'`]|$)", re.M)
 BLOCK = re.compile(r"^([ +-]?[ \t]*)[\"']?([A-Za-z_][\w.-]*)[\"']?:[ \t]*[>|][+-]?\d?[ \t]*\r?$", re.M)
-#: Prose and comments: "`name` to `value`", "| name | `value` |", "name value", "log in as `user` with `value`".
+#: Words for a password in other languages are names too. Prose and comments: "`name` to `value`", "| name | `value` |", "name value", "log in as `user` with `value`".
 PROSE = re.compile(r"[`|][ \t]*([A-Za-z_][\w.-]*)[ \t]*(?:`[^`|\n]{1,30}`|`?[ \t]*\|[ \t]*`?)([^`|\s]{6,})[ \t]*[`|]")
 SPACED = re.compile(r"(?<![\w$.-])([A-Za-z_][\w-]*)[ \t]+(?=[^\s]*\d)([^\s\"'`,;(){}\[\]<>$|]{8,})(?=[\"'`,;)]?\s|[\"'`,;)]?$)", re.M)
+COMMENTED = re.compile(r"(?:#|//|--|;|<!--)[^\n]{0,80}?(?<![\w$.-])([A-Za-z_][\w-]*)[ \t]+(\S{8,}?)[ \t]*(?:-->)?\r?$", re.M)
 LOGIN = re.compile(r"\b(?:log(?:ged)?[ -]?(?:in|on)|sign(?:ed)?[ -]?in|connect|authenticate)\b[^`\"'\n(=]{0,30}[`\"'][^`\"'\n]{1,60}[`\"'][^`\"'\n=(]{1,20}[`\"']([^`\"'\s]{6,})[`\"']", re.I)
-SECRET_NAME = re.compile(r"(?:^|[_a-z])(?:pass|pw)(?:[0-9a-f]{3})?$|passw|passphrase|passcode|pwd|secret|token|(?:api|access|private|signing|sign|service|account|encryption|hmac|master|auth|client|deploy|license|"
+SECRET_NAME = re.compile(r"kennwort|passwort|losung|contrase|clave|senha|mot_?de_?passe|wachtwoord|haslo|geheim|(?:^|[_a-z])(?:pass|pw)(?:[0-9a-f]{3})?$|passw|passphrase|passcode|pwd|secret|token|(?:api|access|private|signing|sign|service|account|encryption|hmac|master|auth|client|deploy|license|"
                          r"storage|shared|maps|stripe|aws|s3|g|ssh|db|app|web|hook|jwt|crypt|bot|admin|user)[_-]?key|_key|key$|credential|creds|bearer|auth|jwt|session|cookie", re.I)
-PASSWORD_NAME = re.compile(r"passw|passphrase|passcode|pwd|userpass|dbpass|(?:^|_)(?:pass|pw)(?:[0-9a-f]{3})?$|[a-z](?:Pass|Pw)(?:[0-9a-f]{3})?$", re.I)
+PASSWORD_NAME = re.compile(r"kennwort|passwort|losung|contrase|clave|senha|mot_?de_?passe|wachtwoord|haslo|passw|passphrase|passcode|pwd|userpass|dbpass|(?:^|_)(?:pass|pw)(?:[0-9a-f]{3})?$|[a-z](?:Pass|Pw)(?:[0-9a-f]{3})?$", re.I)
 STRONG_NAME = re.compile(r"passw|passphrase|pwd|secret|token|api[_-]?key|apikey|bearer|auth|credential|private[_-]?key|hmac|encrypt|signing|service[_-]?key", re.I)
 #: Parts of a name that tell of something about a secret, or of an id or checksum.
 OTHER_NAME = re.compile(r"(?:^|[_.-])(?:hash|sha\d*|md5|digest|checksum|sum|etag|integrity|fingerprint|thumbprint|id|ids|uuid|guid|request|trace|span|public|pub|verify|cert|"
@@ -203,7 +204,7 @@ def known_format(value: str, vocabulary: str) -> str | None:
 
 
 #: One of these is in every text that has more than a fixed format; most texts hold none.
-HINTS = ("passw", "passphrase", "passcode", "pwd", "secret", "token", "key", "cred", "bearer", "auth", "jwt", "session", "cookie", "pass", "pw", "basic", "login", "log in", "sign in")
+HINTS = ("kennwort", "passwort", "losung", "contrase", "clave", "senha", "passe", "wachtwoord", "haslo", "geheim", "passw", "passphrase", "passcode", "pwd", "secret", "token", "key", "cred", "bearer", "auth", "jwt", "session", "cookie", "pass", "pw", "basic", "login", "log in", "sign in")
 
 
 def find(text: str, is_patch: bool, vocabulary: str = VOCABULARY, code: bool = True) -> list[tuple[int, int, str]]:
@@ -272,7 +273,7 @@ def find(text: str, is_patch: bool, vocabulary: str = VOCABULARY, code: bool = T
     for m in LOGIN.finditer(text) if "log" in low or "sign" in low or "connect" in low or "authenticate" in low else ():
         if looks_password(m[1]):
             out.append((m.start(1), m.end(1), "password"))
-    for m in SPACED.finditer(text) if hinted else ():
+    for m in [*SPACED.finditer(text), *COMMENTED.finditer(text)] if hinted else ():
         if SECRET_NAME.search(m[1]) and re.search("[0-9]", m[2]) and classes(m[2]) >= 2 and looks_secret(m[1], m[2], vocabulary) and (
                 PASSWORD_NAME.search(m[1]) and not re.fullmatch(r"[\w.]+", m[2]) or chars_per_subword(m[2], vocabulary) < UNNATURAL):
             out.append((m.start(2), m.end(2), "password" if PASSWORD_NAME.search(m[1]) else "key"))
