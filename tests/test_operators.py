@@ -310,3 +310,51 @@ def test_analyzers(spark):
                                            {"test_id": "B2", "filename": "b.py", "line_number": 5, "issue_severity": "LOW", "issue_confidence": "LOW", "issue_text": "t"}]})),
         ("semgrep", json.dumps({"results": [{"check_id": "x.y.rule", "path": "c.py", "start": {"line": 7}, "extra": {"severity": "ERROR", "message": "m"}}]})), ("ruff", "broken"), ("bandit", None)], "tool string, report string")
     assert [tuple(r)[:5] for r in archives.analyzer_findings(d).orderBy("tool").collect()] == [("bandit", "B1", "b.py", 4, "high"), ("ruff", "F401", "a.py", 3, "low"), ("semgrep", "rule", "c.py", 7, "high")]
+
+
+def test_context_bundles(spark):
+    schema = ("id string, repository_id string, blob_sha string, chunker_version string, path string, language string, symbol string, symbol_type string, qualified_name string, parent_symbol string, start_line int, "
+              "called_names array<string>, bases array<string>, is_test boolean, token_count int")
+    rows_ = [("m", "r", "b", "1", "a.py", "python", "<module>", "module", "<module:a>", None, 1, [], [], False, 20), ("k", "r", "b", "1", "a.py", "python", "K", "class", "K", None, 3, ["helper"], ["Base"], False, 30),
+             ("f", "r", "b", "1", "a.py", "python", "run", "method", "K.run", "K", 5, ["helper"], [], False, 40), ("h", "r", "c", "1", "b.py", "python", "helper", "function", "helper", None, 1, [], [], False, 50),
+             ("base", "r", "c", "1", "b.py", "python", "Base", "class", "Base", None, 9, [], [], False, 10), ("t", "r", "d", "1", "tests/t.py", "python", "test_h", "function", "test_h", None, 1, ["helper", "run"], [], True, 60),
+             ("u", "r", "e", "1", "c.py", "python", "use", "function", "use", None, 1, ["run"], [], False, 70), ("g", "r", "x", "1", "README.md", "markdown", None, "doc", None, None, 1, [], [], False, 80),
+             ("o", "other", "b", "1", "a.py", "python", "helper", "function", "helper", None, 1, ["run"], [], False, 5)]
+    from cairnlake.operators import context
+
+    c = spark.createDataFrame(rows_, schema)
+    got = {r["item"]: (r["tier"], r["reasons"], r["taken"]) for r in context.bundles(c, c.filter("id = 'f'"), 250).collect()}
+    assert got["f"] == (1, "changed_symbol", True) and got["k"][:2] == (1, "enclosing_class") and got["m"][:2] == (1, "module_header")
+    assert got["h"][:2] == (2, "called") and got["u"][:2] == (3, "calls") and got["t"][0] == 4 and got["g"][:2] == (6, "guide") and "o" not in got
+    assert sum(r[14] for r in rows_ if r[0] in got and got[r[0]][2]) <= 250
+
+
+def test_checks(spark, tmp_path):
+    import hashlib
+    import hmac
+
+    from cairnlake.operators import checks
+
+    d = spark.createDataFrame([("a", 1), ("b", -1), ("c", None)], "k string, n int")
+    good, bad = checks.split_valid(d, {"missing": F.col("n").isNotNull(), "negative": F.col("n") >= 0})
+    assert rows(good) == [("a", 1)] and sorted(tuple(r) for r in bad.select("k", "reason").collect()) == [("b", "negative"), ("c", "missing")]
+    sign = "sha256=" + hmac.new(b"s", b"body", hashlib.sha256).hexdigest()
+    s = spark.createDataFrame([("body", sign), ("body", "sha256=0"), (None, sign), ("body", None)], "b string, s string")
+    assert [r[0] for r in s.select(checks.signed(F.col("b"), "s", F.col("s"))).collect()] == [True, False, False, False]
+    assert checks.markdown(d.filter("k = 'a'").withColumn("x", F.lit("p|q"))).endswith("| a | 1 | p\\|q |")
+    f = spark.createDataFrame([("f", 1, 2, 9), ("f", 2, 20, 31), ("f", 3, 50, 60)], "f string, item int, first int, last int")
+    lines = spark.createDataFrame([("f", n) for n in (2, 3, 4, 8, 30, 31, 32)], "f string, n int")
+    assert rows(checks.snap(f, lines, ["f"])) == [("f", 1, 2, 4), ("f", 2, 30, 31)]
+
+
+def test_streams_repeat_nothing(spark, tmp_path):
+    from cairnlake.streaming import events as S
+
+    data = [(1, 0, 1, "a", 1.0, "{}"), (1, 0, 1, "a", 1.0, "{}"), (2, 100, 1, "a", 2.0, "{}"), (3, 4000, 1, "b", 3.0, "{}"), (4, 9000, 2, "b", 4.0, "{}")]
+    df = spark.createDataFrame(data, "event_id bigint, s int, user_id bigint, event_type string, value double, props string").select(
+        "event_id", F.timestamp_seconds(F.col("s") + 1_700_002_800).cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    assert S.run(S.deduplicated(S.read(spark, str(tmp_path)), "event_id", "1 day"), "t1").count() == 4
+    assert sorted(r["n"] for r in S.run(S.windowed(S.read(spark, str(tmp_path)), "1 hour", "1 day"), "t2", mode="complete").collect()) == [1, 1, 3]
+    got = {r["user_id"]: (r["superseded"], r["seen"]) for r in S.run(S.superseding(S.read(spark, str(tmp_path)), 3600), "t3").collect()}
+    assert got == {1: (2, 4), 2: (0, 1)}
