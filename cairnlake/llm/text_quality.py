@@ -61,6 +61,9 @@ CODE = re.compile(
     r"create table|delete from|fi$|done$|esac$|echo |set -|rm -|mkdir |cd |exit \d|local \w+=|done|assert |lambda|pass$|break$|continue$|self\.|\$ |>>> |yield |await |del |print\(|log\.)|Traceback \(most recent|File \"[^\"]*\", line \d+|\w+(?:Error|Exception)\b|at [\w.$<>]+\(",
     re.I)
 CODE_END = re.compile(r"\b(?:then|do)$|;;$|\$[\w({]|^\*\) |[{};\\]$|\)\s*:$|[({\[]$|^[)\]}]|=>|\w\(\)|\w\([^)]*\)\s*$|->|::|:=|==|!=|\+=|&&|\|\|")
+SIGN, DIGIT = re.compile(r"[^\w\s]|_"), re.compile(r"\d")
+#: Signs that prose has few of.
+ODD_SIGN = re.compile(r"(?![.,!?'\"’“”«»:;()…–—¿¡%-])(?:[^\w\s]|_)")
 SENTENCE_END = re.compile(r"[.!?…。:;][\"'”’»)\]*_]*$")
 SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n+")
 SPAN = re.compile(r"`[^`\n]*`")
@@ -111,8 +114,7 @@ def line_kind(s: str, common: int, words: list[str], doc_share: float) -> str:
         return "table"
     if PAIR.match(bare):
         return "pair"
-    symbols = sum(not (c.isalnum() or c.isspace() or c in ".,!?'\"-’“”«»:;()…–—¿¡%") for c in bare)
-    odd = symbols / max(1, len(bare))
+    odd = len(ODD_SIGN.findall(bare)) / max(1, len(bare))
     if CODE.match(bare) and (CODE_END.search(bare) or share < 0.25 and (odd >= 0.03 or n <= 5)) and not (SENTENCE_END.search(bare) and n >= 4 and odd < 0.03):
         return "code"
     if CODE_END.search(bare) and (share < 0.2 or odd > 0.08) and not re.search(r"[.!?]$", bare):
@@ -206,8 +208,8 @@ def statistics(text: str) -> tuple[str, int, list[float]]:
     raw = text.encode("utf-8", "surrogatepass")
     values = [
         math.log1p(n_words), letters / max(1, n_words) if n_words else 0.0, math.log1p(n_words / max(1, filled)),
-        sum(not (c.isalnum() or c.isspace()) for c in text) / max(1, len(text)), sum(c.isdigit() for c in text) / max(1, len(text)),
-        sum(c.isupper() for c in text) / letters, hits / max(1, n_words), ended / max(1, filled), len(set(lows)) / max(1.0, n_words ** 0.75),
+        len(SIGN.findall(text)) / max(1, len(text)), len(DIGIT.findall(text)) / max(1, len(text)),
+        sum(map(str.isupper, text)) / letters, hits / max(1, n_words), ended / max(1, filled), len(set(lows)) / max(1.0, n_words ** 0.75),
         len(zlib.compress(raw, 1)) / max(1, len(raw)) if len(raw) > 200 else 0.5,
         *(max(0, chars[k]) / d for k in KINDS), junk]
     return lang, n_words, [float(v) for v in values]
