@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from cairnlake.session import durable
 
@@ -72,26 +72,15 @@ def _chunk_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new_fam[0], new_key[0] = fam[0].as_py() != last[0], key[0].as_py() != last[1]
         ids = chunk + np.cumsum(new_fam | (new_key & b.column("cut").to_numpy(zero_copy_only=False)))
         chunk, last = int(ids[-1]), (fam[-1].as_py(), key[-1].as_py())
-        yield pa.RecordBatch.from_arrays(
-            [b.column("snap"), b.column("part"), pa.array(ids, pa.int64()), key, b.column("val"), b.column("h1"), b.column("h2")],
-            names=["snap", "part", "chunk", "key", "val", "h1", "h2"])
-
-
-def chunked_rows(rows: DataFrame, families: DataFrame, mean_rows: int) -> DataFrame:
-    """rows (snap, key, val) with the chunk each is in. Digest terms h1, h2 cover key and value."""
-    keyed = rows.join(families, "snap").select(
-        "snap", "family", "key", "val",
-        (F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(mean_rows)) == 0).alias("cut"),
-        F.xxhash64("key", F.col("val").isNull(), "val").alias("h1"),
-        F.xxhash64(F.lit(1), F.col("val").isNull(), "val", F.lit(2), "key").alias("h2"))
+        yield pa.RecordBatch.from_arrays([b.column("snap"), b.column("part"), pa.array(ids, pa.int64()), key, b.column("val")], names=["snap", "part", "chunk", "key", "val"])
+
+
+def chunked_rows(rows: DataFrame, mean_rows: int) -> DataFrame:
+    """rows (snap, family, key, val) with the chunk each is in."""
     # One border per (key, family): the same for all snapshots of a family.
-    placed = keyed.repartitionByRange("key", "family").withColumn("part", F.spark_partition_id())
-    placed = placed.sortWithinPartitions("family", "key")
-    schema = T.StructType([
-        T.StructField("snap", T.StringType()), T.StructField("part", T.IntegerType()),
-        T.StructField("chunk", T.LongType()), T.StructField("key", T.StringType()),
-        T.StructField("val", T.StringType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
-    return placed.mapInArrow(_chunk_ids, schema)
+    placed = rows.repartitionByRange("key", "family").withColumn("part", F.spark_partition_id()).sortWithinPartitions("family", "key")
+    placed = placed.withColumn("cut", F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(mean_rows)) == 0)
+    return placed.mapInArrow(_chunk_ids, "snap bigint, part int, chunk bigint, key string, val string")
 
 
 def changes(rows: DataFrame, pairs: DataFrame, families: DataFrame | None = None, *, snapshot: str = "snapshot_id", key: str = "path",
@@ -103,26 +92,34 @@ def changes(rows: DataFrame, pairs: DataFrame, families: DataFrame | None = None
     of a pair in different families, or in none, cost speed, never rows.
     """
     pairs = durable(pairs.select("later", "earlier").filter("later is not null and earlier is not null").distinct(), "pairs")
-    used = pairs.select(F.col("later").alias("snap")).union(pairs.select(F.col("earlier").alias("snap"))).distinct()
-    families = used.withColumn("family", F.lit("")) if families is None else used.join(families, "snap", "left").select(
-        "snap", F.coalesce("family", F.lit("")).alias("family"))
-    clean = (rows.select(F.col(snapshot).alias("snap"), F.col(key).alias("key"), F.col(value).alias("val"))
-             .filter("snap is not null and key is not null").groupBy("snap", "key").agg(F.max("val").alias("val")))
-    table = durable(chunked_rows(clean, families, mean_rows), "chunked")
+    used = pairs.select(F.col("later").alias("name")).union(pairs.select(F.col("earlier").alias("name"))).distinct()
+    if families is not None:
+        used = used.join(families.select(F.col("snap").alias("name"), "family"), "name", "left")
+    else:
+        used = used.withColumn("family", F.lit(""))
+    # snapshots and families go by number, rows are many times more than they are
+    used = durable(used.select("name", F.xxhash64("family").alias("family"), F.monotonically_increasing_id().alias("snap")), "used")
+    number = used.select("name", "snap")
+    links = pairs.join(number.select(F.col("name").alias("later"), F.col("snap").alias("l")), "later").join(number.select(F.col("name").alias("earlier"), F.col("snap").alias("e")), "earlier")
+    links = durable(links, "numbered")
+    clean = (rows.select(F.col(snapshot).alias("name"), F.col(key).alias("key"), F.col(value).alias("val")).filter("name is not null and key is not null")
+             .join(used, "name").groupBy("snap", "family", "key").agg(F.max("val").alias("val")))
+    table = durable(chunked_rows(clean, mean_rows), "chunked")
 
     # Digest of a chunk: two sums of 64-bit hashes and the row count, independent of row order.
-    digests = table.groupBy("snap", "part", "chunk").agg(
-        F.sum(F.col("h1").cast("decimal(20,0)")).alias("d1"), F.sum(F.col("h2").cast("decimal(20,0)")).alias("d2"),
-        F.count("*").alias("n"))
-    sides = digests.join(pairs, F.col("snap") == F.col("later")).withColumn("new_side", F.lit(True)).unionByName(
-        digests.join(pairs, F.col("snap") == F.col("earlier")).withColumn("new_side", F.lit(False)))
-    open_chunks = (sides.groupBy("later", "earlier", "d1", "d2", "n")
+    h1 = F.xxhash64("key", F.col("val").isNull(), "val").cast("decimal(20,0)")
+    h2 = F.xxhash64(F.lit(1), F.col("val").isNull(), "val", F.lit(2), "key").cast("decimal(20,0)")
+    digests = table.groupBy("snap", "part", "chunk").agg(F.sum(h1).alias("d1"), F.sum(h2).alias("d2"), F.count("*").alias("n"))
+    ends = links.select("l", "e")
+    sides = digests.join(ends, F.col("snap") == F.col("l")).withColumn("new_side", F.lit(True)).unionByName(
+        digests.join(ends, F.col("snap") == F.col("e")).withColumn("new_side", F.lit(False)))
+    open_chunks = (sides.groupBy("l", "e", "d1", "d2", "n")
                    .agg(F.count("*").alias("seen"), F.first(F.struct("snap", "part", "chunk", "new_side")).alias("c"))
-                   .filter("seen = 1").select("later", "earlier", "c.*"))
-    left = open_chunks.join(table.select("snap", "part", "chunk", "key", "val"), ["snap", "part", "chunk"])
-    new = left.filter("new_side").select("later", "earlier", "key", F.col("val").alias("new"), F.lit(1).alias("in_new"))
-    old = left.filter("not new_side").select("later", "earlier", "key", F.col("val").alias("old"), F.lit(1).alias("in_old"))
-    both = new.join(old, ["later", "earlier", "key"], "full_outer")
+                   .filter("seen = 1").select("l", "e", "c.*"))
+    left = open_chunks.join(table, ["snap", "part", "chunk"])
+    new = left.filter("new_side").select("l", "e", "key", F.col("val").alias("new"), F.lit(1).alias("in_new"))
+    old = left.filter("not new_side").select("l", "e", "key", F.col("val").alias("old"), F.lit(1).alias("in_old"))
+    both = new.join(old, ["l", "e", "key"], "full_outer").join(links, ["l", "e"])
     return both.filter(F.col("in_new").isNull() | F.col("in_old").isNull() | ~F.col("new").eqNullSafe(F.col("old"))).select(
         "later", "earlier", "key",
         F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").otherwise("changed").alias("change"),
