@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnlake.plans import chunk_queries, context_queries, event_queries, fold_queries, index_queries, problem_queries, search_queries, text_queries
+from cairnlake.plans import chunk_queries, context_queries, event_queries, fold_queries, index_queries, problem_queries, relational_queries, search_queries, text_queries
 
-MODULES = (problem_queries, text_queries, index_queries, search_queries, fold_queries, event_queries, chunk_queries, context_queries)
+MODULES = (problem_queries, text_queries, index_queries, search_queries, fold_queries, event_queries, chunk_queries, context_queries, relational_queries)
 FLAGSHIP = search_queries.f3_hybrid_rrf
 
 

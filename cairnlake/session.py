@@ -41,11 +41,25 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables that durable() wrote so far; call it once no result that came from them is needed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives a lost executor and,
     unlike checkpoint(), lets later reads prune columns."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.mode("overwrite").parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

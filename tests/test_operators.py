@@ -358,3 +358,11 @@ def test_streams_repeat_nothing(spark, tmp_path):
     assert sorted(r["n"] for r in S.run(S.windowed(S.read(spark, str(tmp_path)), "1 hour", "1 day"), "t2", mode="complete").collect()) == [1, 1, 3]
     got = {r["user_id"]: (r["superseded"], r["seen"]) for r in S.run(S.superseding(S.read(spark, str(tmp_path)), 3600), "t3").collect()}
     assert got == {1: (2, 4), 2: (0, 1)}
+
+
+def test_durable_tables_can_be_cleared(spark):
+    from cairnlake.session import clear, durable
+
+    clear(spark)
+    d = durable(spark.range(3), "t")
+    assert d.count() == 3 and clear(spark) == 1 and clear(spark) == 0
