@@ -28,4 +28,11 @@ def p2_degrees(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_degrees": p2_degrees}
-SQL: dict[str, str] = {}
+SQL = {
+    "p2_found": """WITH v AS (SELECT DISTINCT embedding_model AS m, content_hash AS h, embedding::DOUBLE[] AS e FROM embedding_cache
+          WHERE (embedding_model = 'hash-v1' AND len(embedding) = 128) OR (embedding_model = 'mini-embed-2' AND len(embedding) = 96)),
+        u AS (SELECT m, h, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE list_inner_product(e, e) > 0),
+        s AS (SELECT a.m, a.h AS a, b.h AS b, list_inner_product(a.e, b.e) / (a.n * b.n) AS c FROM u a JOIN u b ON a.m = b.m AND a.h <> b.h),
+        r AS (SELECT m, a, b FROM s WHERE c >= 0.8 QUALIFY row_number() OVER (PARTITION BY m, a ORDER BY c DESC, b) <= 5)
+        SELECT DISTINCT m AS embedding_model, least(a, b) AS hash_a, greatest(a, b) AS hash_b FROM r""",
+}
