@@ -63,7 +63,7 @@ CODE = re.compile(
 CODE_END = re.compile(r"\b(?:then|do)$|;;$|\$[\w({]|^\*\) |[{};\\]$|\)\s*:$|[({\[]$|^[)\]}]|=>|\w\(\)|\w\([^)]*\)\s*$|->|::|:=|==|!=|\+=|&&|\|\|")
 SIGN, DIGIT = re.compile(r"[^\w\s]|_"), re.compile(r"\d")
 #: Signs that prose has few of.
-ODD_SIGN = re.compile(r"(?![.,!?'\"’“”«»:;()…–—¿¡%-])(?:[^\w\s]|_)")
+ODD_SIGN = re.compile(r"[^\w\s.,!?'\"’“”«»:;()…–—¿¡%-]|_")
 SENTENCE_END = re.compile(r"[.!?…。:;][\"'”’»)\]*_]*$")
 SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n+")
 SPAN = re.compile(r"`[^`\n]*`")
@@ -79,6 +79,11 @@ STATS = ("log_words", "word_length", "words_per_line", "symbol_ratio", "digit_ra
          *(f"{k}_share" for k in KINDS), "junk_share")
 
 
+def ends(s: str) -> bool:
+    """Whether a line ends as a sentence does."""
+    return SENTENCE_END.search(s[-12:]) is not None
+
+
 def natural(words: list[str]) -> bool:
     """Letters as languages use them: vowels in most words, no long runs of consonants, no capitals within."""
     good = 0
@@ -115,9 +120,9 @@ def line_kind(s: str, common: int, words: list[str], doc_share: float) -> str:
     if PAIR.match(bare):
         return "pair"
     odd = len(ODD_SIGN.findall(bare)) / max(1, len(bare))
-    if CODE.match(bare) and (CODE_END.search(bare) or share < 0.25 and (odd >= 0.03 or n <= 5)) and not (SENTENCE_END.search(bare) and n >= 4 and odd < 0.03):
+    if CODE.match(bare) and (CODE_END.search(bare) or share < 0.25 and (odd >= 0.03 or n <= 5)) and not (ends(bare) and n >= 4 and odd < 0.03):
         return "code"
-    if CODE_END.search(bare) and (share < 0.2 or odd > 0.08) and not re.search(r"[.!?]$", bare):
+    if CODE_END.search(bare) and (share < 0.2 or odd > 0.08) and bare[-1:] not in ".!?":
         return "code"
     if bare.count(",") >= 5 and n < 2.6 * bare.count(",") and share < 0.2:
         return "list"
@@ -125,9 +130,9 @@ def line_kind(s: str, common: int, words: list[str], doc_share: float) -> str:
         return "random"
     if odd > 0.15:
         return "code"
-    if n <= 4 and not SENTENCE_END.search(s):
+    if n <= 4 and not ends(s):
         return "short"
-    if n >= 8 and share < 0.06 and doc_share < 0.1 and not SENTENCE_END.search(s):
+    if n >= 8 and share < 0.06 and doc_share < 0.1 and not ends(s):
         return "list"
     return "prose"
 
@@ -135,9 +140,10 @@ def line_kind(s: str, common: int, words: list[str], doc_share: float) -> str:
 def statistics(text: str) -> tuple[str, int, list[float]]:
     """(language, words, values of STATS)."""
     lines = [QUOTE.sub("", x.strip(), count=1).strip() if x.lstrip().startswith(">") else x.strip() for x in text.replace("\r\n", "\n").split("\n")]
-    words = WORD.findall(text)
-    n_words = len(words)
-    lows = [w.lower() for w in words]
+    by_line = [WORD.findall(x) for x in lines]
+    low_line = [[w.lower() for w in ws] for ws in by_line]
+    lows = [w for ws in low_line for w in ws]
+    n_words = len(lows)
     votes: Counter = Counter()
     for w, c in Counter(lows).items():
         for lang in _WORD_LANGS.get(w, ()):
@@ -150,15 +156,13 @@ def statistics(text: str) -> tuple[str, int, list[float]]:
     chars = dict.fromkeys((*KINDS, "heading", "short", "prose"), 0)
     ended = filled = 0
     kinds: list[str] = []
-    for s in lines:
+    for s, w, lw in zip(lines, by_line, low_line):
         if not s:
             kinds.append("")
             continue
         filled += 1
-        w = WORD.findall(s)
-        k = line_kind(s, sum(x.lower() in known for x in w), w, hits / max(1, n_words))
-        ended += bool(SENTENCE_END.search(s))
-        kinds.append(k)
+        kinds.append(line_kind(s, sum(map(known.__contains__, lw)), w, hits / max(1, n_words)))
+        ended += ends(s)
     # prose behind the marker of a comment block: sentences run on from line to line
     i = 0
     while i < len(kinds):
@@ -167,7 +171,7 @@ def statistics(text: str) -> tuple[str, int, list[float]]:
             j += 1
         if j - i >= 2:
             body = [x[1:].strip() for x in lines[i:j]]
-            runs_on = sum(not SENTENCE_END.search(a) and b[:1].islower() for a, b in zip(body, body[1:]))
+            runs_on = sum(not ends(a) and b[:1].islower() for a, b in zip(body, body[1:]))
             w = WORD.findall(" ".join(body))
             if runs_on >= 0.4 * (j - i - 1) and not any(ENTRY.search(x) for x in lines[i:j]) and sum(x.lower() in known for x in w) >= 0.2 * len(w) and len(w) >= 4 * (j - i):
                 kinds[i:j] = ["prose"] * (j - i)
@@ -180,7 +184,7 @@ def statistics(text: str) -> tuple[str, int, list[float]]:
             kinds[i] = "prose" if before == "prose" or before == "heading" or after == "prose" else "nav"
     structure = sum(k in ("code", "pair", "log") for k in kinds)
     if structure >= 0.5 * filled:  # comments and words alone on a line within code
-        kinds = ["code" if k in ("heading", "nav") or k == "prose" and len(x.split()) <= 6 and not SENTENCE_END.search(x) else k for k, x in zip(kinds, lines)]
+        kinds = ["code" if k in ("heading", "nav") or k == "prose" and len(x.split()) <= 6 and not ends(x) else k for k, x in zip(kinds, lines)]
     for i, k in enumerate(kinds):
         if k in ("heading", "nav") and 0 < i < len(kinds) - 1:
             around = [x for x in (kinds[i - 1], kinds[i + 1]) if x]
@@ -203,7 +207,7 @@ def statistics(text: str) -> tuple[str, int, list[float]]:
             chars["repeat"] += len(p)
             chars[k] -= len(p)
     d = max(1, total)
-    letters = max(1, sum(map(len, words)))
+    letters = max(1, sum(map(len, lows)))
     junk = min(1.0, sum(chars[k] for k in KINDS) / d)
     raw = text.encode("utf-8", "surrogatepass")
     values = [
