@@ -14,7 +14,7 @@ SECRETS = {
     "github_token": r"\bgh[pousr]_[A-Za-z0-9]{20,}\b",
 }
 #: name, quote and value of a secret-looking assignment; values under 16 characters are placeholders
-NAMED_SECRET = r"""(?i)([A-Za-z0-9_]*(?:passw(?:or)?d|secret|token|api_?key)[A-Za-z0-9_]*["']?\s*[:=]\s*)(["'])([^"'\s\[]{16,})(["'])"""
+NAMED_SECRET = r"""(?i)\b([A-Za-z0-9_]*(?:passw(?:or)?d|secret|token|api_?key)[A-Za-z0-9_]*["']?\s*[:=]\s*)(["'])([^"'\s\[]{16,})(["'])"""
 
 
 def estimate_tokens(s: Column) -> Column:

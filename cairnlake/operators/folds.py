@@ -6,6 +6,9 @@ job holds. Ties are broken by the last sort key, which callers make unique.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cairnlake.functions import fixed_values as V
@@ -92,44 +95,57 @@ def capped(rows: DataFrame, outer: list[str], inner: list[str], order: list[Colu
     return few.withColumn("n", F.row_number().over(W.partitionBy(*outer).orderBy(*order))).filter(F.col("n") <= per_outer)
 
 
+def _fold(schema: str, keys: list[str], fold) -> Callable:
+    """Batches of (keys..., arrays) -> rows (keys..., values of fold(arrays))."""
+    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [b.column(i).to_pylist() for i in range(len(keys), b.num_columns)]
+            at, out = [], []
+            for i, arrays in enumerate(zip(*lists)):
+                for values in fold(*arrays):
+                    at.append(i)
+                    out.append(values)
+            cols = list(zip(*out)) if out else [()] * (len(names) - len(keys))
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(keys))), *(pa.array(c, pa.string()) for c in cols)], names=names)
+    return run
+
+
+def _schema(rows: DataFrame, keys: list[str], *values: str) -> str:
+    return ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys] + [f"{v} string" for v in values])
+
+
 def deduplicate(findings: DataFrame, keys: list[str], near: int = V.ADJACENT_LINES, similar: float = V.SIMILARITY) -> DataFrame:
     """(keys, item, kept_by) for findings (keys, item, category, first, last, score, words): by falling score each is a duplicate of
     the first kept one that lies within `near` lines and has its category or enough of its words; kept_by is null for the kept.
     keys must hold the file, as only findings of one file are compared."""
-    def run(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["score", "item"], ascending=[False, True])
+    def fold(items):
         kept: list = []
-        by = []
-        for r in pdf.itertuples(index=False):
-            words = set(r.words if r.words is not None else ())
-            same = None
-            for k, kw in kept:
-                if r.first <= k.last + near and k.first <= r.last + near and (r.category == k.category or words and kw and len(words & kw) >= similar * len(words | kw)):
-                    same = k.item
-                    break
-            if same is None:
+        for r in sorted(items, key=lambda r: (-r["score"], r["item"])):
+            words = set(r["words"] or ())
+            by = next((k["item"] for k, kw in kept if r["first"] <= k["last"] + near and k["first"] <= r["last"] + near and (
+                r["category"] == k["category"] or words and kw and len(words & kw) >= similar * len(words | kw))), None)
+            if by is None:
                 kept.append((r, words))
-            by.append(same)
-        return pd.DataFrame({**{c: pdf[c] for c in keys}, "item": pdf["item"], "kept_by": by})
-    schema = ", ".join(f"`{c}` {findings.schema[c].dataType.simpleString()}" for c in keys) + ", item string, kept_by string"
-    return findings.groupBy(*keys).applyInPandas(run, schema)
+            yield r["item"], by
+    schema = _schema(findings, keys, "item", "kept_by")
+    g = findings.groupBy(*keys).agg(F.collect_list(F.struct(F.col("item").cast("string").alias("item"), "category", "first", "last", "score", "words")).alias("items"))
+    return g.mapInArrow(_fold(schema, keys, fold), schema)
 
 
 def match_in_order(expected: DataFrame, found: DataFrame, keys: list[str], tolerance: int = V.LINE_TOLERANCE) -> DataFrame:
     """(keys, item, matched) for expected (keys, item, first, last): in order of item each takes the first found (keys, item, first,
     last) that lies within the tolerance and is still free. keys hold the case and the file."""
-    def run(key, want, have):
-        import pandas as pd
-
-        free = list(have.sort_values("item").itertuples(index=False))
-        rows = []
-        for w in want.sort_values("item").itertuples(index=False):
-            hit = next((f for f in free if f.first <= w.last + tolerance and f.last >= w.first - tolerance), None)
+    def fold(want, have):
+        free = sorted(have or (), key=lambda r: r["item"])
+        for w in sorted(want, key=lambda r: r["item"]):
+            hit = next((f for f in free if f["first"] <= w["last"] + tolerance and f["last"] >= w["first"] - tolerance), None)
             if hit is not None:
                 free.remove(hit)
-            rows.append((*key, w.item, None if hit is None else hit.item))
-        return pd.DataFrame(rows, columns=[*keys, "item", "matched"])
-    schema = ", ".join(f"`{c}` {expected.schema[c].dataType.simpleString()}" for c in keys) + ", item string, matched string"
-    return expected.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInPandas(run, schema)
+            yield w["item"], None if hit is None else hit["item"]
+    schema = _schema(expected, keys, "item", "matched")
+    row = F.struct(F.col("item").cast("string").alias("item"), "first", "last")
+    g = expected.groupBy(*keys).agg(F.collect_list(row).alias("want")).join(found.groupBy(*keys).agg(F.collect_list(row).alias("have")), keys, "left")
+    return g.select(*keys, "want", "have").mapInArrow(_fold(schema, keys, fold), schema)
