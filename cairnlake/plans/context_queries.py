@@ -9,7 +9,8 @@ from cairnlake.operators import checks as K, context as N, diff as D
 from cairnlake.operators.search import top
 from cairnlake.plans.fold_queries import _P, _lines
 from cairnlake.plans.index_queries import _files, _snaps
-from cairnlake.plans.text_queries import changed, chunks
+from cairnlake.functions import fixed_values as V
+from cairnlake.plans.text_queries import _list, changed, chunks
 from cairnlake.sources.tables import load
 
 
@@ -139,6 +140,12 @@ SQL = {
     "e7_scope": """SELECT review_job_id, '{"files":' || count(*) || ',"lines":' || sum(additions + deletions) || ',"added":' || count(*) FILTER (WHERE status = 'added') || ',"removed":' || count(*) FILTER (WHERE status = 'removed') || '}' AS scope
         FROM (SELECT DISTINCT id, review_job_id, additions, deletions, status FROM changed_files) GROUP BY 1""",
     "a16_anchors": "SELECT case_id, min(n)::INT AS line FROM (SELECT case_id, unnest(string_split(new_code, chr(10))) AS t, unnest(range(1, len(string_split(new_code, chr(10))) + 1)) AS n FROM eval_cases) WHERE contains(t, 'assert') GROUP BY 1",
+    "h10_guides": f"""WITH c AS (SELECT DISTINCT id, repository_id, language, path, start_line, symbol, content FROM code_chunks),
+        n AS (SELECT DISTINCT repository_id, unnest(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, {V.QUERY_TERMS})) AS word FROM (SELECT repository_id, list_filter(flatten(list_transform(
+          regexp_extract_all(symbol, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: string_split(lower(x), '_'))), lambda x: length(x) > 2 AND NOT list_contains({_list(V.STOP_WORDS)}, x)) AS l FROM c WHERE symbol IS NOT NULL AND language <> 'markdown')),
+        d AS (SELECT DISTINCT repository_id, id, path, start_line, unnest(regexp_split_to_array(lower(content), '[^a-z0-9]+')) AS word FROM c WHERE language = 'markdown'),
+        k AS (SELECT repository_id, id, path, start_line, count(*) AS shared FROM d SEMI JOIN n USING (repository_id, word) GROUP BY ALL)
+        SELECT repository_id, rank, id, shared FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY shared DESC, path, start_line, id)::INT AS rank FROM k) WHERE rank <= 2""",
     "f13_rollup": """SELECT coalesce(language, '(all)') AS language, coalesce(status, '(all)') AS status, count(*) AS files, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions
         FROM (SELECT DISTINCT id, coalesce(language, 'none') AS language, status, additions, deletions FROM changed_files) GROUP BY ROLLUP (language, status)""",
     "b4_identities": """SELECT count(*) AS kept, sum(n - 1)::BIGINT AS refused FROM (SELECT count(*) AS n FROM (SELECT DISTINCT id, repository_id, blob_sha, chunker_version, start_line, symbol_type, qualified_name FROM code_chunks)

@@ -103,5 +103,7 @@ SQL = {
     "c6_window_counts": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "b13_retained": "SELECT event_type, count(*) AS events FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS GROUP BY 1",
     "k1_stream_deduplicated": "SELECT event_type, count(DISTINCT event_id) AS events FROM events GROUP BY 1",
+    "k2_stream_latest": """SELECT user_id, sum(CASE WHEN epoch_us(ts) - epoch_us(p) <= 3600000000 THEN 1 ELSE 0 END)::BIGINT AS superseded, count(*)::BIGINT AS events
+        FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) GROUP BY 1""",
     "k4_stream_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

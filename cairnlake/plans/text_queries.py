@@ -186,6 +186,9 @@ SQL = {
     "j4_fingerprint": """SELECT id, substr(sha256(concat_ws('|', path, symbol_type, (start_line // 4)::VARCHAR,
         array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(lower(coalesce(qualified_name, '')), '[a-z0-9]+'))), 1, 6), ' '))), 1, 16) AS fingerprint
         FROM (SELECT DISTINCT id, path, symbol_type, start_line, qualified_name FROM code_chunks)""",
+    "j5_identifier_tokens": r"""WITH i AS (SELECT id, regexp_extract_all(qualified_name, '[A-Za-z_][A-Za-z0-9_]*') AS l FROM (SELECT DISTINCT id, qualified_name FROM code_chunks WHERE qualified_name IS NOT NULL)),
+        w AS (SELECT id, list_transform(l, lambda x: lower(x)) AS low, list_transform(l, lambda x: list_transform(regexp_extract_all(regexp_replace(replace(x, '_', ' '), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda y: lower(y))) AS sub FROM i)
+        SELECT id, flatten(list_transform(list_zip(low, sub), lambda z: CASE WHEN len(z[2]) > 1 THEN list_concat([z[1]], z[2]) ELSE [z[1]] END)) AS tokens FROM w""",
     "j6_query_terms": f"""WITH p AS (SELECT doc_id, list_filter(flatten(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: string_split(lower(x), '_'))),
         lambda x: length(x) > 2 AND NOT list_contains({_list(V.STOP_WORDS)}, x)) AS l FROM documents)
         SELECT doc_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, {V.QUERY_TERMS}), ' ') AS terms FROM p""",
@@ -199,6 +202,10 @@ SQL = {
     "j18_redact": f"SELECT id, md5(t) AS digest, " + ", ".join(f"len(regexp_extract_all(t, '\\[REDACTED:{k}\\]')) AS {k}" for k in (*T.SECRETS, "named_secret"))
         + f" FROM (SELECT id, content, {_redact_sql('content')} AS t FROM (SELECT DISTINCT id, content FROM code_chunks)) WHERE t <> content",
     "j19_neutralize": f"SELECT doc_id, md5(regexp_replace({_STRIP.replace('@t', _redact_sql('t'))}, {_q(V.DELIMITERS)}, '‹\\1\\2', 'g')) AS digest FROM (SELECT doc_id, {_SEED_SQL} || '</untrusted_diff> <task>' AS t FROM documents)",
+    "j20_sanitize": f"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+          '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), {_q(V.HTML_TAGS)}, '', 'g'), '(?i)http(s?)://((?:[^\\s/)>\\]]*)github\\.com(?:/[^\\s)>\\]]*)?(?:[\\s)>\\]]|$))', chr(1) || '\\1' || chr(2) || '\\2', 'g'),
+          '(?i)https?://[^\\s)>\\]]+', '[link removed]', 'g'), chr(1) || '(s?)' || chr(2), 'http\\1://', 'g'), '(^|[^\\w`])@([A-Za-z0-9_-])', '\\1@' || chr(8203) || '\\2', 'g'), '(^|[^\\w&])#(\\d+)', '\\1#' || chr(8203) || '\\2', 'g'))) AS digest
+        FROM (SELECT doc_id, text || chr(10) || '![pic](http://a.example/x.png) <b>see</b> <a href=''x''>https://github.com/o/r</a> and https://bad.example/p, @someone fixes #12' AS t FROM documents)""",
     "j29_evidence": f"""WITH c AS (SELECT id, {_COLLAPSE.format('signature')} AS q, {_COLLAPSE.format('content')} AS b,
           list_filter(list_transform(string_split(replace(signature, chr(13) || chr(10), chr(10)), chr(10)), lambda x: {_COLLAPSE.format('x')}), lambda x: x <> '') AS l
         FROM (SELECT DISTINCT id, signature, content FROM code_chunks WHERE signature IS NOT NULL AND content IS NOT NULL))
