@@ -182,7 +182,7 @@ doc <- block &(DOC / EOF)
 block <- map / seq / plain
 plain <~ props? scalar NL
 map <- entry+
-entry <- key val
+entry <- key val / flow FKEY val / QKEY item (QVAL item)?
 key <~ props? KEY
 val <- props? (scalar NL / BLOCKSCALAR NL / NL (INDENT block DEDENT / &DASH seq)?)
 seq <- (DASH item)+
@@ -280,8 +280,8 @@ class _YamlLexer:
             col += skip
             rest = line[col:]
             c = rest[0]
-            if keys and (rest == "-" or rest[:2] in ("- ", "-\t")):
-                self.put("DASH", base + col)
+            if keys and c in "-?:" and rest[1:2] in ("", " ", "\t"):
+                self.put({"-": "DASH", "?": "QKEY", ":": "QVAL"}[c], base + col)
                 after = rest[1:]
                 inner = col + 1 + len(after) - len(after.lstrip(" "))
                 nxt = line[inner:]
@@ -347,8 +347,11 @@ class _YamlLexer:
                     return len(self.lines)
                 i, col = got
                 line, base = self.lines[i].rstrip("\r"), self.starts[i]
-                if line[col:].lstrip()[:1] == ":" and line[col:].lstrip()[1:2] in ("", " "):
-                    self.put("BAD", base + col)
+                after = line[col:].lstrip()
+                if after[:1] == ":" and after[1:2] in ("", " "):  # a collection as a key
+                    self.put("FKEY" if keys else "BAD", base + col)
+                    col += len(line[col:]) - len(after) + 1
+                keys = False
                 continue
             if c in "@`%" or c in "-?:" and rest[1:2] in ("", " ", "\t") or c in ",]}":
                 self.put("BAD", base + col)
@@ -395,8 +398,6 @@ class _YamlLexer:
         if c == "*":
             m = re.match(r"\*[^\s,\[\]{}]+[ \t]+:(?=[ \t]|$)", rest)
             return m.end() if m else None
-        if c == "?" and rest[1:2] in ("", " "):
-            return 1
         m = _Y_PLAIN_KEY.match(rest)
         if not m:
             return None

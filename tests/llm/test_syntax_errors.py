@@ -73,7 +73,7 @@ def test_data_languages_against_the_standard_library():
 
 
 @pytest.mark.parametrize("text, good", [
-    ("a: 1\nb:\n  - x\n  - y: 2\n    z: 3\nc: [1, {a: b}]\n", 1), ("- - a\n  - b\n", 1), ("a: |\n  x: y\nb: >-\n  z\n", 1), ("a: &b 1\nc: *b\n<<: *b\n", 1), ("---\na: 1\n---\nb\n", 1), ("a: x\n  y\n", 1), ("a: [\n  1,\n]\n", 1), ("list:\n- a\n", 1),
+    ("a: 1\nb:\n  - x\n  - y: 2\n    z: 3\nc: [1, {a: b}]\n", 1), ("- - a\n  - b\n", 1), ("a: |\n  x: y\nb: >-\n  z\n", 1), ("a: &b 1\nc: *b\n<<: *b\n", 1), ("---\na: 1\n---\nb\n", 1), ("a: x\n  y\n", 1), ("a: [\n  1,\n]\n", 1), ("list:\n- a\n", 1), ("? a\n: b\n? - c\n  - d\n: e: f\n", 1), (": a\n", 0), ("{a: b}: c\n[1]: 2\n", 1), ("a: {b: c}: d\n", 0), ("?\n  a: b\n:\n  c\n", 1),
     ("a: b: c\n", 0), ("a: 'x\n", 0), ("a: [1, 2\n", 0), ("a: 1\n\tb: 2\n", 0), ("a:\n  b\n c: d\n", 0), ("a: 1\n<<<<<<< HEAD\nb: 2\n", 0), ("a: b\n- c\n", 0), ("a: @x\n", 0)])
 def test_yaml(text, good):
     assert (check_yaml(text) is None) is bool(good)
