@@ -23,11 +23,11 @@ _REGEX = r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*"
 # what may stand before a regular expression is lexed together with it
 JS_TOKEN = re.compile(
     r"(?:[ \t\r\f\v\ufeff\xa0]*(?://[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)?[ \t\r]*\n)+|[ \t\r\f\v\ufeff\xa0]+|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|^#![^\n]*"
-    r"|(?:=>|[-+*%&|^=<>!~?:(,\[{};]|\b(?:return|typeof|case|in|of|delete|void|throw|new|await|yield|else|do)\b)[ \t]*" + _REGEX
+    r"|(?:(?:=>|&&|\|\||\?\?|[!=]==?|[-+*%&|^=<>!~?:(,\[{};])\s*|\b(?:return|typeof|case|in|of|delete|void|throw|new|await|yield|else|do)\b[ \t]*)" + _REGEX
     + r"|" + _TEMPLATE + r"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'|\"(?:[^\"\\\n]|\\(?:\r\n|[\s\S]))*\""
     r"|#?[^\W\d][\w$]*|#?\$[\w$]*|(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?n?)(?![\w$])|"
     + _ops(JS_OPERATORS) + r"|[\s\S]")
-_JS_HEAD = re.compile(r"(=>|[^\w\s]|\w+)[ \t]*(/[\s\S]*)")
+_JS_HEAD = re.compile(r"([^\w\s/]+|\w+)\s*(/[\s\S]*)")
 
 JS = Parser("""
 file <- _ (item _)* EOF
@@ -93,6 +93,8 @@ class _JsKinds(dict):
         c, L = tok[0], JS_LEX
         if tok in JS_WORDS or tok in _JS_OPS:
             k = L[tok] if tok != "#" else L["BAD"]
+        elif c not in "/`'\"" and (m := _JS_HEAD.fullmatch(tok)) and (m[1] in JS_WORDS or m[1] in _JS_OPS):
+            k = L[m[1]] + L["REGEX"]
         elif "\n" in tok and c not in "`'\"/" or c == "/" and "\n" in tok:
             k = "\n"
         elif tok.isspace() or tok[:2] in ("//", "/*", "#!") or c == "\ufeff":
@@ -101,8 +103,6 @@ class _JsKinds(dict):
             k = L["TEMPLATE"] if len(tok) > 1 else L["BAD"]
         elif c in "'\"":
             k = L["STR"] if len(tok) > 1 else L["BAD"]
-        elif (m := _JS_HEAD.fullmatch(tok)) and m[2] and (m[1] in JS_WORDS or m[1] in _JS_OPS):
-            k = L[m[1]] + L["REGEX"]
         elif c == "#" and len(tok) > 1:
             k = L["PRIVATE"]
         elif c.isdigit() or c == "." and len(tok) > 1:
@@ -183,7 +183,7 @@ simple <- exprs ([++ --] / '<-' expr / ASSIGN exprs)?
 xsimple <- xexprs ([++ --] / '<-' xexpr / ASSIGN xexprs)?
 if <- 'if' (xsimple? semi)? xexpr block ('else' (if / block))?
 for <- 'for' ((xexprs (':=' / '='))? 'range' xexpr / xsimple? ';' xexpr? ';' xsimple? / xexpr)? block
-switch <- 'switch' (xsimple? semi)? ((NAME ':=')? xprimary '.' '(' 'type' ')' / xsimple)? '{' semi* (('case' (type / expr) (',' (type / expr))* / 'case' exprs / 'default') ':' stmts)* '}'
+switch <- 'switch' (xsimple? semi)? ((NAME ':=')? xprimary '.' '(' 'type' ')' / xsimple)? '{' semi* (('case' exprs &':' / 'case' (type / expr) (',' (type / expr))* / 'default') ':' stmts)* '}'
 select <- 'select' '{' semi* (('case' simple / 'default') ':' stmts)* '}'
 exprs <- expr (',' expr)*
 xexprs <- xexpr (',' xexpr)*
@@ -254,7 +254,7 @@ _SUB = r"\$\((?:[^()\"'\\#]|#|\\[\s\S]|\"(?:[^\"\\]|\\[\s\S])*\"|'[^']*'|\((?:[^
 _BRACE = r"\$\{(?:[^{}\"'\\]|\\[\s\S]|\"(?:[^\"\\]|\\[\s\S])*\"|'[^']*'|\$?\{(?:[^{}]|\{[^{}]*\})*\})*\}"
 _DOUBLE = r"\"(?:[^\"\\$`]|\\[\s\S]|" + _SUB + "|" + _BRACE + r"|`(?:[^`\\]|\\[\s\S])*`|\$(?![({])|)*\""
 SH_TOKEN = re.compile(
-    r"(?:[ \t\r]*\n)+|[ \t\r]+|\\\r?\n|(?<![^\s;&|()])#[^\n]*|\(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\)|[A-Za-z_]\w*(?:\[[^\]\n]*\])?\+?=\("
+    r"(?:[ \t\r]*\n)+|[ \t\r]+|\\\r?\n|(?<![^\s;&|()])#[^\n]*|(?:\d+|\{\w+\})(?:<<<|<<-|<<|>>|>\||<&|>&|<>|>|<)|\(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\)|[A-Za-z_]\w*(?:\[[^\]\n]*\])?\+?=\("
     r"|(?:\$'(?:[^'\\]|\\[\s\S])*'|'[^']*'|\$?" + _DOUBLE.replace("|)*", ")*") + "|" + _SUB + "|" + _BRACE + r"|`(?:[^`\\]|\\[\s\S])*`|\\[^\n]|\$(?![({])|[^\s'\"`$\;&|()<>])+|"
     + _ops(SH_OPERATORS) + r"|[\s\S]")
 SH = Parser("""
@@ -269,7 +269,7 @@ compound <~ if / for / while / case / group / sub / arith / test / select
 group <- '{' _ list '}'
 sub <- '(' _ list ')'
 arith <~ ARITH
-test <- '[[' _ (tword / '(' / ')' / '<' / '>' / '&&' / '||' / NL)+ ']]'
+test <- '[[' _ (tword / TESTOPS / NL)+ ']]'
 tword <~ [WORD ! { } if then elif else fi for in do done while until case esac function select time]
 if <- 'if' _ list 'then' _ list ('elif' _ list 'then' _ list)* ('else' _ list)? 'fi'
 for <- 'for' (ARITH / word (_ 'in' word*)?) (sep / _) ('do' _ list 'done' / group)
@@ -283,12 +283,15 @@ plain <~ WORD
 simple <- (assign / redir)* plain (word / redir / assign)* / (assign / redir)+
 assign <- AOPEN _ (word _)* ')'
 word <~ [WORD if then elif else fi for in do done while until case esac function select time ! { } [[ ]]] / ARITH
-redir <- REDIR (word / '(' _ list ')') / ['<' <] '(' _ list ')'
+redir <- REDIR (word / ['<' <] '(' _ list ')' / '(' _ list ')') / ['<' <] '(' _ list ')'
 """.replace("['&&' &&]", "[&& ||]").replace("['|' |]", "[| |&]").replace("['<' <]", "[< >]").replace("REDIR", "[<< <<- <<< < > >> >| <& >& &> &>> <>]")
-    .replace("time ! { } [[ ]]] / ARITH", "time ! { } DOPEN DCLOSE] / ARITH").replace("'[['", "DOPEN").replace("']]'", "DCLOSE"), SH_LEX)
+    .replace("time ! { } [[ ]]] / ARITH", "time ! { } DOPEN DCLOSE] / ARITH").replace("TESTOPS", "[( ) < > && || | & ; <& >& >> <<]").replace("'[['", "DOPEN").replace("']]'", "DCLOSE"), SH_LEX)
 _SH_OPS = frozenset(SH_OPERATORS.split())
 
 
+_FD = re.compile(r"(?:\d+|\{\w+\})([<>][<>&|-]*)")
+
+
 class _ShKinds(dict):
     def __missing__(self, tok: str) -> str:
         if len(self) > 500_000:
@@ -302,6 +305,8 @@ class _ShKinds(dict):
             k = "\n"
         elif tok.isspace() or c == "#" or tok in ("\\\n", "\\\r\n"):
             k = ""
+        elif (m := _FD.fullmatch(tok)):
+            k = L[m[1]]  # the number of the file does not matter
         elif tok.startswith("((") and tok.endswith("))"):
             k = L["ARITH"]
         elif tok.endswith("=(") and len(tok) > 2 and (c.isalpha() or c == "_"):

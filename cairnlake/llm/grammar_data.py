@@ -179,8 +179,8 @@ YAML = Parser("""
 file <- (mark / doc)* EOF
 mark <~ DOC NL?
 doc <- block &(DOC / EOF)
-block <- map / seq / plain
-plain <~ props? scalar NL
+block <- (props NL)? (map / seq / plain)
+plain <~ props? (scalar NL / BLOCKSCALAR NL)
 map <- entry+
 entry <- key val / flow FKEY val / QKEY item (QVAL item)?
 key <~ props? KEY
@@ -196,9 +196,8 @@ fkey <~ props? (SCALAR / QUOTED / ALIAS / flow)
 fitem <- fkey fnl (':' fnl fitem?)? / PROP
 """, YAML_LEX)
 
-_Y_DQ = re.compile(r'"(?:[^"\\]|\\[\s\S])*"')
+_Y_DQ = re.compile(r'"(?:[^"\\]|\\(?:[0abtnvfre "/\\N_LP\t\n]|\r\n|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))*"')
 _Y_SQ = re.compile(r"'(?:[^']|'')*'")
-_Y_ESC = re.compile(r"\\(?![0abtnvfre \"/\\N_LP\t\n]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})")
 _Y_PROP = re.compile(r"[&!][^\s,\[\]{}]*")
 _Y_ALIAS = re.compile(r"\*[^\s,\[\]{}:]+")
 _Y_HEAD = re.compile(r"[|>](?:[+-]?[1-9]?|[1-9][+-])[ \t]*(?:#.*)?$")
@@ -273,7 +272,7 @@ class _YamlLexer:
         base = self.starts[i]
         while True:
             rest = line[col:]
-            if not rest.strip() or rest.lstrip()[0] == "#" and (col == 0 or line[col - 1] in " \t"):
+            if not rest.strip() or rest.lstrip()[0] == "#" and (col == 0 or line[col - 1] in " \t" or rest[0] in " \t"):
                 self.put("NL", base + col)
                 return i + 1
             skip = len(rest) - len(rest.lstrip(" \t"))
@@ -323,7 +322,7 @@ class _YamlLexer:
             if c in "\"'":
                 text = "\n".join(self.lines[i:i + 2000])[col:]
                 m = (_Y_DQ if c == '"' else _Y_SQ).match(text)
-                if not m or c == '"' and _Y_ESC.search(m[0]):
+                if not m:
                     self.put("BAD", base + col)
                     return i + 1
                 used = m[0].count("\n")

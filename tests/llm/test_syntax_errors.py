@@ -73,7 +73,7 @@ def test_data_languages_against_the_standard_library():
 
 
 @pytest.mark.parametrize("text, good", [
-    ("a: 1\nb:\n  - x\n  - y: 2\n    z: 3\nc: [1, {a: b}]\n", 1), ("- - a\n  - b\n", 1), ("a: |\n  x: y\nb: >-\n  z\n", 1), ("a: &b 1\nc: *b\n<<: *b\n", 1), ("---\na: 1\n---\nb\n", 1), ("a: x\n  y\n", 1), ("a: [\n  1,\n]\n", 1), ("list:\n- a\n", 1), ("? a\n: b\n? - c\n  - d\n: e: f\n", 1), (": a\n", 0), ("{a: b}: c\n[1]: 2\n", 1), ("a: {b: c}: d\n", 0), ("?\n  a: b\n:\n  c\n", 1),
+    ("a: 1\nb:\n  - x\n  - y: 2\n    z: 3\nc: [1, {a: b}]\n", 1), ("- - a\n  - b\n", 1), ("a: |\n  x: y\nb: >-\n  z\n", 1), ("a: &b 1\nc: *b\n<<: *b\n", 1), ("---\na: 1\n---\nb\n", 1), ("a: x\n  y\n", 1), ("a: [\n  1,\n]\n", 1), ("list:\n- a\n", 1), ("a: # c\n- b\nd: *e # f\n", 1), ("--- |\n  x\n", 1), ("a:\n  &b\n  c: d\n", 1), ('a: "b\\\\d"\n', 1), ('a: "\\d"\n', 0), ("? a\n: b\n? - c\n  - d\n: e: f\n", 1), (": a\n", 0), ("{a: b}: c\n[1]: 2\n", 1), ("a: {b: c}: d\n", 0), ("?\n  a: b\n:\n  c\n", 1),
     ("a: b: c\n", 0), ("a: 'x\n", 0), ("a: [1, 2\n", 0), ("a: 1\n\tb: 2\n", 0), ("a:\n  b\n c: d\n", 0), ("a: 1\n<<<<<<< HEAD\nb: 2\n", 0), ("a: b\n- c\n", 0), ("a: @x\n", 0)])
 def test_yaml(text, good):
     assert (check_yaml(text) is None) is bool(good)
@@ -86,6 +86,7 @@ CODE = [
     (check_go, "package a\nfunc f() {\n\tif x {\n\t}\n\telse {\n\t}\n}\n", 0), (check_go, "package a\nfunc (t *T) F(a, b int) (x int, err error) {\n\tfor i := range m {\n\t\tx++\n\t}\n\treturn a[1:], nil\n}\n", 1), (check_go, "func f() {}\n", 0),
     (check_go, "package a\nfunc f() {\n", 0), (check_go, "package a\nvar m = map[string][]T{\"a\": {{A: 1}}}\ntype I interface {\n\tM(int) error\n}\n", 1), (check_go, "package a\nx := 1\n", 0), (check_go, "package a\nfunc f() { x := }\n", 0),
     (check_shell, "if [ -f x ]; then echo a; else b; fi\nfor f in a b; do x; done\ncase $x in a|b) c ;; *) d ;; esac\n", 1), (check_shell, "f() {\n  a=$(cat \"$b\") <<EOF\nif (\nEOF\n}\n", 1), (check_shell, "if a; then b\n", 0), (check_shell, "echo 'abc\n", 0),
+    (check_shell, "(a) 2>/dev/null\nexit 2\nwhile read x; do y; done < <(z)\n[[ $a =~ ^(b|c)$ ]] && d {fd}>&1\n", 1), (check_javascript, "x = a &&\n  /b/.test(c) || d / e / f\n", 1), (check_go, "package a\nfunc f() {\n\tswitch {\n\tcase a.b != \"\", c(d):\n\t\te()\n\t}\n}\n", 1),
     (check_shell, "done\n", 0), (check_shell, "}\n", 0), (check_shell, "echo \"a $(b)\" >> c 2>&1 && d\n", 1), (check_shell, "for x in a; do done\n", 0)]
 
 
