@@ -54,13 +54,16 @@ def check_json(text: str) -> int | None:
 # TOML ------------------------------------------------------------------------------------------------
 
 TOML_LEX = Lexicon()
-_ESC = r"\\(?:[btnfre\"\\]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})"
+_ESC = r"\\(?:[btnfr\"\\]|u(?![dD][89a-fA-F])[0-9a-fA-F]{4}|U00(?:10|0(?!0[dD][89a-fA-F])[0-9a-fA-F])[0-9a-fA-F]{4})"
+_INTS = r"0x[0-9a-fA-F](?:_?[0-9a-fA-F])*|0o[0-7](?:_?[0-7])*|0b[01](?:_?[01])*"
+_CTRL = r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f"
+_DATE, _TIME = r"\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])", r"(?:[01]\d|2[0-3]):[0-5]\d:(?:[0-5]\d|60)(?:\.\d+)?"
 TOML_TOKEN = re.compile(
-    r"(?:[ \t]*(?:#[^\n\x00-\x08\x0b\x0c\x0e-\x1f\x7f]*)?\r?\n)+[ \t]*|[ \t]+|#[^\n]*"
-    r"|\"\"\"(?:[^\"\\]|" + _ESC + r"|\\[ \t]*\r?\n|\"(?!\"\")|\"\"(?!\"))*\"{3,5}|'''(?:[^']|'(?!'')|''(?!'))*'{3,5}"
-    r"|\"(?:[^\"\\\n\x00-\x08\x0b-\x1f\x7f]|" + _ESC + r")*\"|'[^'\n]*'"
-    r"|\d{4}-\d\d-\d\d(?:[Tt ]\d\d:\d\d:\d\d(?:\.\d+)?(?:[Zz]|[+-]\d\d:\d\d)?)?(?![\w:.-])|\d\d:\d\d:\d\d(?:\.\d+)?(?![\w:.-])"
-    r"|[+-]?(?:0x[0-9a-fA-F](?:_?[0-9a-fA-F])*|0o[0-7](?:_?[0-7])*|0b[01](?:_?[01])*|(?:0|[1-9](?:_?\d)*)(?:\.\d(?:_?\d)*)?(?:[eE][+-]?\d(?:_?\d)*)?|inf|nan)(?![\w.+-])"
+    r"(?:[ \t]*(?:#[^\n\x00-\x08\x0b\x0c\x0e-\x1f\x7f]*)?\r?\n)+[ \t]*|[ \t]+|#[^\n\x00-\x08\x0b\x0c\x0e-\x1f\x7f]*"
+    r"|\"\"\"(?:[^\"\\" + _CTRL + "]|" + _ESC + r"|\\[ \t]*\r?\n|\"(?!\"\")|\"\"(?!\"))*\"{3,5}|'''(?:[^'" + _CTRL + r"]|'(?!'')|''(?!'))*'{3,5}"
+    r"|\"(?:[^\"\\\n\x00-\x08\x0b-\x1f\x7f]|" + _ESC + r")*\"|'[^'\n" + _CTRL + "]*'"
+    r"|" + _DATE + r"(?:[Tt ]" + _TIME + r"(?:[Zz]|[+-](?:[01]\d|2[0-3]):[0-5]\d)?)?(?![\w:.-])|" + _TIME + r"(?![\w:.-])"
+    r"|(?:" + _INTS + r")(?![\w.+-])|[+-]?(?:(?:0|[1-9](?:_?\d)*)(?:\.\d(?:_?\d)*)?(?:[eE][+-]?\d(?:_?\d)*)?|inf|nan)(?![\w.+-])"
     r"|[A-Za-z0-9_-]+|[\[\]{},.=]|[\s\S]")
 TOML = Parser("""
 file <- NL? (item NL)* item? EOF
@@ -91,15 +94,15 @@ class _TomlKinds(dict):
             k = L[c]
         elif tok in ("true", "false", "inf", "nan"):
             k = L["WORD"]
-        elif re.fullmatch(r"\d{4}-\d\d-\d\d", tok):
+        elif re.fullmatch(_DATE, tok):
             k = L["DATE"]
-        elif re.fullmatch(r"\d{4}-\d\d-\d\d.+|\d\d:\d\d:\d\d(?:\.\d+)?", tok):
+        elif re.fullmatch(_DATE + r"[Tt ].+|" + _TIME, tok):
             k = L["SIGNED"]  # values that are no keys
-        elif re.fullmatch(r"(?:0|[1-9](?:_?\d)*)|-(?:0|[1-9]\d*)|0[xob][0-9a-fA-F_]+|\d+[eE]\d+|-\d+[eE]\d+|-inf|-nan", tok):
+        elif re.fullmatch(r"(?:0|[1-9](?:_?\d)*)|-(?:0|[1-9]\d*)|" + _INTS + r"|\d+[eE]\d+|-\d+[eE]\d+|-inf|-nan", tok):
             k = L["INT"]
         elif re.fullmatch(r"(?:0|[1-9]\d*)\.\d+", tok):
             k = L["FLOAT"]  # as a key two names and a dot
-        elif c in "+-0123456789" and re.fullmatch(r"[+-]?(?:0[xob][0-9a-fA-F_]+|(?:0|[1-9](?:_?\d)*)(?:\.\d(?:_?\d)*)?(?:[eE][+-]?\d(?:_?\d)*)?|inf|nan)", tok):
+        elif c in "+-0123456789" and re.fullmatch(r"[+-]?(?:(?:0|[1-9](?:_?\d)*)(?:\.\d(?:_?\d)*)?(?:[eE][+-]?\d(?:_?\d)*)?|inf|nan)", tok):
             k = L["SIGNED"]
         elif re.fullmatch(r"[A-Za-z0-9_-]+", tok):
             k = L["BARE"]
@@ -110,8 +113,6 @@ class _TomlKinds(dict):
 
 
 TOML_KINDS = _TomlKinds()
-_PAIR = re.compile(r"[ \t]*((?:[A-Za-z0-9_-]+|\"[^\"\n]*\"|'[^'\n]*')(?:[ \t]*\.[ \t]*(?:[A-Za-z0-9_-]+|\"[^\"\n]*\"|'[^'\n]*'))*)[ \t]*=")
-_TABLE = re.compile(r"[ \t]*\[(\[?)[ \t]*([^\]\n]+?)[ \t]*\]")
 
 
 def check_toml(text: str) -> int | None:
@@ -121,55 +122,127 @@ def check_toml(text: str) -> int | None:
     return offset(tokens, kinds, far) if end < 0 else repeated_key(tokens, kinds)
 
 
+class _Twice(Exception):
+    """A key or table is defined a second time; its argument is the offset."""
+
+
+class _Table:
+    """What a name stands for: 'open' (only named as a parent), 'table' (has its header), 'dotted', 'list' of tables, 'closed' (a value)."""
+
+    def __init__(self, kind: str):
+        self.kind, self.names, self.last = kind, {}, None
+
+
+def _names(tok: str) -> list[str]:
+    if tok[0] == '"':
+        return [re.sub(r"\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})", lambda m: chr(int(m[1] or m[2], 16)), tok[1:-1])]
+    return [tok[1:-1]] if tok[0] == "'" else tok.split(".")
+
+
+class _Definitions:
+    """The format forbids to define a key or table twice. Walks the tokens of a file that parsed."""
+
+    def __init__(self, tokens: list[str], kinds: list[str]):
+        self.toks, at = [], 0
+        for t, k in zip(tokens, kinds):
+            if k:
+                self.toks.append(("\n" if k == "\n" else t, at))
+            at += len(t)
+        self.i = 0
+
+    def skip(self) -> None:
+        while self.i < len(self.toks) and self.toks[self.i][0] == "\n":
+            self.i += 1
+
+    def key(self) -> list[str]:
+        out = _names(self.toks[self.i][0])
+        self.i += 1
+        while self.toks[self.i][0] == ".":
+            out += _names(self.toks[self.i + 1][0])
+            self.i += 2
+        return out
+
+    def value(self) -> None:
+        t = self.toks[self.i][0]
+        self.i += 1
+        if t == "[":
+            self.skip()
+            while self.toks[self.i][0] != "]":
+                if self.toks[self.i][0] == ",":
+                    self.i += 1
+                else:
+                    self.value()
+                self.skip()
+            self.i += 1
+        elif t == "{":
+            inner = _Table("table")
+            while self.toks[self.i][0] != "}":
+                if self.toks[self.i][0] == ",":
+                    self.i += 1
+                else:
+                    self.pair(inner)
+            self.i += 1
+
+    def pair(self, table: _Table) -> None:
+        at = self.toks[self.i][1]
+        *path, name = self.key()
+        for p in path:
+            nxt = table.names.setdefault(p, _Table("dotted"))
+            if nxt.kind not in ("dotted", "open"):
+                raise _Twice(at)
+            nxt.kind = "dotted"
+            table = nxt
+        if name in table.names:
+            raise _Twice(at)
+        table.names[name] = _Table("closed")
+        self.i += 1  # the equals sign
+        self.value()
+
+    def header(self, root: _Table) -> _Table:
+        at = self.toks[self.i][1]
+        many = self.toks[self.i + 1][0] == "["
+        self.i += 1 + many
+        *path, name = self.key()
+        self.i += 1 + many
+        table = root
+        for p in path:
+            table = table.names.setdefault(p, _Table("open"))
+            if table.kind == "closed":
+                raise _Twice(at)
+            table = table.last if table.kind == "list" else table
+        had = table.names.get(name)
+        if many:
+            if had is None:
+                had = table.names[name] = _Table("list")
+            elif had.kind != "list":
+                raise _Twice(at)
+            had.last = _Table("table")
+            return had.last
+        if had is None:
+            had = table.names[name] = _Table("table")
+        elif had.kind != "open":
+            raise _Twice(at)
+        had.kind = "table"
+        return had
+
+    def run(self) -> int | None:
+        root = table = _Table("table")
+        try:
+            self.skip()
+            while self.i < len(self.toks):
+                if self.toks[self.i][0] == "[":
+                    table = self.header(root)
+                else:
+                    self.pair(table)
+                self.skip()
+        except _Twice as e:
+            return e.args[0]
+        return None
+
+
 def repeated_key(tokens: list[str], kinds: list[str]) -> int | None:
-    """The format forbids to define a key or table twice: offset of the second definition."""
-    at, depth, begins, table = 0, 0, True, ""
-    seen: set[tuple] = set()
-    name: list[str] = []
-    header = 0  # brackets of a table header read so far
-    start = 0
-    for t, k in zip(tokens, kinds):
-        if k == "\n":
-            if not depth:
-                begins, name, header = True, [], 0
-        elif k and k != TOML_LEX["BAD"]:
-            if begins:
-                start, begins = at, False
-                header = -1 if t != "[" else 1
-                if t != "[":
-                    name = [t.strip("\"'")]
-            elif header > 0:  # within a table header
-                if t == "[" and not name:
-                    header = 2
-                elif t == "]":
-                    if name is not None:
-                        key = ".".join(name)
-                        if header == 1:
-                            if ("table", key) in seen:
-                                return start
-                            seen.add(("table", key))
-                            table = key
-                        else:
-                            table = f"{key}#{start}"  # each element of an array of tables has keys of its own
-                            seen = {x for x in seen if not (x[0] == "table" and x[1].startswith(key + "."))}
-                    header = 0
-                elif t != ".":
-                    name.append(t.strip("\"'"))
-            elif header == -1:  # within a key
-                if t == "=":
-                    key = (table, ".".join(name))
-                    if key in seen:
-                        return start
-                    seen.add(key)
-                    header = 0
-                elif t != ".":
-                    name.append(t.strip("\"'"))
-            elif t in "[{":
-                depth += 1
-            elif t in "]}":
-                depth = max(0, depth - 1)
-        at += len(t)
-    return None
+    """Offset of the first second definition."""
+    return _Definitions(tokens, kinds).run()
 
 
 # YAML ------------------------------------------------------------------------------------------------

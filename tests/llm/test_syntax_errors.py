@@ -63,7 +63,8 @@ def test_data_languages_against_the_standard_library():
             good = False
         assert (check_json(text) is None) is good, text
     for text in ("a = 1\na = 2\n", "[a]\nb=1\n[a]\n", "[[a]]\nb=1\n[[a]]\nb=2\n", "a.b = 1\na.c = 2\n", "x = [1,\n 2, # c\n]\n", "d = 1979-05-27T07:32:00Z\n", "a = 01\n", "a = 'x\n", 's = """a\nb"""\n', "t = {a = 1}\n", "t = {a = 1,}\n",
-                 "a\n", "[a\n", "a = 1 b = 2\n", '"a b" = 1\n', "<<<<<<< x\n", "a = +inf\n", ""):
+                 "a\n", "[a\n", "a = 1 b = 2\n", '"a b" = 1\n', "<<<<<<< x\n", "a = +inf\n", "", "a = {b = 1}\na.c = 2\n", "t = {a = 1, a = 2}\n", "[a.b]\n[a]\nb.c = 1\n", "[a]\n[a.b]\n[[c]]\n[c.d]\n[[c]]\n[c.d]\n", "[a.b.c]\n[a]\nx = 1\n", "a.b = 1\n[a]\n", "a = 0x_1\n",
+                 "a = 2020-13-01\n", "a = 07:32:00\n", 'a = "\\ud800"\n', "a = '\x01'\n", "a = -0x1\n", "1.5 = 2\n[1]\n"):
         try:
             tomllib.loads(text)
             good = True
