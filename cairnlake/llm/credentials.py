@@ -66,7 +66,7 @@ URL_QUERY = re.compile(r"[?&;](?:sig|signature|token|auth_?token|access_?token|r
 HEADER = re.compile(r"\b(Basic|Bearer|Token|ApiKey|Digest)[ \t]+([A-Za-z0-9+/=._~-]{8,})")
 
 _BETWEEN = (r"(?:[\"'`]?\]?[ \t]*(?:(?::[ \t]*[A-Za-z_][\w\[\], |]*?)?[ \t]*(?::=|=>|(?<![=!<>])=(?!=)|:)|(?<=[\w$.-])[\"'`][ \t]*,)\s*)"
-            r"(?:(?:[A-Za-z_][\w.\[\]]*)?\(\s*)?[rbufRBUF]{0,2}(\"\"\"|\'\'\'|[\"'`])")
+            r"(?:(?:\[\]byte|str|bytes|bytearray|String|Secret\w*|[\w.]*b64decode|Buffer\.from|Some)?\(\s*)?[rbufRBUF]{0,2}(\"\"\"|\'\'\'|[\"'`])")
 #: A name that speaks of a secret, what stands between it and its literal, the literal's quote. The name's front part is read backwards.
 ASSIGNED = re.compile(r"((?i:kennwort|passwort|losung|contrase|clave|senha|mot_?de_?passe|wachtwoord|haslo|geheim|passw|passphrase|passcode|pwd|secret|token|key|credential|creds|bearer|auth|jwt|session|cookie)[\w$.-]*|(?i:pass|pw)(?:[0-9a-f]{3})?(?![\w$.-]))" + _BETWEEN)
 #: Any name, used only on lines whose literal goes on over the next line.
@@ -126,6 +126,10 @@ def looks_password(value: str) -> bool:
     return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value)) or classes(value) >= 3 and not re.fullmatch(r"[A-Za-z]+(?:[._:/-][A-Za-z]+)*[?.!]?", value)
 
 
+#: Words joined by signs, numbers alone, and patterns are no random strings, however rare their subwords are.
+WORDY = re.compile(r"_*(?:[a-z]+|[A-Z]+|(?:[A-Z][a-z]+)+|[a-z]+(?:[A-Z][a-z]+)+)(?:[._/:-]+(?:[a-z]+|[A-Z]+|(?:[A-Z][a-z]+)+|[a-z]+(?:[A-Z][a-z]+)+))+_*|[\d.:/T-]+|.*(?:\(\?|\[\^|\\[bdsw]).*|[a-z]+(?:[A-Z][a-z]+){1,3}")
+
+
 def looks_secret(name: str, value: str, vocabulary: str) -> bool:
     if OTHER_NAME.search(name) or OTHER_NAME_I.search(name) or not literal(value):
         return False
@@ -137,6 +141,8 @@ def looks_secret(name: str, value: str, vocabulary: str) -> bool:
         return False
     if re.fullmatch(r"[\w.-]+\.(?:py|js|ts|go|json|ya?ml|toml|pem|crt|txt|md|com|org|net|io|invalid|example|test)", value):
         return False
+    if WORDY.fullmatch(value):
+        return False
     if UUID.fullmatch(value) or HEX.fullmatch(value):
         return bool(STRONG_NAME.search(name))
     return chars_per_subword(value, vocabulary) < UNNATURAL
