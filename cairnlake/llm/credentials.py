@@ -46,11 +46,18 @@ def encoder(vocabulary: str):
     return _encoders[vocabulary]
 
 
-@lru_cache(maxsize=100_000)
-def chars_per_subword(value: str, vocabulary: str) -> float:
+def _ratio(value: str, vocabulary: str) -> float:
     return len(value) / max(1, len(encoder(vocabulary).encode_ordinary(value)))
 
 
+_known_ratio = lru_cache(maxsize=100_000)(_ratio)
+
+
+def chars_per_subword(value: str, vocabulary: str) -> float:
+    """Repeated short values are looked up."""
+    return _known_ratio(value, vocabulary) if len(value) <= 300 else _ratio(value, vocabulary)
+
+
 #: Formats of known issuers. Group 1 is the value.
 ISSUED = re.compile(
     r"(?<![A-Za-z0-9_])((?:AKIA|ASIA|AROA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[\w-]{16,}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from cairnlake.llm.grammar_data import offset
-from cairnlake.llm.peg import Lexicon, Parser
+from cairnlake.llm.peg import LONG_TOKEN, Lexicon, Parser
 
 
 def _ops(spellings: str) -> str:
@@ -111,7 +111,8 @@ class _JsKinds(dict):
             k = L["NAME"]
         else:
             k = L["BAD"]
-        self[tok] = k
+        if len(tok) <= LONG_TOKEN:
+            self[tok] = k
         return k
 
 
@@ -231,7 +232,8 @@ class _GoKinds(dict):
             k = L["NAME"]
         else:
             k = L["BAD"]
-        self[tok] = k
+        if len(tok) <= LONG_TOKEN:
+            self[tok] = k
         return k
 
 
@@ -317,7 +319,8 @@ class _ShKinds(dict):
             k = L["BAD"]
         elif tok == "$" or len(tok) > 0:
             k = L["WORD"]
-        self[tok] = k
+        if len(tok) <= LONG_TOKEN:
+            self[tok] = k
         return k
 
 

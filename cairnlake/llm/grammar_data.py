@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from cairnlake.llm.peg import Lexicon, Parser
+from cairnlake.llm.peg import LONG_TOKEN, Lexicon, Parser
 
 # JSON, strict ----------------------------------------------------------------------------------------
 
@@ -26,7 +26,8 @@ class _JsonKinds(dict):
         c = tok[0]
         k = ("" if c in " \t\r\n" else JSON_LEX["STR"] if c == '"' and len(tok) > 1 else JSON_LEX["WORD"] if tok in ("true", "false", "null")
              else JSON_LEX["NUM"] if c in "-0123456789" and tok != "-" else JSON_LEX[c] if c in "{}[],:" else JSON_LEX["BAD"])
-        self[tok] = k
+        if len(tok) <= LONG_TOKEN:
+            self[tok] = k
         return k
 
 
@@ -108,7 +109,8 @@ class _TomlKinds(dict):
             k = L["BARE"]
         else:
             k = L["BAD"]
-        self[tok] = k
+        if len(tok) <= LONG_TOKEN:
+            self[tok] = k
         return k
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from cairnlake.llm.peg import Lexicon, Parser
+from cairnlake.llm.peg import LONG_TOKEN, LONGEST, Lexicon, Parser
 
 LEX = Lexicon()
 KEYWORDS = ("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda "
@@ -192,7 +192,8 @@ class _Kinds(dict):
             k = BAD if _ZEROS.fullmatch(tok) else LEX["NUM"]
         else:
             k = BAD
-        self[tok] = k
+        if len(tok) <= LONG_TOKEN:
+            self[tok] = k
         return k
 
 
@@ -219,7 +220,8 @@ class _Lines(dict):
                 out = (BLOCKS["SIMPLE"], far)
             else:
                 out = (BLOCKS[first if kinds[-1] == LEX[":"] and LINE.parse(kinds, "inline")[0] < 0 else first + "1"], far)
-        self[kinds] = out
+        if len(kinds) <= LONGEST:
+            self[kinds] = out
         return out
 
 
@@ -228,7 +230,8 @@ class _Depth(dict):
         if len(self) > 200_000:
             self.clear()
         d = sum(kinds.count(x) for x in _OPEN) - sum(kinds.count(x) for x in _CLOSE)
-        self[kinds] = d
+        if len(kinds) <= LONGEST:
+            self[kinds] = d
         return d
 
 

@@ -17,6 +17,8 @@ from __future__ import annotations
 import re
 
 EOF = "\x00"
+#: Longer stretches of tokens are not kept across texts, nor are longer tokens.
+LONGEST, LONG_TOKEN = 2000, 200
 _TOKEN = re.compile(r"'((?:[^'\\]|\\.)+)'|\[([^\]]*)\]|([A-Za-z_]\w*)|([/*+?&!()])")
 
 
@@ -169,13 +171,13 @@ class _Compiler:
             how = self.rules[n][0]
             out += [f"    def r_{n}(p):", "        nonlocal far", f"        v0 = m_{n}.get(p)", "        if v0 is not None: return v0"]
             if how == "<<":
-                out += ["        e = s.find('\\n', p) + 2", "        if e < 2: e = len(s)", f"        key = ({n!r}, s[p:e])", "        got = shared.get(key)", "        if got is not None:",
+                out += ["        e = s.find('\\n', p) + 2", "        if e < 2: e = len(s)", f"        key = ({n!r}, s[p:e]) if e - p < {LONGEST} else None", "        got = shared.get(key) if key else None", "        if got is not None:",
                         "            if got[1] + p > far: far = got[1] + p", f"            v0 = m_{n}[p] = got[0] + p if got[0] >= 0 else -1", "            return v0",
                         "        before = far", "        far = -1"]
             self.n = 0
             self.emit(self.trees[n], "p", "v0", 2, out)
             if how == "<<":
-                out += ["        if far < e and v0 <= e: shared[key] = (v0 - p if v0 >= 0 else -1, far - p)", "        if before > far: far = before"]
+                out += ["        if key and far < e and v0 <= e: shared[key] = (v0 - p if v0 >= 0 else -1, far - p)", "        if before > far: far = before"]
             out += [f"        m_{n}[p] = v0", "        return v0"]
         out.append("    rules = {" + ", ".join(f"{n!r}: r_{n}" for n in names) + "}")
         out += ["    end = rules[top](start)", "    return end, far"]
