@@ -41,16 +41,24 @@ def tests_of(chunks: DataFrame, most: int = 3) -> DataFrame:
     return top(tests.join(names, ["repository_id", "name"], "left_semi"), ["repository_id", "name"], [F.col("path"), F.col("start_line"), F.col("id")], most)
 
 
-def postings(docs: DataFrame, key: str, *text: str) -> DataFrame:
-    """(key, term, tf)."""
-    terms = docs.select(key, F.explode(T.index_terms(*[F.col(t) for t in text])).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+#: Up to so many distinct query terms are broadcast.
+TERMS_BROADCAST = 1_000_000
 
 
-def lexical(queries: DataFrame, posts: DataFrame, query: str, key: str) -> DataFrame:
-    """(query, key, score, matched) of the postings that hold a query term; queries has (query, terms). Few queries meet many
-    documents: their terms are the small side of the join."""
+def postings(docs: DataFrame, key: str, *text: str, terms: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf); with terms (term) only those, all others being dropped before anything is shuffled. The terms are counted
+    before they are broadcast."""
+    each = docs.select(key, F.explode(T.index_terms(*[F.col(t) for t in text])).alias("term"))
+    if terms is not None:
+        wanted = terms.select("term").distinct()
+        each = each.join(F.broadcast(wanted) if wanted.count() <= TERMS_BROADCAST else wanted, "term", "left_semi")
+    return each.groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def lexical(queries: DataFrame, docs: DataFrame, query: str, key: str, *text: str) -> DataFrame:
+    """(query, key, score, matched) of the documents that hold a query term; queries has (query, terms)."""
     terms = queries.select(query, F.explode("terms").alias("term")).distinct()
+    posts = postings(docs, key, *text, terms=terms)
     return posts.join(terms, "term").groupBy(query, key).agg((F.sum("tf") * TERM_WEIGHT).alias("score"), F.count("*").alias("matched"))
 
 

@@ -9,6 +9,7 @@ from cairnlake.operators import search as S
 from cairnlake.plans.fold_queries import _P, _lines
 from cairnlake.plans.search_queries import _HITS, _title_hits
 from cairnlake.plans.text_queries import _LANG, changed, chunks
+from cairnlake.session import durable
 from cairnlake.sources.tables import load
 
 
@@ -63,7 +64,7 @@ def k5_sliding_windows(spark, d):
 
 def m9_ablation(spark, d):
     """How many of each item's first eight fused documents either list alone would have put there."""
-    hits = _title_hits(spark, d)
+    hits = durable(_title_hits(spark, d), "hits")
     tf = S.top(hits, ["case_id"], [F.desc(F.round("score", 6)), F.col("doc_id")], 20).select("case_id", "doc_id", "rank", F.lit("frequency").alias("source"))
     cover = S.top(hits, ["case_id"], [F.desc("matched"), F.col("doc_id")], 20).select("case_id", "doc_id", "rank", F.lit("coverage").alias("source"))
     both = tf.unionByName(cover)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cairnlake.functions import fixed_values as V, text as T
 from cairnlake.operators import search as S
 from cairnlake.plans.text_queries import _list, chunks
+from cairnlake.session import durable
 from cairnlake.sources.tables import load
 
 
@@ -44,8 +45,7 @@ def c5_docs(spark, d):
 
 def _title_hits(spark, d):
     q = load(spark, d, "eval_cases", "case_id", "title").select("case_id", T.query_terms(F.col("title")).alias("terms"))
-    posts = S.postings(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
-    return S.lexical(q, posts, "case_id", "doc_id")
+    return S.lexical(q, load(spark, d, "documents", "doc_id", "text"), "case_id", "doc_id", "text")
 
 
 def h1_lexical_topk(spark, d):
@@ -72,7 +72,7 @@ def h2_vector_topk(spark, d):
 
 def f3_hybrid_rrf(spark, d):
     """Documents for every evaluation item's title: the lists by term frequency and by terms covered, fused by rank."""
-    hits = _title_hits(spark, d)
+    hits = durable(_title_hits(spark, d), "hits")  # both lists come from one pass over the documents
     by_tf = S.top(hits, ["case_id"], [F.desc(F.round("score", 6)), F.col("doc_id")], 20).withColumn("source", F.lit("frequency"))
     by_cover = S.top(hits, ["case_id"], [F.desc("matched"), F.col("doc_id")], 20).withColumn("source", F.lit("coverage"))
     fused = S.fuse(by_tf.select("case_id", "doc_id", "source", "rank").unionByName(by_cover.select("case_id", "doc_id", "source", "rank")), "case_id", "doc_id")
