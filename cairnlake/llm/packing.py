@@ -2,8 +2,8 @@
 
 Hierarchical residual packing: items are spread over partitions by hash and packed there best-fit, largest
 first. Bins filled to `full_share` are emitted; the others go on as single items, only their number and
-load, to a round with fewer partitions, where they are packed again, and so on up a tree until one
-partition has seen the last of them. A container's members are found by following the few links.
+load, to a round with as many fewer partitions as they are fewer, where they are packed again, and so on up a
+tree until one partition has seen the last of them, or a round found nothing more to join. A container's members are found by following the few links.
 
 Plan. Sizes are computed once and kept; every round moves only what the round before left open, so the
 total moved is little more than the items themselves. The chain of links is as long as the tree is high.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from cairnlake.llm.credentials import VOCABULARY, encoder
 from cairnlake.session import durable
 
-CAPACITY, FULL_SHARE, ITEMS_PER_PARTITION, FAN_IN = 4096, 0.995, 50_000, 8
+CAPACITY, FULL_SHARE, ITEMS_PER_PARTITION = 4096, 0.995, 50_000
 LONG_RUN = re.compile(r"\S{4000}")
 
 
@@ -104,7 +104,7 @@ def _pack(level: int, capacity: int, full: int, last: bool):
 PACKED = "item bigint, size bigint, bin bigint, load bigint, closed boolean"
 
 
-def pack(sizes: DataFrame, *, capacity: int = CAPACITY, full_share: float = FULL_SHARE, items_per_partition: int = ITEMS_PER_PARTITION, fan_in: int = FAN_IN) -> DataFrame:
+def pack(sizes: DataFrame, *, capacity: int = CAPACITY, full_share: float = FULL_SHARE, items_per_partition: int = ITEMS_PER_PARTITION) -> DataFrame:
     """(doc_id, piece_no, start_token, tokens, container_id) for sizes (doc_id, tokens)."""
     full = int(capacity * full_share)
     whole = F.floor(F.greatest(F.col("tokens") - 1, F.lit(0)) / capacity).cast("int")
@@ -116,7 +116,7 @@ def pack(sizes: DataFrame, *, capacity: int = CAPACITY, full_share: float = FULL
     count = items.count()
     parts = max(1, -(-count // items_per_partition))
     todo = items.select("item", "size")
-    links, level = None, 1
+    links, level, before = None, 1, count
     while True:
         # by hash, into as many partitions as there are groups
         placed = todo.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("bigint"))
@@ -132,9 +132,11 @@ def pack(sizes: DataFrame, *, capacity: int = CAPACITY, full_share: float = FULL
         links = durable(links, "links")
         todo = durable(done.filter("not closed").select(F.col("bin").alias("item"), F.col("load").alias("size")).distinct(), "open")
         left = todo.count()
-        if left == 0:
+        fewer = max(1, -(-left // items_per_partition))
+        # items that fit with no other stay alone in their bins: they are not brought together in one task for nothing
+        if left == 0 or fewer >= parts and left > 0.9 * before:
             break
-        parts, level = max(1, min(parts // fan_in, -(-left // items_per_partition))), level + 1
+        parts, level, before = fewer, level + 1, left
     return items.join(links.select("item", "bin"), "item").select("doc_id", "piece_no", "start_token", F.col("size").alias("tokens"), F.col("bin").alias("container_id"))
 
 

@@ -30,7 +30,7 @@ def test_every_document_once(spark):
     rng = random.Random(2)
     sizes = {i: rng.choice([0, 1, rng.randrange(50), rng.randrange(400), 1000, 2500]) for i in range(1500)}
     d = spark.createDataFrame(list(sizes.items()), "doc_id bigint, tokens bigint")
-    p = pack(d, capacity=1000, items_per_partition=100, fan_in=4).toPandas()
+    p = pack(d, capacity=1000, items_per_partition=100).toPandas()
     assert p.groupby("doc_id").tokens.sum().to_dict() == sizes
     assert p.groupby("doc_id").size().max() == 3 and not p.duplicated(["doc_id", "piece_no"]).any()
     load = p.groupby("container_id").tokens.sum()
@@ -54,3 +54,11 @@ def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id bigint, tokens bigint")).count() == 0
     one = pack(spark.createDataFrame([(1, 0), (2, 0)], "doc_id bigint, tokens bigint")).toPandas()
     assert one.container_id.nunique() == 1
+
+
+def test_items_that_fit_with_no_other(spark):
+    d = spark.range(1000).selectExpr("id as doc_id", "bigint(600) as tokens")
+    p = pack(d, capacity=1000, items_per_partition=100).toPandas()
+    assert p.container_id.nunique() == 1000 and len(p) == 1000
+    mixed = spark.range(1000).selectExpr("id as doc_id", "bigint(if(id % 2 = 0, 600, 400)) as tokens")
+    assert pack(mixed, capacity=1000, items_per_partition=100).select("container_id").distinct().count() <= 540
