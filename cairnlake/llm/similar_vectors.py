@@ -211,9 +211,10 @@ def neighbours(rows: DataFrame, *, model: str = "embedding_model", key: str = "c
     spark = rows.sparkSession
     items = valid_vectors(rows, model, key, vector, dims)
     same = W.partitionBy("model", "h1", "h2").orderBy("key")
-    heads = durable(items.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
-                    .withColumn("n", F.row_number().over(same)).withColumn("vec", F.when(F.col("n") == 1, F.col("vec"))), "members")
-    reps = durable(heads.filter("n = 1").select(F.monotonically_increasing_id().alias("rid"), "model", "h1", "h2", "vec"), "vectors")
+    base = durable(items.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")}), "vectors")
+    # of a group of equal vectors only the k + 1 smallest keys are ranked; the limit cuts a hot group before it is shuffled
+    heads = base.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1)
+    reps = durable(heads.filter("n = 1").select(F.monotonically_increasing_id().alias("rid"), "model", "h1", "h2", "vec"), "items")
 
     counts = {r["model"]: r["n"] for r in reps.groupBy("model").agg(F.count("*").alias("n")).collect()}
     learned = {}
@@ -249,11 +250,14 @@ def neighbours(rows: DataFrame, *, model: str = "embedding_model", key: str = "c
     best = both.withColumn("r", F.rank().over(W.partitionBy("a").orderBy(F.desc("cosine")))).filter(F.col("r") <= k).drop("r")
 
     ids = reps.select("rid", "model", "h1", "h2")
-    members = heads.select("model", "h1", "h2", "key", "n").alias("m").join(
-        ids.alias("i"), (F.col("m.h1") == F.col("i.h1")) & (F.col("m.h2") == F.col("i.h2")) & F.col("m.model").eqNullSafe(F.col("i.model"))).select("rid", "m.model", "key", "n")
-    first = members.filter(F.col("n") <= k + 1).select("rid", F.col("key").alias("other"))
+    def with_id(rows: DataFrame) -> DataFrame:
+        m = rows.alias("m").join(ids.alias("i"), (F.col("m.h1") == F.col("i.h1")) & (F.col("m.h2") == F.col("i.h2")) & F.col("m.model").eqNullSafe(F.col("i.model")))
+        return m.select("i.rid", "m.model", "m.key", *(["m.n"] if "n" in rows.columns else []))
+    members = with_id(base.select("model", "h1", "h2", "key"))
+    ranked_heads = with_id(heads.select("model", "h1", "h2", "key", "n"))
+    first = ranked_heads.select("rid", F.col("key").alias("other"))
     near = best.join(first.withColumnRenamed("rid", "b"), "b").select(F.col("a").alias("rid"), "other", "cosine")
-    own = members.filter("n > 1").select("rid").distinct().join(first, "rid").withColumn("cosine", F.lit(1.0))
+    own = ranked_heads.filter("n = 2").select("rid").join(first, "rid").withColumn("cosine", F.lit(1.0))
     # the k others of a group of equal vectors are the same for all members, but for themselves: k + 1 are enough
     top = (near.unionByName(own).withColumn("r", F.row_number().over(W.partitionBy("rid").orderBy(F.desc("cosine"), "other")))
            .filter(F.col("r") <= k + 1).drop("r"))
