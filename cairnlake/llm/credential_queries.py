@@ -24,8 +24,11 @@ def p3_kinds(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def p3_redacted(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Every chunk with its credentials overwritten; repeated rows count once."""
-    return redact_rows(load(spark, data_dir, "code_chunks", "id", "content").dropDuplicates(["id"]))
+    """Every chunk and every patch with its credentials overwritten; repeated rows count once."""
+    chunks = redact_rows(load(spark, data_dir, "code_chunks", "id", "content").distinct())
+    patches = redact_rows(load(spark, data_dir, "changed_files", "id", "patch").distinct(), text="patch", is_patch=True)
+    both = chunks.withColumn("src", F.lit("code_chunks")).unionByName(patches.withColumn("src", F.lit("changed_files")))
+    return both.select("src", "row_id", "n_found", "redacted")
 
 
 QUERIES = {"p3_found": p3_found, "p3_kinds": p3_kinds, "p3_redacted": p3_redacted}

@@ -2,6 +2,7 @@ import base64
 
 import pytest
 
+from cairnlake.llm.credential_queries import p3_redacted
 from cairnlake.llm.credentials import find, redact, redact_rows, scan
 
 KEY = "q7Xw9ZtR4mB2vK8pLs5NcY1d"
@@ -58,3 +59,14 @@ def test_rows(spark):
     back = {r["row_id"]: r["redacted"] for r in redact_rows(d).collect()}
     assert back["b"] is None and back["c"] == "" and len(back["d"]) == len(data[-1][1]) and KEY not in back["d"]
     assert scan(spark.createDataFrame([], d.schema)).count() == 0
+
+
+def test_redacted_chunks_and_patches(spark, tmp_path):
+    code, patch = f"api_key = '{KEY}'\n", f"@@ -0,0 +1,2 @@\n+x = 1\n+api_key = '{KEY}'\n"
+    spark.createDataFrame([("a", code), ("a", code), (None, code), (None, "x = 1\n")], "id string, content string").write.parquet(f"{tmp_path}/code_chunks.parquet")
+    spark.createDataFrame([("a", patch), ("a", patch), ("b", None)], "id string, patch string").write.parquet(f"{tmp_path}/changed_files.parquet")
+    stars = "*" * len(KEY)
+    got = [tuple(r) for r in p3_redacted(spark, str(tmp_path)).collect()]
+    assert len(got) == 5 and set(got) == {
+        ("code_chunks", "a", 1, code.replace(KEY, stars)), ("code_chunks", None, 1, code.replace(KEY, stars)), ("code_chunks", None, 0, "x = 1\n"),
+        ("changed_files", "a", 1, patch.replace(KEY, stars)), ("changed_files", "b", 0, None)}
