@@ -11,9 +11,12 @@ from cairnlake.sources.tables import load
 
 
 def _python_files(spark: SparkSession, d: str) -> DataFrame:
-    """Python files put together from their chunks in order of line."""
-    c = load(spark, d, "code_chunks", "repository_id", "blob_sha", "chunker_version", "path", "language", "start_line", "content").filter("language = 'python' and chunker_version = '1'")
-    g = c.groupBy("repository_id", "blob_sha", "path").agg(F.array_sort(F.collect_set(F.struct("start_line", "content"))).alias("c"))
+    """Python files put together from their chunks in order of line, each from the newest chunker version it has."""
+    c = load(spark, d, "code_chunks", "repository_id", "blob_sha", "chunker_version", "path", "language", "start_line", "content").filter("language = 'python'")
+    # versions are numbers, '10' being newer than '9'; in the sorted chunks those of the newest come last
+    version = F.struct(F.expr("try_cast(chunker_version as bigint)").alias("n"), "chunker_version").alias("version")
+    g = c.groupBy("repository_id", "blob_sha", "path").agg(F.array_sort(F.collect_set(F.struct(version, "start_line", "content"))).alias("c"))
+    g = g.withColumn("c", F.filter("c", lambda x: x["version"].eqNullSafe(F.element_at("c", -1)["version"])))
     return g.select("repository_id", "blob_sha", "path", F.array_join(F.transform("c", lambda x: x["content"]), "\n").alias("source"))
 
 

@@ -329,6 +329,14 @@ def test_context_bundles(spark):
     assert sum(r[14] for r in rows_ if r[0] in got and got[r[0]][2]) <= 250
 
 
+def test_python_files_of_old_chunkers(spark, tmp_path):
+    from cairnlake.plans.chunk_queries import m2_python_chunks
+
+    rows_ = [("r", "b1", "0", "old.py", "python", 1, "def f():\n    return 0")] + [("r", "b2", v, "both.py", "python", 1, c) for v, c in (("9", "def a():\n    return 1"), ("10", "class B:\n    x = 1"))]
+    spark.createDataFrame(rows_ + rows_[:1], "repository_id string, blob_sha string, chunker_version string, path string, language string, start_line int, content string").write.parquet(f"{tmp_path}/code_chunks.parquet")
+    assert rows(m2_python_chunks(spark, str(tmp_path)).select("path", "symbol_type", "chunks")) == [("r|both.py", "class", 1), ("r|old.py", "function", 1)]
+
+
 def test_checks(spark, tmp_path):
     import hashlib
     import hmac
