@@ -81,15 +81,18 @@ def f3_hybrid_rrf(spark, d):
 
 def j26_boosts(spark, d):
     """Boosts of every chunk when the tests of its repository are taken as the change."""
-    c = _code(spark, d, "path", "symbol", "symbol_type", "qualified_name", "called_names", "is_test", "token_count")
+    c = _code(spark, d, "path", "symbol", "symbol_type", "qualified_name", "called_names", "imports", "is_test", "token_count")
     change = c.filter("is_test")
     called = change.select("repository_id", F.explode("called_names").alias("symbol")).distinct().withColumn("called", F.lit(True))
     dirs = change.select("repository_id", T.parent_dir(F.col("path")).alias("dir")).distinct().withColumn("same_dir", F.lit(True))
     named = change.select("repository_id", F.explode("called_names").alias("qualified_name")).distinct().withColumn("exact", F.lit(True))
+    imports = change.select("repository_id", F.explode("imports").alias("import")).distinct()
+    imported = S.import_targets(imports, c.select("repository_id", "path").distinct()).select("repository_id", "path").distinct().withColumn("imported", F.lit(True))
+    symbols = change.filter(F.col("symbol_type").isin(*S.DEFINITIONS)).select("repository_id", F.col("symbol").alias("name")).distinct()
+    tests = change.select("repository_id", "id", F.explode("called_names").alias("name")).join(symbols, ["repository_id", "name"], "left_semi").select("repository_id", "id").distinct().withColumn("tests", F.lit(True))
     rows = (c.withColumn("dir", T.parent_dir(F.col("path"))).join(called, ["repository_id", "symbol"], "left").join(dirs, ["repository_id", "dir"], "left")
-            .join(named, ["repository_id", "qualified_name"], "left"))
-    flags = rows.select("id", "symbol", "symbol_type", "token_count", F.coalesce("exact", F.lit(False)).alias("exact"), F.lit(False).alias("imported"),
-                        F.coalesce("called", F.lit(False)).alias("called"), F.coalesce("same_dir", F.lit(False)).alias("same_dir"), F.lit(False).alias("tests"))
+            .join(named, ["repository_id", "qualified_name"], "left").join(imported, ["repository_id", "path"], "left").join(tests, ["repository_id", "id"], "left"))
+    flags = rows.select("id", "symbol", "symbol_type", "token_count", *[F.coalesce(f, F.lit(False)).alias(f) for f in ("exact", "imported", "called", "same_dir", "tests")])
     total, reasons = S.boosts()
     return flags.select("id", F.round(total, 6).alias("boost"), reasons.alias("reasons"))
 

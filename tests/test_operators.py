@@ -337,6 +337,17 @@ def test_python_files_of_old_chunkers(spark, tmp_path):
     assert rows(m2_python_chunks(spark, str(tmp_path)).select("path", "symbol_type", "chunks")) == [("r|both.py", "class", 1), ("r|old.py", "function", 1)]
 
 
+def test_boosts_of_imports_and_tests(spark, tmp_path):
+    from cairnlake.plans.search_queries import j26_boosts
+
+    schema = "id string, repository_id string, path string, symbol string, symbol_type string, qualified_name string, called_names array<string>, imports array<string>, is_test boolean, token_count int"
+    rows_ = [("t", "r", "tests/t.py", "test_a", "function", "test_a", ["make", "x"], ["os", "pkg.core.run"], True, 50), ("h", "r", "tests/h.py", "make", "function", "make", [], [], True, 50),
+             ("k", "r", "src/pkg/core.py", "run", "function", "run", ["make"], [], False, 50), ("o", "r", "src/pkg/other.py", "go", "function", "go", ["make"], [], False, 50),
+             ("f", "other", "src/pkg/core.py", "run", "function", "run", ["make"], [], False, 50), ("n", "other", "tests/n.py", None, "function", None, None, None, True, 50)]
+    spark.createDataFrame(rows_ + rows_[:1], schema).write.parquet(f"{tmp_path}/code_chunks.parquet")
+    assert rows(j26_boosts(spark, str(tmp_path))) == [("f", 0.0, ""), ("h", 1.45, "exact_symbol,called_by_change,same_dir"), ("k", 0.3, "imported_module"), ("n", 0.15, "same_dir"), ("o", 0.0, ""), ("t", 0.4, "same_dir,tests_changed_symbol")]
+
+
 def test_checks(spark, tmp_path):
     import hashlib
     import hmac
