@@ -46,7 +46,7 @@ def candidates(chunks: DataFrame, changed: DataFrame) -> DataFrame:
     tests = top(named.join(testers, ["repository_id", "name"]).filter("id <> bundle").select("bundle", "id", "path", "start_line").distinct(), ["bundle"], order, LIMITS["tests"])
     # 5: shared pieces of names, the rare ones first
     terms = chunks.filter("qualified_name is not null").select("repository_id", "path", "start_line", "id", F.explode(T.query_terms(F.col("qualified_name"))).alias("term"))
-    rare = terms.groupBy("repository_id", "term").agg(F.count("*").alias("df")).filter("df <= 50")
+    rare = terms.groupBy("repository_id", "term").agg(F.count("*").alias("df"))
     posted = terms.join(rare, ["repository_id", "term"])
     mine = ch.select("bundle", "repository_id", F.explode(T.query_terms(F.coalesce("qualified_name", F.lit("")))).alias("term"))
     met = mine.join(posted, ["repository_id", "term"]).filter("id <> bundle").groupBy("bundle", "id", "path", "start_line").agg(F.sum(1 / F.col("df")).alias("s"))

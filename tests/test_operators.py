@@ -337,6 +337,18 @@ def test_python_files_of_old_chunkers(spark, tmp_path):
     assert rows(m2_python_chunks(spark, str(tmp_path)).select("path", "symbol_type", "chunks")) == [("r|both.py", "class", 1), ("r|old.py", "function", 1)]
 
 
+def test_context_of_frequent_terms(spark):
+    from cairnlake.operators import context
+
+    schema = ("id string, repository_id string, blob_sha string, chunker_version string, path string, language string, symbol string, symbol_type string, qualified_name string, parent_symbol string, start_line int, "
+              "called_names array<string>, bases array<string>, is_test boolean, token_count int")
+    name = lambda i: f"ledger_n{i:02}" + "_audit" * (i >= 55)
+    c = spark.createDataFrame([(f"c{i:02}", "r", f"b{i:02}", "1", f"p{i:02}.py", "python", name(i), "function", name(i), None, 1, [], [], False, 20) for i in range(60)]
+                              + [("k", "r", "bk", "1", "k.py", "python", "ledger_audit", "class", "ledger_audit", None, 1, [], [], False, 20)], schema)
+    got = context.candidates(c, c.filter("id = 'k'")).filter("tier = 5")
+    assert [r["item"] for r in got.orderBy(F.desc("score"), "item").collect()] == [f"c{i:02}" for i in (55, 56, 57, 58, 59, 0, 1, 2)]
+
+
 def test_boosts_of_imports_and_tests(spark, tmp_path):
     from cairnlake.plans.search_queries import j26_boosts
 
