@@ -89,7 +89,6 @@ LEAD = re.compile(r"(?:[\W_]*(?:this|the|file|code|source|module|is|was|has|been
 #: Orders such as "do not edit" may also follow a clause.
 CLAUSE = re.compile(r"[.,;:!-]\s+\Z")
 COMMENT = re.compile(r"\s*(?://+!?|#+!?|/\*+!?|\*+/?|--+|;+|<!--|%+|\"\"\"|'''|rem\b)\s*(.*)", re.I | re.S)
-HEADER_LINES = 25
 
 #: File names of lockfiles.
 LOCKFILES = ("package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "bun.lockb", "cargo.lock",
@@ -148,13 +147,11 @@ FEATURES = ("n_generated", "n_vendored", "chars", "dense_chars", "lines", "data_
 
 def features(text: str, is_patch: bool) -> tuple[int, ...]:
     gen = ven = chars = dense = lines = data = 0
-    head = 0  # header lines still to be read, 0 once code was seen
-    if not is_patch:
-        head = HEADER_LINES
+    head = not is_patch  # whether no code was seen yet
     for line in text.split("\n"):
         if is_patch:
             if line.startswith("@@"):
-                head = HEADER_LINES
+                head = True
                 continue
             if line.startswith("\\"):
                 continue
@@ -174,14 +171,13 @@ def features(text: str, is_patch: bool) -> tuple[int, ...]:
         if head:
             m = COMMENT.match(line)
             if m:
-                head -= 1
                 kind = notice(m[1])
                 if kind == "generated":
                     gen += 1
                 elif kind == "vendored":
                     ven += 1
             else:
-                head = 0
+                head = False
     return gen, ven, chars, dense, lines, data
 
 

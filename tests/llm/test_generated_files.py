@@ -27,6 +27,12 @@ def test_notice_only_in_header_comments():
     assert features('@@ -1 +1 @@\n+mark = "@generated"\n', True)[0] == 0
 
 
+def test_notice_below_a_long_header():
+    banner = "".join(f"# rule {i} of the house\n" for i in range(60))
+    assert features(banner + "# @generated\nx = 1\n# @generated\n", False)[0] == 1
+    assert features("@@ -0,0 +1,62 @@\n" + "".join(f"+{x}\n" for x in banner.splitlines()) + "+# @generated\n+x = 1\n", True)[0] == 1
+
+
 def test_files(spark):
     table = "@@ -1 +1 @@\n var t = []int{\n" + "+  0x23, 0xc2, 0xd6,\n" * 8 + " }"
     dense = "@@ -1 +1 @@\n+" + "var a=b(c);d&&(e=f[3]);" * 60
