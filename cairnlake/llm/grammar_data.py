@@ -284,6 +284,7 @@ class _YamlLexer:
     """Lines -> kinds; INDENT and DEDENT from columns, continuation lines of scalars taken in."""
 
     def __init__(self, text: str):
+        self.text = text
         self.lines = text.split("\n")
         self.starts = [0]
         for x in self.lines:
@@ -395,8 +396,7 @@ class _YamlLexer:
                 self.put("NL", self.starts[min(i, len(self.lines))])
                 return i
             if c in "\"'":
-                text = "\n".join(self.lines[i:i + 2000])[col:]
-                m = (_Y_DQ if c == '"' else _Y_SQ).match(text)
+                m = (_Y_DQ if c == '"' else _Y_SQ).match(self.text, self.starts[i] + col)
                 if not m:
                     self.put("BAD", base + col)
                     return i + 1
@@ -520,8 +520,7 @@ class _YamlLexer:
                 self.put(":", base + col)
                 col += 1
             elif c in "\"'":
-                text = "\n".join(self.lines[i:i + 2000])[col:]
-                m = (_Y_DQ if c == '"' else _Y_SQ).match(text)
+                m = (_Y_DQ if c == '"' else _Y_SQ).match(self.text, self.starts[i] + col)
                 if not m:
                     self.put("BAD", base + col)
                     return None

@@ -12,7 +12,8 @@ Defined results
 - languages without a grammar are no files here. Null language: left out.
 - null content is empty; null start_line is 1. Lines in no chunk are blank; CRLF counts as LF.
 - repeated rows count once. Chunks that overlap: the later start wins where it is not blank, of equal starts the longer.
-- an empty file is valid but in JSON. Extra columns are ignored. Nesting beyond the parser's stack: valid, cause 'too deep'.
+- an empty file is valid but in JSON. Extra columns are ignored. Nesting beyond the grammar's stack: JSON is checked without one, Python
+  and TOML by the standard library; where that gives out too, and in the other languages, the file counts as valid, cause 'too deep'.
 """
 
 from __future__ import annotations
@@ -82,6 +83,64 @@ def _accepted(language: str, text: str) -> bool:
     return True
 
 
+_JSON = re.compile(r'[ \t\r\n]*(?:([{}\[\]:,])|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+(")|(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)(?![\w.+-]))')
+
+
+def deep_json(text: str) -> int | None:
+    """Offset at which JSON of any depth fails, None if it is valid."""
+    stack: list[str] = []
+    want, at = "value", 0  # value, first (value or end), key, first key (key or end), colon, next (comma or end)
+    while want != "next" or stack:
+        m = _JSON.match(text, at)
+        if not m:
+            return at
+        sign = m[1]
+        if want in ("value", "first") and sign in (None, "{", "["):
+            if sign:
+                stack.append(sign)
+            want = {None: "next", "{": "first key", "[": "first"}[sign]
+        elif want in ("key", "first key") and m[2]:
+            want = "colon"
+        elif want == "colon" and sign == ":":
+            want = "value"
+        elif want == "next" and sign == ",":
+            want = "key" if stack[-1] == "{" else "value"
+        elif sign and stack and (sign == "]" and stack[-1] == "[" and want in ("first", "next") or sign == "}" and stack[-1] == "{" and want in ("first key", "next")):
+            stack.pop()
+            want = "next"
+        else:
+            return at
+        at = m.end()
+    return None if not text[at:].strip(" \t\r\n") else at
+
+
+def _deep(language: str, text: str) -> tuple[bool, int | None, str | None]:
+    """The same as diagnose() for a file beyond the grammar's stack."""
+    if language == "json":
+        at = deep_json(text)
+        return (True, None, None) if at is None else (False, text.count("\n", 0, at) + 1, cause(text, at))
+    try:
+        if language == "python":
+            import ast
+            import warnings
+
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(text)
+        elif language == "toml":
+            import tomllib
+
+            tomllib.loads(text)
+        else:
+            return True, None, "too deep"
+    except (RecursionError, MemoryError):
+        return True, None, "too deep"
+    except (SyntaxError, ValueError) as e:
+        line = getattr(e, "lineno", None) or int((re.findall(r"at line (\d+)", str(e)) or [text.count("\n") + 1])[-1])
+        return False, line, cause(text, sum(len(x) for x in text.splitlines(True)[:line - 1]))
+    return True, None, None
+
+
 _checks: dict = {}
 
 
@@ -114,7 +173,7 @@ def diagnose(language: str, text: str) -> tuple[bool, int | None, str | None]:
     try:
         at = checker(language)(text)
     except RecursionError:
-        return True, None, "too deep"
+        return _deep(language, text)
     if at is None or _accepted(language, text):
         return True, None, None
     at = min(at, len(text))
@@ -151,4 +210,4 @@ def rates(files: DataFrame) -> DataFrame:
     causes = ("merge conflict", "truncated", "not text", "other language", "syntax")
     return files.groupBy("repository_id", "language").agg(
         F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("invalid"), F.round(F.avg(F.when(F.col("valid"), 0.0).otherwise(1.0)), 6).alias("rate"),
-        *[F.count_if(~F.col("valid") & (F.col("cause") == c)).alias(c.replace(" ", "_")) for c in causes])
+        *[F.count_if(~F.col("valid") & (F.col("cause") == c)).alias(c.replace(" ", "_")) for c in causes], F.count_if(F.col("cause") == "too deep").alias("too_deep"))

@@ -12,7 +12,7 @@ from cairnlake.llm.grammar_code import check_go, check_javascript, check_shell
 from cairnlake.llm.grammar_data import check_json, check_toml, check_yaml
 from cairnlake.llm.grammar_python import check as check_python
 from cairnlake.llm.peg import Lexicon, Parser
-from cairnlake.llm.syntax_errors import assemble, diagnose, parse_files, rates
+from cairnlake.llm.syntax_errors import assemble, deep_json, diagnose, parse_files, rates
 
 SCHEMA = "id string, repository_id string, blob_sha string, chunker_version string, language string, path string, start_line int, end_line int, content string, chunk string, valid string"
 
@@ -111,6 +111,22 @@ def test_diagnosis():
     assert diagnose("yaml", "a: [" * 30_000)[0] in (True, False)
 
 
+def test_deep_files():
+    n = 50_000
+    assert diagnose("json", "[" * n + "]" * n) == (True, None, None) and diagnose("json", '{"a": [' * n + "1")[::2] == (False, "truncated")
+    assert diagnose("json", "\n".join("[" * n) + "1 2" + "]" * n)[:2] == (False, n) and diagnose("json", "[" * n + "1,]" + "]" * n)[0] is False
+    assert diagnose("python", "x = " + "(" * n)[0] is False and diagnose("yaml", "a: " + "[" * n)[2] == "too deep"
+    for text in ('{"a": [1, -2.5e3, "\\u00e9", true, null, {}, []]}', '{"a" 1}', "[1 2]", "[,]", "{,}", '{"a": 1,}', "01", "[NaN]", '"\t"', "", "1 1", "]", '{"a"}', "{1: 2}", "-", "[1", '["a": 1]', " 1 ", "truex"):
+        assert (deep_json(text) is None) == diagnose("json", text)[0], text
+
+
+def test_long_quoted_scalars_in_yaml():
+    lines = "\n".join(["  word"] * 5_000)
+    for q in "\"'":
+        assert diagnose("yaml", f"a: {q}x\n{lines}{q}\nb: [{q}x\n{lines}{q}, 1]\n") == (True, None, None)
+    assert diagnose("yaml", f"a: 'x\n{lines}\nb: 1\n")[0] is False
+
+
 def test_files(spark):
     data = [("1", "r", "b1", "1", "python", "a.py", 1, 9, "def f():", "c", "v"), ("2", "r", "b1", "1", "python", "a.py", 2, 2, "    return 1", "c", "v"), ("2", "r", "b1", "1", "python", "a.py", 2, 2, "    return 1", "c", "v"),
             ("3", "r", "b2", "1", "python", "b.py", 1, 1, "def f(:", None, None), ("4", "r", "b2", "0", "python", "b.py", None, None, "x = 1", None, None), ("5", "r", "b3", "1", "markdown", "c.md", 1, 1, "(((", None, None),
