@@ -128,7 +128,7 @@ def looks_issued(value: str, vocabulary: str) -> bool:
 
 def looks_password(value: str) -> bool:
     """For names that say password: anything but words alone; people put digits and signs into theirs."""
-    if not 6 <= len(value) <= 200 or not literal(value) or re.search(r"\s", value):
+    if len(value) < 6 or not literal(value) or re.search(r"\s", value):
         return False
     return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value)) or classes(value) >= 3 and not re.fullmatch(r"[A-Za-z]+(?:[._:/-][A-Za-z]+)*[?.!]?", value)
 
@@ -170,20 +170,25 @@ def _literal_at(text: str, at: int, quote: str) -> list[tuple[int, int]] | None:
     """Spans of the literal whose opening quote ends at `at`, with the parts that adjoin it on the next lines."""
     if len(quote) == 3:
         end = text.find(quote, at)
-        return [(at, end)] if at <= end <= at + 20_000 else None
+        return [(at, end)] if at <= end else None
     spans = []
     while True:
         stop = text.find("\n", at)
         stop = len(text) if stop < 0 else stop
-        stop = min(len(text), at + 20_000) if quote == "`" else stop
+        stop = len(text) if quote == "`" else stop
         end = text.find(quote, at, stop)
-        while end > at and text[end - 1] == "\\" and (end - len(text[at:end].rstrip("\\")) - at) % 2:
+        while end > at and text[end - 1] == "\\":
+            first = end - 1
+            while first > at and text[first - 1] == "\\":
+                first -= 1
+            if (end - first) % 2 == 0:
+                break
             end = text.find(quote, end + 1, stop)
         if end < 0:
             return spans or None
         spans.append((at, end))
         m = CONTINUED.match(text, end + 1)
-        if not m or len(spans) > 200:
+        if not m:
             return spans
         quote, at = m[1], m.end()
 

@@ -41,6 +41,16 @@ def test_values_over_several_lines():
     assert [block[s:e] for s, e, _ in find(block, False)] == [KEY]
 
 
+def test_long_literals():
+    long = "".join(f"{KEY[i % 24:]}{KEY[:i % 24]}{i * 7919:x}" for i in range(1_000))
+    for q in ('"""', "`", '"'):
+        text = f"api_key = {q}{long}{q}\n"
+        assert [text[a:b] for a, b, _ in find(text, False)] == [long]
+    parts = "api_key = (" + "\n  ".join(f'"{KEY}"' for _ in range(300)) + ")\n"
+    assert KEY not in redact(parts, find(parts, False))
+    assert find(f'password = "{long[:300]}"', False) != []
+
+
 def test_private_keys():
     for text in (f'K = """{PEM}"""', "K = '" + PEM.replace("\n", "\\n") + "'", PEM.rsplit("\n", 1)[0]):
         spans = find(text, False)
