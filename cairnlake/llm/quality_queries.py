@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairnlake.llm.text_quality import STATS, measure, outlierness
+from cairnlake.llm.text_quality import NAMES, STATS, measure, outlierness
 from cairnlake.session import durable
 from cairnlake.sources.tables import load
 
@@ -14,8 +14,8 @@ def _stats(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Outliers of their language's prose; of those, the ones whose characters are mostly no prose, or that have no words."""
-    return outlierness(_stats(spark, data_dir)).filter("is_outlier and (words = 0 or junk_share > 0.5)").select("doc_id")
+    """Outliers of their language's prose, and documents without words."""
+    return outlierness(_stats(spark, data_dir)).filter("is_outlier").select("doc_id")
 
 
 def p9_statistics(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def p9_statistics(spark: SparkSession, data_dir: str) -> DataFrame:
 def p9_outlierness(spark: SparkSession, data_dir: str) -> DataFrame:
     """Distance of every document and the contribution of each statistic to it."""
     d = outlierness(_stats(spark, data_dir))
-    return d.select("doc_id", "language", "words", "is_outlier", F.round("distance", 4).alias("distance"), *[F.round(f"c_{s}", 4).alias(f"c_{s}") for s in STATS])
+    return d.select("doc_id", "language", "words", "is_outlier", F.round("distance", 4).alias("distance"), *[F.round(f"c_{s}", 4).alias(f"c_{s}") for s in NAMES])
 
 
 QUERIES = {"p9_found": p9_found, "p9_statistics": p9_statistics, "p9_outlierness": p9_outlierness}
