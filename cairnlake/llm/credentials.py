@@ -1,10 +1,12 @@
 """Credentials written out as literals in source code, configuration and patches, and their redaction.
 
-A literal is judged by how unnatural it is: characters per subword under the vocabulary of a public
-tokenizer. Words and identifiers take four or more characters per subword, random strings about two.
-Context rules decide which literals are looked at and how strict the test is: fixed formats of known
-issuers, private-key blocks, passwords in URLs, authorization headers, and literals given to a name that
-speaks of a secret, also when the literal continues over several lines.
+Literals and bare tokens are proposed broadly: whatever is given to a name that speaks of a secret, stands in a
+login, a header or a query string, or has the form of a known issuer. What is a credential is decided by how
+unnatural the value is: characters per subword under the vocabulary of a public tokenizer. Words and
+identifiers take three or more characters per subword, random strings under two, passwords that people
+make up of words, digits and signs are between. Context only moves the limit that a value has to stay under:
+up for names that say password and for logins, down to zero for references, placeholders, checksums and ids.
+Private-key blocks, whose body is not one literal, are found by their frame.
 
 Redaction overwrites each value with asterisks of the same length, line breaks kept, so every offset, line
 number, quote and delimiter around it stays as it was.
@@ -13,33 +15,52 @@ Defined results
 - null or empty text: no finding; the redacted text is the text.
 - a value over several lines is one finding, on the line on which it begins; two values on a line are one row.
 - repeated rows of an id give their findings once. Extra columns are ignored.
-- texts are read whole, whatever their length.
+- texts are read whole, whatever their length, in time linear in it.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Characters per subword below which a literal is unnatural.
-UNNATURAL = 2.75
+#: Characters per subword below which a literal is unnatural, and below which a password is that people made up.
+UNNATURAL, MADE_UP = 2.3, 3.5
 
 _encoders: dict[str, object] = {}
 
 
+def share(spark: SparkSession, vocabulary: str) -> str:
+    """Send a vocabulary file to the executors, where encoder() looks for it by its name."""
+    if "://" in vocabulary or os.path.exists(vocabulary):
+        spark.sparkContext.addFile(vocabulary)
+    return vocabulary
+
+
+def _local(vocabulary: str) -> str:
+    from pyspark import SparkFiles
+
+    if SparkFiles._is_running_on_worker:
+        sent = SparkFiles.get(os.path.basename(vocabulary))
+        if os.path.exists(sent):
+            return sent
+    return vocabulary
+
+
 def encoder(vocabulary: str):
     """The tokenizer of a rank file, built once per worker."""
     if vocabulary not in _encoders:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
+        with open(_local(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
         _encoders[vocabulary] = tiktoken.Encoding("credentials", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -67,25 +88,29 @@ ISSUED = re.compile(
     r"|key-[0-9a-f]{32}|SK[0-9a-f]{32}(?![0-9a-f])|EAA[A-Za-z0-9]{40,}|dckr_pat_[\w-]{20,})")
 PEM = re.compile(r"-----BEGIN (?!ENCRYPTED |PUBLIC |CERTIFICATE)((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+PEM_TAIL = re.compile(r"(?:\r?\n[ +-]?[ \t]*+[A-Za-z0-9+/=]{8,}+[ \t]*+(?=\r?\n|$)|(?:\\r)?\\n[A-Za-z0-9+/=]{8,}+)++")
 URL_LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://([^\s:/@\"'`<>]*):([^\s/@\"'`<>]+)@([^\s/:\"'`<>]+)")
 URL_QUERY = re.compile(r"[?&;](?:sig|signature|token|auth_?token|access_?token|refresh_?token|id_?token|key|api_?key|apikey|auth|secret|client_secret|passwd|password|pwd|"
                        r"x-amz-signature|x-goog-signature|code|sv_sig)=([^\s&\"'`#<>\\)]{8,})", re.I)
 HEADER = re.compile(r"\b(Basic|Bearer|Token|ApiKey|Digest)[ \t]+([A-Za-z0-9+/=._~-]{8,})")
 
-_BETWEEN = (r"(?:[\"'`]?\]?[ \t]*(?:(?::[ \t]*[A-Za-z_][\w\[\], |]*?)?[ \t]*(?::=|=>|(?<![=!<>])=(?!=)|:)|(?<=[\w$.-])[\"'`][ \t]*,)\s*)"
-            r"(?:(?:\[\]byte|str|bytes|bytearray|String|Secret\w*|[\w.]*b64decode|Buffer\.from|Some)?\(\s*)?[rbufRBUF]{0,2}(\"\"\"|\'\'\'|[\"'`])")
-#: A name that speaks of a secret, what stands between it and its literal, the literal's quote. The name's front part is read backwards.
-ASSIGNED = re.compile(r"((?i:kennwort|passwort|losung|contrase|clave|senha|mot_?de_?passe|wachtwoord|haslo|geheim|passw|passphrase|passcode|pwd|secret|token|key|credential|creds|bearer|auth|jwt|session|cookie)[\w$.-]*|(?i:pass|pw)(?:[0-9a-f]{3})?(?![\w$.-]))" + _BETWEEN)
+#: What stands between a name and its literal, and the literal's quote.
+BETWEEN = re.compile(r"(?:[\"'`]?\]?[ \t]*+(?::[ \t]*+[A-Za-z_][\w\[\], \t|]*+)?(?::=|=>|(?<![=!<>])=(?!=)|:)|(?<=[\w$.-])[\"'`][ \t]*+,)\s*+"
+                     r"(?:(?:\[\]byte|str|bytes|bytearray|String|Secret\w*+|[\w.]*b64decode|Buffer\.from|Some)?\(\s*+)?[rbufRBUF]{0,2}(\"\"\"|\'\'\'|[\"'`])")
+#: Part of a name that may speak of a secret; the whole name is judged by SECRET_NAME.
+HINT = re.compile(r"kennwort|passwort|losung|contrase|clave|senha|mot_?de_?passe|wachtwoord|haslo|geheim|pass|pw|secret|token|key|cred|bearer|auth|jwt|session|cookie", re.I)
+NAME_END = re.compile(r"[\w$.-]*+")
 #: Any name, used only on lines whose literal goes on over the next line.
-NAMED = re.compile(r"([A-Za-z_$][\w$.-]*)" + _BETWEEN)
-GOES_ON = re.compile(r"[\"'`][ \t]*(?:\\|\+|\.\.)?[ \t]*\r?\n[ +-]?[ \t]*(?:\+|\.\.)?[ \t]*[rbufRBUF]{0,2}[\"'`]")
+NAMED = re.compile(r"(?<![\w$.-])([A-Za-z_$][\w$.-]*+)")
+GOES_ON = re.compile(r"[\"'`][ \t]*+(?:(?:\\|\+|\.\.)[ \t]*+)?\r?\n[ +-]?[ \t]*+(?:(?:\+|\.\.)[ \t]*+)?[rbufRBUF]{0,2}[\"'`]")
 #: The same without quotes, as in YAML, shell, ini and prose.
-BARE = re.compile(r"(?<![\w$])([A-Za-z_][\w.-]*)(?:=|:[ \t]+)([^\s\"'`,;(){}\[\]<>$]{6,})(?=[\s,;\"'`]|$)", re.M)
+BARE = re.compile(r"(?<![\w$.-])[.-]*+([A-Za-z_][\w.-]*+)(?:=|:[ \t]++)([^\s\"'`,;(){}\[\]<>$]{6,})(?=[\s,;\"'`]|$)", re.M)
 BLOCK = re.compile(r"^([ +-]?[ \t]*)[\"']?([A-Za-z_][\w.-]*)[\"']?:[ \t]*[>|][+-]?\d?[ \t]*\r?$", re.M)
 #: Words for a password in other languages are names too. Prose and comments: "`name` to `value`", "| name | `value` |", "name value", "log in as `user` with `value`".
 PROSE = re.compile(r"[`|][ \t]*([A-Za-z_][\w.-]*)[ \t]*(?:`[^`|\n]{1,30}`|`?[ \t]*\|[ \t]*`?)([^`|\s]{6,})[ \t]*[`|]")
-SPACED = re.compile(r"(?<![\w$.-])([A-Za-z_][\w-]*)[ \t]+(?=[^\s]*\d)([^\s\"'`,;(){}\[\]<>$|]{8,})(?=[\"'`,;)]?\s|[\"'`,;)]?$)", re.M)
-COMMENTED = re.compile(r"(?:#|//|--|;|<!--)[^\n]{0,80}?(?<![\w$.-])([A-Za-z_][\w-]*)[ \t]+(\S{8,}?)[ \t]*(?:-->)?\r?$", re.M)
+SPACED = re.compile(r"(?<![\w$.-])([A-Za-z_][\w-]*+)[ \t]++(?=[^\s]*\d)([^\s\"'`,;(){}\[\]<>$|]{8,})(?=[\"'`,;)]?\s|[\"'`,;)]?$)", re.M)
+LAST_WORDS = re.compile(r"(?<![\w$.-])([A-Za-z_][\w-]*+)[ \t]++(\S{8,}?)[ \t]*+(?:-->)?\r?$", re.M)
+COMMENT_SIGN = re.compile(r"#|//|--|;|<!--")
 LOGIN = re.compile(r"\b(?:log(?:ged)?[ -]?(?:in|on)|sign(?:ed)?[ -]?in|connect|authenticate)\b[^`\"'\n(=]{0,30}[`\"'][^`\"'\n]{1,60}[`\"'][^`\"'\n=(]{1,20}[`\"']([^`\"'\s]{6,})[`\"']", re.I)
 SECRET_NAME = re.compile(r"kennwort|passwort|losung|contrase|clave|senha|mot_?de_?passe|wachtwoord|haslo|geheim|(?:^|[_a-z])(?:pass|pw)(?:[0-9a-f]{3})?$|passw|passphrase|passcode|pwd|secret|token|(?:api|access|private|signing|sign|service|account|encryption|hmac|master|auth|client|deploy|license|"
                          r"storage|shared|maps|stripe|aws|s3|g|ssh|db|app|web|hook|jwt|crypt|bot|admin|user)[_-]?key|_key|key$|credential|creds|bearer|auth|jwt|session|cookie", re.I)
@@ -112,58 +137,54 @@ HEX = re.compile(r"[0-9a-f]{16,}", re.I)
 LOCAL = re.compile(r"localhost|127\.0\.0\.1|\[?::1\]?|0\.0\.0\.0", re.I)
 
 
+#: Numbers, dates and patterns, whose subwords are short for other reasons, and names of files and hosts.
+NO_VALUE = re.compile(r"[\d.:/T-]+|.*(?:\(\?|\[\^|\\[bdsw]).*|[\w.-]+\.(?:py|js|ts|go|json|ya?ml|toml|pem|crt|txt|md|com|org|net|io|invalid|example|test)", re.S)
+
+
 def literal(value: str) -> bool:
     """Neither a reference nor a placeholder."""
     return not REFERENCE.search(value) and not PLACEHOLDER.search(value)
 
 
-def classes(value: str) -> int:
-    return bool(re.search("[a-z]", value)) + bool(re.search("[A-Z]", value)) + bool(re.search("[0-9]", value)) + bool(re.search("[^A-Za-z0-9]", value))
+def unnatural(value: str, limit: float, vocabulary: str) -> bool:
+    """The one test that makes a value a credential."""
+    return limit > 0 and bool(value) and chars_per_subword(value, vocabulary) < limit
 
 
-def looks_issued(value: str, vocabulary: str) -> bool:
-    """A random body behind the issuer's prefix."""
-    return literal(value) and len(set(value)) >= 9 and chars_per_subword(value, vocabulary) < UNNATURAL
+def limit(name: str, value: str) -> float:
+    """The characters per subword under which a value given to a name is a credential; 0: it never is."""
+    if re.search(r"\s", value) or OTHER_NAME.search(name) or OTHER_NAME_I.search(name) or not literal(value) or NO_VALUE.fullmatch(value):
+        return 0.0
+    if UUID.fullmatch(value) or HEX.fullmatch(value):  # ids and checksums look the same
+        return UNNATURAL if STRONG_NAME.search(name) else 0.0
+    if PASSWORD_NAME.search(name):
+        return MADE_UP if len(value) >= 6 else 0.0
+    return UNNATURAL if len(value) >= 10 else 0.0
 
 
-def looks_password(value: str) -> bool:
-    """For names that say password: anything but words alone; people put digits and signs into theirs."""
-    if len(value) < 6 or not literal(value) or re.search(r"\s", value):
-        return False
-    return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value)) or classes(value) >= 3 and not re.fullmatch(r"[A-Za-z]+(?:[._:/-][A-Za-z]+)*[?.!]?", value)
+def looks_issued(value: str, vocabulary: str) -> bool:
+    """A random body behind the issuer's prefix."""
+    return unnatural(value, UNNATURAL if literal(value) and len(set(value)) >= 9 else 0.0, vocabulary)
 
 
-#: Words joined by signs, numbers alone, and patterns are no random strings, however rare their subwords are.
-WORDY = re.compile(r"_*(?:[a-z]+|[A-Z]+|(?:[A-Z][a-z]+)+|[a-z]+(?:[A-Z][a-z]+)+)(?:[._/:-]+(?:[a-z]+|[A-Z]+|(?:[A-Z][a-z]+)+|[a-z]+(?:[A-Z][a-z]+)+))+_*|[\d.:/T-]+|.*(?:\(\?|\[\^|\\[bdsw]).*|[a-z]+(?:[A-Z][a-z]+){1,3}")
+def looks_password(value: str, vocabulary: str) -> bool:
+    """Where a password is expected."""
+    return unnatural(value, MADE_UP if literal(value) and not re.search(r"\s", value) else 0.0, vocabulary)
 
 
 def looks_secret(name: str, value: str, vocabulary: str) -> bool:
-    if OTHER_NAME.search(name) or OTHER_NAME_I.search(name) or not literal(value):
-        return False
-    if PASSWORD_NAME.search(name) and looks_password(value):
-        return True
-    if len(value) < 10 or re.search(r"\s", value) or classes(value) < 2 and not HEX.fullmatch(value):
-        return False
-    if not re.search("[0-9]", value) and classes(value) < 3 and len(value) < 24:
-        return False
-    if re.fullmatch(r"[\w.-]+\.(?:py|js|ts|go|json|ya?ml|toml|pem|crt|txt|md|com|org|net|io|invalid|example|test)", value):
-        return False
-    if WORDY.fullmatch(value):
-        return False
-    if UUID.fullmatch(value) or HEX.fullmatch(value):
-        return bool(STRONG_NAME.search(name))
-    return chars_per_subword(value, vocabulary) < UNNATURAL
+    return unnatural(value, limit(name, value), vocabulary)
 
 
-def looks_basic(value: str) -> bool:
+def looks_basic(value: str, vocabulary: str) -> bool:
     try:
         user, sep, password = base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode().partition(":")
     except (ValueError, binascii.Error):
         return False
-    return bool(sep) and len(password) >= 3 and literal(password)
+    return bool(sep) and unnatural(password, MADE_UP if len(password) >= 3 and literal(password) else 0.0, vocabulary)
 
 
-CONTINUED = re.compile(r"[ \t]*(?:\\|\+|\.\.)?[ \t]*\r?\n[ +-]?[ \t]*(?:\+|\.\.)?[ \t]*[rbufRBUF]{0,2}([\"'`])")
+CONTINUED = re.compile(r"[ \t]*+(?:(?:\\|\+|\.\.)[ \t]*+)?\r?\n[ +-]?[ \t]*+(?:(?:\+|\.\.)[ \t]*+)?[rbufRBUF]{0,2}([\"'`])")
 
 
 def _literal_at(text: str, at: int, quote: str) -> list[tuple[int, int]] | None:
@@ -194,7 +215,33 @@ def _literal_at(text: str, at: int, quote: str) -> list[tuple[int, int]] | None:
 
 
 def _comma(m: re.Match) -> bool:
-    return m[0][:m.start(2) - m.start()].rstrip(" \t\r\nrbufRBUF").endswith(",")
+    return m[0][:m.start(1) - m.start()].rstrip(" \t\r\nrbufRBUF").endswith(",")
+
+
+def _secret_names(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the names with a hint in them; each name is gone through once."""
+    at = 0
+    while m := HINT.search(text, at):
+        begin = m.start()
+        while begin > at and (text[begin - 1].isalnum() or text[begin - 1] in "_$.-"):
+            begin -= 1
+        at = NAME_END.match(text, m.end()).end()
+        yield begin, at
+
+
+def _private_keys(text: str) -> Iterator[tuple[int, int]]:
+    ends, begins = list(PEM_END.finditer(text)), list(PEM.finditer(text))
+    stops = [e.start() for e in ends]
+    for k, m in enumerate(begins):
+        e = bisect.bisect_left(stops, m.end())
+        if e < len(ends) and not (k + 1 < len(begins) and begins[k + 1].start() < stops[e]):
+            end, stop = ends[e].end(), stops[e]
+        else:  # cut off: the lines of base64 that follow
+            tail = PEM_TAIL.match(text, m.end())
+            end = stop = tail.end() if tail else m.end()
+        body = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", text[m.end():stop])
+        if len(body) >= 16 and len(set(body)) >= 10:
+            yield m.start(), end
 
 
 def _judge(text: str, name: str, secret: bool, got: list[tuple[int, int]] | None, vocabulary: str) -> list[tuple[int, int, str]]:
@@ -213,11 +260,11 @@ def known_format(value: str, vocabulary: str) -> str | None:
     if ISSUED.fullmatch(value):
         return "key" if looks_issued(value, vocabulary) else None
     if h := HEADER.fullmatch(value):
-        return "header" if (looks_basic(h[2]) if h[1] == "Basic" else literal(h[2]) and chars_per_subword(h[2], vocabulary) < UNNATURAL) else None
+        return "header" if (looks_basic(h[2], vocabulary) if h[1] == "Basic" else unnatural(h[2], UNNATURAL * literal(h[2]), vocabulary)) else None
     if u := URL_LOGIN.match(value):
-        return "password in url" if literal(u[2]) and not LOCAL.fullmatch(u[3]) and re.search(r"[0-9]", u[2]) else None
+        return "password in url" if not LOCAL.fullmatch(u[3]) and looks_password(u[2], vocabulary) else None
     if k := URL_QUERY.search(value):
-        return "token in url" if literal(k[1]) and chars_per_subword(k[1], vocabulary) < UNNATURAL else None
+        return "token in url" if unnatural(k[1], UNNATURAL * literal(k[1]), vocabulary) else None
     return "private key" if PEM.search(value) else None
 
 
@@ -230,71 +277,64 @@ def find(text: str, is_patch: bool, vocabulary: str = VOCABULARY, code: bool = T
     of which only the first has a kind other than 'part'."""
     out: list[tuple[int, int, str]] = []
     if "PRIVATE KEY" in text:
-        for m in PEM.finditer(text):
-            e = PEM_END.search(text, m.end())
-            nxt = PEM.search(text, m.end())
-            if e and not (nxt and nxt.start() < e.start()):
-                end = e.end()
-            else:  # cut off: the lines of base64 that follow
-                tail = re.compile(r"(?:\r?\n[ +-]?[ \t]*[A-Za-z0-9+/=]{8,}[ \t]*(?=\r?\n|$)|(?:\\r)?\\n[A-Za-z0-9+/=]{8,})+").match(text, m.end())
-                end = tail.end() if tail else m.end()
-            body = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", text[m.end():e.start() if e and end == e.end() else end])
-            if len(body) >= 16 and len(set(body)) >= 10:
-                out.append((m.start(), end, "private key"))
+        out.extend((a, b, "private key") for a, b in _private_keys(text))
     for m in ISSUED.finditer(text):
         if looks_issued(m[1], vocabulary):
             out.append((m.start(1), m.end(1), "key"))
     if "://" in text:
         for m in URL_LOGIN.finditer(text):
-            if literal(m[2]) and not (LOCAL.fullmatch(m[3]) and re.fullmatch(r"pass(?:word)?|passwd|pwd|secret", m[2], re.I)) and (
-                    re.search(r"[0-9]", m[2]) or classes(m[2]) >= 2 and chars_per_subword(m[2], vocabulary) < 3.5):
+            if not (LOCAL.fullmatch(m[3]) and re.fullmatch(r"pass(?:word)?|passwd|pwd|secret", m[2], re.I)) and looks_password(m[2], vocabulary):
                 out.append((m.start(2), m.end(2), "password in url"))
     if "=" in text:
         for m in URL_QUERY.finditer(text):
-            if literal(m[1]) and classes(m[1]) >= 2 and chars_per_subword(m[1], vocabulary) < UNNATURAL:
+            if unnatural(m[1], UNNATURAL * literal(m[1]), vocabulary):
                 out.append((m.start(1), m.end(1), "token in url"))
     low = text.lower()
     hinted = any(h in low for h in HINTS)
     for m in HEADER.finditer(text) if "Basic" in text or "Bearer" in text or "Token" in text or "ApiKey" in text else ():
-        if m[1] == "Basic":
-            good = looks_basic(m[2])
-        else:
-            good = literal(m[2]) and len(m[2]) >= 16 and classes(m[2]) >= 2 and chars_per_subword(m[2], vocabulary) < UNNATURAL
-        if good:
+        if looks_basic(m[2], vocabulary) if m[1] == "Basic" else unnatural(m[2], UNNATURAL * (literal(m[2]) and len(m[2]) >= 16), vocabulary):
             out.append((m.start(2), m.end(2), "header"))
-    for m in ASSIGNED.finditer(text) if hinted else ():
-        begin = m.start()
-        while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_$.-"):
-            begin -= 1
-        name = text[begin:m.end(1)].lstrip("-.$0123456789")
+    for begin, end in _secret_names(text) if hinted else ():
+        m = BETWEEN.match(text, end)
+        if not m:
+            continue
+        name = text[begin:end].lstrip("-.$0123456789")
         if not name or _comma(m) and (begin == 0 or text[begin - 1] not in "\"'`" or "\n" in m[0]) or not SECRET_NAME.search(name):
             continue
-        out.extend(_judge(text, name, True, _literal_at(text, m.end(), m[2]), vocabulary))
+        out.extend(_judge(text, name, True, _literal_at(text, m.end(), m[1]), vocabulary))
     line = -1
     for g in GOES_ON.finditer(text):
         at = text.rfind("\n", 0, g.start()) + 1
         if at == line:
             continue
         line = at
-        m = NAMED.search(text, at, g.start() + 1)
-        if m and not SECRET_NAME.search(m[1]) and not _comma(m):
-            out.extend(_judge(text, m[1], False, _literal_at(text, m.end(), m[2]), vocabulary))
+        for n in NAMED.finditer(text, at, g.start() + 1):
+            m = BETWEEN.match(text, n.end(), g.start() + 1)
+            if m:
+                if not SECRET_NAME.search(n[1]) and not _comma(m):
+                    out.extend(_judge(text, n[1], False, _literal_at(text, m.end(), m[1]), vocabulary))
+                break
     for m in BARE.finditer(text) if hinted else ():
-        if code and m[0][len(m[1])] == "=" and re.fullmatch(r"[A-Za-z_][\w.]*", m[2]) and not (
-                len(m[2]) >= 16 and classes(m[2].replace("_", "").replace(".", "")) == 3 and len(re.findall("[0-9]", m[2])) >= 2):
-            continue  # a keyword argument is given a name, not a literal
-        if SECRET_NAME.search(m[1]) and looks_secret(m[1], m[2].rstrip("\\."), vocabulary):
-            out.append((m.start(2), m.start(2) + len(m[2].rstrip("\\.")), "password" if PASSWORD_NAME.search(m[1]) else "key"))
+        if not SECRET_NAME.search(m[1]):
+            continue
+        value = m[2].rstrip("\\.")
+        # a keyword argument is given a name, not a literal
+        if code and m[0].lstrip(".-")[len(m[1])] == "=" and re.fullmatch(r"[A-Za-z_][\w.]*", m[2]) and not (len(m[2]) >= 16 and unnatural(m[2], UNNATURAL, vocabulary) and len(re.findall("[0-9]", m[2])) >= 2):
+            continue
+        if looks_secret(m[1], value, vocabulary):
+            out.append((m.start(2), m.start(2) + len(value), "password" if PASSWORD_NAME.search(m[1]) else "key"))
     for m in PROSE.finditer(text) if hinted and ("`" in text or "|" in text) else ():
         if SECRET_NAME.search(m[1]) and looks_secret(m[1], m[2], vocabulary):
             out.append((m.start(2), m.end(2), "password" if PASSWORD_NAME.search(m[1]) else "key"))
     for m in LOGIN.finditer(text) if "log" in low or "sign" in low or "connect" in low or "authenticate" in low else ():
-        if looks_password(m[1]):
+        if looks_password(m[1], vocabulary):
             out.append((m.start(1), m.end(1), "password"))
-    for m in [*SPACED.finditer(text), *COMMENTED.finditer(text)] if hinted else ():
-        if SECRET_NAME.search(m[1]) and re.search("[0-9]", m[2]) and classes(m[2]) >= 2 and looks_secret(m[1], m[2], vocabulary) and (
-                PASSWORD_NAME.search(m[1]) and not re.fullmatch(r"[\w.]+", m[2]) or chars_per_subword(m[2], vocabulary) < UNNATURAL):
-            out.append((m.start(2), m.end(2), "password" if PASSWORD_NAME.search(m[1]) else "key"))
+    for m in [*SPACED.finditer(text), *(m for m in LAST_WORDS.finditer(text) if SECRET_NAME.search(m[1]) and COMMENT_SIGN.search(text, text.rfind("\n", 0, m.start()) + 1, m.start()))] if hinted else ():
+        # words that merely follow a name: the limit is lower, but for values with signs that no identifier has
+        if SECRET_NAME.search(m[1]) and re.search("[0-9]", m[2]):
+            most = limit(m[1], m[2])
+            if unnatural(m[2], most if re.search(r"[^\w.]", m[2]) else min(most, UNNATURAL), vocabulary):
+                out.append((m.start(2), m.end(2), "password" if PASSWORD_NAME.search(m[1]) else "key"))
     for m in BLOCK.finditer(text) if ">" in text or "|" in text else ():
         indent = len(m[1])
         spans, at = [], m.end() + 1
@@ -367,11 +407,13 @@ def _scan(is_patch: bool, vocabulary: str, redacted: bool):
 
 def scan(rows: DataFrame, *, row_id: str = "id", text: str = "content", is_patch: bool = False, vocabulary: str = VOCABULARY) -> DataFrame:
     """(row_id, line_no, kind, start_char, end_char): the values found, no shuffle but for the few findings."""
+    share(rows.sparkSession, vocabulary)
     slim = rows.select(F.col(row_id).cast("string").alias("row_id"), F.col(text).alias("text"))
     return slim.mapInArrow(_scan(is_patch, vocabulary, False), "row_id string, line_no int, kind string, start_char int, end_char int").distinct()
 
 
 def redact_rows(rows: DataFrame, *, row_id: str = "id", text: str = "content", is_patch: bool = False, vocabulary: str = VOCABULARY) -> DataFrame:
     """(row_id, n_found, redacted) of every row, repeated rows included."""
+    share(rows.sparkSession, vocabulary)
     slim = rows.select(F.col(row_id).cast("string").alias("row_id"), F.col(text).alias("text"))
     return slim.mapInArrow(_scan(is_patch, vocabulary, True), "row_id string, n_found int, redacted string")

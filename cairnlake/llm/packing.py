@@ -18,25 +18,20 @@ Defined results
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cairnlake.llm.credentials import VOCABULARY, encoder
+from cairnlake.llm.credentials import VOCABULARY, encoder, share
 from cairnlake.session import durable
 
 CAPACITY, FULL_SHARE, ITEMS_PER_PARTITION = 4096, 0.995, 50_000
-LONG_RUN = re.compile(r"\S{4000}")
 
 
 def count_tokens(text: str, vocabulary: str = VOCABULARY) -> int:
-    enc = encoder(vocabulary)
-    if len(text) > 4000 and LONG_RUN.search(text):  # merging is slow on endless words: count them in parts
-        return sum(len(enc.encode_ordinary(x)) for x in LONG_RUN.sub(lambda m: m[0] + "\0", text).split("\0") if x)
-    return len(enc.encode_ordinary(text))
+    return len(encoder(vocabulary).encode_ordinary(text))
 
 
 def _sizes(vocabulary: str):
@@ -49,6 +44,7 @@ def _sizes(vocabulary: str):
 
 def token_sizes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, tokens), one row per document."""
+    share(docs.sparkSession, vocabulary)
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
     return slim.mapInArrow(_sizes(vocabulary), "doc_id bigint, tokens bigint").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
