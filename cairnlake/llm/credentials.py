@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Characters per subword below which a literal is unnatural, and below which a password is that people made up.
-UNNATURAL, MADE_UP = 2.3, 3.5
+#: Characters per subword below which a literal of letters alone, of letters and digits, and a password that people made up is unnatural.
+UNNATURAL, MIXED, MADE_UP = 2.3, 2.75, 4.0
 
 _encoders: dict[str, object] = {}
 
@@ -151,25 +151,35 @@ def unnatural(value: str, limit: float, vocabulary: str) -> bool:
     return limit > 0 and bool(value) and chars_per_subword(value, vocabulary) < limit
 
 
+def usual(value: str, most: float) -> float:
+    """The limit by what the value is made of: words and names hold few digits."""
+    return most if re.search("[0-9]", value) else min(most, UNNATURAL)
+
+
 def limit(name: str, value: str) -> float:
     """The characters per subword under which a value given to a name is a credential; 0: it never is."""
     if re.search(r"\s", value) or OTHER_NAME.search(name) or OTHER_NAME_I.search(name) or not literal(value) or NO_VALUE.fullmatch(value):
         return 0.0
     if UUID.fullmatch(value) or HEX.fullmatch(value):  # ids and checksums look the same
-        return UNNATURAL if STRONG_NAME.search(name) else 0.0
+        return MIXED if STRONG_NAME.search(name) else 0.0
     if PASSWORD_NAME.search(name):
-        return MADE_UP if len(value) >= 6 else 0.0
-    return UNNATURAL if len(value) >= 10 else 0.0
+        return usual(value, MADE_UP) if len(value) >= 6 else 0.0
+    return usual(value, MIXED) if len(value) >= 10 else 0.0
 
 
 def looks_issued(value: str, vocabulary: str) -> bool:
     """A random body behind the issuer's prefix."""
-    return unnatural(value, UNNATURAL if literal(value) and len(set(value)) >= 9 else 0.0, vocabulary)
+    return unnatural(value, MIXED if literal(value) and len(set(value)) >= 9 else 0.0, vocabulary)
+
+
+def looks_token(value: str, vocabulary: str) -> bool:
+    """Where a token is expected."""
+    return unnatural(value, usual(value, MIXED) if literal(value) else 0.0, vocabulary)
 
 
 def looks_password(value: str, vocabulary: str) -> bool:
     """Where a password is expected."""
-    return unnatural(value, MADE_UP if literal(value) and not re.search(r"\s", value) else 0.0, vocabulary)
+    return unnatural(value, usual(value, MADE_UP) if literal(value) and not re.search(r"\s", value) else 0.0, vocabulary)
 
 
 def looks_secret(name: str, value: str, vocabulary: str) -> bool:
@@ -181,7 +191,7 @@ def looks_basic(value: str, vocabulary: str) -> bool:
         user, sep, password = base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode().partition(":")
     except (ValueError, binascii.Error):
         return False
-    return bool(sep) and unnatural(password, MADE_UP if len(password) >= 3 and literal(password) else 0.0, vocabulary)
+    return bool(sep) and len(password) >= 3 and looks_password(password, vocabulary)
 
 
 CONTINUED = re.compile(r"[ \t]*+(?:(?:\\|\+|\.\.)[ \t]*+)?\r?\n[ +-]?[ \t]*+(?:(?:\+|\.\.)[ \t]*+)?[rbufRBUF]{0,2}([\"'`])")
@@ -260,11 +270,11 @@ def known_format(value: str, vocabulary: str) -> str | None:
     if ISSUED.fullmatch(value):
         return "key" if looks_issued(value, vocabulary) else None
     if h := HEADER.fullmatch(value):
-        return "header" if (looks_basic(h[2], vocabulary) if h[1] == "Basic" else unnatural(h[2], UNNATURAL * literal(h[2]), vocabulary)) else None
+        return "header" if (looks_basic(h[2], vocabulary) if h[1] == "Basic" else looks_token(h[2], vocabulary)) else None
     if u := URL_LOGIN.match(value):
         return "password in url" if not LOCAL.fullmatch(u[3]) and looks_password(u[2], vocabulary) else None
     if k := URL_QUERY.search(value):
-        return "token in url" if unnatural(k[1], UNNATURAL * literal(k[1]), vocabulary) else None
+        return "token in url" if looks_token(k[1], vocabulary) else None
     return "private key" if PEM.search(value) else None
 
 
@@ -287,12 +297,12 @@ def find(text: str, is_patch: bool, vocabulary: str = VOCABULARY, code: bool = T
                 out.append((m.start(2), m.end(2), "password in url"))
     if "=" in text:
         for m in URL_QUERY.finditer(text):
-            if unnatural(m[1], UNNATURAL * literal(m[1]), vocabulary):
+            if looks_token(m[1], vocabulary):
                 out.append((m.start(1), m.end(1), "token in url"))
     low = text.lower()
     hinted = any(h in low for h in HINTS)
     for m in HEADER.finditer(text) if "Basic" in text or "Bearer" in text or "Token" in text or "ApiKey" in text else ():
-        if looks_basic(m[2], vocabulary) if m[1] == "Basic" else unnatural(m[2], UNNATURAL * (literal(m[2]) and len(m[2]) >= 16), vocabulary):
+        if looks_basic(m[2], vocabulary) if m[1] == "Basic" else len(m[2]) >= 16 and looks_token(m[2], vocabulary):
             out.append((m.start(2), m.end(2), "header"))
     for begin, end in _secret_names(text) if hinted else ():
         m = BETWEEN.match(text, end)
@@ -319,12 +329,13 @@ def find(text: str, is_patch: bool, vocabulary: str = VOCABULARY, code: bool = T
             continue
         value = m[2].rstrip("\\.")
         # a keyword argument is given a name, not a literal
-        if code and m[0].lstrip(".-")[len(m[1])] == "=" and re.fullmatch(r"[A-Za-z_][\w.]*", m[2]) and not (len(m[2]) >= 16 and unnatural(m[2], UNNATURAL, vocabulary) and len(re.findall("[0-9]", m[2])) >= 2):
+        if code and m[0].lstrip(".-")[len(m[1])] == "=" and re.fullmatch(r"[A-Za-z_][\w.]*", m[2]) and not (len(m[2]) >= 16 and unnatural(m[2], MIXED, vocabulary) and len(re.findall("[0-9]", m[2])) >= 2):
             continue
         if looks_secret(m[1], value, vocabulary):
             out.append((m.start(2), m.start(2) + len(value), "password" if PASSWORD_NAME.search(m[1]) else "key"))
     for m in PROSE.finditer(text) if hinted and ("`" in text or "|" in text) else ():
-        if SECRET_NAME.search(m[1]) and looks_secret(m[1], m[2], vocabulary):
+        # beside each other stand also names of the code
+        if SECRET_NAME.search(m[1]) and re.search("[0-9]", m[2]) and looks_secret(m[1], m[2], vocabulary):
             out.append((m.start(2), m.end(2), "password" if PASSWORD_NAME.search(m[1]) else "key"))
     for m in LOGIN.finditer(text) if "log" in low or "sign" in low or "connect" in low or "authenticate" in low else ():
         if looks_password(m[1], vocabulary):
@@ -333,7 +344,7 @@ def find(text: str, is_patch: bool, vocabulary: str = VOCABULARY, code: bool = T
         # words that merely follow a name: the limit is lower, but for values with signs that no identifier has
         if SECRET_NAME.search(m[1]) and re.search("[0-9]", m[2]):
             most = limit(m[1], m[2])
-            if unnatural(m[2], most if re.search(r"[^\w.]", m[2]) else min(most, UNNATURAL), vocabulary):
+            if unnatural(m[2], most if re.search(r"[^\w.]", m[2]) else min(most, MIXED), vocabulary):
                 out.append((m.start(2), m.end(2), "password" if PASSWORD_NAME.search(m[1]) else "key"))
     for m in BLOCK.finditer(text) if ">" in text or "|" in text else ():
         indent = len(m[1])
