@@ -7,7 +7,8 @@ into a few numbers, and a file is judged by the sums over all its rows.
 
 A notice counts only where it stands in a comment before any code, at the start of the comment or after a
 few connecting words: code that holds a notice in a string, or a comment saying that something writes or
-tests one, does not count. A folder name alone (vendor/, dist/, generated/) never counts.
+tests one, does not count. Terms of a licence alone do not make a file vendored, for a project's own files have
+them too; a foreign holder or origin does. A folder name alone (vendor/, dist/, generated/) never counts.
 
 Defined results
 - null path: no file, left out. null repository: the files of repository null.
@@ -73,21 +74,15 @@ NOTICES = {
     "third party code": "vendored",
     "do not patch": "vendored",
     "project contributors": "vendored",
-    "redistribution in source": "vendored",
-    "redistribution and use in source": "vendored",
-    "permission is hereby granted, free of charge": "vendored",
     "authors | mit": "vendored",
     "authors | bsd": "vendored",
     "authors | apache": "vendored",
-    "@license": "vendored",
-    "@preserve": "vendored",
-    "licensed under the mit": "vendored",
 }
 #: Words that may stand before a notice within its comment.
-LEAD = re.compile(r"(?:[\W_]*(?:this|the|file|code|source|module|is|was|has|been|are|warning|note|notice|caution|important|please|"
-                  r"copyright|\(c\)|v?\d+(?:\.\d+)*|\d{4}|by|all|content|contents|manual|any|your|in|here|and|will|be)\b)*[\W_]*\Z")
-#: Orders such as "do not edit" may also follow a clause.
-CLAUSE = re.compile(r"[.,;:!-]\s+\Z")
+LEAD = re.compile(r"(?:[\W_]*+(?:this|the|file|code|source|module|is|was|has|been|are|warning|note|notice|caution|important|please|"
+                  r"copyright|c|v?\d++|by|all|content|contents|manual|any|your|in|here|and|will|be)\b)*+[\W_]*+")
+#: Orders, which may also follow a clause, and names of holders, which may follow anything.
+ORDERS, HOLDERS = ("do not", "don't", "nicht", "no ", "ne pas"), ("authors |", "project contributors")
 COMMENT = re.compile(r"\s*(?://+!?|#+!?|/\*+!?|\*+/?|--+|;+|<!--|%+|\"\"\"|'''|rem\b)\s*(.*)", re.I | re.S)
 
 #: File names of lockfiles.
@@ -107,9 +102,10 @@ PATHS = {
                  r"|\.(generated|gen|designer|g|g\.i|freezed)\.[a-z]+$|(_gen|_generated|\.generated)\.(go|py|ts|js|rs|java|cs|dart)$|(^|/)__snapshots__/[^/]*\.snap$|\.snap$",
 }
 
+#: Numbers and strings of data; every part takes what it can and gives nothing back, so a line is gone through once.
 DATA_LINE = re.compile(
-    r"""\s*(?:[\[({]*\s*(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d*)?(?:[eE][-+]?\d+)?|\.\d+)[fFuUlL]*\s*[,;\s]*[\])}]*[,;]?\s*[\[({]*)+"""
-    r"""|["'][A-Za-z0-9+/=_-]{40,}["']\s*[,;+\\]?|(?:\\x[0-9a-fA-F]{2}){4,}.*|["'](?:\\x[0-9a-fA-F]{2}){4,}.*|[A-Za-z0-9+/=]{60,})\s*""")
+    r"""\s*+(?:[\[({]*+(?:[-+]?(?:0[xX][0-9a-fA-F]++|\d++(?:\.\d*+)?+(?:[eE][-+]?\d++)?+|\.\d++)[fFuUlL]*+(?![\w.])[,;\s\[\](){}]*+)++"""
+    r"""|["'][A-Za-z0-9+/=_-]{40,}+["']\s*+[,;+\\]?|(?:\\x[0-9a-fA-F]{2}){4,}+.*|["'](?:\\x[0-9a-fA-F]{2}){4,}+.*|[A-Za-z0-9+/=]{60,}+)\s*+""")
 BRACKETS = re.compile(r"[\s\[\](){},;]*")
 LONG_LINE = 300
 CODE_EXT = ("py", "js", "mjs", "cjs", "ts", "tsx", "jsx", "go", "rs", "c", "cc", "cpp", "h", "hpp", "java", "kt", "cs", "rb", "php", "swift", "sh", "pl",
@@ -134,13 +130,23 @@ def automaton():
 def notice(comment: str) -> str | None:
     """Kind of the notice that a comment line is, None for a mere mention."""
     low = comment.lower()
+    lead = -1
     for end, (text, kind) in automaton().iter(low):
-        before = low[:end + 1 - len(text)]
-        if LEAD.match(before) or CLAUSE.search(before) and text.startswith(("do not", "don't", "nicht", "no ", "ne pas")) or (kind == "vendored" and text.startswith(("authors |", "project contributors"))):
+        at = end + 1 - len(text)
+        if lead < 0:
+            lead = LEAD.match(low).end()
+        if at <= lead and not (at and low[at - 1].isalnum() and low[at].isalnum()) or text.startswith(HOLDERS) or text.startswith(ORDERS) and _after_clause(low, at):
             return kind
     return None
 
 
+def _after_clause(low: str, at: int) -> bool:
+    k = at
+    while k and low[k - 1].isspace():
+        k -= 1
+    return 0 < k < at and low[k - 1] in ".,;:!-"
+
+
 #: Per row: notices of each kind, characters and lines by class.
 FEATURES = ("n_generated", "n_vendored", "chars", "dense_chars", "lines", "data_lines")
 

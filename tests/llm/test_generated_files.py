@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from cairnlake.llm.generated_files import classify, features, notice
@@ -15,7 +17,7 @@ def run(spark, data):
     ("@generated by x 3.2", "generated"), ("Code generated by protoc. DO NOT EDIT.", "generated"), ("<auto-generated />", "generated"), ("do not hand-edit: written by scripts/x", "generated"),
     ("-- output of x, do not modify --", "generated"), ("This file was created automatically by x;", "generated"), ("Automatisch erzeugt mit x, nicht von Hand ändern", "generated"), ("Vendored copy of x", "vendored"),
     ("x v1.2.3 | (c) the x authors | MIT", "vendored"), ("Copyright the x project contributors", "vendored"), ("writes the DO NOT EDIT banner into the output files", None), ("checks that @generated is there", None),
-    ("(c) shard team", None), ("merge the rows", None)])
+    ("Licensed under the MIT license.", None), ("@license MIT", None), ("Permission is hereby granted, free of charge, to any person", None), ("(c) 2024 this file is generated by x", "generated"), ("(c) shard team", None), ("merge the rows", None)])
 def test_notices(text, kind):
     assert notice(text) == kind
 
@@ -48,3 +50,22 @@ def test_files(spark):
 
 def test_empty(spark):
     assert rows(classify(spark.createDataFrame([], SCHEMA))) == []
+
+
+LONG = ["7" * 10**6 + "x", "1.1" * 330_000 + "x", "1," * 500_000 + "x", "# " + "1.1." * 250_000 + " do not edit", "# " + "do not edit " * 80_000, "# the " * 160_000, "\\x41" * 250_000, "((((" * 250_000 + "x", "1" + " " * 10**6 + "x", "#" * 10**6,
+        "# @generate " * 80_000, "A" * 10**6, "'" + "A" * 10**6]
+
+
+@pytest.mark.parametrize("text", LONG, ids=range(len(LONG)))
+def test_linear(text):
+    began = time.process_time()
+    features(text, False)
+    features("@@ -1 +1 @@\n+" + text, True)
+    assert time.process_time() - began < 2
+
+
+def test_data_lines():
+    data = ["1, 2, 3,", "{0x1F, 0xab},", "-1.5e3, 2., .5f", "[[1, 2], [3, 4]],", "'" + "QUJD" * 12 + "',", "7" * 10_000]
+    code = ["x = 1", "1 + f(2)", "127.0.0.1x", "7" * 10_000 + "x", "1e"]
+    for lines, want in ((data, len(data)), (code, 0)):
+        assert features("\n".join(x for x in lines if len(x) < 300), False)[5] == sum(len(x) < 300 for x in lines) * (want > 0)
