@@ -10,14 +10,17 @@ file is parsed where it lands. Statement shapes seen before are not parsed again
 
 Defined results
 - languages without a grammar are no files here. Null language: left out.
-- null content is empty; null start_line is 1. Lines in no chunk are blank; CRLF counts as LF.
+- null content is empty; null start_line is 1. Lines in no chunk are blank; CRLF counts as LF. Of many blank lines between chunks
+  only a few are parsed, so a start_line of any size costs nothing.
 - repeated rows count once. Chunks that overlap: the later start wins where it is not blank, of equal starts the longer.
-- an empty file is valid but in JSON. Extra columns are ignored. Nesting beyond the grammar's stack: JSON is checked without one, Python
-  and TOML by the standard library; where that gives out too, and in the other languages, the file counts as valid, cause 'too deep'.
+- an empty file is valid but in JSON. Extra columns are ignored. Nesting: JSON is checked at any depth; in the other languages a file
+  nested beyond FRAMES calls (some 40,000 brackets) is neither valid nor invalid: valid is null, cause 'too deep', and rates() counts it apart.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 import sys
 from collections.abc import Iterator
@@ -30,29 +33,56 @@ MARKER = re.compile(r"^(?:<{7}(?: |$)|>{7}(?: |$)|={7}$|\|{7}(?: |$))", re.M)
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f�]")
 
 
-def assemble(chunks: list[tuple[int, str]]) -> str:
-    """The text of a file from (start_line, content), in order of start_line."""
+#: So many blank lines between chunks stand for any number of them.
+BLANKS = 3
+
+
+def assemble(chunks: list[tuple[int, str]]) -> tuple[str, list[tuple[int, int]]]:
+    """The text of a file from (start_line, content), in order of start_line, and (line of the text, line of the file) where the count jumps."""
     out: list[str] = []
-    at = 1  # number of the line that is being written
+    jumps = [(1, 1)]
+    at = line = 1  # number of the line that is being written: in the file, in the text
     ended = True
     for start, content in chunks:
         content = content.replace("\r\n", "\n")
         if start < at or start == at and not ended:
             return _overlay(chunks)
-        out.append("\n" * (start - at) + content)
-        at = start + content.count("\n")
+        # after a chunk without a last newline the first of the blanks ends its line
+        gap = min(start - at, BLANKS + (not ended))
+        line += gap
+        if gap < start - at:
+            jumps.append((line, start))
+        out.append("\n" * gap + content)
+        n = content.count("\n")
+        at, line = start + n, line + n
         ended = not content or content.endswith("\n")
-    return "".join(out)
+    return "".join(out), jumps
 
 
-def _overlay(chunks: list[tuple[int, str]]) -> str:
+def _overlay(chunks: list[tuple[int, str]]) -> tuple[str, list[tuple[int, int]]]:
     lines: dict[int, str] = {}
     for start, content in chunks:
         for k, x in enumerate(content.replace("\r\n", "\n").split("\n"), start):
             if x or k not in lines:
                 lines[k] = x
-    last = max(lines)
-    return "\n".join(lines.get(k, "") for k in range(1, last + 1))
+    out: list[str] = []
+    jumps, at = [(1, 1)], 1
+    for k in sorted(lines):
+        gap = min(k - at, BLANKS)
+        out.extend([""] * gap)
+        if gap < k - at:
+            jumps.append((len(out) + 1, k))
+        out.append(lines[k])
+        at = k + 1
+    return "\n".join(out), jumps
+
+
+def line_of(line: int | None, jumps: list[tuple[int, int]]) -> int | None:
+    """Line of the file of a line of its text."""
+    if line is None:
+        return None
+    a, b = jumps[bisect.bisect_right(jumps, (line, math.inf)) - 1]
+    return line - a + b
 
 
 def _accepted(language: str, text: str) -> bool:
@@ -114,33 +144,8 @@ def deep_json(text: str) -> int | None:
     return None if not text[at:].strip(" \t\r\n") else at
 
 
-def _deep(language: str, text: str) -> tuple[bool, int | None, str | None]:
-    """The same as diagnose() for a file beyond the grammar's stack."""
-    if language == "json":
-        at = deep_json(text)
-        return (True, None, None) if at is None else (False, text.count("\n", 0, at) + 1, cause(text, at))
-    try:
-        if language == "python":
-            import ast
-            import warnings
-
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-        elif language == "toml":
-            import tomllib
-
-            tomllib.loads(text)
-        else:
-            return True, None, "too deep"
-    except (RecursionError, MemoryError):
-        return True, None, "too deep"
-    except (SyntaxError, ValueError) as e:
-        line = getattr(e, "lineno", None) or int((re.findall(r"at line (\d+)", str(e)) or [text.count("\n") + 1])[-1])
-        return False, line, cause(text, sum(len(x) for x in text.splitlines(True)[:line - 1]))
-    return True, None, None
-
-
+#: Depth of calls up to which files are parsed; calls between Python functions take memory, about 450 bytes each, but no stack.
+FRAMES = 400_000
 _checks: dict = {}
 
 
@@ -150,7 +155,7 @@ def checker(language: str):
         from cairnlake.llm.grammar_data import check_json, check_toml, check_yaml
         from cairnlake.llm.grammar_python import check as check_python
 
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES))
         _checks.update(python=check_python, javascript=check_javascript, go=check_go, shell=check_shell, json=check_json, yaml=check_yaml, toml=check_toml)
     return _checks[language]
 
@@ -168,12 +173,14 @@ def cause(text: str, at: int) -> str:
     return "syntax"
 
 
-def diagnose(language: str, text: str) -> tuple[bool, int | None, str | None]:
-    """(valid, line of the furthest failure, cause)."""
+def diagnose(language: str, text: str) -> tuple[bool | None, int | None, str | None]:
+    """(valid, line of the furthest failure, cause); valid is None where that could not be found out."""
     try:
         at = checker(language)(text)
-    except RecursionError:
-        return _deep(language, text)
+    except (RecursionError, MemoryError):
+        if language != "json":
+            return None, None, "too deep"
+        at = deep_json(text)
     if at is None or _accepted(language, text):
         return True, None, None
     at = min(at, len(text))
@@ -189,9 +196,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         valid, lines, causes = [], [], []
         for language, chunks in zip(b.column("language").to_pylist(), b.column("chunks").to_pylist()):
             parts = sorted(((c["start"], c["content"]) for c in chunks), key=lambda c: (c[0], len(c[1]), c[1]))
-            ok, line, why = diagnose(language, assemble(parts))
+            text, jumps = assemble(parts)
+            ok, line, why = diagnose(language, text)
             valid.append(ok)
-            lines.append(line)
+            lines.append(line_of(line, jumps))
             causes.append(why)
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in _NAMES[:5]), pa.array(valid, pa.bool_()), pa.array(lines, pa.int32()), pa.array(causes, pa.string())], names=_NAMES)
 
@@ -206,8 +214,8 @@ def parse_files(chunks: DataFrame) -> DataFrame:
 
 
 def rates(files: DataFrame) -> DataFrame:
-    """Files and failures per repository and language, by cause."""
+    """Files and failures per repository and language, by cause; the rate is that of the files whose validity is known."""
     causes = ("merge conflict", "truncated", "not text", "other language", "syntax")
     return files.groupBy("repository_id", "language").agg(
-        F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("invalid"), F.round(F.avg(F.when(F.col("valid"), 0.0).otherwise(1.0)), 6).alias("rate"),
+        F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("invalid"), F.round(F.avg(F.when(F.col("valid"), 0.0).when(~F.col("valid"), 1.0)), 6).alias("rate"),
         *[F.count_if(~F.col("valid") & (F.col("cause") == c)).alias(c.replace(" ", "_")) for c in causes], F.count_if(F.col("cause") == "too deep").alias("too_deep"))

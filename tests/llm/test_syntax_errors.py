@@ -12,7 +12,7 @@ from cairnlake.llm.grammar_code import check_go, check_javascript, check_shell
 from cairnlake.llm.grammar_data import check_json, check_toml, check_yaml
 from cairnlake.llm.grammar_python import check as check_python
 from cairnlake.llm.peg import Lexicon, Parser
-from cairnlake.llm.syntax_errors import assemble, deep_json, diagnose, parse_files, rates
+from cairnlake.llm.syntax_errors import assemble, deep_json, diagnose, parse_files, rates, line_of
 
 SCHEMA = "id string, repository_id string, blob_sha string, chunker_version string, language string, path string, start_line int, end_line int, content string, chunk string, valid string"
 
@@ -97,9 +97,17 @@ def test_code_languages(check, text, good):
 
 
 def test_assembly():
-    assert assemble([(1, "a\r\nb"), (4, "c\n")]) == "a\nb\n\nc\n"
-    assert assemble([(1, "a\nb\nc"), (2, "B\nC")]) == "a\nB\nC"
-    assert assemble([(1, "a"), (1, "abc")]) == "abc"
+    assert assemble([(1, "a\r\nb"), (4, "c\n")])[0] == "a\nb\n\nc\n"
+    assert assemble([(1, "a\nb\nc"), (2, "B\nC")])[0] == "a\nB\nC"
+    assert assemble([(1, "a"), (1, "abc")])[0] == "abc"
+
+
+@pytest.mark.parametrize("chunks", [[(1, "a\nb"), (2_000_000_000, "c\nd\n"), (2_000_000_010, "e")], [(7, "a\nb"), (7, "A"), (50, "c\nd\n"), (51, "D"), (2_000_000_010, "e")], [(90, "a")], [(1, "a\n"), (2, "b"), (9, "c")]])
+def test_lines_of_files_with_gaps(chunks):
+    text, jumps = assemble(chunks)
+    assert len(text) < 60
+    want = {c: s + n for s, content in chunks for n, c in enumerate(content.split("\n")) if c}
+    assert all(line_of(n, jumps) == want[c] for n, c in enumerate(text.split("\n"), 1) if c) and line_of(None, jumps) is None
 
 
 def test_diagnosis():
@@ -108,14 +116,17 @@ def test_diagnosis():
     assert diagnose("go", "package a\n<<<<<<< HEAD\nvar a = 1\n=======\nvar b = 1\n>>>>>>> x\n")[1:] == (2, "merge conflict")
     assert diagnose("javascript", "<!doctype html>\n<p>x</p>\n")[2] == "other language"
     assert diagnose("python", "\x00\x01PK\x03\x04" * 9)[2] == "not text"
-    assert diagnose("yaml", "a: [" * 30_000)[0] in (True, False)
 
 
 def test_deep_files():
     n = 50_000
     assert diagnose("json", "[" * n + "]" * n) == (True, None, None) and diagnose("json", '{"a": [' * n + "1")[::2] == (False, "truncated")
     assert diagnose("json", "\n".join("[" * n) + "1 2" + "]" * n)[:2] == (False, n) and diagnose("json", "[" * n + "1,]" + "]" * n)[0] is False
-    assert diagnose("python", "x = " + "(" * n)[0] is False and diagnose("yaml", "a: " + "[" * n)[2] == "too deep"
+    for language, head, a, b, tail in (("python", "x = ", "[", "]", "\n"), ("javascript", "x = ", "[", "]", ";\n"), ("go", "package a\nvar x = 1 + ", "(", ")", "\n"), ("yaml", "a: ", "[", "]", "\n"), ("toml", "x = ", "[", "]", "\n"), ("shell", "", "(\n", ")\n", "")):
+        inner = {"go": "1", "shell": "ls\n"}.get(language, "")
+        assert diagnose(language, head + a * 20_000 + inner + b * 20_000 + tail) == (True, None, None), language
+        assert diagnose(language, head + a * 20_000 + inner)[::2] == (False, "truncated"), language
+    assert diagnose("javascript", "x = " + "[" * 200_000) == (None, None, "too deep")
     for text in ('{"a": [1, -2.5e3, "\\u00e9", true, null, {}, []]}', '{"a" 1}', "[1 2]", "[,]", "{,}", '{"a": 1,}', "01", "[NaN]", '"\t"', "", "1 1", "]", '{"a"}', "{1: 2}", "-", "[1", '["a": 1]', " 1 ", "truex"):
         assert (deep_json(text) is None) == diagnose("json", text)[0], text
 
