@@ -22,7 +22,7 @@ _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`'\"]|'(?:[^'\\\n]|\\.)*'
 _REGEX = r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*"
 # what may stand before a regular expression is lexed together with it
 JS_TOKEN = re.compile(
-    r"(?:[ \t\r\f\v\ufeff\xa0]*(?://[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)?[ \t\r]*\n)+|[ \t\r\f\v\ufeff\xa0]+|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|^#![^\n]*"
+    r"(?:[ \t\r\f\v\ufeff\xa0]*+(?:(?://[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)[ \t\r]*+)?\n)+|[ \t\r\f\v\ufeff\xa0]+|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|/\*[\s\S]*|^#![^\n]*"
     r"|(?:(?:=>|&&|\|\||\?\?|[!=]==?|[-+*%&|^=<>!~?:(,\[{};])\s*|\b(?:return|typeof|case|in|of|delete|void|throw|new|await|yield|else|do)\b[ \t]*)" + _REGEX
     + r"|" + _TEMPLATE + r"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'|\"(?:[^\"\\\n]|\\(?:\r\n|[\s\S]))*\""
     r"|#?[^\W\d][\w$]*|#?\$[\w$]*|(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?n?)(?![\w$])|"
@@ -95,6 +95,8 @@ class _JsKinds(dict):
             k = L[tok] if tok != "#" else L["BAD"]
         elif c not in "/`'\"" and (m := _JS_HEAD.fullmatch(tok)) and (m[1] in JS_WORDS or m[1] in _JS_OPS):
             k = L[m[1]] + L["REGEX"]
+        elif tok[:2] == "/*" and "*/" not in tok[2:]:
+            k = L["BAD"]
         elif "\n" in tok and c not in "`'\"/" or c == "/" and "\n" in tok:
             k = "\n"
         elif tok.isspace() or tok[:2] in ("//", "/*", "#!") or c == "\ufeff":
@@ -148,7 +150,7 @@ GO_LEX = Lexicon()
 GO_WORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
 GO_OPERATORS = "+ - * / % & | ^ << >> &^ += -= *= /= %= &= |= ^= <<= >>= &^= && || <- ++ -- == < > = ! ~ != <= >= := ... ( ) [ ] { } , ; . :"
 GO_TOKEN = re.compile(
-    r"(?:[ \t\r]*(?://[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)?[ \t\r]*\n)+|[ \t\r\ufeff]+|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|`[^`]*`"
+    r"(?:[ \t\r]*+(?:(?://[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)[ \t\r]*+)?\n)+|[ \t\r\ufeff]+|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|/\*[\s\S]*|`[^`]*`"
     r"|\"(?:[^\"\\\n]|\\(?:[abfnrtv\\\"]|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))*\"|'(?:[^'\\\n]|\\(?:[abfnrtv\\']|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))'"
     r"|[^\W\d]\w*|(?:0[xX](?:_?[0-9a-fA-F])+(?:\.[0-9a-fA-F]*)?(?:[pP][+-]?\d+)?|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?)i?(?!\w)|"
     + _ops(GO_OPERATORS) + r"|[\s\S]")
@@ -222,6 +224,8 @@ class _GoKinds(dict):
             k = L["STR"] if len(tok) > 1 else L["BAD"]
         elif c == "'":
             k = L["CHR"] if len(tok) > 1 else L["BAD"]
+        elif tok[:2] == "/*" and "*/" not in tok[2:]:
+            k = L["BAD"]
         elif "\n" in tok:
             k = "\n"
         elif tok.isspace() or tok[:2] in ("//", "/*") or c == "\ufeff":

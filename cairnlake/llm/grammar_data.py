@@ -277,7 +277,7 @@ _Y_PROP = re.compile(r"[&!][^\s,\[\]{}]*")
 _Y_ALIAS = re.compile(r"\*[^\s,\[\]{}:]+")
 _Y_HEAD = re.compile(r"[|>](?:[+-]?[1-9]?|[1-9][+-])[ \t]*(?:#.*)?$")
 _Y_FLOW_PLAIN = re.compile(r"[^\s,\[\]{}#\"'&*!|>%@`:?-](?:[^,\[\]{}\n:#]|:(?![\s,\[\]{}])|(?<!\s)#)*|[-?:](?=[^\s,\[\]{}])(?:[^,\[\]{}\n:#]|:(?![\s,\[\]{}])|(?<!\s)#)*")
-_Y_PLAIN_KEY = re.compile(r"(?:[^\s\-?:,\[\]{}#&*!|>'\"%@`]|[-?:](?=\S))(?:[^\n:#]|:(?=\S)|(?<=\S)#)*?(?=[ \t]*:(?:[ \t\n]|$))")
+_Y_PLAIN_KEY = re.compile(r"(?:[^\s\-?:,\[\]{}#&*!|>'\"%@`]|[-?:](?=\S))(?:[^\s:#]|:(?=\S)|(?<=\S)#|[^\S\n]++(?!:(?:[ \t\n]|$)))*?(?=[ \t]*:(?:[ \t\n]|$))")
 
 
 class _YamlLexer:

@@ -1,3 +1,4 @@
+import time
 import ast
 import glob
 import json
@@ -148,3 +149,14 @@ def test_files(spark):
     r = {(x["repository_id"], x["language"]): (x["files"], x["invalid"], x["rate"]) for x in rates(parse_files(d)).collect()}
     assert r[("r", "python")] == (4, 1, 0.25)
     assert parse_files(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+LONG = {"spaces": "x" + " " * 200_000 + "y", "tabs": "\t" * 200_000 + "x", "returns": "\r" * 200_000, "comments": "/* " * 70_000, "strings": "'a\n" * 70_000, "word": "a" * 200_000, "digits": "7" * 200_000, "keys": "a b " * 50_000 + ": c", "blocks": "a: |\n" * 40_000}
+
+
+@pytest.mark.parametrize("language", ("python", "javascript", "go", "shell", "json", "yaml", "toml"))
+def test_linear(language):
+    for name, text in LONG.items():
+        began = time.process_time()
+        diagnose(language, text)
+        assert time.process_time() - began < 4, name
