@@ -6,7 +6,9 @@ load, to a round with as many fewer partitions as they are fewer, where they are
 tree until one partition has seen the last of them, or a round found nothing more to join. A container's members are found by following the few links.
 
 Plan. Sizes are computed once and kept; every round moves only what the round before left open, so the
-total moved is little more than the items themselves. The chain of links is as long as the tree is high.
+total moved is little more than the items themselves. Groups are of a fixed size, partitions are as many as the
+session shuffles into and hold many groups, one after the other. Each round writes the links of its own items once; at
+the end they are followed upward from the last round, whose items are few, to the first.
 
 Defined results
 - every document has one row, or one row per piece if it alone exceeds the capacity: pieces of exactly
@@ -77,26 +79,39 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
 def _pack(level: int, capacity: int, full: int, last: bool):
     """Packs a partition: one row per item with its bin, and whether the bin is closed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("part").to_numpy(), b.column("item").to_numpy(), b.column("size").to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        part, item, size = (np.concatenate(c) for c in zip(*parts))
-        for p in np.unique(part):
-            mine = np.flatnonzero(part == p)
-            mine = mine[np.lexsort((item[mine], -size[mine]))]
-            bins, rooms = best_fit(size[mine], capacity)
+        for p, item, size in _groups(batches):
+            order = np.lexsort((item, -size))
+            item, size = item[order], size[order]
+            bins, rooms = best_fit(size, capacity)
             load = capacity - np.array(rooms, np.int64)
-            # a bin number that no other partition or round gives
+            # a bin number that no other group or round gives
             number = (np.int64(level) << 58) | (np.int64(p) << 34) | np.arange(len(rooms), dtype=np.int64)
             closed = (load >= full) | last
-            for at in range(0, len(mine), 100_000):
-                part_of = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(item[mine][part_of]), pa.array(size[mine][part_of]), pa.array(number[bins[part_of]]), pa.array(load[bins[part_of]]), pa.array(closed[bins[part_of]])],
-                    names=["item", "size", "bin", "load", "closed"])
+            for at in range(0, len(item), 100_000):
+                k = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(item[k]), pa.array(size[k]), pa.array(number[bins[k]]), pa.array(load[bins[k]]), pa.array(closed[bins[k]])],
+                                                 names=["item", "size", "bin", "load", "closed"])
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, items, sizes) of a partition sorted by group, one group at a time."""
+    now, held = -1, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part, item, size = (b.column(c).to_numpy() for c in ("part", "item", "size"))
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        for a, z in zip(starts, np.append(starts[1:], len(part))):
+            if part[a] != now and held:
+                yield now, *map(np.concatenate, zip(*held))
+                held = []
+            now = int(part[a])
+            held.append((item[a:z], size[a:z]))
+    if held:
+        yield now, *map(np.concatenate, zip(*held))
+
+
 PACKED = "item bigint, size bigint, bin bigint, load bigint, closed boolean"
 
 
@@ -110,30 +125,31 @@ def pack(sizes: DataFrame, *, capacity: int = CAPACITY, full_share: float = FULL
     items = durable(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
 
     count = items.count()
-    parts = max(1, -(-count // items_per_partition))
-    todo = items.select("item", "size")
-    links, level, before = None, 1, count
+    groups = max(1, -(-count // items_per_partition))
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    todo, steps, before = items.select("item", "size"), [], count
     while True:
-        # by hash, into as many partitions as there are groups
-        placed = todo.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("bigint"))
-        placed = placed.repartition(parts, "part") if parts > 1 else placed.coalesce(1)
-        done = durable(placed.select("part", "item", "size").mapInArrow(_pack(level, capacity, full, parts == 1), PACKED), f"round{level}")
-        step = done.select("item", "bin", "closed")
-        # what a round left open is an item of the next
-        links = (step if links is None else
-                 links.filter("closed").unionByName(links.filter("not closed").select("item", F.col("bin").alias("open")).join(
-                     step.select(F.col("item").alias("open"), "bin", "closed"), "open").select("item", "bin", "closed")))
-        if parts == 1:
+        placed = todo.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(groups)).cast("bigint"))
+        placed = placed.repartition(min(groups, tasks), "part").sortWithinPartitions("part") if groups > 1 else placed.coalesce(1)
+        done = durable(placed.select("part", "item", "size").mapInArrow(_pack(len(steps) + 1, capacity, full, groups == 1), PACKED), f"round{len(steps) + 1}")
+        steps.append(done.select("item", "bin", "closed"))
+        if groups == 1:
             break
-        links = durable(links, "links")
+        # what a round left open is an item of the next
         todo = durable(done.filter("not closed").select(F.col("bin").alias("item"), F.col("load").alias("size")).distinct(), "open")
         left = todo.count()
         fewer = max(1, -(-left // items_per_partition))
         # items that fit with no other stay alone in their bins: they are not brought together in one task for nothing
-        if left == 0 or fewer >= parts and left > 0.9 * before:
+        if left == 0 or fewer >= groups and left > 0.9 * before:
             break
-        parts, level, before = fewer, level + 1, left
-    return items.join(links.select("item", "bin"), "item").select("doc_id", "piece_no", "start_token", F.col("size").alias("tokens"), F.col("bin").alias("container_id"))
+        groups, before = fewer, left
+    # from the top of the tree down: a bin left open is where the next round put it
+    last = steps[-1].select("item", "bin")
+    for step in reversed(steps[:-1]):
+        up = last.select(F.col("item").alias("bin"), F.col("bin").alias("final"))
+        moved = step.filter("not closed").join(up, "bin").select("item", F.col("final").alias("bin"))
+        last = step.filter("closed").select("item", "bin").unionByName(moved)
+    return items.join(last, "item").select("doc_id", "piece_no", "start_token", F.col("size").alias("tokens"), F.col("bin").alias("container_id"))
 
 
 def containers(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

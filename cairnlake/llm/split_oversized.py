@@ -11,8 +11,8 @@ Defined results
 - null or empty content: one piece, of zero tokens, unchanged. Items within the limit: one piece, unchanged.
 - null start_line counts as 1. end_line is counted from the content, whatever the row says.
 - a text without any boundary is cut at the limit, but never within CRLF.
-- repeated rows of an id give one set of pieces; of rows that differ under an id the greatest
-  (start_line, content) holds. Extra columns are ignored. Rows without an id are items of id null.
+- repeated rows of an id give one set of pieces; of rows that differ under an id one over the limit holds, of several the greatest
+  (start_line, content). Extra columns are ignored. Every different row without an id is an item of its own, of id null.
 """
 
 from __future__ import annotations
@@ -165,13 +165,17 @@ def split(items: DataFrame, *, key: str = "id", content: str = "content", start_
         raise ValueError("the overlap must be under half the limit")
     line = F.col(start_line).cast("int") if start_line else F.lit(1)
     rows = items.select(F.col(key).cast("string").alias("item_id"), F.coalesce(line, F.lit(1)).alias("line"), F.col(content).alias("text"))
-    over = F.length("text") > limit
-    big = rows.filter(over).groupBy("item_id").agg(F.max(F.struct("line", "text")).alias("r")).select("item_id", "r.line", "r.text")
-    out = big.mapInArrow(_pieces(limit, overlap), SCHEMA)
+    rows = rows.withColumn("over", F.coalesce(F.length("text") > limit, F.lit(False)))
+    if not keep_small:
+        rows = rows.filter("over")
+    # a row without an id is an item of its own
+    own = F.when(F.col("item_id").isNull(), F.struct("line", "text")).alias("own")
+    # one shuffle, which both branches below read
+    one = rows.groupBy("item_id", own).agg(F.max(F.struct("over", "line", "text")).alias("r")).select("item_id", "r.over", "r.line", "r.text")
+    out = one.filter("over").select("item_id", "line", "text").mapInArrow(_pieces(limit, overlap), SCHEMA)
     if not keep_small:
         return out
-    small = (rows.filter(~F.coalesce(over, F.lit(False))).groupBy("item_id").agg(F.max(F.struct("line", "text")).alias("r"))
-             .select("item_id", "r.line", "r.text").join(big.select("item_id"), "item_id", "left_anti"))
+    small = one.filter("not over")
     n = F.length("text")
     inner = n - F.length(F.regexp_replace("text", "\n", "")) - F.when(F.col("text").endswith("\n"), 1).otherwise(0)
     return out.unionByName(small.select(

@@ -67,3 +67,16 @@ def test_crlf_is_not_cut():
 def test_empty(spark):
     assert split(spark.createDataFrame([], SCHEMA)).count() == 0
     assert split(spark.createDataFrame([], SCHEMA), keep_small=False).select(F.col("item_id")).count() == 0
+
+
+def test_rows_without_an_id_are_items(spark):
+    data = [(None, 1, 1, t, "", 1, "") for t in ("a\n", "b\n", "b\n", None, "x y " * 1200, "z y " * 1200)]
+    got = split(spark.createDataFrame(data, SCHEMA)).groupBy("n_pieces").count().collect()
+    assert {r["n_pieces"]: r["count"] for r in got} == {1: 3, 2: 4}
+
+
+def test_rows_that_differ_under_an_id(spark):
+    data = [("a", 9, 1, "short", "", 1, ""), ("a", 1, 1, "x y " * 1200, "", 1, "")]
+    for keep in (True, False):
+        got = split(spark.createDataFrame(data, SCHEMA), keep_small=keep).collect()
+        assert [r["n_pieces"] for r in got] == [2, 2] and got[0]["start_line"] == 1
