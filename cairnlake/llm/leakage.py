@@ -8,12 +8,14 @@ hold a prefix shingle are kept if the words on both sides suffice for a passage
 bounds), and each pair is verified word by word: an alignment over item-sized windows that allows changed,
 missing and added words, up to one in ten.
 
-Item text that more than half of the items share is masked before windows are formed: it neither makes nor
-fills a passage. Layout, letter case, punctuation and markup are gone with everything that is no word.
+Item text that more than half of the items, and more than one, share is masked before windows are formed: it neither
+makes nor fills a passage. Layout, letter case, punctuation and markup are gone with everything that is no word.
 
-Plan. Documents are shingled once; only hits with item shingles leave that stage. The item shingles are
-broadcast when their number, measured first, is within `broadcast_rows`; beyond it the join is shuffled on the
-shingle. Frequencies are counted over all documents.
+Plan. A first pass over the documents counts in how many of them each item shingle is; only counts leave it. The
+prefixes are formed under that order, and a second pass keeps the hits of prefix shingles alone. Both look shingles up
+in a sorted array of hashes, sent to the executors when their number, counted first, is within `broadcast_rows`;
+beyond it the shingles are shuffled and joined. Texts are fetched only for the documents that are left, and each is
+tokenised once for all its items; of a long document only the surroundings of its hits are aligned.
 
 Defined results
 - null or empty texts hold no passage; null ids of documents or items are left out.
@@ -96,6 +98,49 @@ def _shingle_rows(n_ids: int):
     return run
 
 
+def _hashes(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, row, words of the row, position, index in `wanted`) of the shingles that are in the sorted array `wanted`, by batch."""
+    for b in batches:
+        index, size, pos, at = [], [], [], []
+        for i, t in enumerate(b.column(1).to_pylist()):
+            tokens = words(t)
+            h = shingles(tokens)
+            if len(h):
+                k = np.searchsorted(wanted, h)
+                hit = np.flatnonzero(wanted[np.minimum(k, len(wanted) - 1)] == h)
+                if len(hit):
+                    index.append(np.full(len(hit), i))
+                    size.append(np.full(len(hit), len(tokens), np.int32))
+                    pos.append(hit.astype(np.int32))
+                    at.append(k[hit])
+        if index:
+            yield b.column(0), *map(np.concatenate, (index, size, pos, at))
+
+
+def _count(wanted):
+    """(h, docs): in how many texts of the partition each wanted shingle is."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs = wanted.value
+        docs = np.zeros(len(hs), np.int64)
+        for _, index, _, _, at in _hashes(batches, hs):
+            np.add.at(docs, np.unique(index * np.int64(len(hs)) + at) % len(hs), 1)
+        got = np.flatnonzero(docs)
+        for k in range(0, len(got), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(hs[got[k:k + 100_000]]), pa.array(docs[got[k:k + 100_000]])], names=["h", "docs"])
+    return run
+
+
+def _find(wanted):
+    """(doc_id, n_words, pos, h) of the wanted shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs = wanted.value
+        for ids, index, size, pos, at in _hashes(batches, hs):
+            for k in range(0, len(at), 100_000):
+                c = slice(k, k + 100_000)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(index[c])), pa.array(size[c]), pa.array(pos[c]), pa.array(hs[at[c]])], names=["doc_id", "n_words", "pos", "h"])
+    return run
+
+
 def code_lines(text: str) -> list[list[str]]:
     return [w for w in (words(x) for x in text.splitlines()) if w]
 
@@ -215,41 +260,88 @@ def code_passage(lines: list[list[str]], b: list[str], mask: list[bool], min_lin
         for i, _, n in chain:
             hit[i:i + n] = True
         got = [int(hit[at[k]:at[k + 1]].sum()) for k in range(len(lines))]
+        there = [2 * g >= len(x) for g, x in zip(got, lines)]
+        total = np.concatenate([[0], np.cumsum(got)])
         for s in range(len(lines)):
-            for e in range(s + min_lines, len(lines) + 1):
-                if 2 * got[e - 1] < len(lines[e - 1]) or any(2 * got[k] < len(lines[k]) for k in range(s, e)):
+            for e in range(s + 1, len(lines) + 1):
+                if not there[e - 1]:
                     break
                 size = int(at[e] - at[s])
-                if sum(got[s:e]) >= (1 - CHANGED) * size and size > best[0]:
-                    best = (size, size - sum(got[s:e]), int(at[s]), chain[0][1])
+                if e - s >= min_lines and size > best[0] and total[e] - total[s] >= (1 - CHANGED) * size:
+                    best = (size, size - int(total[e] - total[s]), int(at[s]), chain[0][1])
     return best
 
 
 VERIFIED = "doc_id bigint, case_id string, kind string, passage_words int, changed_words int, item_pos int, doc_pos int"
 
 
+def surroundings(buckets: list[int], item_words: int, doc_words: int) -> list[tuple[int, int]]:
+    """Windows of a document in which every passage that holds a hit lies as a whole; bucket k holds the hits at k * item_words and on."""
+    most = 2 * item_words + 2 * GAP  # a passage takes no more words of a document: each run of two may be followed by GAP others
+    spans: list[list[int]] = []
+    for k in sorted(buckets):
+        a, b = max(0, k * item_words - most), min(doc_words, (k + 1) * item_words + most)
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = b
+        else:
+            spans.append([a, b])
+    out = []
+    for a, b in spans:
+        while b - a > 4 * most:
+            out.append((a, a + 3 * most))
+            a += 2 * most
+        out.append((a, b))
+    return out
+
+
+_items: dict = {}
+
+
+def _item(case: str, kind: str, item: str, shared) -> tuple:
+    """(words, mask, lines) of an item text, worked out once per worker."""
+    got = _items.get((case, kind))
+    if got is None or got[0] != item:
+        if len(_items) > 10_000:
+            _items.clear()
+        a = words(item)
+        got = _items[case, kind] = (item, a, masked(a, set(shared or ())), code_lines(item) if kind == "code" else None)
+    return got[1:]
+
+
 def _verify(min_words: int, min_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tokens = None, []
         for b in batches:
             rows = []
-            last, tokens = None, []
-            for doc, case, kind, text, item, shared in zip(*(b.column(c).to_pylist() for c in ("doc_id", "case_id", "kind", "text", "item", "shared"))):
-                if text is not last:
+            for doc, case, kind, text, item, shared, buckets in zip(*(b.column(c).to_pylist() for c in ("doc_id", "case_id", "kind", "text", "item", "shared", "buckets"))):
+                if text != last:
                     last, tokens = text, words(text)
-                a = words(item)
-                mask = masked(a, set(shared or ()))
-                got = code_passage(code_lines(item), tokens, mask, min_lines) if kind == "code" else longest_passage(a, tokens, mask, min_words)
-                if got[0]:
-                    rows.append((doc, case, kind, *got))
+                a, mask, lines = _item(case, kind, item, shared)
+                best = (0, 0, 0, 0)
+                for lo, hi in surroundings(buckets, len(a), len(tokens)):
+                    part = tokens[lo:hi]
+                    got = code_passage(lines, part, mask, min_lines) if lines is not None else longest_passage(a, part, mask, min_words)
+                    if got[0] > best[0]:
+                        best = (*got[:3], got[3] + lo)
+                    if best[0] == len(a):
+                        break
+                if best[0]:
+                    rows.append((doc, case, kind, *best))
             cols = list(zip(*rows)) if rows else [()] * 7
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in VERIFIED.split(", ")])
     return run
 
 
+def _sorted_hashes(spark, hashes: DataFrame):
+    """The distinct column h as a sorted array on every executor; the caller has counted it."""
+    return spark.sparkContext.broadcast(np.sort(np.asarray(hashes.select("h").distinct().toArrow().column("h").to_numpy(), np.int64)))
+
+
 def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "case_id", prose: str = "body", code: str | None = "new_code",
           min_words: int = MIN_WORDS, min_lines: int = MIN_LINES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document and item (VERIFIED): the longest passage of the item's prose or code in the document."""
+    spark = docs.sparkSession
     parts = [items.select(F.col(item_id).cast("string").alias("case_id"), F.lit("prose").alias("kind"), F.col(prose).alias("text"))]
     if code:
         parts.append(items.select(F.col(item_id).cast("string").alias("case_id"), F.lit("code").alias("kind"), F.col(code).alias("text")))
@@ -258,26 +350,35 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
     n_items = held.select("case_id").distinct().count()
     pieces = durable(held.mapInArrow(_shingle_rows(2), "case_id string, kind string, n_words int, pos int, h bigint"), "item-shingles")
     # text that most items share; an item's own are gathered beside it, at most as many as it has words
-    common = pieces.groupBy("kind", "h").agg(F.countDistinct("case_id").alias("n")).filter(F.col("n") > SHARED * n_items) if n_items > 2 else pieces.select("kind", "h").limit(0)
-    shared = pieces.select("case_id", "kind", "h").join(common.select("kind", "h"), ["kind", "h"]).groupBy("case_id", "kind").agg(F.collect_set("h").alias("shared"))
-    held = held.join(shared, ["case_id", "kind"], "left")
-    wanted = pieces.join(common.select("kind", "h"), ["kind", "h"], "left_anti").select("h").distinct()
-    few = wanted.count() <= broadcast_rows
+    common = pieces.groupBy("kind", "h").agg(F.countDistinct("case_id").alias("n")).filter(F.col("n") > max(1.0, SHARED * n_items)).select("kind", "h")
+    shared = pieces.select("case_id", "kind", "h").join(common, ["kind", "h"]).groupBy("case_id", "kind").agg(F.collect_set("h").alias("shared"))
+    held = durable(held.join(shared, ["case_id", "kind"], "left"), "masked-items")
+    wanted = pieces.join(common, ["kind", "h"], "left_anti").select("h").distinct()
 
     clean = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
+    few = 0 < wanted.count() <= broadcast_rows
     every = clean.mapInArrow(_shingle_rows(1), "doc_id bigint, n_words int, pos int, h bigint")
-    hits = durable(every.join(F.broadcast(wanted) if few else wanted, "h"), "hits")
-    freq = hits.groupBy("h").agg(F.countDistinct("doc_id").alias("docs"))
+    if few:
+        freq = clean.mapInArrow(_count(_sorted_hashes(spark, wanted)), "h bigint, docs bigint").groupBy("h").agg(F.sum("docs").alias("docs"))
+    else:
+        freq = every.select("h").join(wanted, "h", "left_semi").groupBy("h").agg(F.count("*").alias("docs"))
     own = pieces.select("case_id", "kind", "h").distinct().join(freq, "h").groupBy("case_id", "kind").agg(F.collect_list(F.struct("h", "docs")).alias("freq"))
     found = held.join(own, ["case_id", "kind"]).select("case_id", "kind", "text", "shared", F.map_from_entries("freq").alias("freq"))
     prefix = durable(found.mapInArrow(_prefixes(min_words, min_lines), "case_id string, kind string, item_words int, item_pos int, h bigint"), "prefixes")
 
+    if few and prefix.limit(1).count():
+        hits = clean.mapInArrow(_find(_sorted_hashes(spark, prefix)), "doc_id bigint, n_words int, pos int, h bigint").join(F.broadcast(prefix), "h")
+    else:
+        hits = every.join(prefix, "h")
     # length and positional bounds: what can lie before and after the hit must make up a passage
     least = int(min_words * (1 - CHANGED))
-    slack = GAP
-    room = F.least("pos", "item_pos") + F.least(F.col("n_words") - F.col("pos"), F.col("item_words") - F.col("item_pos")) + slack
-    pairs = hits.join(prefix, "h").filter(F.when(F.col("kind") == "code", room >= min_lines).otherwise(room >= least)).select("doc_id", "case_id", "kind").distinct()
-    checked = (pairs.join(clean, "doc_id").join(held.withColumnRenamed("text", "item"), ["case_id", "kind"])
-               .select("doc_id", "case_id", "kind", "text", "item", "shared").mapInArrow(_verify(min_words, min_lines), VERIFIED))
+    room = F.least("pos", "item_pos") + F.least(F.col("n_words") - F.col("pos"), F.col("item_words") - F.col("item_pos")) + GAP
+    near = hits.filter(F.when(F.col("kind") == "code", room >= min_lines).otherwise(room >= least))
+    pairs = durable(near.groupBy("doc_id", "case_id", "kind").agg(F.collect_set((F.col("pos") / F.col("item_words")).cast("int")).alias("buckets")), "pairs")
+    # only the documents of pairs give their texts; few pairs go to where the texts are, many meet them by id
+    small = pairs.count() <= broadcast_rows // 20
+    with_text = clean.join(F.broadcast(pairs) if small else pairs, "doc_id")
+    checked = (with_text.join(held.withColumnRenamed("text", "item"), ["case_id", "kind"])
+               .select("doc_id", "case_id", "kind", "text", "item", "shared", "buckets").mapInArrow(_verify(min_words, min_lines), VERIFIED))
     names = ("passage_words", "kind", "changed_words", "item_pos", "doc_pos")
     return checked.groupBy("doc_id", "case_id").agg(F.max(F.struct(*names)).alias("m")).select("doc_id", "case_id", *[F.col(f"m.{n}").alias(n) for n in names])

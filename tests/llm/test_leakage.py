@@ -83,3 +83,40 @@ def test_shuffled_join_gives_the_same(spark):
 
 def test_empty(spark):
     assert leaks(spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_repeated_words_take_linear_time(spark):
+    from cairnlake.llm.leakage import _verify
+    import pyarrow as pa
+    import time
+
+    def run(n):
+        cols = {"doc_id": [1], "case_id": ["c"], "kind": ["prose"], "text": ["a b " * (n // 2)], "item": ["a a b " * 60 + "z"], "shared": [None], "buckets": [list(range(n // 181 + 1))]}
+        began = time.process_time()
+        list(_verify(20, 5)([pa.RecordBatch.from_pydict(cols)]))
+        return time.process_time() - began
+    run(2_000)
+    once, twice = run(20_000), run(40_000)
+    assert twice < 3 * once + 0.2
+
+
+def test_surroundings_hold_every_passage():
+    from cairnlake.llm.leakage import GAP, surroundings
+
+    rng = random.Random(3)
+    for _ in range(300):
+        m, n = rng.randrange(20, 60), rng.randrange(20, 3000)
+        hits = [rng.randrange(n) for _ in range(rng.randrange(1, 9))]
+        spans = surroundings([h // m for h in hits], m, n)
+        for h in hits:
+            size = rng.randrange(1, 2 * m + 2 * GAP + 1)
+            a = rng.randrange(max(0, h - size + 1), h + 1)
+            assert any(lo <= a and min(n, a + size) <= hi for lo, hi in spans)
+
+
+def test_shared_text_is_one_rule_at_every_number_of_items(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    for n, want in ((1, 1), (2, 0), (5, 0)):
+        items = spark.createDataFrame([(f"c{k}", text, "") for k in range(n)], "case_id string, body string, new_code string")
+        assert leaks(docs, items).count() == want
