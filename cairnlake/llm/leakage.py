@@ -208,9 +208,7 @@ def align(a: list[str], b: list[str], mask: list[bool]) -> list[list[tuple[int,
                 runs[k][2] += 1
             ends[i + 1, p + 1] = k
     runs.sort()
-    starts = defaultdict(list)
-    for k, (i, _, _) in enumerate(runs):
-        starts[i].append(k)
+    at = {(i, p): k for k, (i, p, _) in enumerate(runs)}
     used, chains = set(), []
     for k, (i, p, n) in enumerate(runs):
         if k in used:
@@ -218,16 +216,12 @@ def align(a: list[str], b: list[str], mask: list[bool]) -> list[list[tuple[int,
         chain = [(i, p, n)]
         while True:
             i, p, n = chain[-1]
-            nxt = None
-            for gi in range(GAP + 1):
-                for j in starts.get(i + n + gi, ()):
-                    gap = max(gi, runs[j][1] - p - n)
-                    if 0 <= runs[j][1] - p - n <= GAP and gap > 0 and (nxt is None or (gap, -runs[j][2]) < nxt[0]):
-                        nxt = ((gap, -runs[j][2]), j)
-            if nxt is None:
+            near = [(max(gi, gp), -runs[j][2], gi, gp, j) for gi in range(GAP + 1) for gp in range(GAP + 1) if gi + gp and (j := at.get((i + n + gi, p + n + gp))) is not None]
+            if not near:
                 break
-            used.add(nxt[1])
-            chain.append(tuple(runs[nxt[1]]))
+            nxt = min(near)[4]
+            used.add(nxt)
+            chain.append(tuple(runs[nxt]))
         chains.append(chain)
     return chains
 
@@ -236,17 +230,20 @@ def longest_passage(a: list[str], b: list[str], mask: list[bool], min_words: int
     """(item words, changed words, item position, document position) of the longest passage; 0 words if none has min_words."""
     best = (0, 0, 0, 0)
     for chain in align(a, b, mask):
-        if chain[-1][0] + chain[-1][2] - chain[0][0] < min_words:
+        ends = [i + n for i, _, n in chain]
+        if ends[-1] - chain[0][0] < max(min_words, best[0] + 1):
             continue
-        for s in range(len(chain)):
-            changed = 0
-            for e in range(s, len(chain)):
-                if e > s:
-                    x, y = chain[e - 1], chain[e]
-                    changed += max(y[0] - x[0] - x[2], y[1] - x[1] - x[2])
-                size = chain[e][0] + chain[e][2] - chain[s][0]
-                if size >= min_words and size > best[0] and changed <= size * CHANGED:
-                    best = (size, changed, chain[s][0], chain[s][1])
+        changes = [0]
+        for x, y in zip(chain, chain[1:]):
+            changes.append(changes[-1] + max(y[0] - x[0] - x[2], y[1] - x[1] - x[2]))
+        for s, (i, p, _) in enumerate(chain):
+            for e in range(len(chain) - 1, s - 1, -1):
+                size = ends[e] - i
+                if size < min_words or size <= best[0]:
+                    break
+                if changes[e] - changes[s] <= size * CHANGED:
+                    best = (size, changes[e] - changes[s], i, p)
+                    break
     return best
 
 
@@ -256,6 +253,8 @@ def code_passage(lines: list[list[str]], b: list[str], mask: list[bool], min_lin
     at = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(int)
     best = (0, 0, 0, 0)
     for chain in align(a, b, mask):
+        if sum(n for _, _, n in chain) <= (1 - CHANGED) * best[0]:
+            continue
         hit = np.zeros(len(a), bool)
         for i, _, n in chain:
             hit[i:i + n] = True
@@ -317,9 +316,12 @@ def _verify(min_words: int, min_lines: int):
                 if text != last:
                     last, tokens = text, words(text)
                 a, mask, lines = _item(case, kind, item, shared)
-                best = (0, 0, 0, 0)
+                best, seen = (0, 0, 0, 0), set()
                 for lo, hi in surroundings(buckets, len(a), len(tokens)):
                     part = tokens[lo:hi]
+                    if (same := tuple(part)) in seen:  # repeated text gives nothing new
+                        continue
+                    seen.add(same)
                     got = code_passage(lines, part, mask, min_lines) if lines is not None else longest_passage(a, part, mask, min_words)
                     if got[0] > best[0]:
                         best = (*got[:3], got[3] + lo)

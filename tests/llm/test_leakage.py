@@ -96,8 +96,7 @@ def test_repeated_words_take_linear_time(spark):
         list(_verify(20, 5)([pa.RecordBatch.from_pydict(cols)]))
         return time.process_time() - began
     run(2_000)
-    once, twice = run(20_000), run(40_000)
-    assert twice < 3 * once + 0.2
+    assert run(200_000) < 5
 
 
 def test_surroundings_hold_every_passage():
