@@ -1,7 +1,7 @@
 """The k most similar vectors of the same model for every vector, by cosine.
 
-Vectors are made unit length and put into the cells of a coarse quantizer, k-means centroids fitted on a
-bounded sample. Relative to a cell's centroid a vector becomes a one-bit code: its residual, randomly
+Vectors are made unit length and put into the cells of a coarse quantizer in two levels, cells of cells: k-means
+centroids fitted on a bounded sample, as many on the first level as there are in each group of the second. Relative to a cell's centroid a vector becomes a one-bit code: its residual, randomly
 rotated, keeps only the signs, packed into 64-bit words, beside three correction scalars (residual length
 over code quality, product with the centroid, error bound). Codes go to the `probes` nearest cells of a
 vector, the vector itself only to the nearest, where it searches the codes: bit counts of the code against the
@@ -9,7 +9,8 @@ bit planes of the 4-bit rotated query give an unbiased estimate of the inner pro
 vector whose upper bound reaches the k-th best lower bound (and the least cosine asked for) is reranked
 with the exact cosine in double precision.
 
-Plan. Only codes (16 bytes at 128 dimensions) are copied to several cells. Cells over `block_rows` are split in
+Plan. A vector is compared with the first level and with the groups under the `BEAM` nearest of it, so placing one costs
+the square root of the number of cells. Only codes (16 bytes at 128 dimensions) are copied to several cells. Cells over `block_rows` are split in
 blocks, queries against codes, so no task holds a whole hot cell. Equal vectors are one item during the
 search; their members come back at the end through the k + 1 smallest keys of each group.
 
@@ -28,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cairnlake.session import durable
 
-#: At most so many vectors per model are taken to the driver for the centroids.
-SAMPLE_ROWS, CELL_ROWS, MAX_CELLS, PROBES, BLOCK_ROWS = 32_768, 192, 4096, 14, 8192
+#: At most so many vectors, of all models together, are taken to the driver for the centroids, and so many of them make a cell at least.
+SAMPLE_ROWS, CELL_SAMPLE, CELL_ROWS, PROBES, BEAM, BLOCK_ROWS = 131_072, 8, 192, 14, 10, 8192
 EPSILON, QUERY_BITS = 1.9, 4
 
 
@@ -62,6 +64,42 @@ def centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) ->
     return np.where(n > 0, sums / np.maximum(n, 1), c).astype(np.float32)
 
 
+class Cells:
+    """Two levels of centroids: the leaves of group g are first[g]:first[g + 1]."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        cells = max(1, min(cells, len(sample) // CELL_SAMPLE or 1))
+        self.top = centroids(sample, math.ceil(math.sqrt(cells)))
+        near = np.concatenate([np.argmax(scores(sample[i:i + 4096], self.top), axis=1) for i in range(0, len(sample), 4096)])
+        groups = [sample[near == g] for g in range(len(self.top))]
+        leaves = [centroids(m, max(1, round(cells * len(m) / len(sample)))) if len(m) else self.top[g:g + 1] for g, m in enumerate(groups)]
+        self.first = np.cumsum([0, *map(len, leaves)])
+        self.leaves = np.concatenate(leaves)
+
+    def nearest(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(leaves near each row, the nearest); fewer than `probes` are filled up with -1."""
+        tops = scores(x, self.top)
+        beam = min(BEAM, len(self.top))
+        chosen = np.argpartition(-tops, beam - 1, axis=1)[:, :beam]
+        width = int(np.diff(self.first).max())
+        near = np.full((len(x), beam, width), -np.inf, np.float32)
+        for g in np.unique(chosen):
+            rows, k = np.nonzero(chosen == g)
+            near[rows, k, :self.first[g + 1] - self.first[g]] = scores(x[rows], self.leaves[self.first[g]:self.first[g + 1]])
+        near = near.reshape(len(x), -1)
+        p = min(probes, near.shape[1])
+        best = np.argpartition(-near, p - 1, axis=1)[:, :p] if p < near.shape[1] else np.tile(np.arange(p), (len(x), 1))
+        found = np.take_along_axis(near, best, axis=1)
+        leaf = self.first[np.take_along_axis(chosen, best // width, axis=1)] + best % width
+        home = leaf[np.arange(len(x)), np.argmax(found, axis=1)]
+        return np.where(np.isfinite(found), leaf, -1), home
+
+
+def scores(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Greater the nearer; by distance, centroids being no unit vectors."""
+    return x @ c.T - 0.5 * np.einsum("ij,ij->i", c, c)[None, :]
+
+
 def encode(x: np.ndarray, c: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Packed codes, and per vector: factor of the estimate, product with the centroid, error factor."""
     r = x - c
@@ -107,21 +145,20 @@ def _assign(model_data, probes: int):
             vec = b.column("vec")
             for m in dict.fromkeys(names):
                 rows = np.flatnonzero([n == m for n in names])
-                cent, rot = data[m]
+                cells, rot = data[m]
                 x = np.asarray(vec.take(pa.array(rows)).flatten(), np.float32).reshape(len(rows), -1)
                 x = x.astype(np.float64)
                 x = (x / np.abs(x).max(axis=1, keepdims=True))
                 x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-                # nearest by distance, centroids being no unit vectors
-                sims = x @ cent.T - 0.5 * np.einsum("ij,ij->i", cent, cent)[None, :]
-                p = min(probes, len(cent))
-                near = np.argpartition(-sims, p - 1, axis=1)[:, :p] if p < len(cent) else np.tile(np.arange(p), (len(x), 1))
-                home = np.argmax(sims, axis=1)
-                for k in range(p):
-                    codes, factor, xc, err = encode(x, cent[near[:, k]], rot)
+                near, home = cells.nearest(x, probes)
+                for k in range(near.shape[1]):
+                    some = np.flatnonzero(near[:, k] >= 0)
+                    if not len(some):
+                        continue
+                    codes, factor, xc, err = encode(x[some], cells.leaves[near[some, k]], rot)
                     width = codes.shape[1] * 8
-                    payload = pa.Array.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(codes).tobytes())]).cast(pa.binary())
-                    yield _cell_rows(m, near[:, k], ids[rows], False, payload, factor, xc, err)
+                    payload = pa.Array.from_buffers(pa.binary(width), len(some), [None, pa.py_buffer(np.ascontiguousarray(codes).tobytes())]).cast(pa.binary())
+                    yield _cell_rows(m, near[some, k], ids[rows[some]], False, payload, factor, xc, err)
                 raw = pa.Array.from_buffers(pa.binary(4 * x.shape[1]), len(rows), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
                 zero = np.zeros(len(rows), np.float32)
                 yield _cell_rows(m, home, ids[rows], True, raw, zero, zero, zero)
@@ -144,8 +181,8 @@ def _search(model_data, k: int, least: float):
     def run(table: pa.Table) -> pa.Table:
         data = model_data.value
         model, cell = table.column("model")[0].as_py(), table.column("cell")[0].as_py()
-        cent, rot = data[model]
-        c = cent[cell]
+        cells, rot = data[model]
+        c = cells.leaves[cell]
         is_q = table.column("is_query").to_numpy(zero_copy_only=False)
         rid = table.column("rid").to_numpy()
         payload = table.column("payload").combine_chunks()
@@ -194,14 +231,16 @@ def valid_vectors(rows: DataFrame, model: str, key: str, vector: str, dims: dict
     r = rows.select(F.col(model).cast("string").alias("model"), F.col(key).cast("string").alias("key"), F.col(vector).cast("array<float>").alias("vec"))
     r = r.filter(F.col("key").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
                  & F.exists(v, lambda x: x != 0))
-    r = r.groupBy("model", "key", F.size("vec").alias("dim")).agg(F.max("vec").alias("vec"))
+    r = r.withColumn("dim", F.size("vec"))
     if dims is not None:
         allowed = F.lit(False)
         for m, d in dims.items():
             allowed = allowed | (F.col("model").eqNullSafe(m) & (F.col("dim") == d))
-        return r.filter(allowed).select("model", "key", "vec")
-    sizes = r.groupBy("model", "dim").agg(F.count("*").alias("n")).groupBy("model").agg(F.max(F.struct("n", "dim")).alias("most"))
-    return r.alias("r").join(sizes.alias("s"), F.col("r.model").eqNullSafe(F.col("s.model")) & (F.col("r.dim") == F.col("s.most.dim"))).select("r.model", "key", "vec")
+        r = r.filter(allowed)
+    else:  # one row per model; only counts are shuffled
+        sizes = r.groupBy("model", "dim").agg(F.count("*").alias("n")).groupBy("model").agg(F.max(F.struct("n", "dim")).alias("most"))
+        r = r.alias("r").join(F.broadcast(sizes).alias("s"), F.col("r.model").eqNullSafe(F.col("s.model")) & (F.col("r.dim") == F.col("s.most.dim"))).select("r.model", "key", "vec")
+    return r.groupBy("model", "key").agg(F.max("vec").alias("vec"))
 
 
 def neighbours(rows: DataFrame, *, model: str = "embedding_model", key: str = "content_hash", vector: str = "embedding", k: int = 5, least: float = -1.0,
@@ -217,20 +256,25 @@ def neighbours(rows: DataFrame, *, model: str = "embedding_model", key: str = "c
     reps = durable(heads.filter("n = 1").select(F.monotonically_increasing_id().alias("rid"), "model", "h1", "h2", "vec"), "items")
 
     counts = {r["model"]: r["n"] for r in reps.groupBy("model").agg(F.count("*").alias("n")).collect()}
+    # one row per model, all samples in one pass
+    most = max(1, sample_rows // max(1, len(counts)))
+    share = F.lit(0)
+    for m, n in counts.items():
+        share = F.when(F.col("model").eqNullSafe(m), int(min(1.0, most / n) * (1 << 30))).otherwise(share)
+    picked = reps.filter(F.pmod(F.xxhash64(F.lit(3), "h1"), F.lit(1 << 30)) < share).select("model", "vec").limit(sample_rows * 5 // 4).toArrow() if counts else None
     learned = {}
     for m, n in counts.items():
-        share = min(1.0, sample_rows / n)
-        mine = reps.filter(F.col("model").eqNullSafe(m))
-        got = mine.filter(F.pmod(F.xxhash64(F.lit(3), "h1"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(sample_rows * 5 // 4).select("vec").toArrow()
-        got = got if got.num_rows else mine.limit(1).select("vec").toArrow()
-        x = np.asarray(got.column("vec").combine_chunks().flatten(), np.float64).reshape(got.num_rows, -1)
+        got = picked.column("vec").filter(pc.is_null(picked.column("model")) if m is None else pc.equal(picked.column("model"), m))
+        if not len(got):
+            got = reps.filter(F.col("model").eqNullSafe(m)).limit(1).select("vec").toArrow().column("vec")
+        x = np.asarray(got.combine_chunks().flatten(), np.float64).reshape(len(got), -1)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-        learned[m] = (centroids(x, min(MAX_CELLS, -(-n // cell_rows))), rotation(x.shape[1]))
+        learned[m] = (Cells(x, -(-n // cell_rows)), rotation(x.shape[1]))
     model_data = spark.sparkContext.broadcast(learned)
 
     placed = durable(reps.select("model", "rid", "vec").mapInArrow(_assign(model_data, probes), CELL_SCHEMA), "codes")
-    # at most models * MAX_CELLS rows
+    # at most one row per cell, cells being no more than the sample holds
     big = placed.groupBy("model", "cell").agg(F.count_if("is_query").alias("nq"), F.count_if(~F.col("is_query")).alias("nx"))
     big = big.select("model", "cell", F.ceil(F.col("nq") / block_rows).cast("int").alias("bq"), F.ceil(F.col("nx") / block_rows).cast("int").alias("bx")).filter("bq > 1 or bx > 1")
     p = placed.alias("p").join(F.broadcast(big).alias("g"), F.col("p.model").eqNullSafe(F.col("g.model")) & (F.col("p.cell") == F.col("g.cell")), "left")
