@@ -222,9 +222,10 @@ def sections(files: DataFrame, *, key: str = "path", language: str = "language",
     f = f.withColumn("starts", starts)
     preamble = F.array(F.struct(F.lit(1).alias("at"), F.lit("<preamble>").alias("title")))
     f = f.withColumn("starts", F.when((F.size("starts") == 0) | (F.element_at("starts", 1)["at"] > 1), F.concat(preamble, F.col("starts"))).otherwise(F.col("starts")))
+    # each section takes its own lines along before they are exploded
     ends = F.transform("starts", lambda s, i: F.struct(s["at"].alias("at"), s["title"].alias("title"),
-                                                       F.coalesce(F.get("starts", i + 1)["at"] - 1, F.size("lines")).alias("end")))
-    s = f.select("key", "language", "lines", F.explode(ends).alias("s")).select("key", "language", "s.at", "s.title", F.slice("lines", F.col("s.at"), F.col("s.end") - F.col("s.at") + 1).alias("block"))
+                                                       F.slice("lines", s["at"], F.coalesce(F.get("starts", i + 1)["at"] - 1, F.size("lines")) - s["at"] + 1).alias("block")))
+    s = f.select("key", "language", F.explode(ends).alias("s")).select("key", "language", "s.at", "s.title", "s.block")
     # blank lines at the end belong to no section
     used = F.aggregate(F.transform("block", lambda x, i: F.when(F.trim(F.regexp_replace(x, r"\s+", " ")) != "", i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
     s = s.withColumn("n", used).filter("n > 0")

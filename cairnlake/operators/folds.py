@@ -6,7 +6,7 @@ job holds. Ties are broken by the last sort key, which callers make unique.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -14,64 +14,97 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cairnlake.functions import fixed_values as V
 
 
-def sorted_items(rows: DataFrame, keys: list[str], order: list[Column], *fields: str) -> DataFrame:
-    """(keys, items): the rows of each group as an array of structs of fields in the given order."""
-    ranked = rows.withColumn("_o", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_o", *fields))).alias("items"))
+#: A sort key: the name of a column, with '-' in front for falling order.
+def _sort_key(name: str) -> Column:
+    return F.desc(name[1:]) if name.startswith("-") else F.asc(name)
 
 
-def next_fit(rows: DataFrame, keys: list[str], order: list[Column], item: str, size: str, capacity: int) -> DataFrame:
+def in_order(rows: DataFrame, keys: list[str], order: list[str], fields: list[str], result: str, kind: str, fold: Callable[[list[tuple]], Iterable]) -> DataFrame:
+    """(keys, fields, result): the rows of each group in order, with the values that fold(rows of fields) gives them one by one.
+
+    Groups come sorted, so a partition is gone through once and no more than one group is held; a group is what one file, bundle or
+    job holds.
+    """
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, *map(_sort_key, order)).select(*keys, *fields)
+    schema = ", ".join([f"`{c}` {placed.schema[c].dataType.simpleString()}" for c in placed.columns] + [f"{result} {kind}"])
+    arrow, n = {"int": pa.int32(), "boolean": pa.bool_()}[kind], len(keys)
+
+    def folded(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = list(fold([row for b in parts for row in zip(*(b.column(i).to_pylist() for i in range(n, b.num_columns)))]))
+        at = 0
+        for b in parts:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out[at:at + b.num_rows], arrow)], names=[*b.schema.names, result])
+            at += b.num_rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keyed = list(zip(*(b.column(i).to_pylist() for i in range(n))))
+            starts = [r for r in range(1, len(keyed)) if keyed[r] != keyed[r - 1]]
+            out: list[pa.RecordBatch] = []
+            for a, z in zip([0, *starts], [*starts, len(keyed)]):
+                if held and keyed[a] != now:
+                    out.extend(folded(held))
+                    held = []
+                now = keyed[a]
+                held.append(b.slice(a, z - a))
+            if out:  # small groups leave as one batch
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+        if held:
+            yield from folded(held)
+    return placed.mapInArrow(run, schema)
+
+
+def next_fit(rows: DataFrame, keys: list[str], order: list[str], item: str, size: str, capacity: int) -> DataFrame:
     """(keys, item, size, batch): items in order; one that would overfill the batch opens the next; an oversized item is alone."""
-    g = sorted_items(rows, keys, order, item, size)
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("out"))
+    def fold(items):
+        batch = used = 0
+        for _, t in items:
+            if used > 0 and used + t > capacity:
+                batch, used = batch + 1, 0
+            used += t
+            yield batch
+    return in_order(rows, keys, order, [item, size], "batch", "int", fold)
 
-    def step(acc: Column, x: Column) -> Column:
-        t = x[size].cast("bigint")
-        opens = (acc["used"] > 0) & (acc["used"] + t > capacity)
-        batch = acc["batch"] + opens.cast("int")
-        return F.struct(batch.alias("batch"), F.when(opens, t).otherwise(acc["used"] + t).alias("used"), F.concat(acc["out"], F.array(batch)).alias("out"))
-    return g.select(*keys, F.explode(F.arrays_zip(F.col("items").alias("i"), F.aggregate("items", start, step)["out"].alias("b"))).alias("z")).select(
-        *keys, F.col(f"z.i.{item}").alias(item), F.col(f"z.i.{size}").alias(size), F.col("z.b").alias("batch"))
 
+def limited_batches(batches: DataFrame, calls: int) -> DataFrame:
+    """Batches of next_fit() with why they are not sent: one of `calls` is kept back, and one batch is always sent."""
+    return batches.withColumn("skipped", F.when(F.col("batch") >= max(1, calls - 1), "model_call_limit"))
 
-def skip_fit(rows: DataFrame, keys: list[str], order: list[Column], item: str, size: str, capacity: Column) -> DataFrame:
-    """(keys, item, taken): items in order, each taken if it still fits; one that does not is skipped, later ones may fit."""
-    g = sorted_items(rows, keys, order, item, size)
 
-    def step(acc: Column, x: Column) -> Column:
-        t = x[size].cast("bigint")
-        fits = acc["used"] + t <= capacity
-        return F.struct((acc["used"] + F.when(fits, t).otherwise(0)).cast("bigint").alias("used"), F.concat(acc["out"], F.array(fits)).alias("out"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("out"))
-    return g.select(*keys, F.explode(F.arrays_zip(F.col("items").alias("i"), F.aggregate("items", start, step)["out"].alias("b"))).alias("z")).select(
-        *keys, F.col(f"z.i.{item}").alias(item), F.col("z.b").alias("taken"))
+def skip_fit(rows: DataFrame, keys: list[str], order: list[str], item: str, size: str, capacity: int, most: int | None = None, first_always: bool = False) -> DataFrame:
+    """(keys, item, taken): items in order, each taken if it still fits; one that does not is skipped, later ones may fit. With
+    first_always the first is taken whatever its size; after `most` items no more are."""
+    def fold(items):
+        used = taken = 0
+        for _, t in items:
+            fits = (most is None or taken < most) and (used + t <= capacity or first_always and not taken)
+            used, taken = used + t * fits, taken + fits
+            yield fits
+    return in_order(rows, keys, order, [item, size], "taken", "boolean", fold).select(*keys, item, "taken")
 
 
 def select_by_tier(rows: DataFrame, keys: list[str], budget: int, shares: dict[int, float] = V.TIER_SHARES) -> DataFrame:
     """(keys, item, tier, taken) for rows (keys, item, tier, score, size): tier 1 is taken whole; the others fill up to their
     share in order of tier and score, skipping what does not fit; then what is left of the budget goes to the skipped in the same order."""
-    g = sorted_items(rows, keys, [F.col("tier"), F.desc("score"), F.col("item")], "item", "tier", "size")
-    caps = F.create_map(*[F.lit(x) for t, s in shares.items() for x in (t, int(budget * s))])
-
-    def first(acc: Column, x: Column) -> Column:
-        t = x["size"].cast("bigint")
-        spent = F.when(x["tier"] == acc["tier"], acc["spent"]).otherwise(0).cast("bigint")
-        free = x["tier"] == 1
-        take = free | (spent + t <= F.element_at(caps, x["tier"])) & (acc["used"] + t <= budget)
-        return F.struct((acc["used"] + F.when(take, t).otherwise(0)).cast("bigint").alias("used"), x["tier"].alias("tier"),
-                        (spent + F.when(take & ~free, t).otherwise(0)).cast("bigint").alias("spent"), F.concat(acc["out"], F.array(take)).alias("out"))
-
-    def second(acc: Column, z: Column) -> Column:
-        t = z["i"]["size"].cast("bigint")
-        take = z["b"] | (acc["used"] + t <= budget)
-        return F.struct((acc["used"] + F.when(take & ~z["b"], t).otherwise(0)).cast("bigint").alias("used"), F.concat(acc["out"], F.array(take)).alias("out"))
-    s1 = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("tier"), F.lit(0).cast("bigint").alias("spent"), F.array().cast("array<boolean>").alias("out"))
-    one = g.select(*keys, "items", F.aggregate("items", s1, first).alias("p"))
-    zipped = one.select(*keys, F.col("p.used").alias("used"), F.arrays_zip(F.col("items").alias("i"), F.col("p.out").alias("b")).alias("z"))
-    s2 = F.struct(F.col("used"), F.array().cast("array<boolean>").alias("out"))
-    two = zipped.select(*keys, "z", F.aggregate("z", s2, second)["out"].alias("out"))
-    return two.select(*keys, F.explode(F.arrays_zip(F.col("z").alias("z"), F.col("out").alias("o"))).alias("r")).select(
-        *keys, F.col("r.z.i.item").alias("item"), F.col("r.z.i.tier").alias("tier"), F.col("r.o").alias("taken"))
+    caps = {t: int(budget * s) for t, s in shares.items()}
+
+    def fold(items):
+        used, spent, taken = 0, dict.fromkeys(caps, 0), []
+        for _, tier, size in items:
+            take = tier == 1 or spent[tier] + size <= caps[tier] and used + size <= budget
+            if take:
+                used += size
+                spent[tier] = spent.get(tier, 0) + size
+            taken.append(take)
+        for take, (_, _, size) in zip(taken, items):
+            if not take and used + size <= budget:
+                take, used = True, used + size
+            yield take
+    return in_order(rows, keys, ["tier", "-score", "item"], ["item", "tier", "size"], "taken", "boolean", fold).select(*keys, "item", "tier", "taken")
 
 
 def contained(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,21 +151,31 @@ def _schema(rows: DataFrame, keys: list[str], *values: str) -> str:
 
 
 def deduplicate(findings: DataFrame, keys: list[str], near: int = V.ADJACENT_LINES, similar: float = V.SIMILARITY) -> DataFrame:
-    """(keys, item, kept_by) for findings (keys, item, category, first, last, score, words): by falling score each is a duplicate of
-    the first kept one that lies within `near` lines and has its category or enough of its words; kept_by is null for the kept.
-    keys must hold the file, as only findings of one file are compared."""
+    """(keys, item, kept_by, confidence, notes) for findings (keys, item, category, first, last, score, confidence, batch, words): by falling
+    score each is a duplicate of the first kept one that lies within `near` lines and has its category or enough of its words; kept_by is
+    null for the kept, which get the highest confidence of theirs and a note of the batches that found them too. keys must hold the file,
+    as only findings of one file are compared."""
     def fold(items):
         kept: list = []
-        for r in sorted(items, key=lambda r: (-r["score"], r["item"])):
+        by: dict = {}
+        order = sorted(items, key=lambda r: (-r["score"], r["item"]))
+        for r in order:
             words = set(r["words"] or ())
-            by = next((k["item"] for k, kw in kept if r["first"] <= k["last"] + near and k["first"] <= r["last"] + near and (
-                r["category"] == k["category"] or words and kw and len(words & kw) >= similar * len(words | kw))), None)
-            if by is None:
-                kept.append((r, words))
-            yield r["item"], by
-    schema = _schema(findings, keys, "item", "kept_by")
-    g = findings.groupBy(*keys).agg(F.collect_list(F.struct(F.col("item").cast("string").alias("item"), "category", "first", "last", "score", "words")).alias("items"))
-    return g.mapInArrow(_fold(schema, keys, fold), schema)
+            hit = next((k for k in kept if r["first"] <= k[0]["last"] + near and k[0]["first"] <= r["last"] + near and (
+                r["category"] == k[0]["category"] or words and k[1] and len(words & k[1]) >= similar * len(words | k[1]))), None)
+            if hit is None:
+                kept.append([r, words, r["confidence"], []])
+            else:
+                by[r["item"]] = hit[0]["item"]
+                hit[2] = max(hit[2], r["confidence"])
+                hit[3].append(str(r["batch"]))
+        mine = {k[0]["item"]: k for k in kept}
+        for r in order:
+            k = mine.get(r["item"])
+            yield r["item"], by.get(r["item"]), str(round(k[2] if k else r["confidence"], 6)), ",".join(k[3]) if k else ""
+    schema = _schema(findings, keys, "item", "kept_by", "confidence", "notes")
+    g = findings.groupBy(*keys).agg(F.collect_list(F.struct(F.col("item").cast("string").alias("item"), "category", "first", "last", "score", "confidence", "batch", "words")).alias("items"))
+    return g.mapInArrow(_fold(schema, keys, fold), schema).withColumn("confidence", F.col("confidence").cast("double"))
 
 
 def match_in_order(expected: DataFrame, found: DataFrame, keys: list[str], tolerance: int = V.LINE_TOLERANCE) -> DataFrame:

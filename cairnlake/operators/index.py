@@ -86,10 +86,9 @@ def overwrite_partitions(rows: DataFrame, path: str, by: str) -> None:
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
     """Append the rows whose key is not in the table at path; how many that were."""
     spark = rows.sparkSession
-    try:
-        existing = spark.read.parquet(path)
-    except Exception:  # no table yet
-        existing = spark.createDataFrame([], rows.schema)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    existing = spark.read.parquet(path) if there else spark.createDataFrame([], rows.schema)
     fresh = durable(insert_new(existing, rows, keys), "fresh")
     fresh.write.mode("append").parquet(path)
     return fresh.count()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cairnlake.functions import fixed_values as V, text as T
@@ -63,12 +66,22 @@ def lexical(queries: DataFrame, docs: DataFrame, query: str, key: str, *text: st
 
 
 def similar_names(queries: DataFrame, names: DataFrame, least: float) -> DataFrame:
-    """(query, name, similarity): trigram similarity of at least `least`, by a join on shared trigrams."""
-    q = queries.select("query", T.trigrams(F.col("query")).alias("g")).select("query", F.size("g").alias("nq"), F.explode("g").alias("gram"))
-    n = names.select("name", T.trigrams(F.col("name")).alias("g")).select("name", F.size("g").alias("nn"), F.explode("g").alias("gram"))
-    # a pair needs at least this share of the larger set, so sets of too different size never meet
-    met = n.join(q, "gram").filter(F.least("nq", "nn") >= F.greatest("nq", "nn") * least)
-    s = met.groupBy("query", "name").agg((F.count("*") / (F.first("nq") + F.first("nn") - F.count("*"))).alias("similarity"))
+    """(query, name, similarity): trigram similarity of at least `least`. Sets that similar share one of their rarest trigrams: of n
+    only the n - ceil(least * n) + 1 rarest are joined, in the order of how many names hold them, so a common trigram joins little;
+    the pairs that meet are compared by their whole sets."""
+    n = names.select("name", T.trigrams(F.col("name")).alias("b"))
+    q = queries.select("query", T.trigrams(F.col("query")).alias("a"))
+    held = n.select(F.explode("b").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+
+    def prefix(rows: DataFrame, key: str, grams: str, size: str) -> DataFrame:
+        each = rows.select(key, F.size(grams).alias(size), F.explode(grams).alias("gram")).join(held, "gram", "left")
+        ordered = each.groupBy(key, size).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("g"))
+        kept = F.slice("g", F.lit(1), (F.col(size) - F.ceil(F.col(size) * least - 1e-9) + 1).cast("int"))
+        return ordered.filter(F.col(size) > 0).select(key, size, F.explode(kept).alias("k")).select(key, size, "k.gram")
+    met = prefix(n, "name", "b", "nb").join(prefix(q, "query", "a", "na"), "gram").filter(F.least("na", "nb") >= F.greatest("na", "nb") * least)
+    pairs = met.select("query", "name").distinct().join(q, "query").join(n, "name")
+    shared = F.size(F.array_intersect("a", "b"))
+    s = pairs.select("query", "name", (shared / (F.size("a") + F.size("b") - shared)).alias("similarity"))
     return s.filter(F.col("similarity") >= least)
 
 
@@ -76,16 +89,45 @@ def similar_names(queries: DataFrame, names: DataFrame, least: float) -> DataFra
 QUERY_BLOCK, QUERY_BROADCAST = 2_000, 10_000
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, cosine, rank): exact nearest vectors to a stated query set (id, vec), in blocks: every row is sent to every
-    block of queries and is compared with those there. The queries are counted; only up to QUERY_BROADCAST of them are broadcast."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    q = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    r = rows.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    met = r.join(F.broadcast(q) if n <= QUERY_BROADCAST else q, "block").filter(F.col("id") != F.col("query_id"))
-    pairs = met.select("query_id", "id", T.cosine(F.col("vec"), F.col("qv")).alias("cosine"))
-    return top(pairs.filter("cosine is not null"), ["query_id"], [F.desc(F.round("cosine", 9)), F.col("id")], k)
+def _block_nearest(k: int):
+    """The k nearest rows of a batch for each query of a block, by matrix product in double precision."""
+    def run(table: pa.Table) -> pa.Table:
+        is_q = table.column("is_query").to_numpy(zero_copy_only=False)
+        ids, vec = table.column("id").combine_chunks(), table.column("vec").combine_chunks()
+        qi, ri = np.flatnonzero(is_q), np.flatnonzero(~is_q)
+        out_q, out_r, out_c = [], [], []
+        if len(qi) and len(ri):
+            size = np.asarray(pc.list_value_length(vec))
+            for d in np.unique(size[qi]):
+                a, b = qi[size[qi] == d], ri[size[ri] == d]
+                if not d or not len(b):
+                    continue
+                x, y = (np.asarray(vec.take(pa.array(r)).flatten().fill_null(np.nan), np.float64).reshape(len(r), d) for r in (a, b))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    cos = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+                cos[np.asarray(ids.take(pa.array(a)))[:, None] == np.asarray(ids.take(pa.array(b)))[None, :]] = np.nan
+                key = np.where(np.isfinite(cos), np.round(cos, 9), -np.inf)
+                # all that tie with the k-th stay; they are ranked by id once all pieces have come together
+                floor = np.partition(key, max(0, len(b) - k), axis=1)[:, max(0, len(b) - k)]
+                rows, cols = np.nonzero((key >= floor[:, None]) & np.isfinite(cos))
+                out_q.append(a[rows])
+                out_r.append(b[cols])
+                out_c.append(cos[rows, cols])
+        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        return pa.table({"query_id": ids.take(pa.array(cat(out_q, np.int64))), "id": ids.take(pa.array(cat(out_r, np.int64))), "cosine": pa.array(cat(out_c, np.float64))})
+    return run
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, piece_rows: int = 50_000) -> DataFrame:
+    """(query_id, id, cosine, rank): exact nearest vectors to a stated query set (id, vec). Queries go in blocks and rows in pieces, by
+    hash; each block meets each piece in a task of its own, which keeps its k best, so no task holds more than one of each."""
+    nq, nr = queries.count(), rows.count()
+    blocks, pieces = max(1, -(-nq // QUERY_BLOCK)), max(1, -(-nr // piece_rows))
+    q = queries.select("id", "vec", F.lit(True).alias("is_query"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece"))
+    r = rows.select("id", "vec", F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(pieces)).cast("int").alias("piece"))
+    kind = rows.schema["id"].dataType.simpleString()
+    best = q.unionByName(r).groupBy("block", "piece").applyInArrow(_block_nearest(k), f"query_id {kind}, id {kind}, cosine double")
+    return top(best, ["query_id"], [F.desc(F.round("cosine", 9)), F.col("id")], k)
 
 
 def fuse(ranked: DataFrame, query: str, key: str, k: int = V.RRF_K, scale: float = V.RRF_SCALE) -> DataFrame:

@@ -75,18 +75,20 @@ def _chunk_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("snap"), b.column("part"), pa.array(ids, pa.int64()), key, b.column("val")], names=["snap", "part", "chunk", "key", "val"])
 
 
-def chunked_rows(rows: DataFrame, mean_rows: int) -> DataFrame:
+def chunked_rows(rows: DataFrame, mean_rows: int, kind: str = "string") -> DataFrame:
     """rows (snap, family, key, val) with the chunk each is in."""
     # One border per (key, family): the same for all snapshots of a family.
     placed = rows.repartitionByRange("key", "family").withColumn("part", F.spark_partition_id()).sortWithinPartitions("family", "key")
     placed = placed.withColumn("cut", F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(mean_rows)) == 0)
-    return placed.mapInArrow(_chunk_ids, "snap bigint, part int, chunk bigint, key string, val string")
+    return placed.mapInArrow(_chunk_ids, f"snap bigint, part int, chunk bigint, key string, val {kind}")
 
 
 def changes(rows: DataFrame, pairs: DataFrame, families: DataFrame | None = None, *, snapshot: str = "snapshot_id", key: str = "path",
-            value: str = "blob_sha", mean_rows: int = MEAN_ROWS) -> DataFrame:
+            value: str = "blob_sha", mean_rows: int = MEAN_ROWS, values: bool = True) -> DataFrame:
     """(later, earlier, key, change, old, new) for the rows of `rows` and the (later, earlier) of `pairs`.
 
+    Without `values` old and new are 128-bit hashes: once the greatest value of a key is known, only its hash moves on.
+
     change is 'added', 'removed' or 'changed'. families (snap, family), one row per snapshot, says which
     snapshots share their cuts; a key that all snapshots have is then spread over the families. Two members
     of a pair in different families, or in none, cost speed, never rows.
@@ -104,7 +106,9 @@ def changes(rows: DataFrame, pairs: DataFrame, families: DataFrame | None = None
     links = durable(links, "numbered")
     clean = (rows.select(F.col(snapshot).alias("name"), F.col(key).alias("key"), F.col(value).alias("val")).filter("name is not null and key is not null")
              .join(used, "name").groupBy("snap", "family", "key").agg(F.max("val").alias("val")))
-    table = durable(chunked_rows(clean, mean_rows), "chunked")
+    if not values:
+        clean = clean.withColumn("val", F.unhex(F.md5("val")))
+    table = durable(chunked_rows(clean, mean_rows, "string" if values else "binary"), "chunked")
 
     # Digest of a chunk: two sums of 64-bit hashes and the row count, independent of row order.
     h1 = F.xxhash64("key", F.col("val").isNull(), "val").cast("decimal(20,0)")

@@ -44,9 +44,9 @@ def j11_jvm_embeddings(spark, d):
 
 
 def e2_embedding_text(spark, d):
-    """The text of a chunk that is embedded, and its cache key."""
+    """The text of a chunk that is embedded, and its cache key; the line of the name is left out where there is none."""
     c = chunks(spark, d, "id", "path", "symbol_type", "qualified_name", "signature", "content")
-    t = F.substring(F.concat_ws("\n", F.concat(F.lit("# "), "path"), F.concat(F.lit("# "), "symbol_type", F.lit(" "), F.coalesce("qualified_name", F.lit(""))), "signature", "content"), 1, 6000)
+    t = F.substring(F.concat_ws("\n", F.concat(F.lit("# "), "path"), F.concat(F.lit("# "), "symbol_type", F.lit(" "), "qualified_name"), "signature", "content"), 1, 6000)
     return c.select("id", F.sha2(t, 256).alias("cache_key"), F.length(t).alias("chars"))
 
 
@@ -59,6 +59,6 @@ SQL = {
         z AS (SELECT doc_id, s, min(n) AS a, max(n) FILTER (WHERE trim(t, ' ' || chr(9) || chr(13)) <> '') AS b, coalesce(max(title), '<preamble>') AS symbol FROM y GROUP BY ALL),
         w AS (SELECT doc_id, a + k * 80 AS start_line, least(b, a + k * 80 + 79) AS end_line, symbol FROM (SELECT *, unnest(range(0, (b - a) // 80 + 1)) AS k FROM z WHERE b IS NOT NULL))
         SELECT w.doc_id, start_line::INT AS start_line, end_line::INT AS end_line, symbol, md5(string_agg(t, chr(10) ORDER BY n)) AS digest FROM w JOIN x ON x.doc_id = w.doc_id AND n BETWEEN start_line AND end_line GROUP BY ALL""",
-    "e2_embedding_text": """SELECT id, sha256(t) AS cache_key, length(t) AS chars FROM (SELECT id, substr(concat_ws(chr(10), '# ' || path, '# ' || symbol_type || ' ' || coalesce(qualified_name, ''), signature, content), 1, 6000) AS t
+    "e2_embedding_text": """SELECT id, sha256(t) AS cache_key, length(t) AS chars FROM (SELECT id, substr(concat_ws(chr(10), '# ' || path, '# ' || symbol_type || ' ' || qualified_name, signature, content), 1, 6000) AS t
         FROM (SELECT DISTINCT id, path, symbol_type, qualified_name, signature, content FROM code_chunks))""",
 }

@@ -52,20 +52,6 @@ def g5_snapped(spark, d):
     return K.snap(wide, lines.filter("new_no is not null").select("id", F.col("new_no").alias("n")), ["id"])
 
 
-def d15_class_calls(spark, d):
-    """What the methods of each class call, self.x counting as x, and how much of that several of them call."""
-    c = chunks(spark, d, "id", *N.FILE, "symbol_type", "parent_symbol", "called_names").filter("symbol_type = 'method'")
-    calls = c.select("id", *N.FILE, "parent_symbol", F.explode(F.array_distinct(F.transform("called_names", lambda x: F.regexp_replace(x, "^(self|cls)[.]", "")))).alias("name"))
-    per = calls.groupBy(*N.FILE, "parent_symbol", "name").agg(F.count("*").alias("n"))
-    return per.groupBy(*N.FILE, "parent_symbol").agg(F.count("*").alias("names"), F.count_if(F.col("n") > 1).alias("shared"))
-
-
-def d16_imports(spark, d):
-    """How many files and chunks of a repository import each module."""
-    c = chunks(spark, d, "id", "repository_id", "path", "imports").select("repository_id", "id", "path", F.explode(F.array_distinct("imports")).alias("module"))
-    return c.groupBy("repository_id", "module").agg(F.countDistinct("path").alias("files"), F.count("*").alias("chunks"))
-
-
 def c28_usage_rules(spark, d):
     """Usage records of the jobs against the rules of their form."""
     j = load(spark, d, "review_jobs", "id", "usage").distinct()
@@ -117,7 +103,7 @@ def b4_identities(spark, d):
     return c.groupBy(*key).agg(F.count("*").alias("n")).agg(F.count("*").alias("kept"), F.sum(F.col("n") - 1).alias("refused"))
 
 
-QUERIES = {f.__name__: f for f in (n_context, n_tiers, c9_excluded, b12_purged, g5_snapped, d15_class_calls, d16_imports, c28_usage_rules, c25_signatures, e7_scope, a16_anchors, h10_guides, f13_rollup, b4_identities)}
+QUERIES = {f.__name__: f for f in (n_context, n_tiers, c9_excluded, b12_purged, g5_snapped, c28_usage_rules, c25_signatures, e7_scope, a16_anchors, h10_guides, f13_rollup, b4_identities)}
 
 _M = "m AS (SELECT DISTINCT snapshot_id, path, lower(blob_sha) AS blob_sha FROM snapshot_files)"
 _RUNS = """v AS (SELECT id, min(n) AS s, max(n) AS e FROM (SELECT id, n, n - row_number() OVER (PARTITION BY id ORDER BY n) AS i FROM (SELECT DISTINCT id, new_no AS n FROM l WHERE kind <> 'del')) GROUP BY id, i),
@@ -130,11 +116,6 @@ SQL = {
         FROM repositories r WHERE deleted_at IS NULL""",
     "g5_snapped": f"""WITH {_P}, {_RUNS}, h AS (SELECT a.id, a.s AS item, a.s - 3 AS first, a.e + 3 AS last, v.s, v.e, row_number() OVER (PARTITION BY a.id, a.s ORDER BY NOT (a.s - 3 BETWEEN v.s AND v.e), v.s) AS n
         FROM a JOIN v ON v.id = a.id AND (a.s - 3 BETWEEN v.s AND v.e OR a.e + 3 BETWEEN v.s AND v.e)) SELECT id, item::INT AS item, greatest(first, s)::INT AS low, least(last, e)::INT AS high FROM h WHERE n = 1""",
-    "d15_class_calls": """WITH c AS (SELECT DISTINCT id, repository_id, blob_sha, chunker_version, parent_symbol, called_names FROM code_chunks WHERE symbol_type = 'method'),
-        k AS (SELECT DISTINCT id, repository_id, blob_sha, chunker_version, parent_symbol, regexp_replace(name, '^(self|cls)[.]', '') AS name FROM (SELECT *, unnest(called_names) AS name FROM c)),
-        n AS (SELECT repository_id, blob_sha, chunker_version, parent_symbol, name, count(*) AS n FROM k GROUP BY ALL)
-        SELECT repository_id, blob_sha, chunker_version, parent_symbol, count(*) AS names, count(*) FILTER (WHERE n > 1) AS shared FROM n GROUP BY ALL""",
-    "d16_imports": "SELECT repository_id, module, count(DISTINCT path) AS files, count(*) AS chunks FROM (SELECT DISTINCT repository_id, id, path, unnest(imports) AS module FROM code_chunks) GROUP BY ALL",
     "c28_usage_rules": """WITH j AS (SELECT usage, try_cast(json_extract_string(usage, '$.input_tokens') AS DOUBLE) AS i, try_cast(json_extract_string(usage, '$.output_tokens') AS DOUBLE) AS o FROM (SELECT DISTINCT id, usage FROM review_jobs))
         SELECT CASE WHEN usage IS NULL OR usage = '' THEN 'no_record' WHEN i IS NULL THEN 'no_input' WHEN o IS NULL THEN 'no_output' WHEN i < 0 OR o < 0 THEN 'negative' WHEN i > 1e9 THEN 'too_large' ELSE 'valid' END AS outcome, count(*) AS jobs FROM j GROUP BY 1""",
     "e7_scope": """SELECT review_job_id, '{"files":' || count(*) || ',"lines":' || sum(additions + deletions) || ',"added":' || count(*) FILTER (WHERE status = 'added') || ',"removed":' || count(*) FILTER (WHERE status = 'removed') || '}' AS scope

@@ -32,8 +32,9 @@ def k_sessions(spark, d):
 
 def f15_quantiles(spark, d):
     e = _events(spark, d, "event_type", "value")
-    q = F.percentile("value", F.array(*[F.lit(x) for x in (0.5, 0.95, 0.99)])).alias("q")
-    return e.groupBy("event_type").agg(q, F.max("value").alias("highest")).select("event_type", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], F.round("highest", 6).alias("highest"))
+    q = E.quantiles(e, "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    highest = e.groupBy("event_type").agg(F.max("value").alias("highest"))
+    return q.join(highest, "event_type").select("event_type", *[F.round(n, 6).alias(n) for n in ("p50", "p95", "p99", "highest")])
 
 
 def j33_histogram(spark, d):

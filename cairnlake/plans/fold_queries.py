@@ -57,24 +57,17 @@ def l1_tier_budget(spark, d):
 
 
 def l3_triage(spark, d):
-    """Files of each job taken in order of priority until 60 changed lines are reached; one that would overfill is skipped."""
+    """Files of each job taken in order of priority, at most four and 60 changed lines; one that would overfill is skipped, but the first is always taken."""
     p = changed(spark, d, "id", "review_job_id", "path", "status", "additions", "deletions")
     c, n = F.col("path"), F.col("additions") + F.col("deletions")
     rows = p.select("review_job_id", F.col("id").alias("item"), n.alias("size"), F.round(C.priority(C.language(c), C.is_test(c), c, F.col("status"), n), 6).alias("priority"))
-    return L.skip_fit(rows, ["review_job_id"], [F.desc("priority"), F.col("item")], "item", "size", F.lit(60)).select(F.col("item").alias("id"), "taken")
+    return L.skip_fit(rows, ["review_job_id"], ["-priority", "item"], "item", "size", 60, most=4, first_always=True).select(F.col("item").alias("id"), "taken")
 
 
 def l4_batches(spark, d):
-    """Chunks of each file in order of line, put into batches of 400 tokens."""
+    """Chunks of each file in order of line, put into batches of 400 tokens, of which three calls allow two."""
     rows = _items(spark, d, "start_line")
-    return L.next_fit(rows, FILE, [F.col("start_line"), F.col("id")], "id", "token_count", 400).select("id", "batch")
-
-
-def f4_merged_spans(spark, d):
-    """Chunks of equal content in a repository: how many, the first path, all kinds."""
-    c = chunks(spark, d, "id", "repository_id", "path", "symbol_type", "token_count", "content_hash")
-    return c.groupBy("repository_id", "content_hash").agg(F.count("*").alias("copies"), F.min("path").alias("path"), F.max("token_count").alias("tokens"),
-                                                          F.array_join(F.array_sort(F.collect_set("symbol_type")), ",").alias("kinds"))
+    return L.limited_batches(L.next_fit(rows, FILE, ["start_line", "id"], "id", "token_count", 400), 3).select("id", "batch", "skipped")
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
@@ -96,16 +89,17 @@ def d9_enclosing(spark, d):
 
 
 def g7_capped(spark, d):
-    """At most three files a folder and ten a job, those with most additions first."""
+    """At most one file a folder and three a job, those with most additions first."""
     p = changed(spark, d, "id", "review_job_id", "path", "additions").withColumn("folder", T.parent_dir(F.col("path")))
     return L.capped(p, ["review_job_id"], ["folder"], [F.desc("additions"), F.col("id")], 1, 3).select("review_job_id", "n", "id")
 
 
 def l7_deduplicated(spark, d):
-    """Hunks of a patch that lie within three lines of a larger one."""
+    """Hunks of a patch that lie within three lines of a larger one and are of its kind or share its words."""
     h = l10_hunks(spark, d)
-    f = h.select("id", F.concat_ws("#", "id", "hunk").alias("item"), F.lit("hunk").alias("category"), F.col("new_start").alias("first"), (F.col("new_start") + F.col("new_len")).alias("last"),
-                 F.col("added").cast("double").alias("score"), F.array().cast("array<string>").alias("words"))
+    grown = F.when(F.col("added") > 5, "large").otherwise("small")
+    f = h.select("id", F.concat_ws("#", "id", "hunk").alias("item"), grown.alias("category"), F.col("new_start").alias("first"), (F.col("new_start") + F.col("new_len") + 60).alias("last"),
+                 F.col("added").cast("double").alias("score"), (F.pmod(F.col("new_start"), F.lit(10)) / 10).alias("confidence"), F.col("hunk").alias("batch"), F.array(F.concat(F.lit("w"), F.col("added") % 3)).alias("words"))
     return L.deduplicate(f, ["id"])
 
 
@@ -151,7 +145,7 @@ def d18_flagged_lines(spark, d):
     return marked.join(added, ["id", "line"], "left_semi").distinct()
 
 
-QUERIES = {f.__name__: f for f in (l10_hunks, l10_malformed, g11_numbered_lines, g4_added_ranges, f17_line_sets, e3_rendered, l1_tier_budget, l3_triage, l4_batches, f4_merged_spans, l2_contained, d9_enclosing,
+QUERIES = {f.__name__: f for f in (l10_hunks, l10_malformed, g11_numbered_lines, g4_added_ranges, f17_line_sets, e3_rendered, l1_tier_budget, l3_triage, l4_batches, l2_contained, d9_enclosing,
                                    g7_capped, l7_deduplicated, l8_matched, f11_confusion, f12_scores, f16_totals, d18_flagged_lines)}
 
 # lines of every patch; n numbers them, h the hunk they are in
@@ -204,16 +198,15 @@ SQL = {
         SELECT id, tier, taken FROM b""",
     "l3_triage": f"""WITH RECURSIVE f AS (SELECT id, review_job_id, n AS size, row_number() OVER (PARTITION BY review_job_id ORDER BY {_PRIO} DESC, id) AS k
           FROM (SELECT *, {_LANG} AS lang, {_TEST} AS test FROM (SELECT DISTINCT id, review_job_id, path, status, additions + deletions AS n FROM changed_files))),
-        r AS (SELECT review_job_id, id, k, size <= 60 AS taken, CASE WHEN size <= 60 THEN size ELSE 0 END AS used FROM f WHERE k = 1
-          UNION ALL SELECT f.review_job_id, f.id, f.k, r.used + f.size <= 60, r.used + CASE WHEN r.used + f.size <= 60 THEN f.size ELSE 0 END FROM r JOIN f ON f.review_job_id = r.review_job_id AND f.k = r.k + 1)
+        r AS (SELECT review_job_id, id, k, true AS taken, size AS used, 1 AS sel FROM f WHERE k = 1
+          UNION ALL SELECT f.review_job_id, f.id, f.k, r.sel < 4 AND r.used + f.size <= 60, r.used + CASE WHEN r.sel < 4 AND r.used + f.size <= 60 THEN f.size ELSE 0 END, r.sel + CASE WHEN r.sel < 4 AND r.used + f.size <= 60 THEN 1 ELSE 0 END
+            FROM r JOIN f ON f.review_job_id = r.review_job_id AND f.k = r.k + 1)
         SELECT id, taken FROM r""",
     "l4_batches": f"""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY {_F} ORDER BY start_line, id) AS k FROM (SELECT DISTINCT id, {_F}, token_count AS size, start_line FROM code_chunks)),
         r AS (SELECT {_F}, id, k, 0 AS batch, size AS used FROM f WHERE k = 1
           UNION ALL SELECT f.repository_id, f.blob_sha, f.chunker_version, f.id, f.k, CASE WHEN r.used > 0 AND r.used + f.size > 400 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.used > 0 AND r.used + f.size > 400 THEN f.size ELSE r.used + f.size END
             FROM r JOIN f ON f.repository_id = r.repository_id AND f.blob_sha = r.blob_sha AND f.chunker_version = r.chunker_version AND f.k = r.k + 1)
-        SELECT id, batch FROM r""",
-    "f4_merged_spans": """SELECT repository_id, content_hash, count(*) AS copies, min(path) AS path, max(token_count) AS tokens, string_agg(DISTINCT symbol_type, ',' ORDER BY symbol_type) AS kinds
-        FROM (SELECT DISTINCT id, repository_id, path, symbol_type, token_count, content_hash FROM code_chunks) GROUP BY ALL""",
+        SELECT id, batch, CASE WHEN batch >= 2 THEN 'model_call_limit' END AS skipped FROM r""",
     "l2_contained": f"""WITH {_SPANS}, m AS (SELECT i.id, i.tier, o.id AS outer_id, o.tier AS outer_tier, row_number() OVER (PARTITION BY i.id ORDER BY o.id) AS n FROM sp i JOIN sp o USING ({_F})
         WHERE o.first <= i.first AND i.last <= o.last AND NOT (o.first = i.first AND o.last = i.last)) SELECT id, outer_id AS outer, outer_tier <= tier + 1 AS dropped FROM m WHERE n = 1""",
     "d9_enclosing": f"""WITH {_SPANS}, pt AS (SELECT DISTINCT {_F}, first AS point FROM sp), m AS (SELECT {_F}, point, id, row_number() OVER (PARTITION BY {_F}, point ORDER BY last - first, id) AS n FROM pt JOIN sp USING ({_F}) WHERE point BETWEEN first AND last)

@@ -43,18 +43,6 @@ def b1_latest_jobs(spark, d):
     return I.latest(j, ["repository_id", "pull_number"], ["created_at", "id"], ["base_sha"]).select("repository_id", "pull_number", "id", "base_sha", "head_sha", "status")
 
 
-def b2_new_deliveries(spark, d):
-    """The first job of each delivery."""
-    j = load(spark, d, "review_jobs", "id", "delivery_id", "created_at").filter("delivery_id is not null")
-    return j.groupBy("delivery_id").agg(F.min(F.struct("created_at", "id")).alias("f"), F.countDistinct("id").alias("jobs")).select("delivery_id", F.col("f.id").alias("job_id"), "jobs")
-
-
-def b5_cache_inserts(spark, d):
-    """Keys of chunks that an empty cache would take in, and how many rows each stands for."""
-    c = chunks(spark, d, "id", "content_hash", "embedding_model").filter("embedding_model is not null")
-    return c.groupBy("content_hash", "embedding_model").agg(F.count("*").alias("chunks"))
-
-
 def b11_collectable_snapshots(spark, d):
     s = _snaps(spark, d, "status", "started_at", "finished_at")
     jobs = load(spark, d, "review_jobs", "snapshot_id")
@@ -117,7 +105,7 @@ def i8_known_paths(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    a10_scoped_chunks, a14_existing_paths, a19_latest_snapshots, b1_latest_jobs, b2_new_deliveries, b5_cache_inserts, b11_collectable_snapshots, d2_chunk_counts, d4_unreferenced_chunks, d6_missing_blobs,
+    a10_scoped_chunks, a14_existing_paths, a19_latest_snapshots, b1_latest_jobs, b11_collectable_snapshots, d2_chunk_counts, d4_unreferenced_chunks, d6_missing_blobs,
     d7_cache_hits, d27_patched_manifests, f18_first_paths, g3_latest_ready, i8_known_paths)}
 
 _M = "m AS (SELECT DISTINCT snapshot_id, path, lower(blob_sha) AS blob_sha FROM snapshot_files)"
@@ -133,8 +121,6 @@ SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY repository_id, pull_number ORDER BY created_at DESC, id DESC) AS n FROM j),
         b AS (SELECT repository_id, pull_number, arg_max(base_sha, (created_at, id)) AS base_sha FROM j WHERE base_sha IS NOT NULL GROUP BY ALL)
         SELECT r.repository_id, r.pull_number, r.id, b.base_sha, r.head_sha, r.status FROM r LEFT JOIN b ON b.repository_id = r.repository_id AND b.pull_number = r.pull_number WHERE n = 1""",
-    "b2_new_deliveries": "SELECT delivery_id, arg_min(id, (created_at, id)) AS job_id, count(DISTINCT id) AS jobs FROM review_jobs WHERE delivery_id IS NOT NULL GROUP BY 1",
-    "b5_cache_inserts": "SELECT content_hash, embedding_model, count(DISTINCT id) AS chunks FROM code_chunks WHERE embedding_model IS NOT NULL GROUP BY ALL",
     "b11_collectable_snapshots": """WITH r AS (SELECT id, repository_id, row_number() OVER (PARTITION BY repository_id ORDER BY finished_at DESC NULLS FIRST, id) AS n FROM repository_snapshots WHERE status = 'ready')
         SELECT id, repository_id, 'superseded' AS reason FROM r WHERE n > 3 AND NOT EXISTS (SELECT 1 FROM review_jobs j WHERE j.snapshot_id = r.id)
         UNION ALL SELECT id, repository_id, 'stale' FROM repository_snapshots WHERE status <> 'ready' AND started_at < TIMESTAMP '2100-01-01' - INTERVAL 6 HOURS""",

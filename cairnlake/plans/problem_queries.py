@@ -12,7 +12,7 @@ def _changes(spark: SparkSession, data_dir: str) -> DataFrame:
     snaps = load(spark, data_dir, "repository_snapshots", "id", "repository_id", "parent_snapshot_id", "status")
     files = load(spark, data_dir, "snapshot_files", "snapshot_id", "path", "blob_sha")
     families = snaps.filter("id is not null").groupBy(F.col("id").alias("snap")).agg(F.max("repository_id").alias("family"))
-    return changes(files.withColumn("blob_sha", F.lower("blob_sha")), nearest_ready(snaps), families)
+    return changes(files.withColumn("blob_sha", F.lower("blob_sha")), nearest_ready(snaps), families, values=False)
 
 
 def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:

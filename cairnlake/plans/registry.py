@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cairnlake.plans import chunk_queries, context_queries, event_queries, fold_queries, index_queries, problem_queries, relational_queries, search_queries, text_queries
+from cairnlake.plans import chunk_queries, context_queries, event_queries, fold_queries, hybrid_queries, index_queries, problem_queries, relational_queries, review_queries, search_queries, text_queries
 
-MODULES = (problem_queries, text_queries, index_queries, search_queries, fold_queries, event_queries, chunk_queries, context_queries, relational_queries)
-FLAGSHIP = search_queries.f3_hybrid_rrf
+MODULES = (problem_queries, text_queries, index_queries, search_queries, fold_queries, event_queries, chunk_queries, context_queries, relational_queries, review_queries, hybrid_queries)
+FLAGSHIP = hybrid_queries.f3_hybrid_rrf
 
 
 def queries() -> dict:

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from cairnlake.functions import classify as C
 from cairnlake.operators import search as S
 from cairnlake.plans.fold_queries import _P, _lines
-from cairnlake.plans.search_queries import _HITS, _title_hits
 from cairnlake.plans.text_queries import _LANG, changed, chunks
-from cairnlake.session import durable
 from cairnlake.sources.tables import load
 
 
@@ -62,16 +60,6 @@ def k5_sliding_windows(spark, d):
     return w.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-def m9_ablation(spark, d):
-    """How many of each item's first eight fused documents either list alone would have put there."""
-    hits = durable(_title_hits(spark, d), "hits")
-    tf = S.top(hits, ["case_id"], [F.desc(F.round("score", 6)), F.col("doc_id")], 20).select("case_id", "doc_id", "rank", F.lit("frequency").alias("source"))
-    cover = S.top(hits, ["case_id"], [F.desc("matched"), F.col("doc_id")], 20).select("case_id", "doc_id", "rank", F.lit("coverage").alias("source"))
-    both = tf.unionByName(cover)
-    fused = S.top(S.fuse(both, "case_id", "doc_id"), ["case_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], 8).select("case_id", "doc_id")
-    return both.filter("rank <= 8").join(fused, ["case_id", "doc_id"]).groupBy("source").agg(F.count("*").alias("kept"), F.countDistinct("case_id").alias("items"))
-
-
 def r_revenue(spark, d):
     """Pricing summary of the order lines."""
     l = load(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate").filter("l_shipdate <= timestamp_ntz'1998-09-02 00:00:00'")
@@ -86,7 +74,7 @@ def r_nation_rollup(spark, d):
     return r.select(F.coalesce("r_name", F.lit("(all)")).alias("region"), F.coalesce("n_name", F.lit("(all)")).alias("nation"), "orders", "total")
 
 
-QUERIES = {f.__name__: f for f in (a13_installations, a18_body_limit, a20_job_files, c8_vector_candidates, c18_triage_reasons, i6_whole_ranges, k5_sliding_windows, m9_ablation, r_revenue, r_nation_rollup)}
+QUERIES = {f.__name__: f for f in (a13_installations, a18_body_limit, a20_job_files, c8_vector_candidates, c18_triage_reasons, i6_whole_ranges, k5_sliding_windows, r_revenue, r_nation_rollup)}
 
 SQL = {
     "a13_installations": "SELECT installation_id, count(*) AS repositories FROM repositories WHERE deleted_at IS NULL GROUP BY 1",
@@ -99,11 +87,6 @@ SQL = {
         FROM (SELECT DISTINCT id, path, status, patch, skip_reason FROM changed_files) GROUP BY 1""",
     "i6_whole_ranges": f"WITH {_P} SELECT id, hunk::INT AS hunk, count(*) = count(*) FILTER (WHERE kind = 'add') AS whole FROM l WHERE new_no IS NOT NULL GROUP BY ALL",
     "k5_sliding_windows": """SELECT time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '2000-01-01') - k * INTERVAL 12 HOURS AS start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) v(k) GROUP BY ALL""",
-    "m9_ablation": f"""WITH {_HITS}, r AS (SELECT case_id, doc_id, 'frequency' AS source, row_number() OVER (PARTITION BY case_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM hits
-          UNION ALL SELECT case_id, doc_id, 'coverage', row_number() OVER (PARTITION BY case_id ORDER BY matched DESC, doc_id) FROM hits),
-        f AS (SELECT case_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) * 60.0 AS score FROM r WHERE rank <= 20 GROUP BY ALL),
-        t AS (SELECT case_id, doc_id FROM f QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, doc_id) <= 8)
-        SELECT source, count(*) AS kept, count(DISTINCT case_id) AS items FROM r JOIN t USING (case_id, doc_id) WHERE rank <= 8 GROUP BY 1""",
     "r_revenue": """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS lines FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
     "r_nation_rollup": """SELECT coalesce(r_name, '(all)') AS region, coalesce(n_name, '(all)') AS nation, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey
         JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name)""",

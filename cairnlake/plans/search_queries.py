@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from cairnlake.functions import fixed_values as V, text as T
 from cairnlake.operators import search as S
 from cairnlake.plans.text_queries import _list, chunks
-from cairnlake.session import durable
 from cairnlake.sources.tables import load
 
 
@@ -70,15 +69,6 @@ def h2_vector_topk(spark, d):
     return S.nearest(e.filter(F.col("id") % 100 == 0), e, 10).select("query_id", "rank", "id", F.round("cosine", 6).alias("cosine"))
 
 
-def f3_hybrid_rrf(spark, d):
-    """Documents for every evaluation item's title: the lists by term frequency and by terms covered, fused by rank."""
-    hits = durable(_title_hits(spark, d), "hits")  # both lists come from one pass over the documents
-    by_tf = S.top(hits, ["case_id"], [F.desc(F.round("score", 6)), F.col("doc_id")], 20).withColumn("source", F.lit("frequency"))
-    by_cover = S.top(hits, ["case_id"], [F.desc("matched"), F.col("doc_id")], 20).withColumn("source", F.lit("coverage"))
-    fused = S.fuse(by_tf.select("case_id", "doc_id", "source", "rank").unionByName(by_cover.select("case_id", "doc_id", "source", "rank")), "case_id", "doc_id")
-    return S.top(fused, ["case_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], 8).select("case_id", "rank", "doc_id", F.round("score", 6).alias("score"), "found_by")
-
-
 def j26_boosts(spark, d):
     """Boosts of every chunk when the tests of its repository are taken as the change."""
     c = _code(spark, d, "path", "symbol", "symbol_type", "qualified_name", "called_names", "imports", "is_test", "token_count")
@@ -113,7 +103,7 @@ def d17_parents(spark, d):
     return m.groupBy("class_id").agg(F.count("*").alias("methods"), F.min("id").alias("first_method"))
 
 
-QUERIES = {f.__name__: f for f in (c1_definitions, c2_symbols_in_paths, c3_callers, c4_tests, c5_docs, h1_lexical_topk, c6_matching_documents, c7_similar_parts, h2_vector_topk, f3_hybrid_rrf, j26_boosts, d13_imports, d17_parents)}
+QUERIES = {f.__name__: f for f in (c1_definitions, c2_symbols_in_paths, c3_callers, c4_tests, c5_docs, h1_lexical_topk, c6_matching_documents, c7_similar_parts, h2_vector_topk, j26_boosts, d13_imports, d17_parents)}
 
 _C = "c AS (SELECT DISTINCT id, repository_id, path, symbol, symbol_type, qualified_name, called_names, is_test, token_count, start_line, end_line, language FROM code_chunks)"
 _TERMS = f"""list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, {V.QUERY_TERMS}) AS terms FROM (SELECT case_id, list_filter(flatten(list_transform(regexp_extract_all(title, '[A-Za-z_][A-Za-z0-9_]*'),
@@ -146,10 +136,6 @@ SQL = {
     "h2_vector_topk": f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_DOT.format('e.embedding', 'q.embedding')} / (sqrt({_DOT.format('e.embedding', 'e.embedding')}) * sqrt({_DOT.format('q.embedding', 'q.embedding')})) AS cosine
         FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id)
         SELECT query_id, rank, id, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id)::INT AS rank FROM s) WHERE rank <= 10""",
-    "f3_hybrid_rrf": f"""WITH {_HITS}, r AS (SELECT case_id, doc_id, 'frequency' AS source, row_number() OVER (PARTITION BY case_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM hits
-          UNION ALL SELECT case_id, doc_id, 'coverage', row_number() OVER (PARTITION BY case_id ORDER BY matched DESC, doc_id) FROM hits),
-        f AS (SELECT case_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) * 60.0 AS score, string_agg(source || '#' || rank, ',' ORDER BY source || '#' || rank) AS found_by FROM r WHERE rank <= 20 GROUP BY ALL)
-        SELECT case_id, rank, doc_id, round(score, 6) AS score, found_by FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM f) WHERE rank <= 8""",
     "j26_boosts": f"""WITH {_C}, ch AS (SELECT repository_id, unnest(called_names) AS name FROM c WHERE is_test), dd AS (SELECT DISTINCT repository_id, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir FROM c WHERE is_test),
         f AS (SELECT id, symbol, symbol_type, token_count, coalesce((repository_id, qualified_name) IN (SELECT (repository_id, name) FROM ch), false) AS exact, coalesce((repository_id, symbol) IN (SELECT (repository_id, name) FROM ch), false) AS called,
           (repository_id, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END) IN (SELECT (repository_id, dir) FROM dd) AS same_dir FROM c),

@@ -83,16 +83,6 @@ def j20_sanitize(spark, d):
     return t.select("doc_id", F.md5(T.sanitize_markdown(F.col("t"))).alias("digest"))
 
 
-def j29_evidence(spark, d):
-    """How a chunk's signature is found in its content: as it stands, by nine in ten of its lines, or not."""
-    c = chunks(spark, d, "id", "signature", "content").filter("signature is not null and content is not null")
-    quote, body = T.collapse(F.col("signature")), T.collapse(F.col("content"))
-    lines = F.filter(F.transform(T.split_lines(F.col("signature")), T.collapse), lambda x: x != "")
-    hits = F.size(F.filter(lines, lambda x: body.contains(x)))
-    return c.select("id", F.when(F.length(quote) < 6, "short").when(body.contains(quote), "verbatim")
-                    .when((F.size(lines) > 1) & (hits >= 0.9 * F.size(lines)), "lines").otherwise("none").alias("match"))
-
-
 def i7_title_jaccard(spark, d):
     """Word overlap of each evaluation item's title and text."""
     e = load(spark, d, "eval_cases", "case_id", "title", "body")
@@ -138,7 +128,7 @@ def j27_usage(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     j1_token_estimate, j2_blob_sha, j3_content_hash, j4_fingerprint, j5_identifier_tokens, j6_query_terms, j7_index_terms, j12_collapse, j16_module_names, j17_injections, j18_redact, j19_neutralize,
-    j20_sanitize, j29_evidence, i7_title_jaccard, c10_path_classes, c14_markers, c15_ignored, c16_admission, c17_skip_reasons, j21_priority, j27_usage)}
+    j20_sanitize, i7_title_jaccard, c10_path_classes, c14_markers, c15_ignored, c16_admission, c17_skip_reasons, j21_priority, j27_usage)}
 
 
 def _q(s: str) -> str:
@@ -206,10 +196,6 @@ SQL = {
           '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), {_q(V.HTML_TAGS)}, '', 'g'), '(?i)http(s?)://((?:[^\\s/)>\\]]*)github\\.com(?:/[^\\s)>\\]]*)?(?:[\\s)>\\]]|$))', chr(1) || '\\1' || chr(2) || '\\2', 'g'),
           '(?i)https?://[^\\s)>\\]]+', '[link removed]', 'g'), chr(1) || '(s?)' || chr(2), 'http\\1://', 'g'), '(^|[^\\w`])@([A-Za-z0-9_-])', '\\1@' || chr(8203) || '\\2', 'g'), '(^|[^\\w&])#(\\d+)', '\\1#' || chr(8203) || '\\2', 'g'))) AS digest
         FROM (SELECT doc_id, text || chr(10) || '![pic](http://a.example/x.png) <b>see</b> <a href=''x''>https://github.com/o/r</a> and https://bad.example/p, @someone fixes #12' AS t FROM documents)""",
-    "j29_evidence": f"""WITH c AS (SELECT id, {_COLLAPSE.format('signature')} AS q, {_COLLAPSE.format('content')} AS b,
-          list_filter(list_transform(string_split(replace(signature, chr(13) || chr(10), chr(10)), chr(10)), lambda x: {_COLLAPSE.format('x')}), lambda x: x <> '') AS l
-        FROM (SELECT DISTINCT id, signature, content FROM code_chunks WHERE signature IS NOT NULL AND content IS NOT NULL))
-        SELECT id, CASE WHEN length(q) < 6 THEN 'short' WHEN contains(b, q) THEN 'verbatim' WHEN len(l) > 1 AND len(list_filter(l, lambda x: contains(b, x))) >= 0.9 * len(l) THEN 'lines' ELSE 'none' END AS match FROM c""",
     "i7_title_jaccard": f"""WITH w AS (SELECT case_id, {_WORDS.format('title')} AS a, {_WORDS.format('body')} AS b FROM eval_cases)
         SELECT case_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) END AS jaccard FROM w""",
     "c10_path_classes": f"SELECT path, {_LANG} AS language, {_TEST} AS is_test, {_GEN} AS is_generated, {_LOCK} AS is_lockfile, {_BIN} AS is_binary FROM (SELECT DISTINCT path FROM changed_files)",

@@ -29,13 +29,16 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset and there is but one machine."""
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR, None)
     if named:
         return named.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="cairnlake-")
     spark.sparkContext.setCheckpointDir(made)
     return made

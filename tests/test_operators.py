@@ -120,12 +120,34 @@ def test_ranges(spark):
 
 def test_skip_fit_is_no_running_sum(spark):
     d = spark.createDataFrame([("g", "a", 60), ("g", "b", 50), ("g", "c", 30)], "g string, item string, size int")
-    assert rows(folds.skip_fit(d, ["g"], [F.col("item")], "item", "size", F.lit(100))) == [("g", "a", True), ("g", "b", False), ("g", "c", True)]
+    assert rows(folds.skip_fit(d, ["g"], ["item"], "item", "size", 100)) == [("g", "a", True), ("g", "b", False), ("g", "c", True)]
+    assert [r[2] for r in rows(folds.skip_fit(d, ["g"], ["item"], "item", "size", 10))] == [False, False, False]
+    assert [r[2] for r in rows(folds.skip_fit(d, ["g"], ["item"], "item", "size", 95, most=2, first_always=True))] == [True, False, True]
+    assert [r[2] for r in rows(folds.skip_fit(d, ["g"], ["item"], "item", "size", 999, most=2))] == [True, True, False]
 
 
 def test_next_fit(spark):
     d = spark.createDataFrame([("g", "a", 60), ("g", "b", 50), ("g", "c", 40), ("g", "d", 500), ("g", "e", 1)], "g string, item string, size int")
-    assert [r[3] for r in rows(folds.next_fit(d, ["g"], [F.col("item")], "item", "size", 100))] == [0, 1, 1, 2, 3]
+    assert [r[3] for r in rows(folds.next_fit(d, ["g"], ["item"], "item", "size", 100))] == [0, 1, 1, 2, 3]
+    kept = folds.limited_batches(folds.next_fit(d, ["g"], ["item"], "item", "size", 100), 3)
+    assert [r["skipped"] for r in kept.orderBy("item").collect()] == [None, None, None, "model_call_limit", "model_call_limit"]
+
+
+def test_folds_over_many_groups(spark):
+    import random
+
+    rng = random.Random(2)
+    data = [(f"g{g}" if g else None, i, rng.randrange(1, 60)) for g in range(300) for i in range(rng.randrange(1, 9))] + [("big", i, rng.randrange(1, 60)) for i in range(30_000)]
+    want = {}
+    for g in {x[0] for x in data}:
+        batch = used = 0
+        for _, i, t in sorted((x for x in data if x[0] == g), key=lambda x: -x[1]):
+            if used and used + t > 100:
+                batch, used = batch + 1, 0
+            used += t
+            want[g, i] = batch
+    got = folds.next_fit(spark.createDataFrame(data, "g string, item int, size int"), ["g"], ["-item"], "item", "size", 100).collect()
+    assert {(r["g"], r["item"]): r["batch"] for r in got} == want
 
 
 def test_tier_selection(spark):
@@ -140,9 +162,9 @@ def test_contained(spark):
 
 
 def test_deduplicate_is_not_transitive(spark):
-    d = spark.createDataFrame([("f", "a", "x", 1, 2, 9.0, ["p"]), ("f", "b", "x", 5, 6, 8.0, ["p"]), ("f", "c", "x", 9, 10, 7.0, ["p"]), ("f", "d", "y", 1, 1, 6.0, None)],
-                              "f string, item string, category string, first int, last int, score double, words array<string>")
-    assert rows(folds.deduplicate(d, ["f"])) == [("f", "a", None), ("f", "b", "a"), ("f", "c", None), ("f", "d", None)]
+    d = spark.createDataFrame([("f", "a", "x", 1, 2, 9.0, 0.5, 1, ["p"]), ("f", "b", "x", 5, 6, 8.0, 0.9, 2, ["p"]), ("f", "c", "x", 9, 10, 7.0, 0.4, 3, ["p"]), ("f", "d", "y", 1, 1, 6.0, 0.3, 4, None), ("f", "e", "z", 2, 2, 5.0, 0.6, 5, ["p"])],
+                              "f string, item string, category string, first int, last int, score double, confidence double, batch int, words array<string>")
+    assert rows(folds.deduplicate(d, ["f"])) == [("f", "a", None, 0.9, "2,5"), ("f", "b", "a", 0.9, ""), ("f", "c", None, 0.4, ""), ("f", "d", None, 0.3, ""), ("f", "e", "a", 0.6, "")]
 
 
 def test_matching_is_one_to_one(spark):
