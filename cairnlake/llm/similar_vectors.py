@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cairnlake.session import durable
 
-#: At most so many vectors, of all models together, are taken to the driver for the centroids, and so many of them make a cell at least.
-SAMPLE_ROWS, CELL_SAMPLE, CELL_ROWS, PROBES, BEAM, BLOCK_ROWS = 131_072, 8, 192, 14, 10, 8192
+#: About so many vectors, of all models together, are taken to the driver for the centroids, whatever the size of the tables; so many of them
+#: make a cell at least.
+SAMPLE_ROWS, CELL_SAMPLE, CELL_ROWS, PROBES, BEAM, BLOCK_ROWS = 32_768, 4, 192, 14, 10, 8192
 EPSILON, QUERY_BITS = 1.9, 4
 
 
@@ -261,7 +262,7 @@ def neighbours(rows: DataFrame, *, model: str = "embedding_model", key: str = "c
     share = F.lit(0)
     for m, n in counts.items():
         share = F.when(F.col("model").eqNullSafe(m), int(min(1.0, most / n) * (1 << 30))).otherwise(share)
-    picked = reps.filter(F.pmod(F.xxhash64(F.lit(3), "h1"), F.lit(1 << 30)) < share).select("model", "vec").limit(sample_rows * 5 // 4).toArrow() if counts else None
+    picked = reps.filter(F.pmod(F.xxhash64(F.lit(3), "h1"), F.lit(1 << 30)) < share).select("model", "vec").toArrow() if counts else None
     learned = {}
     for m, n in counts.items():
         got = picked.column("vec").filter(pc.is_null(picked.column("model")) if m is None else pc.equal(picked.column("model"), m))
