@@ -1,8 +1,12 @@
 """Context of a changed chunk: candidates in six tiers, merged and selected under a token budget.
 
-1 the changed chunk, its class and its file's module header; 2 definitions it calls or inherits from; 3 callers of it; 4 tests that
-call what it calls; 5 chunks that share the rarest terms of its names; 6 guides. Each source is cut to its few best rows per
-changed chunk before the tiers come together, so a bundle is bounded by the sum of those limits.
+1 the changed chunk, its class and its file's module header; 2 what it depends on: methods of its class that it reaches through self,
+definitions of its own file that it calls, definitions it imports and uses, base classes; 3 callers; 4 tests that call it or are named
+after its file, configuration and migrations that share its words; 5 hybrid search (lists fused by rank, boosted); 6 guides that share
+most words. Each source is cut to its few best rows per changed chunk before the tiers come together, so a bundle is bounded by the sum
+of those limits. Chunks of the changed file itself are left out of tiers 3 to 6.
+
+Defined results: null names call, define and import nothing; ties go by path, line, id; repeated chunks count once for the caller to drop.
 """
 
 from __future__ import annotations
@@ -10,55 +14,138 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cairnlake.functions import fixed_values as V, text as T
-from cairnlake.operators import folds
+from cairnlake.operators import folds, hybrid, search as S
 from cairnlake.operators.search import DEFINITIONS, top
 
 FILE = ["repository_id", "blob_sha", "chunker_version"]
-LIMITS = {"definitions": 4, "bases": 2, "callers": 3, "tests": 3, "similar": 8, "guides": 2}
+#: Rows of each source per changed chunk, or per name where it says so.
+LIMITS = {"imported": 4, "bases": 2, "callers": 3, "tests": 3, "config": 2, "migrations": 2, "similar": 8, "guides": 2}
+CONFIG_LANGUAGES, MIGRATION_PATHS = ("yaml", "toml", "ini", "json", "dockerfile"), ("%migrat%", "%alembic%", "%schema%")
+HEADER_TOKENS, GUIDE_TOKENS = 300, 400
+_PLACE = ["path", "start_line", "id"]
+
+
+def _order() -> list[Column]:
+    return [F.col(c) for c in _PLACE]
 
 
 def _pick(rows: DataFrame, tier: int, score: float | Column, reason: str) -> DataFrame:
     return rows.select("bundle", F.col("id").alias("item"), F.lit(tier).alias("tier"), (F.lit(score) if not isinstance(score, Column) else score).cast("double").alias("score"), F.lit(reason).alias("reason"))
 
 
-def candidates(chunks: DataFrame, changed: DataFrame) -> DataFrame:
-    """(bundle, item, tier, score, reason); bundle is the id of a changed chunk. A name that very many chunks call costs no more than
-    its limit: callers and tests are ranked per name before they meet the changed chunks."""
-    order = [F.col("path"), F.col("start_line"), F.col("id")]
-    ch = changed.select(F.col("id").alias("bundle"), *FILE, F.col("symbol").alias("own"), "qualified_name", "parent_symbol", "called_names", "bases")
-    # 1: itself, its class, the header of its file
-    own = _pick(ch.withColumnRenamed("bundle", "id").withColumn("bundle", F.col("id")), 1, 10.0, "changed_symbol")
+def _names(*columns: str) -> Column:
+    return F.array_distinct(F.array_compact(F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in columns])))
+
+
+def own_file(ch: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Tier 1."""
+    own = _pick(ch.withColumn("id", F.col("bundle")), 1, 10.0, "changed_symbol")
     parents = chunks.filter("symbol_type = 'class'").select(*FILE, F.col("qualified_name").alias("parent_symbol"), "id")
-    klass = _pick(ch.join(parents, [*FILE, "parent_symbol"]), 1, 9.0, "enclosing_class")
-    heads = chunks.filter("symbol_type = 'module' and start_line = 1 and token_count <= 300").select(*FILE, "id")
-    header = _pick(ch.join(heads, FILE), 1, 5.0, "module_header")
-    # 2: definitions by the names it calls, and its base classes
-    defs = top(chunks.filter(F.col("symbol_type").isin(*DEFINITIONS) & F.col("symbol").isNotNull()), ["repository_id", "symbol"], order, 3, "nth").select("repository_id", F.col("symbol").alias("name"), "id", "path", "start_line")
-    named = ch.select("bundle", "repository_id", F.explode(F.array_distinct(F.coalesce("called_names", F.array()))).alias("name"))
-    called = top(named.join(defs, ["repository_id", "name"]).filter("id <> bundle"), ["bundle"], order, LIMITS["definitions"])
-    based = ch.select("bundle", "repository_id", F.explode(F.coalesce("bases", F.array())).alias("name"))
-    bases = top(based.join(defs, ["repository_id", "name"]).filter("id <> bundle"), ["bundle"], order, LIMITS["bases"])
-    # 3 and 4: who calls it, and which tests call what it calls
-    calls = chunks.select("repository_id", "path", "start_line", "id", "is_test", F.explode(F.array_distinct("called_names")).alias("name"))
-    users = top(calls.filter("not is_test"), ["repository_id", "name"], order, LIMITS["callers"], "nth")
-    callers = top(ch.select("bundle", "repository_id", F.col("own").alias("name")).filter("name is not null").join(users, ["repository_id", "name"]).filter("id <> bundle"), ["bundle"], order, LIMITS["callers"])
-    testers = top(calls.filter("is_test"), ["repository_id", "name"], order, LIMITS["tests"], "nth")
-    tests = top(named.join(testers, ["repository_id", "name"]).filter("id <> bundle").select("bundle", "id", "path", "start_line").distinct(), ["bundle"], order, LIMITS["tests"])
-    # 5: shared pieces of names, the rare ones first
-    terms = chunks.filter("qualified_name is not null").select("repository_id", "path", "start_line", "id", F.explode(T.query_terms(F.col("qualified_name"))).alias("term"))
-    rare = terms.groupBy("repository_id", "term").agg(F.count("*").alias("df"))
-    posted = terms.join(rare, ["repository_id", "term"])
-    mine = ch.select("bundle", "repository_id", F.explode(T.query_terms(F.coalesce("qualified_name", F.lit("")))).alias("term"))
-    met = mine.join(posted, ["repository_id", "term"]).filter("id <> bundle").groupBy("bundle", "id", "path", "start_line").agg(F.sum(1 / F.col("df")).alias("s"))
-    similar = top(met, ["bundle"], [F.desc(F.round("s", 9)), *order], LIMITS["similar"])
-    # 6: guides of the repository
+    heads = chunks.filter(f"symbol_type = 'module' and start_line = 1 and token_count <= {HEADER_TOKENS}").select(*FILE, "id")
+    return own.unionByName(_pick(ch.join(parents, [*FILE, "parent_symbol"]), 1, 9.0, "enclosing_class")).unionByName(_pick(ch.join(heads, FILE), 1, 5.0, "module_header"))
+
+
+def imported_paths(ch: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(bundle, repository_id, path, symbol, alias): the files that a chunk's imports name, those whose last part it uses."""
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"([A-Za-z_]\w*)"), F.lit(1)))
+    used = F.array_union(words, F.transform(_names("called_names"), lambda n: F.element_at(F.split(n, r"\."), 1)))
+    each = ch.select("bundle", "repository_id", F.explode(F.filter(_names("imports"), lambda i: F.array_contains(used, F.element_at(F.split(i, r"\."), -1)))).alias("import"))
+    targets = S.import_targets(each.select("repository_id", "import").distinct(), chunks.select("repository_id", "path").distinct())
+    return each.join(targets, ["repository_id", "import"]).select("bundle", "repository_id", "path", "symbol", F.element_at(F.split("import", r"\."), -1).alias("alias"))
+
+
+def dependencies(ch: DataFrame, chunks: DataFrame, imported: DataFrame) -> DataFrame:
+    """Tier 2."""
+    calls = ch.select("bundle", *FILE, "qualified_name", F.explode(_names("called_names")).alias("call"))
+    methods = chunks.filter("symbol_type = 'method'").select(*FILE, F.col("symbol").alias("name"), "id")
+    siblings = calls.withColumn("name", F.regexp_extract("call", r"^(?:self|cls)\.(\w+)$", 1)).filter("name <> ''").join(methods, [*FILE, "name"]).filter("id <> bundle")
+    defs = chunks.filter("symbol_type in ('function', 'class')").select(*FILE, F.col("qualified_name").alias("call"), "id")
+    same = calls.filter(~F.col("call").contains(".") & ~F.col("call").eqNullSafe(F.col("qualified_name"))).drop("qualified_name").join(defs, [*FILE, "call"]).filter("id <> bundle")
+    # an import of a name means that name, one of a module the attributes that are called on it
+    attributes = ch.select("bundle", F.explode(_names("called_names")).alias("call")).filter(F.col("call").contains(".")).select(
+        "bundle", F.split_part("call", F.lit("."), F.lit(1)).alias("alias"), F.split_part("call", F.lit("."), F.lit(2)).alias("attribute"))
+    wanted = imported.filter("symbol <> ''").select("bundle", "repository_id", "path", F.col("symbol").alias("name")).unionByName(
+        imported.filter("symbol = ''").join(attributes, ["bundle", "alias"]).select("bundle", "repository_id", "path", F.col("attribute").alias("name"))).distinct()
+    known = chunks.select("repository_id", "path", "start_line", "id", F.explode(F.array_distinct(F.array_compact(F.array("symbol", "qualified_name")))).alias("name"))
+    found = top(wanted.join(known, ["repository_id", "path", "name"]).filter("id <> bundle").select("bundle", *_PLACE).distinct(), ["bundle", "path"], _order(), LIMITS["imported"])
+    classes = chunks.filter(F.col("symbol_type").isin(*DEFINITIONS)).select("repository_id", *_PLACE, F.explode(F.array_distinct(F.array_compact(F.array("symbol", "qualified_name")))).alias("name"))
+    based = ch.select("bundle", "repository_id", F.col("path").alias("own_path"), F.explode(_names("bases")).alias("name")).join(classes, ["repository_id", "name"]).filter("path <> own_path")
+    bases = top(based.select("bundle", *_PLACE).distinct(), ["bundle"], _order(), LIMITS["bases"])
+    return (_pick(siblings, 2, 6.0, "sibling_method").unionByName(_pick(same, 2, 7.0, "same_pr_definition")).unionByName(_pick(found, 2, 8.0, "imported_definition")).unionByName(_pick(bases, 2, 5.0, "base_class")))
+
+
+def usages(ch: DataFrame, chunks: DataFrame, imported: DataFrame) -> DataFrame:
+    """Tier 3: those in imported files first. Per name the best of each file order are kept before they meet the changed chunks, but for
+    the few in imported files, which are joined by file."""
+    calls = chunks.filter("not is_test").select("repository_id", *_PLACE, F.explode(_names("called_names")).alias("own"))
+    mine = ch.filter(F.col("symbol_type").isin(*DEFINITIONS)).select("bundle", "repository_id", "own", F.col("path").alias("own_path"))
+    # a changed file's own callers are left out, so a name keeps as many as a file can hold of them besides
+    first = calls.join(mine.select("repository_id", "own").distinct(), ["repository_id", "own"], "left_semi")
+    ranked = mine.join(first, ["repository_id", "own"]).filter("path <> own_path")
+    near = imported.select("bundle", "path").distinct().withColumn("near", F.lit(True))
+    return _pick(top(ranked.join(near, ["bundle", "path"], "left"), ["bundle"], [F.col("near").isNull(), *_order()], LIMITS["callers"]), 3, 5.0, "calls")
+
+
+def lexical(ch: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The k rows of a repository that share most of a chunk's names, by frequency."""
+    words = ch.select("bundle", "repository_id", F.col("path").alias("own_path"), F.explode(T.query_terms(F.array_join(_names("called_names", "owns"), " "))).alias("term"))
+    wanted = words.select("repository_id", "term").distinct()
+    posts = rows.select("repository_id", *_PLACE, F.explode(T.index_terms(F.col("content"))).alias("term")).join(wanted, ["repository_id", "term"], "left_semi").groupBy("repository_id", *_PLACE, "term").agg(F.count("*").alias("tf"))
+    met = posts.join(words, ["repository_id", "term"]).filter("path <> own_path").groupBy("bundle", *_PLACE).agg(F.sum("tf").alias("s"))
+    return top(met, ["bundle"], [F.desc("s"), *_order()], k)
+
+
+def validation(ch: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Tier 4."""
+    stem = F.regexp_extract("path", r"([^/]+?)\.[^./]+$", 1)
+    t = chunks.filter("is_test")
+    calling = t.select("repository_id", *_PLACE, F.explode(_names("called_names")).alias("own")).join(
+        ch.filter(F.col("symbol_type").isin(*DEFINITIONS)).select("bundle", "repository_id", "own", F.col("path").alias("own_path")), ["repository_id", "own"])
+    named = t.filter("symbol_type in ('function', 'method')").select("repository_id", *_PLACE, F.regexp_replace(stem, "^test_|_test$|\\.test$|\\.spec$", "").alias("stem")).join(
+        ch.filter("not is_test").select("bundle", "repository_id", F.col("path").alias("own_path"), stem.alias("stem")), ["repository_id", "stem"])
+    tests = calling.select("bundle", "own_path", *_PLACE).unionByName(named.select("bundle", "own_path", *_PLACE)).filter("path <> own_path").drop("own_path").distinct()
+    like = F.lit(False)
+    for p in MIGRATION_PATHS:
+        like = like | F.col("path").ilike(p)
+    return (_pick(top(tests, ["bundle"], _order(), LIMITS["tests"]), 4, 6.0, "test_for_changed_symbol")
+            .unionByName(_pick(lexical(ch, chunks.filter(F.col("language").isin(*CONFIG_LANGUAGES)), LIMITS["config"]), 4, 4.0, "config_match"))
+            .unionByName(_pick(lexical(ch, chunks.filter(like), LIMITS["migrations"]), 4, 4.0, "migration_or_schema")))
+
+
+def similar(ch: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Tier 5."""
+    q = ch.select(F.col("bundle").alias("id"), *[c for c in hybrid.COLUMNS if c != "id"])
+    found = hybrid.retrieve(q, chunks, hybrid.lists(q, chunks), LIMITS["similar"])
+    own = ch.select("bundle", F.col("path").alias("own_path"))
+    out = found.join(chunks.select("id", "path"), "id").withColumnRenamed("query_id", "bundle").join(own, "bundle").filter("path <> own_path")
+    return _pick(out, 5, F.col("score"), "hybrid")
+
+
+def guides(ch: DataFrame, chunks: DataFrame, paths: list[str] = V.GUIDE_PATHS) -> DataFrame:
+    """Tier 6: of the repository's guides those that share most words with the change."""
     guide = F.lit(False)
-    for p in V.GUIDE_PATHS:
+    for p in paths:
         guide = guide | F.col("path").ilike(p)
-    guides = top(chunks.filter((F.col("language") == "markdown") & guide & (F.col("token_count") <= 400)), ["repository_id"], order, LIMITS["guides"]).select("repository_id", "id")
-    conventions = ch.join(guides, "repository_id")
-    return (own.unionByName(klass).unionByName(header).unionByName(_pick(called, 2, 8.0, "called")).unionByName(_pick(bases, 2, 5.0, "base_class")).unionByName(_pick(callers, 3, 5.0, "calls"))
-            .unionByName(_pick(tests, 4, 6.0, "tests")).unionByName(_pick(similar, 5, F.col("s"), "similar")).unionByName(_pick(conventions, 6, 2.0, "guide")))
+    docs = chunks.filter((F.col("language") == "markdown") & guide & (F.col("token_count") <= GUIDE_TOKENS)).select("repository_id", *_PLACE, "content")
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws(" ", F.array_join(_names("called_names", "owns"), " "), "content"), F.lit(r"([A-Za-z_]\w+)"), F.lit(1)), F.lower))
+    mine = ch.select("bundle", "repository_id", F.col("path").alias("own_path"), F.explode(words).alias("word"))
+    held = docs.select("repository_id", *_PLACE, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([a-z_]\w+)"), F.lit(1)))).alias("word"))
+    shared = mine.join(held, ["repository_id", "word"]).filter("path <> own_path").groupBy("bundle", *_PLACE).agg(F.count("*").alias("n"))
+    # guides that share nothing stand behind the others, in order: the first few of a repository suffice
+    rest = top(docs, ["repository_id"], _order(), LIMITS["guides"] + 1).select("repository_id", *_PLACE).join(ch.select("bundle", "repository_id", F.col("path").alias("own_path")), "repository_id").filter("path <> own_path")
+    every = shared.unionByName(rest.select("bundle", *_PLACE, F.lit(0).cast("bigint").alias("n"))).groupBy("bundle", *_PLACE).agg(F.max("n").alias("n"))
+    return _pick(top(every, ["bundle"], [F.desc("n"), *_order()], LIMITS["guides"]), 6, 2.0, "repository_guidelines")
+
+
+def candidates(chunks: DataFrame, changed: DataFrame) -> DataFrame:
+    """(bundle, item, tier, score, reason); bundle is the id of a changed chunk."""
+    ch = changed.withColumnRenamed("id", "bundle").withColumn("own", F.col("symbol")).withColumn("owns", F.array("symbol"))
+    imported = imported_paths(ch, chunks)
+    parts = (own_file(ch, chunks), dependencies(ch, chunks, imported), usages(ch, chunks, imported), validation(ch, chunks), similar(ch, chunks), guides(ch, chunks))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def merged(rows: DataFrame) -> DataFrame:

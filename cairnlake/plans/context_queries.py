@@ -5,29 +5,51 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnlake.functions import text as T
-from cairnlake.operators import checks as K, context as N, diff as D
+from cairnlake.operators import checks as K, context as N, diff as D, hybrid
 from cairnlake.operators.search import top
 from cairnlake.plans.fold_queries import _P, _lines
 from cairnlake.plans.index_queries import _files, _snaps
 from cairnlake.functions import fixed_values as V
 from cairnlake.plans.text_queries import _list, changed, chunks
+from cairnlake.session import durable
 from cairnlake.sources.tables import load
 
 
 def _chunks(spark, d):
-    return chunks(spark, d, "id", *N.FILE, "path", "language", "symbol", "symbol_type", "qualified_name", "parent_symbol", "start_line", "called_names", "bases", "is_test", "token_count")
+    return chunks(spark, d, *N.FILE, "language", "parent_symbol", "bases", *(c for c in hybrid.COLUMNS if c != "repository_id"))
 
 
 def n_context(spark, d):
-    """The context of every class taken as the change, under 1200 tokens."""
-    c = _chunks(spark, d)
-    return N.bundles(c, c.filter("symbol_type = 'class'"), 1200)
+    """The context of every method taken as the change, under 1200 tokens."""
+    c = durable(_chunks(spark, d), "chunks")
+    return N.bundles(c, c.filter("symbol_type = 'method'"), 1200)
 
 
 def n_tiers(spark, d):
-    """Candidates of every class by tier and reason."""
+    """Candidates of every method by tier and reason."""
+    c = durable(_chunks(spark, d), "chunks")
+    return N.merged(N.candidates(c, c.filter("symbol_type = 'method'"))).groupBy("tier", "reasons").agg(F.count("*").alias("items"), F.countDistinct("bundle").alias("bundles"))
+
+
+def _methods(c):
+    return c.filter("symbol_type = 'method'").withColumnRenamed("id", "bundle").withColumn("own", F.col("symbol")).withColumn("owns", F.array("symbol"))
+
+
+def n1_own_files(spark, d):
+    c = _chunks(spark, d)
+    return N.own_file(_methods(c), c).select("bundle", "item", "reason")
+
+
+def n4_config(spark, d):
+    """Configuration of the repository that shares most of a method's names."""
+    c = _chunks(spark, d)
+    return N.lexical(_methods(c), c.filter(F.col("language").isin(*N.CONFIG_LANGUAGES)), 2).select("bundle", "rank", "id", F.col("s").alias("shared"))
+
+
+def n6_guides(spark, d):
+    """The two documents of the repository that share most words with a method."""
     c = _chunks(spark, d)
-    return N.merged(N.candidates(c, c.filter("symbol_type = 'class'"))).groupBy("tier", "reasons").agg(F.count("*").alias("items"), F.countDistinct("bundle").alias("bundles"))
+    return N.guides(_methods(c), c, ["%.md"]).select("bundle", "item")
 
 
 def c9_excluded(spark, d):
@@ -103,13 +125,27 @@ def b4_identities(spark, d):
     return c.groupBy(*key).agg(F.count("*").alias("n")).agg(F.count("*").alias("kept"), F.sum(F.col("n") - 1).alias("refused"))
 
 
-QUERIES = {f.__name__: f for f in (n_context, n_tiers, c9_excluded, b12_purged, g5_snapped, c28_usage_rules, c25_signatures, e7_scope, a16_anchors, h10_guides, f13_rollup, b4_identities)}
+QUERIES = {f.__name__: f for f in (n_context, n_tiers, n1_own_files, n4_config, n6_guides, c9_excluded, b12_purged, g5_snapped, c28_usage_rules, c25_signatures, e7_scope, a16_anchors, h10_guides, f13_rollup, b4_identities)}
 
 _M = "m AS (SELECT DISTINCT snapshot_id, path, lower(blob_sha) AS blob_sha FROM snapshot_files)"
 _RUNS = """v AS (SELECT id, min(n) AS s, max(n) AS e FROM (SELECT id, n, n - row_number() OVER (PARTITION BY id ORDER BY n) AS i FROM (SELECT DISTINCT id, new_no AS n FROM l WHERE kind <> 'del')) GROUP BY id, i),
   a AS (SELECT id, min(n) AS s, max(n) AS e FROM (SELECT id, n, n - row_number() OVER (PARTITION BY id ORDER BY n) AS i FROM (SELECT DISTINCT id, new_no AS n FROM l WHERE kind = 'add')) GROUP BY id, i)"""
 
+_CC = """c AS (SELECT DISTINCT id, repository_id, blob_sha, chunker_version, path, start_line, language, symbol, symbol_type, qualified_name, parent_symbol, called_names, token_count, content FROM code_chunks),
+  k AS (SELECT *, list_append(called_names, symbol) AS names FROM c WHERE symbol_type = 'method')"""
+
 SQL = {
+    "n1_own_files": f"""WITH {_CC} SELECT id AS bundle, id AS item, 'changed_symbol' AS reason FROM k
+        UNION ALL SELECT k.id, c.id, 'enclosing_class' FROM k JOIN c ON k.repository_id = c.repository_id AND k.blob_sha = c.blob_sha AND k.chunker_version = c.chunker_version AND k.parent_symbol = c.qualified_name WHERE c.symbol_type = 'class'
+        UNION ALL SELECT k.id, c.id, 'module_header' FROM k JOIN c ON k.repository_id = c.repository_id AND k.blob_sha = c.blob_sha AND k.chunker_version = c.chunker_version WHERE c.symbol_type = 'module' AND c.start_line = 1 AND c.token_count <= 300""",
+    "n4_config": f"""WITH {_CC}, w AS (SELECT id AS bundle, repository_id, path AS own, unnest(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, {V.QUERY_TERMS})) AS term FROM (SELECT *, list_filter(flatten(list_transform(
+          regexp_extract_all(array_to_string(names, ' '), '[A-Za-z_][A-Za-z0-9_]*'), lambda x: string_split(lower(x), '_'))), lambda x: length(x) > 2 AND NOT list_contains({_list(V.STOP_WORDS)}, x)) AS l FROM k)),
+        p AS (SELECT id, repository_id, path, start_line, term, count(*) AS tf FROM (SELECT id, repository_id, path, start_line, unnest(regexp_split_to_array(lower(content), '[^a-z0-9]+')) AS term FROM c WHERE language IN ('yaml', 'toml', 'ini', 'json', 'dockerfile')) WHERE term <> '' GROUP BY ALL),
+        m AS (SELECT bundle, p.id, path, start_line, sum(tf)::BIGINT AS s FROM p JOIN w ON p.repository_id = w.repository_id AND p.term = w.term WHERE path <> own GROUP BY ALL)
+        SELECT bundle, rank, id, s AS shared FROM (SELECT *, row_number() OVER (PARTITION BY bundle ORDER BY s DESC, path, start_line, id)::INT AS rank FROM m) WHERE rank <= 2""",
+    "n6_guides": f"""WITH {_CC}, w AS (SELECT id AS bundle, repository_id, path AS own, list_distinct(list_transform(regexp_extract_all(array_to_string(names, ' ') || ' ' || content, '[A-Za-z_][A-Za-z0-9_]+'), lambda x: lower(x))) AS ws FROM k),
+        g AS (SELECT id, repository_id, path, start_line, list_distinct(regexp_extract_all(lower(content), '[a-z_][a-z0-9_]+')) AS gs FROM c WHERE language = 'markdown' AND token_count <= 400 AND path ILIKE '%.md')
+        SELECT bundle, id AS item FROM (SELECT bundle, id, row_number() OVER (PARTITION BY bundle ORDER BY len(list_intersect(ws, gs)) DESC, path, start_line, id) AS r FROM w JOIN g ON w.repository_id = g.repository_id WHERE g.path <> own) WHERE r <= 2""",
     "c9_excluded": f"""WITH {_M} SELECT snapshot_id, count(*) AS paths FROM m JOIN repository_snapshots s ON s.id = m.snapshot_id AND s.status = 'ready'
         WHERE NOT EXISTS (SELECT 1 FROM changed_files f WHERE f.repository_id = s.repository_id AND f.path = m.path) GROUP BY 1""",
     "b12_purged": """SELECT id AS repository_id, (SELECT count(DISTINCT c.id) FROM code_chunks c WHERE c.repository_id = r.id) AS chunks, (SELECT count(*) FROM repository_snapshots s WHERE s.repository_id = r.id) AS snapshots

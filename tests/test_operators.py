@@ -334,21 +334,58 @@ def test_analyzers(spark):
     assert [tuple(r)[:5] for r in archives.analyzer_findings(d).orderBy("tool").collect()] == [("bandit", "B1", "b.py", 4, "high"), ("ruff", "F401", "a.py", 3, "low"), ("semgrep", "rule", "c.py", 7, "high")]
 
 
+CONTEXT = ("id string, repository_id string, blob_sha string, chunker_version string, path string, language string, symbol string, symbol_type string, qualified_name string, parent_symbol string, start_line int, "
+           "called_names array<string>, bases array<string>, is_test boolean, token_count int, signature string, imports array<string>, content string, embedding array<float>, embedding_model string")
+
+
+def _context_rows():
+    def row(i, blob, path, symbol, kind, qualified=None, parent=None, line=1, calls=(), bases=(), test=False, tokens=30, imports=(), content="", repo="r", language="python", vec=None):
+        return (i, repo, blob, "1", path, language, symbol, kind, qualified or symbol, parent, line, list(calls), list(bases), test, tokens, f"def {symbol}" if symbol else None, list(imports), content or symbol or "", vec, "m")
+    return [
+        row("m", "b", "src/app/a.py", "<module>", "module", "<module:a>"), row("k", "b", "src/app/a.py", "K", "class", line=3, bases=["Base"]),
+        row("f", "b", "src/app/a.py", "run", "method", "K.run", "K", 5, ["self.step", "local", "tools.cut", "Thing"], ["Base"], imports=["app.tools", "app.things.Thing", "app.unused.Other"], content="def run(self): tools.cut(Thing) ledger", vec=[1.0, 0.0]),
+        row("s", "b", "src/app/a.py", "step", "method", "K.step", "K", 9), row("l", "b", "src/app/a.py", "local", "function", line=20),
+        row("cut", "c", "src/app/tools.py", "cut", "function"), row("keep", "c", "src/app/tools.py", "keep", "function", line=9), row("thing", "d", "src/app/things.py", "Thing", "class"), row("other", "e", "src/app/unused.py", "Other", "class"),
+        row("base", "g", "src/base.py", "Base", "class"), row("u1", "h", "src/app/things_user.py", "use", "function", calls=["run"]), row("u2", "d", "src/app/things.py", "use2", "function", line=30, calls=["run"]),
+        row("t", "t1", "tests/test_other.py", "test_run", "function", calls=["run"], test=True), row("ts", "t2", "tests/test_a.py", "test_a", "function", test=True),
+        row("cfg", "y", "conf/x.yaml", None, "config", language="yaml", content="run: step"), row("mig", "z", "db/migrations/1.sql", None, "config", language="sql", content="local run"),
+        row("g1", "x1", "docs/a.md", None, "doc", language="markdown", content="nothing"), row("g2", "x2", "docs/z.md", None, "doc", language="markdown", content="The ledger and run"), row("g3", "x3", "docs/y.md", None, "doc", language="markdown", tokens=900, content="ledger run"),
+        row("v", "w", "lib/v.py", "near", "function", vec=[0.9, 0.1]), row("o", "b", "src/app/a.py", "local", "function", repo="other", calls=["run"])]
+
+
+def test_context_tiers(spark):
+    from cairnlake.operators import context
+
+    c = spark.createDataFrame(_context_rows(), CONTEXT)
+    got = {}
+    for r in context.candidates(c, c.filter("id = 'f'")).collect():
+        got.setdefault(r["reason"], []).append((r["item"], r["tier"], r["score"]))
+    got = {k: sorted(v) for k, v in got.items()}
+    assert got["changed_symbol"] == [("f", 1, 10.0)] and got["enclosing_class"] == [("k", 1, 9.0)] and got["module_header"] == [("m", 1, 5.0)]
+    assert got["sibling_method"] == [("s", 2, 6.0)] and got["same_pr_definition"] == [("l", 2, 7.0)] and got["imported_definition"] == [("cut", 2, 8.0), ("thing", 2, 8.0)] and got["base_class"] == [("base", 2, 5.0)]
+    assert [x[0] for x in got["calls"]] == ["t", "u1", "u2"][1:] and got["test_for_changed_symbol"] == [("t", 4, 6.0), ("ts", 4, 6.0)]
+    assert got["config_match"] == [("cfg", 4, 4.0)] and got["migration_or_schema"] == [("mig", 4, 4.0)] and got["repository_guidelines"] == [("g1", 6, 2.0), ("g2", 6, 2.0)]
+    similar = {x[0]: x[2] for x in got["hybrid"]}
+    assert {"v", "thing"} <= set(similar) and "o" not in similar and not {"k", "s", "l", "m"} & set(similar) and similar["thing"] > similar["v"]
+
+
+def test_callers_in_imported_files_come_first(spark):
+    from cairnlake.operators import context
+
+    many = [r[:4] + (f"aa/{i}.py",) + r[5:] for i in range(5) for r in _context_rows() if r[0] == "u1"]
+    c = spark.createDataFrame(_context_rows() + [(f"x{i}", *r[1:]) for i, r in enumerate(many)], CONTEXT)
+    got = context.candidates(c, c.filter("id = 'f'")).filter("tier = 3")
+    assert sorted(r["item"] for r in got.collect()) == ["u2", "x0", "x1"]
+
+
 def test_context_bundles(spark):
-    schema = ("id string, repository_id string, blob_sha string, chunker_version string, path string, language string, symbol string, symbol_type string, qualified_name string, parent_symbol string, start_line int, "
-              "called_names array<string>, bases array<string>, is_test boolean, token_count int")
-    rows_ = [("m", "r", "b", "1", "a.py", "python", "<module>", "module", "<module:a>", None, 1, [], [], False, 20), ("k", "r", "b", "1", "a.py", "python", "K", "class", "K", None, 3, ["helper"], ["Base"], False, 30),
-             ("f", "r", "b", "1", "a.py", "python", "run", "method", "K.run", "K", 5, ["helper"], [], False, 40), ("h", "r", "c", "1", "b.py", "python", "helper", "function", "helper", None, 1, [], [], False, 50),
-             ("base", "r", "c", "1", "b.py", "python", "Base", "class", "Base", None, 9, [], [], False, 10), ("t", "r", "d", "1", "tests/t.py", "python", "test_h", "function", "test_h", None, 1, ["helper", "run"], [], True, 60),
-             ("u", "r", "e", "1", "c.py", "python", "use", "function", "use", None, 1, ["run"], [], False, 70), ("g", "r", "x", "1", "README.md", "markdown", None, "doc", None, None, 1, [], [], False, 80),
-             ("o", "other", "b", "1", "a.py", "python", "helper", "function", "helper", None, 1, ["run"], [], False, 5)]
     from cairnlake.operators import context
 
-    c = spark.createDataFrame(rows_, schema)
+    c = spark.createDataFrame(_context_rows(), CONTEXT)
     got = {r["item"]: (r["tier"], r["reasons"], r["taken"]) for r in context.bundles(c, c.filter("id = 'f'"), 250).collect()}
-    assert got["f"] == (1, "changed_symbol", True) and got["k"][:2] == (1, "enclosing_class") and got["m"][:2] == (1, "module_header")
-    assert got["h"][:2] == (2, "called") and got["u"][:2] == (3, "calls") and got["t"][0] == 4 and got["g"][:2] == (6, "guide") and "o" not in got
-    assert sum(r[14] for r in rows_ if r[0] in got and got[r[0]][2]) <= 250
+    assert got["f"] == (1, "changed_symbol", True) and got["cut"][:2] == (2, "imported_definition") and got["thing"][:2] == (2, "hybrid,imported_definition") and "o" not in got
+    size = {r[0]: r[14] for r in _context_rows()}
+    assert sum(size[i] for i, g in got.items() if g[2]) <= 250
 
 
 def test_python_files_of_old_chunkers(spark, tmp_path):
@@ -359,18 +396,6 @@ def test_python_files_of_old_chunkers(spark, tmp_path):
     assert rows(m2_python_chunks(spark, str(tmp_path)).select("path", "symbol_type", "chunks")) == [("r|both.py", "class", 1), ("r|old.py", "function", 1)]
 
 
-def test_context_of_frequent_terms(spark):
-    from cairnlake.operators import context
-
-    schema = ("id string, repository_id string, blob_sha string, chunker_version string, path string, language string, symbol string, symbol_type string, qualified_name string, parent_symbol string, start_line int, "
-              "called_names array<string>, bases array<string>, is_test boolean, token_count int")
-    name = lambda i: f"ledger_n{i:02}" + "_audit" * (i >= 55)
-    c = spark.createDataFrame([(f"c{i:02}", "r", f"b{i:02}", "1", f"p{i:02}.py", "python", name(i), "function", name(i), None, 1, [], [], False, 20) for i in range(60)]
-                              + [("k", "r", "bk", "1", "k.py", "python", "ledger_audit", "class", "ledger_audit", None, 1, [], [], False, 20)], schema)
-    got = context.candidates(c, c.filter("id = 'k'")).filter("tier = 5")
-    assert [r["item"] for r in got.orderBy(F.desc("score"), "item").collect()] == [f"c{i:02}" for i in (55, 56, 57, 58, 59, 0, 1, 2)]
-
-
 def test_boosts_of_imports_and_tests(spark, tmp_path):
     from cairnlake.plans.search_queries import j26_boosts
 
