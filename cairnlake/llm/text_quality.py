@@ -99,7 +99,8 @@ STRETCH = 50
 
 def ends(s: str) -> bool:
     """Whether a line ends as a sentence does."""
-    return SENTENCE_END.search(s[-12:]) is not None
+    last = s[-1:]
+    return last in ".!?…。:;" and last != "" or last in "\"'”’»)]*_" and SENTENCE_END.search(s[-12:]) is not None
 
 
 def natural(words: list[str]) -> bool:
@@ -193,7 +194,7 @@ def line_kind(s: str, common: int, words: list[str], doc_share: float) -> str:
         return "code"
     if bare.count(",") >= 5 and n < 2.6 * bare.count(",") and share < 0.2:
         return "list"
-    if n >= 2 and share < 0.15 and (not natural(words) or len(ODD.findall(s)) > 0.03 * len(s)):
+    if n >= 2 and share < 0.15 and (not natural(WORD.findall(s)) or len(ODD.findall(s)) > 0.03 * len(s)):
         return "random"
     if odd > 0.15:
         return "code"
@@ -207,14 +208,14 @@ def line_kind(s: str, common: int, words: list[str], doc_share: float) -> str:
 def statistics(text: str) -> tuple[str, int, list[float]]:
     """(language, words, values of STATS)."""
     lines = [QUOTE.sub("", x.strip(), count=1).strip() if x.lstrip().startswith(">") else x.strip() for x in text.replace("\r\n", "\n").split("\n")]
-    by_line = [WORD.findall(x) for x in lines]
-    low_line = [[w.lower() for w in ws] for ws in by_line]
+    low_line = [WORD.findall(x) for x in "\n".join(lines).lower().split("\n")]
     lows = [w for ws in low_line for w in ws]
     n_words = len(lows)
     votes: Counter = Counter()
-    for w, c in Counter(lows).items():
-        for lang in _WORD_LANGS.get(w, ()):
-            votes[lang] += c
+    counted = Counter(lows)
+    for w in counted.keys() & _WORD_LANGS.keys():
+        for lang in _WORD_LANGS[w]:
+            votes[lang] += counted[w]
     lang, hits = max(votes.items(), key=lambda x: (x[1], x[0])) if votes else ("und", 0)
     if hits < max(1, 0.03 * n_words):
         lang = "und"
@@ -225,12 +226,12 @@ def statistics(text: str) -> tuple[str, int, list[float]]:
     chars = dict.fromkeys((*KINDS, "heading", "short", "prose"), 0)
     ended = filled = 0
     kinds: list[str] = []
-    for s, w, lw in zip(lines, by_line, low_line):
+    for s, w in zip(lines, low_line):
         if not s:
             kinds.append("")
             continue
         filled += 1
-        kinds.append(line_kind(s, sum(map(known.__contains__, lw)), w, hits / max(1, n_words)))
+        kinds.append(line_kind(s, sum(map(known.__contains__, w)), w, hits / max(1, n_words)))
         ended += ends(s)
     # prose behind the marker of a comment block: sentences run on from line to line
     i = 0
@@ -263,18 +264,13 @@ def statistics(text: str) -> tuple[str, int, list[float]]:
         if k:
             chars[k] += len(s)
     # repetition: sentences or lines that occur three times or more; only what is not structure already
-    seen: Counter = Counter()
-    parts = []
-    for s, k in zip(lines, kinds):
-        if k in ("prose", "nav", "heading"):
-            for p in SENTENCES.split(s):
-                if p.strip():
-                    parts.append((p.strip().lower(), k))
-                    seen[p.strip().lower()] += 1
-    for p, k in parts:
-        if seen[p] >= 3:
-            chars["repeat"] += len(p)
-            chars[k] -= len(p)
+    if max(Counter(SENTENCES.split("\n".join(lines).lower())).values()) >= 3:
+        parts = [(p.strip().lower(), k) for s, k in zip(lines, kinds) if k in ("prose", "nav", "heading") for p in SENTENCES.split(s) if p.strip()]
+        seen = Counter(p for p, _ in parts)
+        for p, k in parts:
+            if seen[p] >= 3:
+                chars["repeat"] += len(p)
+                chars[k] -= len(p)
     d = max(1, total)
     letters = max(1, sum(map(len, lows)))
     other = min(1.0, sum(chars[k] for k in KINDS) / d)
