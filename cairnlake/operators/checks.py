@@ -49,8 +49,20 @@ def signed(body: Column, secret: str, signature: Column) -> Column:
     return run(body, signature)
 
 
+def signature(body: Column, secret: str) -> Column:
+    """'sha256=' and the HMAC-SHA256 of body."""
+    key = secret.encode()
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for bodies in batches:
+            yield pd.Series([None if b is None else "sha256=" + hmac.new(key, b.encode(), hashlib.sha256).hexdigest() for b in bodies])
+    return run(body)
+
+
 def markdown(rows: DataFrame, most: int = 200) -> str:
-    """A small result as a Markdown table."""
+    """A small result as a Markdown table; of a larger one the first `most` rows and a line that says so."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    body = [[cell(v) for v in r] for r in rows.limit(most).collect()]
-    return "\n".join("| " + " | ".join(x) + " |" for x in [rows.columns, ["---"] * len(rows.columns), *body])
+    body = [[cell(v) for v in r] for r in rows.limit(most + 1).collect()]
+    body, cut = body[:most], len(body) > most
+    return "\n".join("| " + " | ".join(x) + " |" for x in [rows.columns, ["---"] * len(rows.columns), *body]) + (f"\n\nOnly the first {most} rows are shown." if cut else "")

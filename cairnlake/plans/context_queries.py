@@ -84,9 +84,10 @@ def c28_usage_rules(spark, d):
 
 
 def c25_signatures(spark, d):
-    """Delivery ids with a right signature and a wrong one."""
+    """Delivery ids, half of them with the right signature, the others with that of another secret."""
     j = load(spark, d, "review_jobs", "delivery_id").filter("delivery_id is not null").distinct()
-    return j.select("delivery_id", K.signed(F.col("delivery_id"), "secret", F.concat(F.lit("sha256="), F.sha2("delivery_id", 256))).alias("accepted"))
+    told = F.when(F.ascii("delivery_id") % 2 == 0, K.signature(F.col("delivery_id"), "secret")).otherwise(K.signature(F.col("delivery_id"), "other"))
+    return j.select("delivery_id", K.signed(F.col("delivery_id"), "secret", told).alias("accepted"))
 
 
 def e7_scope(spark, d):
@@ -135,6 +136,7 @@ _CC = """c AS (SELECT DISTINCT id, repository_id, blob_sha, chunker_version, pat
   k AS (SELECT *, list_append(called_names, symbol) AS names FROM c WHERE symbol_type = 'method')"""
 
 SQL = {
+    "c25_signatures": "SELECT DISTINCT delivery_id, ascii(delivery_id) % 2 = 0 AS accepted FROM review_jobs WHERE delivery_id IS NOT NULL",
     "n1_own_files": f"""WITH {_CC} SELECT id AS bundle, id AS item, 'changed_symbol' AS reason FROM k
         UNION ALL SELECT k.id, c.id, 'enclosing_class' FROM k JOIN c ON k.repository_id = c.repository_id AND k.blob_sha = c.blob_sha AND k.chunker_version = c.chunker_version AND k.parent_symbol = c.qualified_name WHERE c.symbol_type = 'class'
         UNION ALL SELECT k.id, c.id, 'module_header' FROM k JOIN c ON k.repository_id = c.repository_id AND k.blob_sha = c.blob_sha AND k.chunker_version = c.chunker_version WHERE c.symbol_type = 'module' AND c.start_line = 1 AND c.token_count <= 300""",

@@ -217,6 +217,15 @@ def e8_payload(spark, d):
     return f.groupBy("job").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", "severity"))), lambda x: F.struct((x["rank"] - 1).alias("index"), x["id"].alias("id"), x["severity"].alias("severity")))).alias("payload"))
 
 
+def b15_merged_usage(spark, d):
+    """The usage of each job merged with its attempt, later keys winning, as the JSON that is stored."""
+    j = load(spark, d, "review_jobs", "id", "usage", "attempt").distinct()
+    old = F.coalesce(F.from_json("usage", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    merged = F.to_json(F.map_concat(F.map_filter(old, lambda k, v: k != "output_tokens"), F.create_map(F.lit("output_tokens"), F.col("attempt").cast("string"))))
+    get = lambda k: F.get_json_object(merged, f"$.{k}")
+    return j.select("id", get("input_tokens").alias("input_tokens"), get("output_tokens").alias("output_tokens"))
+
+
 def e10_anchors(spark, d):
     """Where a comment is anchored: a start line only if it has several."""
     f = findings(spark, d)
@@ -323,7 +332,7 @@ def f12_measures(spark, d):
 QUERIES = {f.__name__: f for f in (
     h7_finding_rank, h8_publish_order, f8_overall_risk, f7_usage_ledger, d21_verdicts, d19_references, d20_reference_labels, d22_fresh_comments, d23_comment_ids, b2_new_deliveries, b4_inserted_chunks, b5_cache_inserts,
     d14_calls_within_changes, d15_sibling_calls, d16_alias_calls, f4_merged_spans, i3_shared_names, j12_code_tokens, j13_normalized_paths, j29_evidence, j30_replacements, k10_current_heads, o4_signals, h11_signal_order,
-    e8_payload, e10_anchors, e4_prompts, l9_outcomes, g3_previous_ready, c26_safe_paths, c28_finding_rules, j22_budgets, h9_callers, c4_tests_by_stem, a2_live_repositories, a3_ready_snapshots, a12_open_jobs, a20_findings,
+    e8_payload, b15_merged_usage, e10_anchors, e4_prompts, l9_outcomes, g3_previous_ready, c26_safe_paths, c28_finding_rules, j22_budgets, h9_callers, c4_tests_by_stem, a2_live_repositories, a3_ready_snapshots, a12_open_jobs, a20_findings,
     f12_measures)}
 
 _FIND = """f AS (SELECT DISTINCT id, review_job_id AS job, repository_id, pull_number, path, status AS category, ascii(substr(id, 1, 1)) % 4 AS severity, ((additions * 7 + deletions * 13) % 100) / 100.0::DOUBLE AS confidence,
@@ -398,6 +407,7 @@ SQL = {
     "h11_signal_order": f"WITH {_FIND} SELECT id, row_number() OVER (PARTITION BY job ORDER BY path, first, category, id)::INT AS position FROM f",
     "e8_payload": f"""WITH {_FIND}, n AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY id) - 1 AS k FROM f)
         SELECT job, '[' || string_agg('{{"index":' || k || ',"id":"' || id || '","severity":' || severity || '}}', ',' ORDER BY k) || ']' AS payload FROM n WHERE k < 25 GROUP BY job""",
+    "b15_merged_usage": "SELECT DISTINCT id, usage->>'$.input_tokens' AS input_tokens, attempt::VARCHAR AS output_tokens FROM review_jobs",
     "e10_anchors": f"WITH {_FIND} SELECT id, path, last AS line, CASE WHEN first < last THEN first END AS start_line FROM f",
     "e4_prompts": """SELECT case_id, md5('<title>' || chr(10) || coalesce(title, '') || chr(10) || '</title>' || chr(10) || chr(10) || '<body>' || chr(10) || coalesce(body, '') || chr(10) || '</body>' || chr(10) || chr(10)
         || '<code>' || chr(10) || coalesce(new_code, '') || chr(10) || '</code>') AS digest FROM eval_cases""",

@@ -52,7 +52,7 @@ def h1_lexical_topk(spark, d):
 
 
 def c6_matching_documents(spark, d):
-    """Documents per item that hold all of its title's terms."""
+    """Documents per item that hold all of its title's terms, or all but one."""
     q = load(spark, d, "eval_cases", "case_id", "title").select("case_id", F.size(T.query_terms(F.col("title"))).alias("n"))
     return _title_hits(spark, d).join(q, "case_id").filter(F.col("matched") >= F.col("n") - 1).groupBy("case_id").agg(F.count("*").alias("documents"))
 

@@ -89,18 +89,22 @@ class _Pages(DataSourceReader):
         self.per_page, self.most = int(options.get("per_page", 100)), int(options.get("most", 3000))
 
     def partitions(self) -> list[InputPartition]:
-        pages = sorted(x for x in os.listdir(self.folder) if x.endswith(".json"))
-        return [InputPartition((p, i * self.per_page)) for i, p in enumerate(pages[:-(-self.most // self.per_page)])] or [InputPartition((None, 0))]
+        # pages are looked at once, in order, up to the one that ends them: no more than `most` rows
+        out, first = [], 0
+        for page in sorted(x for x in os.listdir(self.folder) if x.endswith(".json")):
+            if first >= self.most:
+                break
+            out.append(InputPartition((page, first)))
+            with open(os.path.join(self.folder, page)) as f:
+                if len(json.load(f)) < self.per_page:
+                    break
+            first += self.per_page
+        return out or [InputPartition((None, 0))]
 
     def read(self, partition: InputPartition):
         page, first = partition.value
         if page is None:
             return
-        before = sorted(x for x in os.listdir(self.folder) if x.endswith(".json"))
-        for earlier in before[:before.index(page)]:
-            with open(os.path.join(self.folder, earlier)) as f:
-                if len(json.load(f)) < self.per_page:
-                    return  # an earlier page was the last
         with open(os.path.join(self.folder, page)) as f:
             for k, row in enumerate(json.load(f)):
                 if first + k < self.most:
