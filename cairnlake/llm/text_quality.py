@@ -208,7 +208,9 @@ def line_kind(s: str, common: int, words: list[str], doc_share: float) -> str:
 def statistics(text: str) -> tuple[str, int, list[float]]:
     """(language, words, values of STATS)."""
     lines = [QUOTE.sub("", x.strip(), count=1).strip() if x.lstrip().startswith(">") else x.strip() for x in text.replace("\r\n", "\n").split("\n")]
-    low_line = [WORD.findall(x) for x in "\n".join(lines).lower().split("\n")]
+    joined = "\n".join(lines)
+    low_joined = joined.lower()
+    low_line = list(map(WORD.findall, low_joined.split("\n")))
     lows = [w for ws in low_line for w in ws]
     n_words = len(lows)
     votes: Counter = Counter()
@@ -264,7 +266,7 @@ def statistics(text: str) -> tuple[str, int, list[float]]:
         if k:
             chars[k] += len(s)
     # repetition: sentences or lines that occur three times or more; only what is not structure already
-    if max(Counter(SENTENCES.split("\n".join(lines).lower())).values()) >= 3:
+    if max(Counter(SENTENCES.split(low_joined)).values()) >= 3:
         parts = [(p.strip().lower(), k) for s, k in zip(lines, kinds) if k in ("prose", "nav", "heading") for p in SENTENCES.split(s) if p.strip()]
         seen = Counter(p for p, _ in parts)
         for p, k in parts:
@@ -280,7 +282,7 @@ def statistics(text: str) -> tuple[str, int, list[float]]:
     distinct = sum(len(set(x)) / max(1.0, STRETCH * (len(x) / STRETCH) ** 0.85) for x in stretches) / len(stretches)
     values = [
         math.log1p(n_words), letters / max(1, n_words) if n_words else 0.0, math.log1p(n_words / max(1, filled)), signs / size, digits / size, capitals / letters,
-        hits / max(1, n_words), ended / max(1, filled), sum(len(SEPARATOR.findall(x)) for x in lines) / max(1, n_words), distinct, other, *(max(0, chars[k]) / d for k in KINDS)]
+        hits / max(1, n_words), ended / max(1, filled), len(SEPARATOR.findall(joined)) / max(1, n_words), distinct, other, *(max(0, chars[k]) / d for k in KINDS)]
     return lang, n_words, [float(v) for v in values]
 
 
