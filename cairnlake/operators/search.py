@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -65,6 +68,85 @@ def lexical(queries: DataFrame, docs: DataFrame, query: str, key: str, *text: st
     return posts.join(terms, "term").groupBy(query, key).agg((F.sum("tf") * TERM_WEIGHT).alias("score"), F.count("*").alias("matched"))
 
 
+def _term_index(queries: DataFrame, query: str):
+    """(query ids, terms, first, members): the queries of term t are members[first[t]:first[t + 1]]. The caller has counted the terms."""
+    t = queries.select(query, F.explode("terms").alias("term")).distinct().toArrow()
+    ids, terms = t.column(query).combine_chunks().dictionary_encode(), t.column("term").combine_chunks().dictionary_encode()
+    code = np.asarray(terms.indices)
+    order = np.argsort(code, kind="stable")
+    first = np.searchsorted(code[order], np.arange(len(terms.dictionary) + 1))
+    return ids.dictionary, terms.dictionary, first, np.asarray(ids.indices)[order]
+
+
+#: Cells of the matrix of documents and queries that is filled at a time.
+SCORE_CELLS = 4_000_000
+
+
+def _scores(batches: Iterator[pa.RecordBatch], index) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, document, query, frequency, matched terms) of every document of a batch (key, terms) that holds a term of a query."""
+    ids, terms, first, members = index
+    step = max(1, SCORE_CELLS // max(1, len(ids)))
+    for whole in batches:
+        for at in range(0, whole.num_rows, step):
+            b = whole.slice(at, step)
+            lists = b.column(1)
+            term = pc.index_in(lists.flatten(), terms)
+            doc = np.asarray(pc.list_parent_indices(lists), np.int64)
+            known = np.asarray(term.is_valid())
+            pair, tf = np.unique(doc[known] * len(terms) + np.asarray(term.drop_null(), np.int64), return_counts=True)
+            d, t = pair // max(1, len(terms)), pair % max(1, len(terms))
+            n = first[t + 1] - first[t]
+            owner = np.repeat(np.arange(len(t)), n)
+            q = members[np.repeat(first[t] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            cell = d[owner] * len(ids) + q
+            total, matched = np.bincount(cell, tf[owner], b.num_rows * len(ids)), np.bincount(cell, minlength=b.num_rows * len(ids))
+            hit = np.flatnonzero(matched)
+            yield b.column(0), hit // max(1, len(ids)), hit % max(1, len(ids)), total[hit], matched[hit]
+
+
+def lexical_top(queries: DataFrame, docs: DataFrame, query: str, key: str, *text: str, k: int) -> DataFrame:
+    """(query, key, score, rank): the k documents of each query with the highest scores. The terms of a stated query set are counted and
+    sent to the executors; each partition of documents keeps its k best for each query, and only those are shuffled. Beyond
+    TERMS_BROADCAST terms documents and queries meet by term."""
+    kind = docs.schema[key].dataType.simpleString()
+    n = queries.select(F.sum(F.size("terms"))).first()[0] or 0
+    if n > TERMS_BROADCAST:
+        return top(lexical(queries, docs, query, key, *text), [query], [F.desc(F.round("score", 6)), F.col(key)], k)
+    index = docs.sparkSession.sparkContext.broadcast(_term_index(queries, query))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for keys, d, q, total, _ in _scores(batches, index.value):
+            t = pd.DataFrame({"q": q, "s": total, "k": keys.take(pa.array(d)).to_pandas()})
+            best = pd.concat([best, t]) if best is not None else t
+            best = best.sort_values(["q", "s", "k"], ascending=[True, False, True]).groupby("q").head(k)
+        if best is not None and len(best):
+            ids = index.value[0]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(best["q"].to_numpy())), pa.array(best["k"].to_numpy()), pa.array(best["s"].to_numpy() * TERM_WEIGHT)], names=[query, key, "score"])
+    few = docs.select(key, T.index_terms(*[F.col(t) for t in text]).alias("terms")).filter(F.col("terms").isNotNull()).mapInArrow(run, f"{query} {queries.schema[query].dataType.simpleString()}, {key} {kind}, score double")
+    return top(few, [query], [F.desc(F.round("score", 6)), F.col(key)], k)
+
+
+def matching_counts(queries: DataFrame, docs: DataFrame, query: str, key: str, *text: str, missing: int = 0) -> DataFrame:
+    """(query, documents): in how many documents all of a query's terms are, but for `missing`; counted within partitions first."""
+    sizes = queries.select(query, F.size("terms").alias("n"))
+    n = queries.select(F.sum(F.size("terms"))).first()[0] or 0
+    if n > TERMS_BROADCAST:
+        return lexical(queries, docs, query, key, *text).join(sizes, query).filter(F.col("matched") >= F.col("n") - missing).groupBy(query).agg(F.count("*").alias("documents"))
+    index = docs.sparkSession.sparkContext.broadcast(_term_index(queries, query))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, _, _, members = index.value
+        need = np.bincount(members, minlength=len(ids)) - missing
+        found = np.zeros(len(ids), np.int64)
+        for _, _, q, _, matched in _scores(batches, index.value):
+            found += np.bincount(q[matched >= need[q]], minlength=len(ids))
+        got = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(got)), pa.array(found[got])], names=[query, "documents"])
+    each = docs.select(key, T.index_terms(*[F.col(t) for t in text]).alias("terms")).filter(F.col("terms").isNotNull()).mapInArrow(run, f"{query} {queries.schema[query].dataType.simpleString()}, documents bigint")
+    return each.groupBy(query).agg(F.sum("documents").alias("documents"))
+
+
 def similar_names(queries: DataFrame, names: DataFrame, least: float) -> DataFrame:
     """(query, name, similarity): trigram similarity of at least `least`. Sets that similar share one of their rarest trigrams: of n
     only the n - ceil(least * n) + 1 rarest are joined, in the order of how many names hold them, so a common trigram joins little;

@@ -42,19 +42,18 @@ def c5_docs(spark, d):
     return c.groupBy("repository_id", hit.alias("is_guide")).agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
 
 
-def _title_hits(spark, d):
+def _titles(spark, d):
     q = load(spark, d, "eval_cases", "case_id", "title").select("case_id", T.query_terms(F.col("title")).alias("terms"))
-    return S.lexical(q, load(spark, d, "documents", "doc_id", "text"), "case_id", "doc_id", "text")
+    return q, load(spark, d, "documents", "doc_id", "text"), "case_id", "doc_id", "text"
 
 
 def h1_lexical_topk(spark, d):
-    return S.top(_title_hits(spark, d), ["case_id"], [F.desc(F.round("score", 6)), F.col("doc_id")], 10).select("case_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return S.lexical_top(*_titles(spark, d), k=10).select("case_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def c6_matching_documents(spark, d):
     """Documents per item that hold all of its title's terms, or all but one."""
-    q = load(spark, d, "eval_cases", "case_id", "title").select("case_id", F.size(T.query_terms(F.col("title"))).alias("n"))
-    return _title_hits(spark, d).join(q, "case_id").filter(F.col("matched") >= F.col("n") - 1).groupBy("case_id").agg(F.count("*").alias("documents"))
+    return S.matching_counts(*_titles(spark, d), missing=1)
 
 
 def c7_similar_parts(spark, d):

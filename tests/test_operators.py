@@ -444,3 +444,59 @@ def test_durable_tables_can_be_cleared(spark):
     clear(spark)
     d = durable(spark.range(3), "t")
     assert d.count() == 3 and clear(spark) == 1 and clear(spark) == 0
+
+
+def test_lexical_top_equals_the_join(spark, monkeypatch):
+    import random
+
+    from cairnlake.operators import search as S
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 25)))) for i in range(400)] + [(900, None), (901, "")], "doc_id bigint, text string").repartition(5)
+    queries = spark.createDataFrame([(f"q{i}", rng.sample(words, rng.randrange(1, 5))) for i in range(20)] + [("none", ["zzz"]), ("empty", [])], "q string, terms array<string>")
+    few = lambda: (rows(S.lexical_top(queries, docs, "q", "doc_id", "text", k=7).select("q", "rank", "doc_id", F.round("score", 6))), rows(S.matching_counts(queries, docs, "q", "doc_id", "text", missing=1)))
+    got = few()
+    monkeypatch.setattr(S, "SCORE_CELLS", 500)
+    assert few() == got
+    monkeypatch.setattr(S, "TERMS_BROADCAST", 1)
+    assert few() == got and len(got[0]) == 140
+    assert S.lexical_top(queries, docs.limit(0), "q", "doc_id", "text", k=3).count() == 0 and S.lexical_top(queries.limit(0), docs, "q", "doc_id", "text", k=3).count() == 0
+
+
+def test_quantiles_are_exact(spark):
+    import random
+
+    from cairnlake.operators import events
+
+    rng = random.Random(5)
+    data = [("a", rng.gauss(0, 9)) for _ in range(5_000)] + [("b", float(rng.randrange(4))) for _ in range(777)] + [("c", 1.5), ("d", None)]
+    shares = {"lo": 0.01, "mid": 0.5, "hi": 0.99, "top": 1.0}
+    got = {r["g"]: r for r in events.quantiles(spark.createDataFrame(data, "g string, v double"), "g", "v", shares).collect()}
+    import numpy as np
+    for g in "abc":
+        for n, p in shares.items():
+            assert abs(got[g][n] - np.quantile([v for k, v in data if k == g], p)) < 1e-9, (g, n)
+    assert "d" not in got
+
+
+def test_evidence(spark):
+    from cairnlake.operators import review as R
+
+    body = "def total(items):\n    return sum(x.price for x in items if x.active)\n"
+    quotes = [("return sum(x.price for x in items", "verbatim"), ("12 + | def total(items):\n13 + |   return sum(x.price for x in items if x.active)", "verbatim"), ("oh", "short"), (None, "short"),
+              ("return sum x price for x in items if x act", "tokens"), ("return max(y.cost for y in items)", "none"), ("see: sum(x.price, for x in items if x.active", "tokens"), ("\n".join(["return sum("] * 9 + ["other line"]), "lines")]
+    d = spark.createDataFrame([(q, body, w) for q, w in quotes], "q string, b string, w string")
+    for r in d.select("q", "w", R.evidence(F.col("q"), F.col("b")).alias("got")).collect():
+        assert r["got"] == r["w"], r
+
+
+def test_calls_of_self_and_aliases(spark):
+    from cairnlake.operators import review as R
+
+    c = spark.createDataFrame([("1", "r", "b", "1", "a.py", "run", "method", "K", ["self.step", "cls.make", "self.a.b", "tools.cut", "step"]), ("2", "r", "b", "1", "a.py", "step", "method", "K", []), ("3", "r", "b", "1", "a.py", "make", "method", "K", None),
+                               ("4", "r", "b", "1", "a.py", "step", "method", "L", []), ("5", "r", "c", "1", "tools.py", "cut", "function", None, [])],
+                              "id string, repository_id string, blob_sha string, chunker_version string, path string, symbol string, symbol_type string, parent_symbol string, called_names array<string>")
+    assert rows(R.sibling_calls(c, ["repository_id", "blob_sha", "chunker_version"])) == [("1", "make", "3"), ("1", "step", "2")]
+    i = spark.createDataFrame([("r", "1", "tools", "tools.py")], "repository_id string, id string, alias string, path string")
+    assert rows(R.alias_calls(c, i)) == [("1", "tools.cut", "5")]
