@@ -8,6 +8,7 @@ from cairnlake.functions import text as T
 from cairnlake.operators import checks as K, context as N, diff as D, hybrid
 from cairnlake.operators.search import top
 from cairnlake.plans.fold_queries import _P, _lines
+from cairnlake.plans.hybrid_queries import queries_of
 from cairnlake.plans.index_queries import _files, _snaps
 from cairnlake.functions import fixed_values as V
 from cairnlake.plans.text_queries import _list, changed, chunks
@@ -20,15 +21,15 @@ def _chunks(spark, d):
 
 
 def n_context(spark, d):
-    """The context of every method taken as the change, under 1200 tokens."""
+    """The context of the queries of hybrid search taken as changes, under 1200 tokens, against all chunks."""
     c = durable(_chunks(spark, d), "chunks")
-    return N.bundles(c, c.filter("symbol_type = 'method'"), 1200)
+    return N.bundles(c, queries_of(c), 1200)
 
 
 def n_tiers(spark, d):
-    """Candidates of every method by tier and reason."""
+    """Candidates of those changes by tier and reason."""
     c = durable(_chunks(spark, d), "chunks")
-    return N.merged(N.candidates(c, c.filter("symbol_type = 'method'"))).groupBy("tier", "reasons").agg(F.count("*").alias("items"), F.countDistinct("bundle").alias("bundles"))
+    return N.merged(N.candidates(c, queries_of(c))).groupBy("tier", "reasons").agg(F.count("*").alias("items"), F.countDistinct("bundle").alias("bundles"))
 
 
 def _methods(c):

@@ -11,11 +11,15 @@ from cairnlake.plans.text_queries import _list, chunks
 from cairnlake.session import durable
 
 
+def queries_of(c: DataFrame) -> DataFrame:
+    """One definition in a hundred, by its content."""
+    return c.filter(F.col("symbol_type").isin("function", "method", "class") & (F.conv(F.substring(F.sha2("content", 256), 1, 6), 16, 10).cast("bigint") % 100 == 0))
+
+
 def _setup(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(queries, chunks, lists): one definition in a hundred by its content's hash is a query, against all chunks."""
-    c = chunks(spark, d, "content_hash", *H.COLUMNS)
-    q = c.filter(F.col("symbol_type").isin("function", "method", "class") & (F.conv(F.substring("content_hash", 1, 6), 16, 10).cast("bigint") % 100 == 0))
-    q = durable(q, "queries")
+    """(queries, chunks, lists), against all chunks."""
+    c = chunks(spark, d, *H.COLUMNS)
+    q = durable(queries_of(c), "queries")
     return q, c, durable(H.lists(q, c), "lists")
 
 
@@ -53,7 +57,7 @@ QUERIES = {f.__name__: f for f in (f3_hybrid_rrf, m9_ablation, f13_retrieval)}
 
 _DIR = "CASE WHEN contains({0}, '/') THEN regexp_replace({0}, '/[^/]*$', '') ELSE '.' END"
 _H = f"""c AS (SELECT DISTINCT id, repository_id, path, start_line, symbol, qualified_name, symbol_type, signature, called_names, imports, is_test, token_count, content, content_hash, embedding, embedding_model, parent_symbol FROM code_chunks),
-  q AS (SELECT * FROM c WHERE symbol_type IN ('function', 'method', 'class') AND ('0x' || substr(content_hash, 1, 6))::BIGINT % 100 = 0),
+  q AS (SELECT * FROM c WHERE symbol_type IN ('function', 'method', 'class') AND ('0x' || substr(sha256(content), 1, 6))::BIGINT % 100 = 0),
   qt AS (SELECT id AS query_id, repository_id, unnest(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, {V.QUERY_TERMS})) AS term FROM (SELECT id, repository_id, list_filter(flatten(list_transform(
     regexp_extract_all(concat_ws(' ', qualified_name, signature), '[A-Za-z_][A-Za-z0-9_]*'), lambda x: string_split(lower(x), '_'))), lambda x: length(x) > 2 AND NOT list_contains({_list(V.STOP_WORDS)}, x)) AS l FROM q)),
   ps AS (SELECT id, repository_id, path, start_line, term, count(*) AS tf FROM (SELECT id, repository_id, path, start_line, unnest(regexp_split_to_array(lower(content), '[^a-z0-9]+')) AS term FROM c) WHERE term <> '' GROUP BY ALL),
