@@ -5,7 +5,7 @@ from __future__ import annotations
 from cairnlake.plans import chunk_queries, context_queries, event_queries, fold_queries, hybrid_queries, index_queries, problem_queries, relational_queries, review_queries, search_queries, text_queries
 
 MODULES = (problem_queries, text_queries, index_queries, search_queries, fold_queries, event_queries, chunk_queries, context_queries, relational_queries, review_queries, hybrid_queries)
-FLAGSHIP = hybrid_queries.f3_hybrid_rrf
+FLAGSHIP = search_queries.h1_lexical_topk
 
 
 def queries() -> dict:

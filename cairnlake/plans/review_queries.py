@@ -286,11 +286,11 @@ def h9_callers(spark, d):
 
 
 def c4_tests_by_stem(spark, d):
-    """Test functions whose file is named after another file of the repository."""
+    """Test functions whose file is named after what another file of the repository is about, the last word of its name."""
     c = chunks(spark, d, "id", "repository_id", "path", "symbol_type", "is_test")
-    stem = lambda p: F.regexp_extract(p, r"([^/]+?)\d*\.[^./]+$", 1)
+    stem = lambda p: F.regexp_extract(p, r"([a-z]+)\d*\.[^./]+$", 1)
     p = c.filter("not is_test").select("repository_id", stem("path").alias("stem")).distinct()
-    t = c.filter(F.col("is_test") & F.col("symbol_type").isin("function", "method")).select("repository_id", "id", F.regexp_replace(stem("path"), "^test_|_test$", "").alias("stem"))
+    t = c.filter(F.col("is_test") & F.col("symbol_type").isin("function", "method")).select("repository_id", "id", stem("path").alias("stem"))
     return t.join(p, ["repository_id", "stem"], "left_semi").select("id")
 
 
@@ -423,7 +423,7 @@ SQL = {
         k AS (SELECT DISTINCT repository_id, id, path, start_line, len(imports) = 0 AS un, unnest(called_names) AS name FROM c)
         SELECT repository_id, name, rank, id FROM (SELECT *, row_number() OVER (PARTITION BY repository_id, name ORDER BY un, path, start_line, id)::INT AS rank FROM k) WHERE rank <= 3""",
     "c4_tests_by_stem": """SELECT DISTINCT c.id FROM code_chunks c JOIN code_chunks p ON c.repository_id = p.repository_id AND NOT p.is_test
-          AND regexp_replace(regexp_extract(c.path, '([^/]+?)\\d*\\.[^./]+$', 1), '^test_|_test$', '', 'g') = regexp_extract(p.path, '([^/]+?)\\d*\\.[^./]+$', 1) WHERE c.is_test AND c.symbol_type IN ('function', 'method')""",
+          AND regexp_extract(c.path, '([a-z]+)\\d*\\.[^./]+$', 1) = regexp_extract(p.path, '([a-z]+)\\d*\\.[^./]+$', 1) AND regexp_extract(p.path, '([a-z]+)\\d*\\.[^./]+$', 1) IS NOT NULL WHERE c.is_test AND c.symbol_type IN ('function', 'method')""",
     "a2_live_repositories": "SELECT id, github_repo_id, owner || '/' || name AS full_name FROM repositories WHERE deleted_at IS NULL",
     "a3_ready_snapshots": "SELECT DISTINCT id, repository_id FROM repository_snapshots WHERE status = 'ready'",
     "a12_open_jobs": "SELECT DISTINCT id, created_at FROM review_jobs WHERE status IN ('queued', 'running', 'publishing')",
