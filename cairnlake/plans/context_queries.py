@@ -8,7 +8,7 @@ from cairnlake.functions import text as T
 from cairnlake.operators import checks as K, context as N, diff as D, hybrid
 from cairnlake.operators.search import top
 from cairnlake.plans.fold_queries import _P, _lines
-from cairnlake.plans.hybrid_queries import queries_of
+from cairnlake.plans.hybrid_queries import _H, queries_of
 from cairnlake.plans.index_queries import _files, _snaps
 from cairnlake.functions import fixed_values as V
 from cairnlake.plans.text_queries import _list, changed, chunks
@@ -136,7 +136,58 @@ _RUNS = """v AS (SELECT id, min(n) AS s, max(n) AS e FROM (SELECT id, n, n - row
 _CC = """c AS (SELECT DISTINCT id, repository_id, blob_sha, chunker_version, path, start_line, language, symbol, symbol_type, qualified_name, parent_symbol, called_names, token_count, content FROM code_chunks),
   k AS (SELECT *, list_append(called_names, symbol) AS names FROM c WHERE symbol_type = 'method')"""
 
+_FILE_IS = "c.repository_id = q.repository_id AND c.blob_sha = q.blob_sha AND c.chunker_version = q.chunker_version"
+_STEM = "regexp_extract({0}, '([^/]+?)\\.[^./]+$', 1)"
+
+
+def _lexical_sql(name: str, where: str) -> str:
+    return f"""{name}p AS (SELECT id, repository_id, path, start_line, term, count(*) AS tf FROM (SELECT id, repository_id, path, start_line, unnest(regexp_split_to_array(lower(content), '[^a-z0-9]+')) AS term FROM c WHERE {where}) WHERE term <> '' GROUP BY ALL),
+  {name} AS (SELECT bundle, id AS item FROM (SELECT bundle, x.id, row_number() OVER (PARTITION BY bundle ORDER BY sum(tf) DESC, path, start_line, x.id) AS k FROM {name}p x JOIN cw ON x.repository_id = cw.repository_id AND x.term = cw.term WHERE path <> own
+    GROUP BY bundle, x.id, path, start_line) WHERE k <= 2)"""
+
+
+_TIERS = f"""{_H},
+  cl AS (SELECT id AS bundle, repository_id, path AS own, qualified_name, unnest(called_names) AS call FROM q),
+  sib AS (SELECT DISTINCT q.id AS bundle, c.id AS item FROM q JOIN c ON {_FILE_IS} AND c.symbol_type = 'method' AND c.id <> q.id AND (list_contains(q.called_names, 'self.' || c.symbol) OR list_contains(q.called_names, 'cls.' || c.symbol))),
+  spr AS (SELECT DISTINCT q.id AS bundle, c.id AS item FROM q JOIN c ON {_FILE_IS} AND c.symbol_type IN ('function', 'class') AND c.id <> q.id AND list_contains(q.called_names, c.qualified_name) AND NOT contains(c.qualified_name, '.') AND c.qualified_name IS DISTINCT FROM q.qualified_name),
+  bs AS (SELECT id AS bundle, repository_id, path AS own, unnest(bases) AS name FROM q),
+  bas AS (SELECT bundle, id AS item FROM (SELECT *, row_number() OVER (PARTITION BY bundle ORDER BY path, start_line, id) AS k FROM (SELECT DISTINCT bundle, c.id, c.path, c.start_line FROM bs JOIN c ON c.repository_id = bs.repository_id AND (c.symbol = name OR c.qualified_name = name)
+    AND c.symbol_type IN ('function', 'method', 'class') AND c.path <> own)) WHERE k <= 2),
+  us AS (SELECT bundle, id AS item FROM (SELECT *, row_number() OVER (PARTITION BY bundle ORDER BY path, start_line, id) AS k FROM (SELECT DISTINCT q.id AS bundle, c.id, c.path, c.start_line FROM q JOIN c ON c.repository_id = q.repository_id AND NOT c.is_test
+    AND list_contains(c.called_names, q.symbol) AND c.path <> q.path)) WHERE k <= 3),
+  ts AS (SELECT bundle, id AS item FROM (SELECT *, row_number() OVER (PARTITION BY bundle ORDER BY path, start_line, id) AS k FROM (SELECT DISTINCT q.id AS bundle, c.id, c.path, c.start_line FROM q JOIN c ON c.repository_id = q.repository_id AND c.is_test AND c.path <> q.path
+    AND (list_contains(c.called_names, q.symbol) OR (NOT q.is_test AND c.symbol_type IN ('function', 'method') AND regexp_replace({_STEM.format('c.path')}, '^test_|_test$|\\.test$|\\.spec$', '', 'g') = {_STEM.format('q.path')})))) WHERE k <= 3),
+  cw AS (SELECT bundle, repository_id, own, unnest(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, {V.QUERY_TERMS})) AS term FROM (SELECT id AS bundle, repository_id, path AS own, list_filter(flatten(list_transform(
+    regexp_extract_all(array_to_string(list_append(called_names, symbol), ' '), '[A-Za-z_][A-Za-z0-9_]*'), lambda x: string_split(lower(x), '_'))), lambda x: length(x) > 2 AND NOT list_contains({_list(V.STOP_WORDS)}, x)) AS l FROM q)),
+  {_lexical_sql('cfg', "language IN ('yaml', 'toml', 'ini', 'json', 'dockerfile')")},
+  {_lexical_sql('mig', "path ILIKE '%migrat%' OR path ILIKE '%alembic%' OR path ILIKE '%schema%'")},
+  gd AS (SELECT id, repository_id, path, start_line, list_distinct(regexp_extract_all(lower(content), '[a-z_][a-z0-9_]+')) AS gs FROM c WHERE language = 'markdown' AND token_count <= 400 AND ({' OR '.join(f"path ILIKE '{x}'" for x in V.GUIDE_PATHS)})),
+  gw AS (SELECT id AS bundle, repository_id, path AS own, list_distinct(list_transform(regexp_extract_all(array_to_string(list_append(called_names, symbol), ' ') || ' ' || content, '[A-Za-z_][A-Za-z0-9_]+'), lambda x: lower(x))) AS ws FROM q),
+  gu AS (SELECT bundle, id AS item FROM (SELECT bundle, id, row_number() OVER (PARTITION BY bundle ORDER BY len(list_intersect(ws, gs)) DESC, path, start_line, id) AS k FROM gw JOIN gd ON gw.repository_id = gd.repository_id WHERE path <> own) WHERE k <= 2),
+  cand AS (SELECT id AS bundle, id AS item, 1 AS tier, 10.0::DOUBLE AS score, 'changed_symbol' AS reason FROM q
+    UNION ALL SELECT q.id, c.id, 1, 9.0, 'enclosing_class' FROM q JOIN c ON {_FILE_IS} AND c.symbol_type = 'class' AND c.qualified_name = q.parent_symbol
+    UNION ALL SELECT q.id, c.id, 1, 5.0, 'module_header' FROM q JOIN c ON {_FILE_IS} AND c.symbol_type = 'module' AND c.start_line = 1 AND c.token_count <= 300
+    UNION ALL SELECT bundle, item, 2, 6.0, 'sibling_method' FROM sib UNION ALL SELECT bundle, item, 2, 7.0, 'same_pr_definition' FROM spr UNION ALL SELECT bundle, item, 2, 5.0, 'base_class' FROM bas UNION ALL SELECT bundle, item, 3, 5.0, 'calls' FROM us
+    UNION ALL SELECT bundle, item, 4, 6.0, 'test_for_changed_symbol' FROM ts UNION ALL SELECT bundle, item, 4, 4.0, 'config_match' FROM cfg UNION ALL SELECT bundle, item, 4, 4.0, 'migration_or_schema' FROM mig
+    UNION ALL SELECT query_id, b.id, 5, total, 'hybrid' FROM best b JOIN c ON c.id = b.id JOIN q ON q.id = b.query_id WHERE c.path <> q.path
+    UNION ALL SELECT bundle, item, 6, 2.0, 'repository_guidelines' FROM gu),
+  mg AS (SELECT bundle, item, min(tier) AS tier, max(score) AS score, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM cand GROUP BY ALL)"""
+
 SQL = {
+    "n_context": f"""WITH RECURSIVE {_TIERS},
+        i AS (SELECT mg.*, c.token_count AS size, c.path, c.start_line, row_number() OVER (PARTITION BY bundle ORDER BY tier, round(score, 9) DESC, item) AS n FROM mg JOIN c ON c.id = mg.item),
+        cap(tier, c) AS (VALUES {', '.join(f'({t}, {int(1200 * x)})' for t, x in V.TIER_SHARES.items())}),
+        a AS (SELECT bundle, item, tier, n, size, CASE WHEN tier = 1 THEN true ELSE size <= c AND size <= 1200 END AS take, CASE WHEN tier = 1 OR (size <= c AND size <= 1200) THEN size ELSE 0 END AS used,
+            CASE WHEN tier <> 1 AND size <= c AND size <= 1200 THEN size ELSE 0 END AS spent FROM i JOIN cap USING (tier) WHERE n = 1
+          UNION ALL SELECT i.bundle, i.item, i.tier, i.n, i.size, t.take, a.used + CASE WHEN t.take THEN i.size ELSE 0 END, t.sp + CASE WHEN t.take AND i.tier <> 1 THEN i.size ELSE 0 END FROM a JOIN i ON i.bundle = a.bundle AND i.n = a.n + 1 JOIN cap ON cap.tier = i.tier,
+            LATERAL (SELECT CASE WHEN i.tier = a.tier THEN a.spent ELSE 0 END AS sp, i.tier = 1 OR (CASE WHEN i.tier = a.tier THEN a.spent ELSE 0 END + i.size <= cap.c AND a.used + i.size <= 1200) AS take) t),
+        u AS (SELECT bundle, arg_max(used, n) AS used FROM a GROUP BY ALL),
+        b AS (SELECT a.bundle, a.item, a.n, a.take OR u.used + a.size <= 1200 AS taken, u.used + CASE WHEN NOT a.take AND u.used + a.size <= 1200 THEN a.size ELSE 0 END AS used FROM a JOIN u USING (bundle) WHERE n = 1
+          UNION ALL SELECT a.bundle, a.item, a.n, a.take OR b.used + a.size <= 1200, b.used + CASE WHEN NOT a.take AND b.used + a.size <= 1200 THEN a.size ELSE 0 END FROM b JOIN a ON a.bundle = b.bundle AND a.n = b.n + 1)
+        SELECT i.bundle, i.item, i.tier, round(i.score, 6) AS score, i.reasons, b.taken, CASE WHEN b.taken THEN row_number() OVER (PARTITION BY i.bundle, b.taken ORDER BY i.tier, i.path, i.start_line, i.item)::INT END AS position
+        FROM i JOIN b ON b.bundle = i.bundle AND b.item = i.item""",
+    # no import of the data names a file of its repository by its own words, so no definition comes by import
+    "n_tiers": f"WITH {_TIERS} SELECT tier, reasons, count(*) AS items, count(DISTINCT bundle) AS bundles FROM mg GROUP BY ALL",
     "c25_signatures": "SELECT DISTINCT delivery_id, ascii(delivery_id) % 2 = 0 AS accepted FROM review_jobs WHERE delivery_id IS NOT NULL",
     "n1_own_files": f"""WITH {_CC} SELECT id AS bundle, id AS item, 'changed_symbol' AS reason FROM k
         UNION ALL SELECT k.id, c.id, 'enclosing_class' FROM k JOIN c ON k.repository_id = c.repository_id AND k.blob_sha = c.blob_sha AND k.chunker_version = c.chunker_version AND k.parent_symbol = c.qualified_name WHERE c.symbol_type = 'class'

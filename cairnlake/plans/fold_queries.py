@@ -183,6 +183,21 @@ SQL = {
     "f17_line_sets": f"WITH {_P} SELECT id, count(DISTINCT new_no) FILTER (WHERE kind <> 'del') AS right_lines, count(DISTINCT old_no) FILTER (WHERE kind = 'del') AS left_lines, count(DISTINCT new_no) FILTER (WHERE kind = 'add') AS added_lines FROM l GROUP BY 1",
     "e3_rendered": f"""WITH {_P} SELECT id, md5(string_agg(CASE WHEN kind = 'add' THEN lpad(new_no::VARCHAR, 6, ' ') || ' +     | ' || text WHEN kind = 'del' THEN lpad('-' || old_no, 6, ' ') || '       | ' || text
         ELSE lpad(new_no::VARCHAR, 6, ' ') || '       | ' || text END, chr(10) ORDER BY hunk, line)) AS digest FROM l GROUP BY 1""",
+    "l8_matched": f"""WITH RECURSIVE {_P}, {_RANGES}, h AS (SELECT id, lpad(h::VARCHAR, 4, '0') AS item, ns AS first, ns + nl - 1 AS last FROM g),
+        e AS (SELECT id, lpad(range_start::VARCHAR, 6, '0') AS item, range_start AS first, range_end AS last, row_number() OVER (PARTITION BY id ORDER BY range_start) AS k FROM r),
+        m AS (SELECT e.id, e.item, e.k, coalesce(list(h.item ORDER BY h.item) FILTER (WHERE h.first <= e.last + 3 AND h.last >= e.first - 3), []) AS cand FROM e LEFT JOIN h ON h.id = e.id GROUP BY ALL),
+        t AS (SELECT id, item, k, cand[1] AS hit, CASE WHEN len(cand) > 0 THEN [cand[1]] ELSE [] END AS used FROM m WHERE k = 1
+          UNION ALL SELECT m.id, m.item, m.k, list_filter(m.cand, lambda x: NOT list_contains(t.used, x))[1], list_append(t.used, list_filter(m.cand, lambda x: NOT list_contains(t.used, x))[1]) FROM t JOIN m ON m.id = t.id AND m.k = t.k + 1)
+        SELECT id, item, hit AS matched FROM t""",
+    "l7_deduplicated": f"""WITH RECURSIVE {_P}, f0 AS (SELECT id, id || '#' || h AS item, CASE WHEN added > 5 THEN 'large' ELSE 'small' END AS category, ns AS first, ns + nl + 60 AS last, added AS score, (ns % 10) / 10.0::DOUBLE AS conf, h::INT AS batch, added % 3 AS w FROM g),
+        ff AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, item) AS k FROM f0),
+        t AS (SELECT id, item, k, NULL::VARCHAR AS kept_by, [{{'item': item, 'first': first, 'last': last, 'category': category, 'w': w}}] AS kept FROM ff WHERE k = 1
+          UNION ALL SELECT f.id, f.item, f.k, list_filter(t.kept, lambda x: f.first <= x.last + 3 AND x.first <= f.last + 3 AND (x.category = f.category OR x.w = f.w))[1].item,
+            CASE WHEN len(list_filter(t.kept, lambda x: f.first <= x.last + 3 AND x.first <= f.last + 3 AND (x.category = f.category OR x.w = f.w))) > 0 THEN t.kept
+              ELSE list_append(t.kept, {{'item': f.item, 'first': f.first, 'last': f.last, 'category': f.category, 'w': f.w}}) END FROM t JOIN ff f ON f.id = t.id AND f.k = t.k + 1),
+        d AS (SELECT t.id, t.item, t.k, kept_by, conf, batch FROM t JOIN ff f ON f.id = t.id AND f.item = t.item),
+        n AS (SELECT id, kept_by AS item, max(conf) AS best, string_agg(batch::VARCHAR, ',' ORDER BY k) AS notes FROM d WHERE kept_by IS NOT NULL GROUP BY ALL)
+        SELECT d.id, d.item, kept_by, round(greatest(conf, coalesce(best, conf)), 6) AS confidence, coalesce(notes, '') AS notes FROM d LEFT JOIN n ON n.id = d.id AND n.item = d.item""",
     "l1_tier_budget": f"""WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY {_F} ORDER BY tier, score DESC, id) AS n FROM (SELECT id, {_F}, CASE symbol_type WHEN 'module' THEN 1 WHEN 'class' THEN 2 WHEN 'function' THEN 3
           WHEN 'method' THEN 4 WHEN 'config' THEN 5 ELSE 6 END AS tier, token_count AS score, token_count AS size FROM (SELECT DISTINCT id, {_F}, symbol_type, token_count FROM code_chunks))),
         cap(tier, c) AS (VALUES (1, 375), (2, 300), (3, 150), (4, 225), (5, 300), (6, 75)),

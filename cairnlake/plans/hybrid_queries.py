@@ -56,7 +56,7 @@ def f13_retrieval(spark, d):
 QUERIES = {f.__name__: f for f in (f3_hybrid_rrf, m9_ablation, f13_retrieval)}
 
 _DIR = "CASE WHEN contains({0}, '/') THEN regexp_replace({0}, '/[^/]*$', '') ELSE '.' END"
-_H = f"""c AS (SELECT DISTINCT id, repository_id, path, start_line, symbol, qualified_name, symbol_type, signature, called_names, imports, is_test, token_count, content, content_hash, embedding, embedding_model, parent_symbol FROM code_chunks),
+_H = f"""c AS (SELECT DISTINCT id, repository_id, blob_sha, chunker_version, language, bases, path, start_line, symbol, qualified_name, symbol_type, signature, called_names, imports, is_test, token_count, content, content_hash, embedding, embedding_model, parent_symbol FROM code_chunks),
   q AS (SELECT * FROM c WHERE symbol_type IN ('function', 'method', 'class') AND ('0x' || substr(sha256(content), 1, 6))::BIGINT % 100 = 0),
   qt AS (SELECT id AS query_id, repository_id, unnest(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, {V.QUERY_TERMS})) AS term FROM (SELECT id, repository_id, list_filter(flatten(list_transform(
     regexp_extract_all(concat_ws(' ', qualified_name, signature), '[A-Za-z_][A-Za-z0-9_]*'), lambda x: string_split(lower(x), '_'))), lambda x: length(x) > 2 AND NOT list_contains({_list(V.STOP_WORDS)}, x)) AS l FROM q)),
