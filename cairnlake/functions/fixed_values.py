@@ -63,3 +63,5 @@ MAX_CHUNK_TOKENS, MODULE_HEADER_LINES, PYTHON_WINDOW, SECTION_WINDOW = 800, 120,
 GUIDE_PATHS = ["readme%", "contributing%", "docs/%", "%architecture%", "%style%", "%conventions%"]
 SOURCE_ROOTS = ["", "src/", "lib/"]
 EMBEDDING_DIM = 1024
+# signatures: longest of a definition, longest of a class, and how a class lists its methods
+SIGNATURE_CHARS, CLASS_SIGNATURE_CHARS, METHOD_INDEX = 400, 1200, "{}  [methods: {}]"

@@ -12,8 +12,10 @@ from __future__ import annotations
 import ast
 import re
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby, zip_longest
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -90,9 +92,81 @@ def first_line(node: ast.stmt) -> int:
     return min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", ()))])
 
 
+class Span(NamedTuple):
+    """Lines start..end of a file that become one chunk: of statements between definitions (node None), of a class's head, or of a function."""
+
+    kind: str
+    start: int
+    end: int
+    node: ast.AST | None = None
+    owner: str | None = None
+
+
+def spans(tree: ast.Module) -> Iterator[Span]:
+    """Where the chunks of a module lie, in order, whatever their size."""
+    for named, run in groupby(tree.body, lambda n: isinstance(n, (*_DEF, ast.ClassDef))):
+        nodes = list(run)
+        if not named:
+            yield Span("module", nodes[0].lineno, nodes[-1].end_lineno)
+            continue
+        for node in nodes:
+            inner = [m for m in node.body if isinstance(m, _DEF)] if isinstance(node, ast.ClassDef) else []
+            if isinstance(node, ast.ClassDef):
+                yield Span("class", first_line(node), max(node.lineno, first_line(inner[0]) - 1) if inner else node.end_lineno, node)
+                yield from (Span("method", first_line(m), m.end_lineno, m, node.name) for m in inner)
+            else:
+                yield Span("function", first_line(node), node.end_lineno, node)
+
+
+def fitted(every: Iterable[Span], lines: list[str]) -> Iterator[Span]:
+    """Spans of a size to be searched: the first section is cut to a header, empty ones go, and long functions are cut before the
+    statement that would make a piece too long."""
+    size = lambda a, b: tokens("\n".join(lines[a - 1:b]))
+    header = True
+    for s in every:
+        if s.kind == "module":
+            end = min(s.end, s.start + V.MODULE_HEADER_LINES - 1) if header else s.end
+            if any(x.strip() for x in lines[s.start - 1:end]):
+                yield s._replace(end=end)
+                header = False
+        elif s.kind == "class" or size(s.start, s.end) <= V.MAX_CHUNK_TOKENS:
+            yield s
+        else:
+            stops = [x.end_lineno for x in s.node.body]
+            start = s.start
+            for here, after in zip_longest(stops, stops[1:]):
+                if after is None or size(start, after) > V.MAX_CHUNK_TOKENS:
+                    yield s._replace(start=start, end=here)
+                    start = here + 1
+
+
+def heading(node: ast.AST, lines: list[str]) -> str:
+    """The lines up to a definition's body on one line, with decorators."""
+    return " ".join(x.strip() for x in lines[first_line(node) - 1:max(node.lineno, node.body[0].lineno - 1)])[:V.SIGNATURE_CHARS]
+
+
+def described(s: Span, lines: list[str], tree: ast.Module, module: str, imports: list[str], in_tests: bool, first: bool) -> Chunk:
+    """The chunk of a span; `first` says whether it is the module's header."""
+    made = Chunk(s.kind, s.start, s.end, "\n".join(lines[s.start - 1:s.end]), imports=imports if s.node is not None or first else [], is_test=in_tests)
+    if s.node is None:
+        made.symbol, made.qualified_name = "<module>", f"<module:{module}>"
+        made.docstring = ast.get_docstring(tree) if first else None
+        return made
+    made.symbol, made.parent_symbol = s.node.name, s.owner
+    made.qualified_name = ".".join(filter(None, (s.owner, s.node.name)))
+    made.docstring, made.signature = ast.get_docstring(s.node), heading(s.node, lines)
+    methods = [m for m in s.node.body if isinstance(m, _DEF)] if s.kind == "class" else []
+    made.called_names = [] if methods else calls(s.node)
+    made.is_test = in_tests or s.node.name.startswith("Test" if s.kind == "class" else "test_")
+    if s.kind == "class":
+        made.bases = [ast.unparse(b) for b in s.node.bases]
+    if methods:
+        made.signature = V.METHOD_INDEX.format(made.signature, "; ".join(heading(m, lines) for m in methods))[:V.CLASS_SIGNATURE_CHARS]
+    return made
+
+
 def python_file(path: str, source: str) -> list[Chunk]:
-    lines = source.splitlines()
-    in_tests = bool(_TEST.search(path))
+    lines, in_tests = source.splitlines(), bool(_TEST.search(path))
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -101,63 +175,9 @@ def python_file(path: str, source: str) -> list[Chunk]:
         return scanned(lines, in_tests) or windows(lines, in_tests)
     module, package = module_of(path)
     imports = imported(tree, module, package)
-    out: list[Chunk] = []
-
-    def cut(a: int, b: int) -> str:
-        return "\n".join(lines[a - 1:b])
-
-    def signature(node) -> str:
-        last = max(node.lineno, node.body[0].lineno - 1)
-        return " ".join(x.strip() for x in lines[first_line(node) - 1:last])[:400]
-
-    def section(nodes: list[ast.stmt]) -> None:
-        a, b = nodes[0].lineno, nodes[-1].end_lineno
-        head = not any(c.symbol_type == "module" for c in out)
-        if head:
-            b = min(b, a + V.MODULE_HEADER_LINES - 1)
-        body = cut(a, b)
-        if body.strip():
-            out.append(Chunk("module", a, b, body, "<module>", f"<module:{module}>", imports=imports if head else [], is_test=in_tests, docstring=ast.get_docstring(tree) if head else None))
-
-    def function(node, parent: str | None) -> None:
-        name = f"{parent}.{node.name}" if parent else node.name
-        made = dict(symbol=node.name, qualified_name=name, parent_symbol=parent, signature=signature(node), imports=imports, called_names=calls(node),
-                    is_test=in_tests or node.name.startswith("test_"), docstring=ast.get_docstring(node))
-        kind, a, b = "method" if parent else "function", first_line(node), node.end_lineno
-        if tokens(cut(a, b)) <= V.MAX_CHUNK_TOKENS:
-            out.append(Chunk(kind, a, b, cut(a, b), **made))
-            return
-        # cut before the statement that would make the piece too long
-        ends = [s.end_lineno for s in node.body]
-        for end, following in zip(ends, [*ends[1:], None]):
-            if following is None or tokens(cut(a, following)) > V.MAX_CHUNK_TOKENS:
-                out.append(Chunk(kind, a, end, cut(a, end), **made))
-                a = end + 1
-
-    def klass(node: ast.ClassDef) -> None:
-        methods = [n for n in node.body if isinstance(n, _DEF)]
-        a = first_line(node)
-        b = max(node.lineno, first_line(methods[0]) - 1 if methods else node.end_lineno)
-        sign = signature(node)
-        if methods:
-            sign = f"{sign}  [methods: {'; '.join(signature(m) for m in methods)}]"[:1200]
-        out.append(Chunk("class", a, b, cut(a, b), node.name, node.name, None, sign, imports, [] if methods else calls(node), [ast.unparse(x) for x in node.bases],
-                         in_tests or node.name.startswith("Test"), ast.get_docstring(node)))
-        for m in methods:
-            function(m, node.name)
-
-    pending: list[ast.stmt] = []
-    for node in tree.body:
-        if not isinstance(node, (*_DEF, ast.ClassDef)):
-            pending.append(node)
-            continue
-        if pending:
-            section(pending)
-            pending = []
-        klass(node) if isinstance(node, ast.ClassDef) else function(node, None)
-    if pending:
-        section(pending)
-    return out
+    kept = list(fitted(spans(tree), lines))
+    head = next((k for k, s in enumerate(kept) if s.kind == "module"), None)
+    return [described(s, lines, tree, module, imports, in_tests, k == head) for k, s in enumerate(kept)]
 
 
 def scanned(lines: list[str], in_tests: bool) -> list[Chunk]:
