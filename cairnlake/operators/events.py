@@ -49,14 +49,17 @@ def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], ac
     """(by, <name>...): exact quantiles of each group, interpolated between neighbours, without any group in one task.
 
     A sketch gives bounds between which each quantile lies; what is below them is only counted, and the values between
-    are sorted: a share of about 4 / accuracy of the rows for each quantile.
+    are sorted: a share of about 4 / accuracy of the rows for each quantile, or the whole of a group of up to 10 * accuracy rows,
+    whose ranks lie too close for a sketch.
     """
     r = rows.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null")
     eps = 2.0 / accuracy
     edges = sorted({min(1.0, max(0.0, p + s)) for p in shares.values() for s in (-eps, eps)})
     sketch = r.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("v", edges, accuracy * 10).alias("e"))
     names = list(shares)
-    spans = F.array(*[F.struct(F.lit(k).alias("k"), F.col("e")[edges.index(max(0.0, p - eps))].alias("low"), F.col("e")[edges.index(min(1.0, p + eps))].alias("high"), ((F.col("n") - 1) * p).alias("at"))
+    small = F.col("n") <= 10 * accuracy
+    edge = lambda p, all_: F.when(small, float(all_)).otherwise(F.col("e")[edges.index(p)])
+    spans = F.array(*[F.struct(F.lit(k).alias("k"), edge(max(0.0, p - eps), "-inf").alias("low"), edge(min(1.0, p + eps), "inf").alias("high"), ((F.col("n") - 1) * p).alias("at"))
                       for k, p in enumerate(shares.values())])
     s = sketch.select("g", F.explode(spans).alias("s")).select("g", "s.*")
     met = r.join(F.broadcast(s), "g")  # one row per group and quantile

@@ -470,11 +470,11 @@ def test_quantiles_are_exact(spark):
     from cairnlake.operators import events
 
     rng = random.Random(5)
-    data = [("a", rng.gauss(0, 9)) for _ in range(5_000)] + [("b", float(rng.randrange(4))) for _ in range(777)] + [("c", 1.5), ("d", None)]
+    data = [("a", rng.gauss(0, 9)) for _ in range(25_000)] + [("e", float(i)) for i in range(7)] + [("b", float(rng.randrange(4))) for _ in range(777)] + [("c", 1.5), ("d", None)]
     shares = {"lo": 0.01, "mid": 0.5, "hi": 0.99, "top": 1.0}
     got = {r["g"]: r for r in events.quantiles(spark.createDataFrame(data, "g string, v double"), "g", "v", shares).collect()}
     import numpy as np
-    for g in "abc":
+    for g in "abce":
         for n, p in shares.items():
             assert abs(got[g][n] - np.quantile([v for k, v in data if k == g], p)) < 1e-9, (g, n)
     assert "d" not in got
