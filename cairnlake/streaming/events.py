@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -31,19 +32,27 @@ def windowed(events: DataFrame, width: str, late: str) -> DataFrame:
     return w.select(F.col("w.start").alias("hour"), "event_type", "n")
 
 
-def superseding(events: DataFrame, seconds: int) -> DataFrame:
-    """Per user and batch: events seen, and how many came within `seconds` after the user's one before. The state is the time of the last."""
+def superseding(events: DataFrame, seconds: int, late: str = "1 day") -> DataFrame:
+    """Per user and batch: events seen, and how many came within `seconds` after the user's latest one before. The state is the time of the
+    latest; it goes once the watermark says that nothing can follow it closely. An event older than the latest, from a batch that
+    comes late, is seen but follows nothing."""
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        seen = hits = 0
-        for t in sorted(t for b in batches for t in (b["micros"].tolist())):
-            hits += last is not None and t - last <= seconds * 1_000_000
-            last, seen = t, seen + 1
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"user_id": [key[0]], "superseded": [hits], "seen": [seen]})
-    e = events.select("user_id", F.unix_micros("ts").alias("micros"))
-    return e.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, superseded bigint, seen bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+        times = np.sort(np.concatenate([b["micros"].to_numpy() for b in batches]))
+        before = np.concatenate([[times[0] - (seconds + 1) * 1_000_000 if last is None else last], times[:-1]])
+        before = np.maximum.accumulate(before)
+        hits = int(np.sum((times >= before) & (times - before <= seconds * 1_000_000)))
+        newest = int(max(times[-1], before[0]))
+        ends = newest // 1000 + seconds * 1000 + 1
+        state.update((newest,))
+        if ends > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(ends)
+        yield pd.DataFrame({"user_id": [key[0]], "superseded": [hits], "seen": [len(times)]})
+    e = events.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("micros"))
+    return e.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, superseded bigint, seen bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
