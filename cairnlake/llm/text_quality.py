@@ -173,7 +173,8 @@ def line_kind(s: str, common: int, words: list[str], doc_share: float) -> str:
         return "table"
     if LOG.match(s):
         return "log"
-    if n >= 8 and common >= 0.2 * n and PLAIN.fullmatch(s) and not s.endswith(("then", "do")):  # most lines of prose need no more tests
+    bare = SPAN.sub("x", s) if "`" in s else s
+    if n >= 8 and common >= 0.2 * n and PLAIN.fullmatch(bare) and not bare.endswith(("then", "do")):  # most lines of prose need no more tests
         return "prose"
     if not words:
         return "repeat" if RULE.fullmatch(s) and len(set(s)) <= 3 else "pair"
@@ -181,7 +182,6 @@ def line_kind(s: str, common: int, words: list[str], doc_share: float) -> str:
         return "heading"
     if len(s) >= 30 and " " not in s and dense(s):
         return "random"
-    bare = SPAN.sub("x", s)
     share = common / n
     if CSV.fullmatch(bare) and n <= 2 * (1 + bare.count(",") + bare.count(";")) and " " not in bare:
         return "table"
@@ -266,7 +266,9 @@ def statistics(text: str) -> tuple[str, int, list[float]]:
         if k:
             chars[k] += len(s)
     # repetition: sentences or lines that occur three times or more; only what is not structure already
-    if max(Counter(SENTENCES.split(low_joined)).values()) >= 3:
+    # a rough split at first: few texts repeat anything
+    rough = low_joined.replace("\n", ". ").replace("\t", " ").replace("? ", ". ").replace("! ", ". ").replace("… ", ". ").split(". ")
+    if len(rough) > 2 and max(Counter([p.strip(" .!?…\r") for p in rough]).values()) >= 3:
         parts = [(p.strip().lower(), k) for s, k in zip(lines, kinds) if k in ("prose", "nav", "heading") for p in SENTENCES.split(s) if p.strip()]
         seen = Counter(p for p, _ in parts)
         for p, k in parts:
