@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,28 +45,34 @@ WORD = re.compile(r"[^\W_]+")
 TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|&(?:[a-z]{2,8}|#\d{1,5});")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
-_codes: dict[str, int] = {}
+class _Codes(dict):
+    """64-bit code of each word, kept per worker up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 2_000_000:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        return code
+
+
+_codes = _Codes()
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(TAG.sub(" ", text).lower())
+    return WORD.findall((TAG.sub(" ", text) if "<" in text or "&" in text else text).lower())
 
 
 def shingles(tokens: list[str]) -> np.ndarray:
     """64-bit hash of each run of SHINGLE words, by position."""
-    import xxhash
-
     if len(tokens) < SHINGLE:
         return np.zeros(0, np.int64)
-    if len(_codes) > 2_000_000:
-        _codes.clear()
-    codes = np.empty(len(tokens), np.uint64)
-    for i, t in enumerate(tokens):
-        c = _codes.get(t)
-        if c is None:
-            c = _codes[t] = xxhash.xxh64_intdigest(t)
-        codes[i] = c
-    n = len(tokens) - SHINGLE + 1
+    return _mixed(np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens)))
+
+
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    n = len(codes) - SHINGLE + 1
     h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(SHINGLE):
@@ -99,22 +106,21 @@ def _shingle_rows(n_ids: int):
 
 
 def _hashes(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, row, words of the row, position, index in `wanted`) of the shingles that are in the sorted array `wanted`, by batch."""
+    """(ids, row, words of the row, position, index in `wanted`) of the shingles that are in the sorted array `wanted`, by batch. The texts of
+    a batch are one sequence of words; runs over a border are left out."""
     for b in batches:
-        index, size, pos, at = [], [], [], []
-        for i, t in enumerate(b.column(1).to_pylist()):
-            tokens = words(t)
-            h = shingles(tokens)
-            if len(h):
-                k = np.searchsorted(wanted, h)
-                hit = np.flatnonzero(wanted[np.minimum(k, len(wanted) - 1)] == h)
-                if len(hit):
-                    index.append(np.full(len(hit), i))
-                    size.append(np.full(len(hit), len(tokens), np.int32))
-                    pos.append(hit.astype(np.int32))
-                    at.append(k[hit])
-        if index:
-            yield b.column(0), *map(np.concatenate, (index, size, pos, at))
+        texts = [words(t) for t in b.column(1).to_pylist()]
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        total = int(size.sum())
+        if total < SHINGLE:
+            continue
+        h = _mixed(np.fromiter(map(_codes.__getitem__, chain.from_iterable(texts)), np.uint64, total))
+        row = np.repeat(np.arange(len(texts)), size)[:len(h)]
+        pos = np.arange(len(h)) - (np.cumsum(size) - size)[row]
+        k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+        hit = np.flatnonzero((wanted[k] == h) & (pos + SHINGLE <= size[row]))
+        if len(hit):
+            yield b.column(0), row[hit], size[row[hit]].astype(np.int32), pos[hit].astype(np.int32), k[hit]
 
 
 def _count(wanted):
