@@ -148,11 +148,11 @@ def _after_clause(low: str, at: int) -> bool:
 
 
 #: Per row: notices of each kind, characters and lines by class.
-FEATURES = ("n_generated", "n_vendored", "chars", "dense_chars", "lines", "data_lines")
+FEATURES = ("n_generated", "n_vendored", "chars", "dense_chars", "lines", "data_lines", "dense_lines")
 
 
 def features(text: str, is_patch: bool) -> tuple[int, ...]:
-    gen = ven = chars = dense = lines = data = 0
+    gen = ven = chars = dense = lines = data = long = 0
     head = not is_patch  # whether no code was seen yet
     for line in text.split("\n"):
         if is_patch:
@@ -170,6 +170,7 @@ def features(text: str, is_patch: bool) -> tuple[int, ...]:
         lines += 1
         if n > LONG_LINE and body.count(" ") * 12 < n:
             dense += n
+            long += 1
         elif (body[0] in "0123456789[({\"'-+.\\" or n >= 60) and DATA_LINE.fullmatch(body):
             data += 1
         elif BRACKETS.fullmatch(body):
@@ -184,7 +185,7 @@ def features(text: str, is_patch: bool) -> tuple[int, ...]:
                     ven += 1
             else:
                 head = False
-    return gen, ven, chars, dense, lines, data
+    return gen, ven, chars, dense, lines, data, long
 
 
 def _rows(is_patch: bool):
@@ -209,7 +210,8 @@ def classify(rows: DataFrame, *, row_id: str = "id", repo: str = "repository_id"
     by_path = [(k, low.rlike(p)) for k, p in PATHS.items()]
     # a few words about the folder in front of a single code line are no evidence; a hunk of tables is
     data = (F.col("data_lines") >= 3) & (F.col("data_lines") >= 0.7 * F.col("lines"))
-    dense = (F.col("dense_chars") >= 0.8 * F.col("chars")) & (F.col("chars") > 0)
+    # one long string among ordinary lines is none either; minified text has few other lines, such as a licence in front
+    dense = (F.col("dense_chars") >= 0.8 * F.col("chars")) & (F.col("chars") > 0) & (F.col("lines") - F.col("dense_lines") <= F.col("dense_lines") + 3)
     kind = F.lit(None).cast("string")
     by = F.lit(None).cast("string")
     rules = [*[(k, c, "path") for k, c in by_path], ("vendored", F.col("n_vendored") > 0, "notice"), ("generated", F.col("n_generated") > 0, "notice"),

@@ -69,3 +69,10 @@ def test_data_lines():
     code = ["x = 1", "1 + f(2)", "127.0.0.1x", "7" * 10_000 + "x", "1e"]
     for lines, want in ((data, len(data)), (code, 0)):
         assert features("\n".join(x for x in lines if len(x) < 300), False)[5] == sum(len(x) < 300 for x in lines) * (want > 0)
+
+
+def test_one_long_string_is_not_minified(spark):
+    long = "x" * 20 + "|yz" * 300
+    code = "\n".join(f"+  call{i}(a, b);" for i in range(7))
+    got = run(spark, [(None, "r", "a.js", f"@@ -0,0 +1,8 @@\n{code}\n+const PATTERN = '{long}';"), (None, "r", "b.js", f"@@ -0,0 +1,3 @@\n+/* licence */\n+!function(){{{long}}}();\n+{long}"), (None, "r", "c.js", f"@@ -0,0 +1 @@\n+{long}")])
+    assert {k[1]: v[0] for k, v in got.items()} == {"a.js": "source", "b.js": "minified", "c.js": "minified"}
