@@ -11,6 +11,9 @@ Defined results: null names call, define and import nothing; ties go by path, li
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cairnlake.functions import fixed_values as V, text as T
@@ -22,6 +25,8 @@ FILE = ["repository_id", "blob_sha", "chunker_version"]
 LIMITS = {"imported": 4, "bases": 2, "callers": 3, "tests": 3, "config": 2, "migrations": 2, "similar": 8, "guides": 2}
 CONFIG_LANGUAGES, MIGRATION_PATHS = ("yaml", "toml", "ini", "json", "dockerfile"), ("%migrat%", "%alembic%", "%schema%")
 HEADER_TOKENS, GUIDE_TOKENS = 300, 400
+#: Changed chunks, and documents, that meet in a task; so many of the words that most documents hold are multiplied; pairs counted at a time.
+BLOCK_ROWS, COMMON_WORDS, SHARED_CELLS = 4_000, 512, 2_000_000
 _PLACE = ["path", "start_line", "id"]
 
 
@@ -121,20 +126,89 @@ def similar(ch: DataFrame, chunks: DataFrame) -> DataFrame:
     return _pick(out, 5, F.col("score"), "hybrid")
 
 
+def _most_shared(k: int):
+    """The k documents of a piece that share most words with each changed chunk of a block, first in order where they tie. Counts of the
+    words that most documents hold come from a matrix product, those of the others from lists of the documents that hold them."""
+    def run(table: pa.Table) -> pa.Table:
+        docs = table.filter(table["is_doc"])
+        docs = docs.take(pc.sort_indices(docs, sort_keys=[(c, "ascending") for c in _PLACE], null_placement="at_start"))
+        changed = table.filter(pc.invert(table["is_doc"]))
+        nd, held, asked = len(docs), docs["words"].combine_chunks(), changed["words"].combine_chunks()
+        coded = held.flatten().dictionary_encode()
+        code, doc = np.asarray(coded.indices, np.int64), np.asarray(pc.list_parent_indices(held), np.int64)
+        df = np.bincount(code, minlength=len(coded.dictionary))
+        place = np.empty_like(df)
+        place[np.argsort(-df, kind="stable")] = np.arange(len(df))  # the words that most documents hold are the first
+        code, df = place[code], np.sort(df)[::-1]
+        doc, code = (x[np.argsort(code, kind="stable")] for x in (doc, code))
+        first, common = np.cumsum(df) - df, min(COMMON_WORDS, len(df))
+        dense = np.zeros((common, nd), np.float32)
+        dense[code[code < common], doc[code < common]] = 1
+        known = pc.index_in(asked.flatten(), coded.dictionary)
+        row, word = np.asarray(pc.list_parent_indices(asked), np.int64)[np.asarray(known.is_valid())], place[np.asarray(known.drop_null(), np.int64)]
+        paths = docs["path"].combine_chunks().dictionary_encode()
+        own = np.asarray(pc.fill_null(pc.index_in(changed["path"].combine_chunks(), paths.dictionary), -1))
+        of = np.asarray(paths.indices)
+        out_row, out_doc, out_n = [], [], []
+        step = max(1, SHARED_CELLS // max(1, nd))
+        for at in range(0, len(changed) if nd else 0, step):
+            n = min(step, len(changed) - at)
+            lo, hi = np.searchsorted(row, (at, at + n))
+            r, w = row[lo:hi] - at, word[lo:hi]
+            mine = np.zeros((n, common), np.float32)
+            mine[r[w < common], w[w < common]] = 1
+            shared = mine @ dense
+            r, w = r[w >= common], w[w >= common]
+            ends = np.cumsum(df[w])
+            cuts = np.searchsorted(ends, np.arange(SHARED_CELLS, ends[-1] if len(ends) else 0, SHARED_CELLS))
+            for x, y in zip(np.split(r, cuts), np.split(w, cuts)):
+                m = df[y]
+                if m.sum():
+                    hit = doc[np.repeat(first[y] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+                    shared += np.bincount(np.repeat(x, m) * nd + hit, minlength=n * nd).reshape(n, nd)
+            inside = np.flatnonzero(own[at:at + n] >= 0)
+            shared[inside] = np.where(own[at + inside][:, None] == of[None, :], -1, shared[inside])
+            each = np.arange(n)
+            for _ in range(min(k, nd)):
+                best = shared.argmax(axis=1)
+                count = shared[each, best]
+                shared[each, best] = -1
+                out_row.append(at + each[count >= 0])
+                out_doc.append(best[count >= 0])
+                out_n.append(count[count >= 0])
+        cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+        found = docs.select(_PLACE).take(pa.array(cat(out_doc)))
+        return pa.table({"bundle": changed["bundle"].take(pa.array(cat(out_row))), **{c: found[c] for c in _PLACE}, "n": pa.array(cat(out_n))})
+    return run
+
+
+def most_shared(changed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(bundle, path, start_line, id, n): the k documents (repository_id, path, start_line, id, words) that share most words with each of
+    (bundle, repository_id, path, words), from other files of the repository. The changed chunks of a repository go in blocks and its documents
+    in pieces, by hash; each block meets each piece in a task of its own, which keeps its k best, so pairs are never shuffled."""
+    docs, changed = docs.filter("path is not null"), changed.filter("path is not null")
+    size = lambda rows, name, most: rows.groupBy("repository_id").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    parts = size(changed, "blocks", BLOCK_ROWS).join(size(docs, "pieces", BLOCK_ROWS), "repository_id")
+    at = lambda of, key: F.pmod(F.xxhash64(*key), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    none = lambda rows, c: F.lit(None).cast(rows.schema[c].dataType)
+    a = changed.join(parts, "repository_id").select("repository_id", F.lit(False).alias("is_doc"), "bundle", "path", none(docs, "start_line").alias("start_line"), none(docs, "id").alias("id"), "words", at("blocks", ["bundle"]).alias("block"), each("pieces").alias("piece"))
+    b = docs.join(parts, "repository_id").select("repository_id", F.lit(True).alias("is_doc"), none(changed, "bundle").alias("bundle"), *_PLACE, "words", each("blocks").alias("block"), at("pieces", ["id", "path"]).alias("piece"))
+    kinds = {"bundle": changed, **dict.fromkeys(_PLACE, docs)}
+    best = a.unionByName(b).groupBy("repository_id", "block", "piece").applyInArrow(_most_shared(k), ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c, rows in kinds.items()) + ", n bigint")
+    return top(best, ["bundle"], [F.desc("n"), *_order()], k)
+
+
 def guides(ch: DataFrame, chunks: DataFrame, paths: list[str] = V.GUIDE_PATHS) -> DataFrame:
-    """Tier 6: of the repository's guides those that share most words with the change."""
+    """Tier 6: of the repository's guides those that share most words with the change; where too few share any, the first of the others."""
     guide = F.lit(False)
     for p in paths:
         guide = guide | F.col("path").ilike(p)
-    docs = chunks.filter((F.col("language") == "markdown") & guide & (F.col("token_count") <= GUIDE_TOKENS)).select("repository_id", *_PLACE, "content")
+    none = F.array().cast("array<string>")
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws(" ", F.array_join(_names("called_names", "owns"), " "), "content"), F.lit(r"([A-Za-z_]\w+)"), F.lit(1)), F.lower))
-    mine = ch.select("bundle", "repository_id", F.col("path").alias("own_path"), F.explode(words).alias("word"))
-    held = docs.select("repository_id", *_PLACE, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([a-z_]\w+)"), F.lit(1)))).alias("word"))
-    shared = mine.join(held, ["repository_id", "word"]).filter("path <> own_path").groupBy("bundle", *_PLACE).agg(F.count("*").alias("n"))
-    # guides that share nothing stand behind the others, in order: the first few of a repository suffice
-    rest = top(docs, ["repository_id"], _order(), LIMITS["guides"] + 1).select("repository_id", *_PLACE).join(ch.select("bundle", "repository_id", F.col("path").alias("own_path")), "repository_id").filter("path <> own_path")
-    every = shared.unionByName(rest.select("bundle", *_PLACE, F.lit(0).cast("bigint").alias("n"))).groupBy("bundle", *_PLACE).agg(F.max("n").alias("n"))
-    return _pick(top(every, ["bundle"], [F.desc("n"), *_order()], LIMITS["guides"]), 6, 2.0, "repository_guidelines")
+    docs = chunks.filter((F.col("language") == "markdown") & guide & (F.col("token_count") <= GUIDE_TOKENS)).select(
+        "repository_id", *_PLACE, F.coalesce(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([a-z_]\w+)"), F.lit(1))), none).alias("words"))
+    return _pick(most_shared(ch.select("bundle", "repository_id", "path", F.coalesce(words, none).alias("words")), docs, LIMITS["guides"]), 6, 2.0, "repository_guidelines")
 
 
 def candidates(chunks: DataFrame, changed: DataFrame) -> DataFrame:

@@ -49,7 +49,8 @@ def n4_config(spark, d):
 
 def n6_guides(spark, d):
     """The two documents of the repository that share most words with a method."""
-    c = _chunks(spark, d)
+    c = durable(chunks(spark, d, *N.FILE, "id", "path", "start_line", "language", "symbol", "symbol_type", "qualified_name", "parent_symbol", "called_names", "token_count", "content")
+                .filter("symbol_type = 'method' or language = 'markdown'"), "chunks")
     return N.guides(_methods(c), c, ["%.md"]).select("bundle", "item")
 
 

@@ -378,6 +378,30 @@ def test_callers_in_imported_files_come_first(spark):
     assert sorted(r["item"] for r in got.collect()) == ["u2", "x0", "x1"]
 
 
+def test_guides_never_pair_by_word(spark, monkeypatch):
+    from cairnlake.operators import context
+
+    some = random.Random(5)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    text = lambda n: " ".join(some.sample(words[:8], 2) + some.sample(words, n))
+    model = _context_rows()
+    guide, method = next(r for r in model if r[0] == "g1"), next(r for r in model if r[0] == "s")
+    change = lambda r, **x: tuple(x.get(c.split()[0], v) for c, v in zip(CONTEXT.split(", "), r))
+    docs = [change(guide, id=f"d{i}", path=f"docs/{i % 9}.md", start_line=i % 4, content=text(9)) for i in range(40)] + [change(guide, id="none", path="docs/none.md", content=None)]
+    methods = [change(method, id=f"m{i}", path="docs/3.md" if i % 5 == 0 else "a.py", called_names=[], symbol=words[i], content=text(12)) for i in range(30)] + [change(method, id="null", path="a.py", symbol="zz", content=None)]
+    for name, value in (("BLOCK_ROWS", 7), ("COMMON_WORDS", 5), ("SHARED_CELLS", 30)):
+        monkeypatch.setattr(context, name, value, raising=False)
+    c = spark.createDataFrame(docs + methods, CONTEXT)
+    ch = c.filter("symbol_type = 'method'").withColumnRenamed("id", "bundle").withColumn("own", F.col("symbol")).withColumn("owns", F.array("symbol"))
+    got = context.guides(ch, c)
+    assert "word" not in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    want = []
+    for m in methods:
+        own = set(((m[17] or "") + " " + m[6]).split())
+        want += [(m[0], d[0]) for d in sorted((d for d in docs if d[4] != m[4]), key=lambda d: (-len(own & set((d[17] or "").split())), d[4], d[10], d[0]))[:2]]
+    assert rows(got.select("bundle", "item")) == sorted(want)
+
+
 def test_context_bundles(spark):
     from cairnlake.operators import context
 
