@@ -93,11 +93,10 @@ def usages(ch: DataFrame, chunks: DataFrame, imported: DataFrame) -> DataFrame:
 
 def lexical(ch: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """The k rows of a repository that share most of a chunk's names, by frequency."""
-    words = ch.select("bundle", "repository_id", F.col("path").alias("own_path"), F.explode(T.query_terms(F.array_join(_names("called_names", "owns"), " "))).alias("term"))
-    wanted = words.select("repository_id", "term").distinct()
-    posts = rows.select("repository_id", *_PLACE, F.explode(T.index_terms(F.col("content"))).alias("term")).join(wanted, ["repository_id", "term"], "left_semi").groupBy("repository_id", *_PLACE, "term").agg(F.count("*").alias("tf"))
-    met = posts.join(words, ["repository_id", "term"]).filter("path <> own_path").groupBy("bundle", *_PLACE).agg(F.sum("tf").alias("s"))
-    return top(met, ["bundle"], [F.desc("s"), *_order()], k)
+    none = F.array().cast("array<string>")
+    asked = ch.select("bundle", "repository_id", "path", F.coalesce(T.query_terms(F.array_join(_names("called_names", "owns"), " ")), none).alias("words"))
+    docs = rows.select("repository_id", *_PLACE, F.coalesce(T.index_terms(F.col("content")), none).alias("words"))
+    return most_shared(asked, docs, k, 1).withColumnRenamed("n", "s")
 
 
 def validation(ch: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -126,24 +125,26 @@ def similar(ch: DataFrame, chunks: DataFrame) -> DataFrame:
     return _pick(out, 5, F.col("score"), "hybrid")
 
 
-def _most_shared(k: int):
-    """The k documents of a piece that share most words with each changed chunk of a block, first in order where they tie. Counts of the
-    words that most documents hold come from a matrix product, those of the others from lists of the documents that hold them."""
+def _most_shared(k: int, least: int):
+    """The k documents of a piece that hold most often words of each changed chunk of a block, at least so often, first in order where they tie.
+    Counts of the words that most documents hold come from a matrix product, those of the others from lists of the documents that hold them."""
     def run(table: pa.Table) -> pa.Table:
         docs = table.filter(table["is_doc"])
         docs = docs.take(pc.sort_indices(docs, sort_keys=[(c, "ascending") for c in _PLACE], null_placement="at_start"))
         changed = table.filter(pc.invert(table["is_doc"]))
         nd, held, asked = len(docs), docs["words"].combine_chunks(), changed["words"].combine_chunks()
         coded = held.flatten().dictionary_encode()
-        code, doc = np.asarray(coded.indices, np.int64), np.asarray(pc.list_parent_indices(held), np.int64)
+        each, tf = np.unique(np.asarray(coded.indices, np.int64) * max(1, nd) + np.asarray(pc.list_parent_indices(held), np.int64), return_counts=True)
+        code, doc = each // max(1, nd), each % max(1, nd)
         df = np.bincount(code, minlength=len(coded.dictionary))
         place = np.empty_like(df)
         place[np.argsort(-df, kind="stable")] = np.arange(len(df))  # the words that most documents hold are the first
         code, df = place[code], np.sort(df)[::-1]
-        doc, code = (x[np.argsort(code, kind="stable")] for x in (doc, code))
+        doc, tf, code = (x[np.argsort(code, kind="stable")] for x in (doc, tf, code))
         first, common = np.cumsum(df) - df, min(COMMON_WORDS, len(df))
-        dense = np.zeros((common, nd), np.float32)
-        dense[code[code < common], doc[code < common]] = 1
+        kind = np.float32 if tf.sum() < 2**24 or np.bincount(doc, tf).max() < 2**24 else np.float64  # sums are exact
+        dense = np.zeros((common, nd), kind)
+        dense[code[code < common], doc[code < common]] = tf[code < common]
         known = pc.index_in(asked.flatten(), coded.dictionary)
         row, word = np.asarray(pc.list_parent_indices(asked), np.int64)[np.asarray(known.is_valid())], place[np.asarray(known.drop_null(), np.int64)]
         paths = docs["path"].combine_chunks().dictionary_encode()
@@ -155,7 +156,7 @@ def _most_shared(k: int):
             n = min(step, len(changed) - at)
             lo, hi = np.searchsorted(row, (at, at + n))
             r, w = row[lo:hi] - at, word[lo:hi]
-            mine = np.zeros((n, common), np.float32)
+            mine = np.zeros((n, common), kind)
             mine[r[w < common], w[w < common]] = 1
             shared = mine @ dense
             r, w = r[w >= common], w[w >= common]
@@ -164,8 +165,8 @@ def _most_shared(k: int):
             for x, y in zip(np.split(r, cuts), np.split(w, cuts)):
                 m = df[y]
                 if m.sum():
-                    hit = doc[np.repeat(first[y] - np.cumsum(m) + m, m) + np.arange(m.sum())]
-                    shared += np.bincount(np.repeat(x, m) * nd + hit, minlength=n * nd).reshape(n, nd)
+                    hit = np.repeat(first[y] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                    shared += np.bincount(np.repeat(x, m) * nd + doc[hit], tf[hit], n * nd).reshape(n, nd)
             inside = np.flatnonzero(own[at:at + n] >= 0)
             shared[inside] = np.where(own[at + inside][:, None] == of[None, :], -1, shared[inside])
             each = np.arange(n)
@@ -173,19 +174,20 @@ def _most_shared(k: int):
                 best = shared.argmax(axis=1)
                 count = shared[each, best]
                 shared[each, best] = -1
-                out_row.append(at + each[count >= 0])
-                out_doc.append(best[count >= 0])
-                out_n.append(count[count >= 0])
+                out_row.append(at + each[count >= least])
+                out_doc.append(best[count >= least])
+                out_n.append(count[count >= least])
         cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
         found = docs.select(_PLACE).take(pa.array(cat(out_doc)))
         return pa.table({"bundle": changed["bundle"].take(pa.array(cat(out_row))), **{c: found[c] for c in _PLACE}, "n": pa.array(cat(out_n))})
     return run
 
 
-def most_shared(changed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(bundle, path, start_line, id, n): the k documents (repository_id, path, start_line, id, words) that share most words with each of
-    (bundle, repository_id, path, words), from other files of the repository. The changed chunks of a repository go in blocks and its documents
-    in pieces, by hash; each block meets each piece in a task of its own, which keeps its k best, so pairs are never shuffled."""
+def most_shared(changed: DataFrame, docs: DataFrame, k: int, least: int = 0) -> DataFrame:
+    """(bundle, path, start_line, id, n, rank): the k documents (repository_id, path, start_line, id, words), from other files of the repository,
+    that hold most often words of each of (bundle, repository_id, path, words), at least so often. The changed chunks of a repository go in
+    blocks and its documents in pieces, by hash; each block meets each piece in a task of its own, which keeps its k best, so pairs are never
+    shuffled."""
     docs, changed = docs.filter("path is not null"), changed.filter("path is not null")
     size = lambda rows, name, most: rows.groupBy("repository_id").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
     parts = size(changed, "blocks", BLOCK_ROWS).join(size(docs, "pieces", BLOCK_ROWS), "repository_id")
@@ -195,7 +197,7 @@ def most_shared(changed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     a = changed.join(parts, "repository_id").select("repository_id", F.lit(False).alias("is_doc"), "bundle", "path", none(docs, "start_line").alias("start_line"), none(docs, "id").alias("id"), "words", at("blocks", ["bundle"]).alias("block"), each("pieces").alias("piece"))
     b = docs.join(parts, "repository_id").select("repository_id", F.lit(True).alias("is_doc"), none(changed, "bundle").alias("bundle"), *_PLACE, "words", each("blocks").alias("block"), at("pieces", ["id", "path"]).alias("piece"))
     kinds = {"bundle": changed, **dict.fromkeys(_PLACE, docs)}
-    best = a.unionByName(b).groupBy("repository_id", "block", "piece").applyInArrow(_most_shared(k), ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c, rows in kinds.items()) + ", n bigint")
+    best = a.unionByName(b).groupBy("repository_id", "block", "piece").applyInArrow(_most_shared(k, least), ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c, rows in kinds.items()) + ", n bigint")
     return top(best, ["bundle"], [F.desc("n"), *_order()], k)
 
 

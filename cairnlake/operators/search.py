@@ -167,8 +167,8 @@ def similar_names(queries: DataFrame, names: DataFrame, least: float) -> DataFra
     return s.filter(F.col("similarity") >= least)
 
 
-#: Queries per block, and how many queries may be broadcast.
-QUERY_BLOCK, QUERY_BROADCAST = 2_000, 10_000
+#: Queries per block.
+QUERY_BLOCK = 2_000
 
 
 def _block_nearest(k: int):

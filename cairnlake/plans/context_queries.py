@@ -16,8 +16,18 @@ from cairnlake.session import durable
 from cairnlake.sources.tables import load
 
 
+_COLUMNS = (*N.FILE, "language", "parent_symbol", "bases", *(c for c in hybrid.COLUMNS if c != "repository_id"))
+
+
 def _chunks(spark, d):
-    return chunks(spark, d, *N.FILE, "language", "parent_symbol", "bases", *(c for c in hybrid.COLUMNS if c != "repository_id"))
+    return chunks(spark, d, *_COLUMNS)
+
+
+def _stored(spark, d):
+    """(chunks, changes): all chunks, those of a repository in few files, and the queries of hybrid search taken as changes."""
+    rows = load(spark, d, "code_chunks", *_COLUMNS).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(8)))
+    c = durable(rows.repartition("repository_id", "part").distinct().drop("part"), "chunks")
+    return c, durable(queries_of(c), "queries")
 
 
 def n_context(spark, d):
@@ -28,8 +38,8 @@ def n_context(spark, d):
 
 def n_tiers(spark, d):
     """Candidates of those changes by tier and reason."""
-    c = durable(_chunks(spark, d), "chunks")
-    return N.merged(N.candidates(c, queries_of(c))).groupBy("tier", "reasons").agg(F.count("*").alias("items"), F.countDistinct("bundle").alias("bundles"))
+    c, changes = _stored(spark, d)
+    return N.merged(N.candidates(c, changes)).groupBy("tier", "reasons").agg(F.count("*").alias("items"), F.countDistinct("bundle").alias("bundles"))
 
 
 def _methods(c):

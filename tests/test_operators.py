@@ -353,6 +353,10 @@ def _context_rows():
         row("v", "w", "lib/v.py", "near", "function", vec=[0.9, 0.1]), row("o", "b", "src/app/a.py", "local", "function", repo="other", calls=["run"])]
 
 
+def _frozen(row):
+    return tuple(tuple(x) if isinstance(x, list) else x for x in row)
+
+
 def test_context_tiers(spark):
     from cairnlake.operators import context
 
@@ -402,6 +406,64 @@ def test_guides_never_pair_by_word(spark, monkeypatch):
     assert rows(got.select("bundle", "item")) == sorted(want)
 
 
+def test_hybrid_lists_against_all_pairs(spark, monkeypatch):
+    from cairnlake.operators import hybrid
+
+    some = random.Random(9)
+    words = [f"word{chr(97 + i)}" for i in range(12)]
+    vectors = [[1.0, 0.0], [2.0, 0.0], [0.6, 0.8], [-0.3, 0.4], [0.0, 0.0], [float("nan"), 1.0], [1.0, None], [1.0, 2.0, 3.0], [], None]
+    made = []
+    for i in range(90):
+        symbol = some.choice(words)
+        made.append((f"i{some.randrange(10)}{i:02}", "rst"[i % 3], "b", "1", f"p{i % 4}.py", "python", symbol, "function", some.choice(words) + "_" + symbol, None, i % 5, some.sample(words, 2), [], False, 30,
+                     "def " + " ".join(some.sample(words, 2)), [], None if i == 7 else " ".join(some.choices(words, k=20)), vectors[some.randrange(len(vectors))], [None, "m", "m", "n"][some.randrange(4)]))
+    for name, value in (("CELLS", 40), ("QUERIES_SENT", 5), ("LENGTHS", {"lexical": 4, "vector": 3, "exact": 2})):
+        monkeypatch.setattr(hybrid, name, value, raising=False)
+    c = spark.createDataFrame(made, CONTEXT)
+    queries = [x for x in made if x[0][-1] in "37" and x[1] != "t"]
+    got = hybrid.lists(c.filter(F.col("id").isin(*[x[0] for x in queries])), c)
+    assert not [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and ("embedding" in x or "term" in x)]
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a + b or any(x != x for x in a + b) or not any(a) or not any(b):
+            return None
+        return round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 9)
+    want = []
+    for q in queries:
+        others = [x for x in made if x[1] == q[1] and x[0] != q[0]]
+        asked = set(q[8].split("_") + q[15].split()[1:])
+        scored = {"lexical": [(x, sum((x[17] or "").split().count(w) for w in asked) or None) for x in others],
+                  "vector": [(x, cosine(x[18], q[18]) if x[19] and x[19] == q[19] else None) for x in others],
+                  "exact": [(x, 1 if {x[6], x[8]} & {*q[11], q[6], q[8]} else None) for x in others]}
+        for source, pairs in scored.items():
+            best = sorted(((-s, x[4], x[10], x[0]) for x, s in pairs if s is not None))[:hybrid.LENGTHS[source]]
+            want += [(q[0], x[3], source, n) for n, x in enumerate(best, 1)]
+    assert rows(got.select("query_id", "id", "source", "rank")) == sorted(want, key=str) and {x[2] for x in want} == {"lexical", "vector", "exact"}
+
+
+def test_shared_names_count_as_often_as_they_occur(spark, monkeypatch):
+    from cairnlake.operators import context
+
+    some = random.Random(3)
+    words = [f"word{chr(97 + i)}" for i in range(15)]
+    model = _context_rows()
+    config, method = next(r for r in model if r[0] == "cfg"), next(r for r in model if r[0] == "s")
+    change = lambda r, **x: tuple(x.get(c.split()[0], v) for c, v in zip(CONTEXT.split(", "), r))
+    docs = [change(config, id=f"d{i}", path=f"c{i % 7}.yaml", start_line=i % 3, content=" ".join(some.choices(words, k=some.randrange(1, 9)))) for i in range(30)] + [change(config, id="none", content=None)]
+    methods = [change(method, id=f"m{i}", path="c2.yaml" if i % 4 == 0 else "a.py", called_names=some.sample(words, i % 3), symbol=words[i % 15]) for i in range(20)] + [change(method, id="null", symbol=None, called_names=[])]
+    for name, value in (("BLOCK_ROWS", 6), ("COMMON_WORDS", 4), ("SHARED_CELLS", 25)):
+        monkeypatch.setattr(context, name, value)
+    c = spark.createDataFrame(docs + methods, CONTEXT)
+    ch = c.filter("symbol_type = 'method'").withColumnRenamed("id", "bundle").withColumn("owns", F.array("symbol"))
+    got = context.lexical(ch, c.filter("language = 'yaml'"), 2)
+    assert not [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "term" in x]
+    want = []
+    for m in methods:
+        n = {d: sum((d[17] or "").split().count(w) for w in {m[6], *m[11]}) for d in map(_frozen, docs) if d[4] != m[4]}
+        want += [(m[0], d[0], n[d], k) for k, d in enumerate(sorted((d for d in n if n[d]), key=lambda d: (-n[d], d[4], d[10], d[0]))[:2], 1)]
+    assert rows(got.select("bundle", "id", "s", "rank")) == sorted(want, key=str)
+
+
 def test_context_bundles(spark):
     from cairnlake.operators import context
 
