@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cairnlake.functions import fixed_values as V, text as T
 from cairnlake.operators import folds, hybrid, search as S
 from cairnlake.operators.search import DEFINITIONS, top
+from cairnlake.session import durable
 
 FILE = ["repository_id", "blob_sha", "chunker_version"]
 #: Rows of each source per changed chunk, or per name where it says so.
@@ -232,7 +233,7 @@ def merged(rows: DataFrame) -> DataFrame:
 def bundles(chunks: DataFrame, changed: DataFrame, budget: int) -> DataFrame:
     """(bundle, item, tier, score, reasons, taken, position): what of the candidates fits the budget; positions count the taken ones
     by tier, path and line."""
-    c = merged(candidates(chunks, changed))
+    c = durable(merged(candidates(chunks, changed)), "candidates")  # used twice
     sized = c.join(chunks.select(F.col("id").alias("item"), F.col("token_count").alias("size"), "path", "start_line"), "item")
     taken = folds.select_by_tier(sized.select("bundle", "item", "tier", F.round("score", 9).alias("score"), "size"), ["bundle"], budget).select("bundle", "item", "taken")
     out = sized.join(taken, ["bundle", "item"])

@@ -32,8 +32,8 @@ def _stored(spark, d):
 
 def n_context(spark, d):
     """The context of the queries of hybrid search taken as changes, under 1200 tokens, against all chunks."""
-    c = durable(_chunks(spark, d), "chunks")
-    return N.bundles(c, queries_of(c), 1200)
+    c, changes = _stored(spark, d)
+    return N.bundles(c, changes, 1200)
 
 
 def n_tiers(spark, d):

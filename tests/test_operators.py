@@ -474,6 +474,14 @@ def test_context_bundles(spark):
     assert sum(size[i] for i, g in got.items() if g[2]) <= 250
 
 
+def test_context_bundles_find_candidates_once(spark):
+    from cairnlake.operators import context
+
+    c = spark.createDataFrame(_context_rows(), CONTEXT)
+    plan = context.bundles(c, c.filter("id = 'f'"), 250)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Union" not in plan  # they are read from where they were written
+
+
 def test_python_files_of_old_chunkers(spark, tmp_path):
     from cairnlake.plans.chunk_queries import m2_python_chunks
 
